@@ -147,3 +147,160 @@ WITH c AS ({categories_by_period(days, top=n)})
 SELECT *, CASE WHEN sum(CAST(total_amount AS DECIMAL(28,2))) OVER (PARTITION BY account_id) <> 0 THEN
        total_amount / CAST(sum(CAST(total_amount AS DECIMAL(28,2))) OVER (PARTITION BY account_id) AS DOUBLE)
        * 100 END AS share_pct FROM c"""
+
+
+# ---------------------------------------------------------------------------
+# D: account summary
+# ---------------------------------------------------------------------------
+
+def account_totals() -> str:
+    return f"""
+WITH {ledger_cte()}
+SELECT account_id, count(*) AS total_transactions,
+       CAST(coalesce(sum(amount), 0) AS DOUBLE) AS total_amount,
+       CAST(coalesce(sum(CASE WHEN amount > 0 THEN amount END), 0) AS DOUBLE) AS total_income,
+       CAST(abs(coalesce(sum(CASE WHEN amount < 0 THEN amount END), 0)) AS DOUBLE) AS total_expenses,
+       CASE WHEN count(amount) > 0 THEN CAST(sum(amount) AS DOUBLE) / count(amount) END AS average_transaction,
+       CAST(max(amount) AS DOUBLE) AS largest_transaction, CAST(min(amount) AS DOUBLE) AS smallest_transaction
+FROM ledger GROUP BY account_id"""
+
+
+def category_breakdown() -> str:
+    return f"""
+WITH {ledger_cte()}
+SELECT account_id, category, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS total_amount,
+       count(*) AS transaction_count,
+       CASE WHEN count(amount) > 0 THEN CAST(sum(amount) AS DOUBLE) / count(amount) END AS average_amount
+FROM ledger GROUP BY account_id, category"""
+
+
+def date_range() -> str:
+    return f"""
+WITH {ledger_cte()}
+SELECT account_id, min(txn_date) AS start_date, max(txn_date) AS end_date,
+       CAST(max(txn_date) - min(txn_date) AS BIGINT) AS days_covered
+FROM ledger WHERE txn_date IS NOT NULL GROUP BY account_id"""
+
+
+def count_by(kind: str) -> str:
+    expr = "strftime(txn_date, '%Y-%m') AS month" if kind == "month" else "dayname(txn_date) AS weekday"
+    return f"""
+WITH {ledger_cte()}
+SELECT account_id, {expr}, count(*) AS transactions
+FROM ledger WHERE txn_date IS NOT NULL GROUP BY ALL"""
+
+
+def _period_sums_body() -> str:
+    week = ("strftime(date_trunc('week', txn_date), '%Y-%m-%d') || '/' || "
+            "strftime(CAST(date_trunc('week', txn_date) AS DATE) + 6, '%Y-%m-%d')")
+    return f"""
+n AS (SELECT account_id, count(*) AS rows_ FROM t GROUP BY account_id),
+u AS (
+  SELECT t.account_id, 'daily' AS grain, strftime(txn_date, '%Y-%m-%d') AS period, category, amount
+  FROM t JOIN n USING (account_id)
+  UNION ALL
+  SELECT t.account_id, 'weekly', {week}, category, amount FROM t JOIN n USING (account_id) WHERE rows_ > 7
+  UNION ALL
+  SELECT t.account_id, 'monthly', strftime(txn_date, '%Y-%m'), category, amount
+  FROM t JOIN n USING (account_id) WHERE rows_ > 30),
+ps AS (SELECT account_id, grain, CASE WHEN {INC} THEN 'income' ELSE 'spending' END AS kind, period,
+              CAST(sum(amount) AS DOUBLE) AS amount FROM u GROUP BY ALL)"""
+
+
+def period_sums() -> str:
+    return f"WITH {ledger_cte()}, {_period_sums_body()} SELECT * FROM ps"
+
+
+def trend() -> str:
+    return f"""
+WITH {ledger_cte()}, {_period_sums_body()},
+gr AS (SELECT account_id, max(CASE grain WHEN 'monthly' THEN 3 WHEN 'weekly' THEN 2 ELSE 1 END) AS g
+       FROM ps GROUP BY account_id),
+s AS (SELECT ps.*, CAST(row_number() OVER (PARTITION BY ps.account_id, kind ORDER BY period) - 1 AS DOUBLE) AS x
+      FROM ps JOIN gr ON ps.account_id = gr.account_id
+       AND CASE grain WHEN 'monthly' THEN 3 WHEN 'weekly' THEN 2 ELSE 1 END = gr.g),
+sl AS (SELECT account_id, grain,
+         round(coalesce(regr_slope(CASE WHEN kind = 'income' THEN amount END, x), 0.0), 4) AS income_trend,
+         round(coalesce(regr_slope(CASE WHEN kind = 'spending' THEN amount END, x), 0.0), 4) AS spending_trend
+       FROM s GROUP BY account_id, grain)
+SELECT *, CASE WHEN income_trend > 0 THEN 'increasing' WHEN income_trend < 0 THEN 'decreasing'
+               ELSE 'stable' END AS income_trend_direction,
+          CASE WHEN spending_trend > 0 THEN 'increasing' WHEN spending_trend < 0 THEN 'decreasing'
+               ELSE 'stable' END AS spending_trend_direction
+FROM sl"""
+
+
+def income_vs_spending() -> str:
+    return f"""
+WITH {ledger_cte()}
+SELECT account_id, count(CASE WHEN {INC} THEN 1 END) AS income_transactions,
+       count(CASE WHEN {SPEND} THEN 1 END) AS spending_transactions,
+       count(CASE WHEN {INC} THEN 1 END) / CAST(count(*) AS DOUBLE) * 100 AS income_percentage,
+       count(CASE WHEN {SPEND} THEN 1 END) / CAST(count(*) AS DOUBLE) * 100 AS spending_percentage
+FROM ledger GROUP BY account_id"""
+
+
+def top_categories_by_count(n: int = 10) -> str:
+    return f"""
+WITH {ledger_cte()},
+g AS (SELECT account_id, category, count(*) AS transactions FROM ledger WHERE {SPEND} GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY transactions DESC, category) AS rank FROM g)
+SELECT * FROM r WHERE rank <= {n}"""
+
+
+def category_distribution() -> str:
+    return f"""
+WITH {ledger_cte()},
+g AS (SELECT account_id, category, count(*) AS transactions FROM ledger GROUP BY ALL)
+SELECT account_id, category, transactions,
+       round(transactions / CAST(sum(transactions) OVER (PARTITION BY account_id) AS DOUBLE) * 100, 2)
+         AS percentage,
+       count(*) OVER (PARTITION BY account_id) AS unique_categories
+FROM g"""
+
+
+def confidence_stats() -> str:
+    c = f"CASE WHEN {SPEND} THEN confidence END"
+
+    def z(e):
+        return f"round(CASE WHEN count({c}) = 0 THEN 0.0 ELSE {e} END, 6)"
+    return f"""
+WITH {ledger_cte()}
+SELECT account_id, {z(f'avg({c})')} AS mean_confidence, {z(f'quantile_cont({c}, 0.5)')} AS median_confidence,
+       {z(f'min({c})')} AS min_confidence, {z(f'max({c})')} AS max_confidence,
+       {z(f'stddev_samp({c})')} AS std_confidence
+FROM ledger GROUP BY account_id"""
+
+
+def uncategorized_rate() -> str:
+    u = f"{SPEND} AND category = 'Uncategorized'"
+    return f"""
+WITH {ledger_cte()}
+SELECT account_id, count(CASE WHEN {u} THEN 1 END) AS uncategorized_count,
+       CASE WHEN count(CASE WHEN {SPEND} THEN 1 END) > 0 THEN
+         count(CASE WHEN {u} THEN 1 END) / CAST(count(CASE WHEN {SPEND} THEN 1 END) AS DOUBLE) * 100
+       ELSE 0.0 END AS uncategorized_percentage
+FROM ledger GROUP BY account_id"""
+
+
+def data_quality() -> str:
+    cols = ["txn_date", "description", "amount", "category", "confidence"]
+    nulls = ", ".join(f"count(*) - count({c}) AS null_{c}" for c in cols)
+    alln = " + ".join(f"CAST(count({c}) = 0 AS BIGINT)" for c in cols)
+    return f"""
+WITH {ledger_cte()},
+nn AS (SELECT account_id, {nulls}, {alln} AS columns_with_all_nulls FROM ledger GROUP BY account_id),
+d AS (SELECT account_id, sum(k - 1) AS duplicate_rows FROM
+        (SELECT account_id, count(*) AS k FROM ledger GROUP BY account_id, {', '.join(cols)}) x
+      GROUP BY account_id)
+SELECT * FROM nn JOIN d USING (account_id)"""
+
+
+def file_profile(n: int = 5) -> str:
+    return f"""
+WITH {ledger_cte()},
+r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY txn_date NULLS LAST,
+        description NULLS LAST, amount NULLS LAST, category NULLS LAST, confidence NULLS LAST) AS sample_rank,
+        count(*) OVER (PARTITION BY account_id) AS n_rows FROM ledger)
+SELECT account_id, sample_rank, txn_date, description, CAST(amount AS DOUBLE) AS amount, category, n_rows,
+       CAST(6 AS BIGINT) AS n_columns FROM r WHERE sample_rank <= {n}"""

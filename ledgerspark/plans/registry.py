@@ -106,3 +106,80 @@ def category_spend_lookup(spark, sf_dir):
 def share_of_total_90d(spark, sf_dir):
     top = E.top_categories(E.categories_by_period(_ledger(spark, sf_dir), "90d"), 10)
     return _long(E.share_of_total(top), "rank")
+
+
+# ---------------------------------------------------------------------------
+# D: account summary
+# ---------------------------------------------------------------------------
+
+from ..operators import summary as D  # noqa: E402
+
+
+@register("account_totals", Q.account_totals())
+def account_totals(spark, sf_dir):
+    return D.account_totals(_ledger(spark, sf_dir))
+
+
+@register("category_breakdown", Q.category_breakdown())
+def category_breakdown(spark, sf_dir):
+    return D.category_breakdown(_ledger(spark, sf_dir))
+
+
+@register("date_range", Q.date_range())
+def date_range(spark, sf_dir):
+    return D.date_range(_ledger(spark, sf_dir))
+
+
+@register("count_by_month", Q.count_by("month"))
+def count_by_month(spark, sf_dir):
+    return D.count_by_month(_ledger(spark, sf_dir))
+
+
+@register("count_by_weekday", Q.count_by("weekday"))
+def count_by_weekday(spark, sf_dir):
+    return D.count_by_weekday(_ledger(spark, sf_dir))
+
+
+@register("period_sums", Q.period_sums())
+def period_sums(spark, sf_dir):
+    return D.period_sums(_ledger(spark, sf_dir))
+
+
+@register("trend", Q.trend())
+def trend(spark, sf_dir):
+    return D.trend(D.period_sums(_ledger(spark, sf_dir)))
+
+
+@register("income_vs_spending", Q.income_vs_spending())
+def income_vs_spending(spark, sf_dir):
+    return D.income_vs_spending(_ledger(spark, sf_dir))
+
+
+@register("top_categories_by_count", Q.top_categories_by_count(10))
+def top_categories_by_count(spark, sf_dir):
+    return D.top_categories_by_count(_ledger(spark, sf_dir), 10)
+
+
+@register("category_distribution", Q.category_distribution())
+def category_distribution(spark, sf_dir):
+    return D.category_distribution(_ledger(spark, sf_dir))
+
+
+@register("confidence_stats", Q.confidence_stats())
+def confidence_stats(spark, sf_dir):
+    return D.confidence_stats(_ledger(spark, sf_dir))
+
+
+@register("uncategorized_rate", Q.uncategorized_rate())
+def uncategorized_rate(spark, sf_dir):
+    return D.uncategorized_rate(_ledger(spark, sf_dir))
+
+
+@register("data_quality", Q.data_quality())
+def data_quality(spark, sf_dir):
+    return D.data_quality(_ledger(spark, sf_dir))
+
+
+@register("file_profile", Q.file_profile(5))
+def file_profile(spark, sf_dir):
+    return D.file_profile(_ledger(spark, sf_dir), 5)
