@@ -304,3 +304,92 @@ r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY txn_date NUL
         count(*) OVER (PARTITION BY account_id) AS n_rows FROM ledger)
 SELECT account_id, sample_rank, txn_date, description, CAST(amount AS DOUBLE) AS amount, category, n_rows,
        CAST(6 AS BIGINT) AS n_columns FROM r WHERE sample_rank <= {n}"""
+
+
+# ---------------------------------------------------------------------------
+# F: subscription features (brute force: raw-row lag, dense calendar corr)
+# ---------------------------------------------------------------------------
+
+MERCHANT = ("trim(regexp_replace(regexp_replace(upper(description), '[^A-Z0-9&+ ]', '', 'g'), "
+            "'\\s+', ' ', 'g'))")
+
+
+def _features_ctes(account: str = "nation") -> str:
+    return f"""{ledger_cte(account)},
+x AS (SELECT account_id, txn_date, amount, {MERCHANT} AS merchant FROM ledger
+      WHERE amount <= 0 AND txn_date IS NOT NULL AND description IS NOT NULL),
+gp AS (SELECT *, txn_date - lag(txn_date) OVER (PARTITION BY account_id, merchant ORDER BY txn_date) AS gap
+       FROM x),
+base AS (SELECT account_id, merchant, count(*) AS n, count(DISTINCT date_trunc('month', txn_date)) AS months,
+           min(txn_date) AS first, max(txn_date) - min(txn_date) AS span,
+           quantile_cont(gap, 0.5) AS med, stddev_samp(gap) AS sdg, avg(gap) AS mg,
+           count(amount) AS na, CAST(sum(amount) AS DOUBLE) / nullif(count(amount), 0) AS am,
+           stddev_samp(CAST(amount AS DOUBLE)) AS sda,
+           quantile_cont(CAST(amount AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(amount AS DOUBLE), 0.75) AS q3,
+           count(CASE WHEN amount < 0 THEN 1 END) AS neg
+         FROM gp GROUP BY account_id, merchant),
+dm AS (SELECT account_id, merchant, day(txn_date) AS dom, count(*) AS c FROM x GROUP BY ALL),
+md AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_id, merchant ORDER BY c DESC, dom) AS rn
+                      FROM dm) WHERE rn = 1),
+hits AS (SELECT DISTINCT account_id, merchant, txn_date FROM x),
+cal AS (SELECT account_id, merchant, CAST(unnest(generate_series(first, first + CAST(span AS INTEGER), INTERVAL 1 DAY)) AS DATE) AS d
+        FROM base WHERE span + 1 > 30),
+dense AS (SELECT cal.account_id, cal.merchant, cal.d, CASE WHEN h.txn_date IS NULL THEN 0.0 ELSE 1.0 END AS v
+          FROM cal LEFT JOIN hits h ON h.account_id = cal.account_id AND h.merchant = cal.merchant
+                                   AND h.txn_date = cal.d),
+pairs AS (SELECT a.account_id, a.merchant, a.v AS x0, c.v AS x1 FROM dense a JOIN dense c
+          ON a.account_id = c.account_id AND a.merchant = c.merchant AND c.d = a.d + 30),
+acr AS (SELECT account_id, merchant, corr(x0, x1) AS r, var_pop(x0) AS v0, var_pop(x1) AS v1
+        FROM pairs GROUP BY ALL),
+feats AS (
+SELECT b.account_id, b.merchant, b.n AS n_occurrences, b.months AS coverage_months,
+  CASE WHEN b.n < 2 THEN 0.0 ELSE b.med END AS median_gap_days,
+  round(CASE WHEN b.n < 2 OR b.mg = 0 THEN 1.0 WHEN b.n = 2 THEN NULL ELSE b.sdg / b.mg END, 6) AS gap_cv,
+  CAST(md.dom AS BIGINT) AS day_of_month_mode, round(md.c / b.n, 6) AS dom_consistency,
+  round(coalesce(b.am, 0.0), 6) AS amount_mean,
+  round(CASE WHEN b.na > 1 AND abs(b.am) > 1e-9 THEN b.sda / abs(b.am) ELSE 0.0 END, 6) AS amount_cv,
+  round(CASE WHEN b.na >= 4 AND abs(b.am) > 1e-9 THEN (b.q3 - b.q1) / abs(b.am) ELSE 0.0 END, 6)
+    AS amount_iqr_ratio,
+  round(CASE WHEN b.span + 1 <= 30 OR acr.v0 = 0 OR acr.v1 = 0 OR acr.r IS NULL THEN 0.0
+             ELSE acr.r END, 6) AS autocorr_30d,
+  round(b.neg / b.n, 6) AS share_negative, CAST(b.span AS BIGINT) AS span_days
+FROM base b JOIN md USING (account_id, merchant) LEFT JOIN acr USING (account_id, merchant))"""
+
+
+def merchant_features() -> str:
+    return f"WITH {_features_ctes()} SELECT * FROM feats"
+
+
+def _website_ctes(source: str) -> str:
+    from ..operators.websites import SUBSCRIPTION_WEBSITES, WEBSITE_ALIASES
+    sites = ", ".join(f"({i}, '{k}', '{u}')" for i, (k, u) in enumerate(SUBSCRIPTION_WEBSITES))
+    aliases = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, vs) in enumerate(WEBSITE_ALIASES) for v in vs)
+    return f"""
+sites(ord, k, u) AS (VALUES {sites}),
+aliases(ord, k, v) AS (VALUES {aliases}),
+mm AS (SELECT DISTINCT merchant, upper(trim(merchant)) AS name FROM {source}),
+fz AS (SELECT mm.merchant, min(s.ord) AS o FROM mm, sites s
+       WHERE len(list_filter(string_split(s.k, ' '), lambda kw: contains(mm.name, kw))) > 0
+          OR len(list_filter(list_filter(string_split_regex(mm.name, '\\s+'), lambda w: w <> ''),
+                             lambda w: contains(s.k, w))) > 0
+       GROUP BY mm.merchant),
+al AS (SELECT mm.merchant, min(a.ord) AS o FROM mm, aliases a WHERE contains(mm.name, a.v) GROUP BY mm.merchant),
+web AS (SELECT mm.merchant,
+          CASE WHEN mm.name = '' THEN NULL
+               WHEN ex.u IS NOT NULL THEN ex.u
+               WHEN fz.o IS NOT NULL THEN (SELECT u FROM sites WHERE ord = fz.o)
+               WHEN al.o IS NOT NULL THEN (SELECT s.u FROM aliases a2 LEFT JOIN sites s ON s.k = a2.k
+                                           WHERE a2.ord = al.o LIMIT 1)
+          END AS website
+        FROM mm LEFT JOIN sites ex ON ex.k = mm.name LEFT JOIN fz USING (merchant) LEFT JOIN al USING (merchant))"""
+
+
+def subscription_costs() -> str:
+    return f"""
+WITH {_features_ctes()}, {_website_ctes('feats')}
+SELECT f.account_id, f.merchant, f.n_occurrences, f.coverage_months, f.median_gap_days, f.amount_mean,
+       round(CASE WHEN f.coverage_months > 0 THEN abs(f.amount_mean) * (f.n_occurrences / f.coverage_months)
+                  WHEN f.median_gap_days > 0 THEN abs(f.amount_mean) * (30.0 / f.median_gap_days)
+                  ELSE abs(f.amount_mean) END, 2) AS average_monthly_cost,
+       web.website
+FROM feats f JOIN web USING (merchant)"""

@@ -183,3 +183,26 @@ def data_quality(spark, sf_dir):
 @register("file_profile", Q.file_profile(5))
 def file_profile(spark, sf_dir):
     return D.file_profile(_ledger(spark, sf_dir), 5)
+
+
+# ---------------------------------------------------------------------------
+# F / C11: subscription features, costs, websites
+# ---------------------------------------------------------------------------
+
+from ..operators import subscriptions as S  # noqa: E402
+from ..operators import websites as W  # noqa: E402
+
+
+@register("merchant_features", Q.merchant_features())
+def merchant_features(spark, sf_dir):
+    """The 12 recurring-charge features per (account, merchant)."""
+    return S.merchant_features(S.expense_projection(_ledger(spark, sf_dir)))
+
+
+@register("subscription_costs", Q.subscription_costs())
+def subscription_costs(spark, sf_dir):
+    """F15 + C11 over every (account, merchant) candidate."""
+    f = S.merchant_features(S.expense_projection(_ledger(spark, sf_dir)))
+    return (W.attach_website(S.monthly_cost(f))
+            .select("account_id", "merchant", "n_occurrences", "coverage_months",
+                    "median_gap_days", "amount_mean", "average_monthly_cost", "website"))
