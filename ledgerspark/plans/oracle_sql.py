@@ -393,3 +393,110 @@ SELECT f.account_id, f.merchant, f.n_occurrences, f.coverage_months, f.median_ga
                   ELSE abs(f.amount_mean) END, 2) AS average_monthly_cost,
        web.website
 FROM feats f JOIN web USING (merchant)"""
+
+
+# ---------------------------------------------------------------------------
+# G: savings goals
+# ---------------------------------------------------------------------------
+
+def _savings_ctes() -> str:
+    def kw(words):
+        return " OR ".join(f"contains(lower(category), '{w}')" for w in words)
+    from ..operators.savings import HIGH_PRIORITY, LOW_PRIORITY, MEDIUM_PRIORITY
+    return f"""{ledger_cte()}, {last_days(90).replace('w AS', 'w90 AS')},
+avg3 AS (SELECT account_id,
+           CAST(coalesce(sum(CASE WHEN amount > 0 THEN amount END), 0) AS DOUBLE) / 3 AS monthly_income,
+           CAST(abs(coalesce(sum(CASE WHEN amount < 0 THEN amount END), 0)) AS DOUBLE) / 3 AS monthly_expenses
+         FROM w90 GROUP BY account_id),
+cat3 AS (SELECT account_id, category, CAST(abs(sum(amount)) AS DOUBLE) / 3 AS monthly_amount
+         FROM w90 WHERE amount < 0 GROUP BY account_id, category),
+catp AS (SELECT *, CASE WHEN {kw(HIGH_PRIORITY)} THEN 1 WHEN {kw(MEDIUM_PRIORITY)} THEN 2
+                        WHEN {kw(LOW_PRIORITY)} THEN 3 WHEN monthly_amount > 500 THEN 2
+                        WHEN monthly_amount > 200 THEN 3 ELSE 4 END AS priority
+         FROM cat3 WHERE monthly_amount > 0)"""
+
+
+def monthly_averages() -> str:
+    return (f"WITH {_savings_ctes()} SELECT account_id, monthly_income, monthly_expenses, "
+            "monthly_income - monthly_expenses AS monthly_net FROM avg3")
+
+
+def category_monthly_spend() -> str:
+    return f"WITH {_savings_ctes()} SELECT * FROM catp"
+
+
+def _goal_walk() -> str:
+    return f"""
+WITH RECURSIVE {_savings_ctes()},
+goals AS ({td.goals_sql()}),
+g AS (SELECT goals.*, goals.target_amount / goals.months AS monthly_target,
+             a.monthly_income, a.monthly_expenses, a.monthly_income - a.monthly_expenses AS net,
+             a.account_id IS NOT NULL AS has
+      FROM goals LEFT JOIN avg3 a USING (account_id)),
+gs AS (SELECT *, CASE WHEN has THEN greatest(0.0, monthly_target - net) ELSE monthly_target END AS shortfall
+       FROM g),
+ord AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY priority, monthly_amount DESC, category) AS i
+        FROM catp),
+walk(goal_id, account_id, i, remaining, taken, category, amount, pct, priority) AS (
+  SELECT goal_id, account_id, 0, CAST(shortfall AS DOUBLE), false, CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE),
+         CAST(NULL AS DOUBLE), CAST(NULL AS INTEGER) FROM gs WHERE has AND shortfall > 0
+  UNION ALL
+  SELECT w.goal_id, w.account_id, o.i,
+         CASE WHEN least(CASE o.priority WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 WHEN 3 THEN 0.15 ELSE 0.1 END,
+                         w.remaining / o.monthly_amount, 1.0) > 0.05
+              THEN w.remaining - o.monthly_amount * least(CASE o.priority WHEN 1 THEN 0.5 WHEN 2 THEN 0.3
+                         WHEN 3 THEN 0.15 ELSE 0.1 END, w.remaining / o.monthly_amount, 1.0)
+              ELSE w.remaining END,
+         least(CASE o.priority WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 WHEN 3 THEN 0.15 ELSE 0.1 END,
+               w.remaining / o.monthly_amount, 1.0) > 0.05,
+         o.category, o.monthly_amount,
+         least(CASE o.priority WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 WHEN 3 THEN 0.15 ELSE 0.1 END,
+               w.remaining / o.monthly_amount, 1.0), o.priority
+  FROM walk w JOIN ord o ON o.account_id = w.account_id AND o.i = w.i + 1
+  WHERE w.remaining > 0),
+cuts AS (SELECT goal_id, account_id, category, amount AS current_monthly, amount - amount * pct AS suggested_monthly,
+                amount * pct AS reduction_amount, pct * 100 AS reduction_percentage, priority,
+                row_number() OVER (PARTITION BY goal_id ORDER BY i) AS cut_order
+         FROM walk WHERE taken)"""
+
+
+def savings_cuts() -> str:
+    return (_goal_walk() + "\nSELECT goal_id, account_id, CAST(cut_order AS BIGINT) AS cut_order, category, "
+            "current_monthly, suggested_monthly, reduction_amount, reduction_percentage, "
+            "CAST(priority AS INTEGER) AS priority FROM cuts")
+
+
+def savings_plan() -> str:
+    return _goal_walk() + """,
+tot AS (SELECT goal_id, list_reduce(list(reduction_amount ORDER BY cut_order), lambda a, b: a + b) AS red,
+               count(*) AS n, count(CASE WHEN priority = 1 THEN 1 END) AS n1 FROM cuts GROUP BY goal_id),
+r AS (SELECT gs.*, coalesce(tot.red, 0.0) AS total_suggested_savings, coalesce(tot.n, 0) AS n_cuts,
+             coalesce(tot.n1, 0) AS n1,
+             CASE WHEN has THEN greatest(0.0, shortfall - coalesce(tot.red, 0.0)) ELSE monthly_target END
+               AS remaining_shortfall
+      FROM gs LEFT JOIN tot USING (goal_id))
+SELECT goal_id, account_id, target_amount, months, monthly_target,
+       CASE WHEN has THEN monthly_income ELSE 0.0 END AS monthly_income,
+       CASE WHEN has THEN monthly_expenses ELSE 0.0 END AS monthly_expenses,
+       CASE WHEN has THEN net ELSE 0.0 END AS monthly_savings,
+       coalesce(has AND net >= monthly_target, false) AS can_achieve_goal, shortfall,
+       total_suggested_savings, remaining_shortfall,
+       CASE WHEN NOT has THEN 1
+            WHEN remaining_shortfall > 0 THEN 2
+              + CASE WHEN remaining_shortfall / months > 1000 THEN 2 ELSE 0 END
+              + CASE WHEN remaining_shortfall / months > 500 THEN 2 ELSE 0 END
+              + CASE WHEN remaining_shortfall / months > 200 THEN 2 ELSE 0 END
+            ELSE 0 END AS n_strategies,
+       CAST(n_cuts AS BIGINT) AS total_categories_analyzed, CAST(n1 AS BIGINT) AS high_priority_cuts,
+       remaining_shortfall <= 0 AS achievable_with_cuts
+FROM r"""
+
+
+def top_levers() -> str:
+    return f"""
+WITH {ledger_cte()}, {last_days(29)},
+g AS (SELECT account_id, category, CAST(abs(sum(amount)) AS DOUBLE) AS current_spending FROM w
+      WHERE {SPEND} AND NOT coalesce(contains(lower(category), 'rent'), false) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY current_spending DESC, category) AS rank FROM g)
+SELECT account_id, category, current_spending, rank, current_spending * 0.2 AS suggested_reduction,
+       current_spending * 0.8 AS new_spending FROM r WHERE rank <= 3"""

@@ -206,3 +206,47 @@ def subscription_costs(spark, sf_dir):
     return (W.attach_website(S.monthly_cost(f))
             .select("account_id", "merchant", "n_occurrences", "coverage_months",
                     "median_gap_days", "amount_mean", "average_monthly_cost", "website"))
+
+
+# ---------------------------------------------------------------------------
+# G: savings goals
+# ---------------------------------------------------------------------------
+
+from ..operators import savings as G  # noqa: E402
+
+
+@register("monthly_averages", Q.monthly_averages())
+def monthly_averages(spark, sf_dir):
+    return G.monthly_averages(_ledger(spark, sf_dir))
+
+
+@register("category_monthly_spend", Q.category_monthly_spend())
+def category_monthly_spend(spark, sf_dir):
+    """G1 per category + G2 cut priority."""
+    return G.category_monthly_spend(_ledger(spark, sf_dir))
+
+
+def _goal_analysis(spark, sf_dir):
+    return G.analyze_goals(_ledger(spark, sf_dir), td.goals(spark, sf_dir))
+
+
+@register("savings_plan", Q.savings_plan())
+def savings_plan(spark, sf_dir):
+    """G3-G6 per goal (cuts counted; strategies counted)."""
+    a = _goal_analysis(spark, sf_dir)
+    return a.select("goal_id", "account_id", "target_amount", "months", "monthly_target",
+                    "monthly_income", "monthly_expenses", "monthly_savings", "can_achieve_goal",
+                    "shortfall", "total_suggested_savings", "remaining_shortfall",
+                    F.size("alternative_strategies").alias("n_strategies"),
+                    "total_categories_analyzed", "high_priority_cuts", "achievable_with_cuts")
+
+
+@register("savings_cuts", Q.savings_cuts())
+def savings_cuts(spark, sf_dir):
+    """G3 cut table: one row per suggested cut in plan order."""
+    return G.explode_cuts(_goal_analysis(spark, sf_dir))
+
+
+@register("top_levers", Q.top_levers())
+def top_levers(spark, sf_dir):
+    return G.top_levers(_ledger(spark, sf_dir))

@@ -177,6 +177,7 @@ def households_sql() -> str:
 def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     return n.select(
+        F.concat(F.lit("G"), F.col("n_nationkey").cast("string")).alias("goal_id"),
         F.col("n_nationkey").cast("string").alias("account_id"),
         ((F.col("n_nationkey") % 5 + 1) * F.lit(25000.0)).alias("target_amount"),
         ((F.col("n_regionkey") + 1) * 6).cast("int").alias("months"))
@@ -184,7 +185,7 @@ def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def goals_sql() -> str:
     return """
-    SELECT CAST(n_nationkey AS STRING) AS account_id,
+    SELECT 'G' || CAST(n_nationkey AS STRING) AS goal_id, CAST(n_nationkey AS STRING) AS account_id,
            CAST((n_nationkey % 5 + 1) * 25000.0 AS DOUBLE) AS target_amount,
            CAST((n_regionkey + 1) * 6 AS INTEGER) AS months
     FROM nation"""
