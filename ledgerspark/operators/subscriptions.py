@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import normalize_merchant
+from ..functions.numeric import round_cents
 
 # Feature column order of the saved model, seed merchants that
 # label a group as a known subscription, autocorrelation lag.
@@ -281,7 +282,7 @@ def monthly_cost(subs: DataFrame) -> DataFrame:
                    m * (F.col("n_occurrences") / F.col("coverage_months")))
              .when(F.col("median_gap_days") > 0, m * (30.0 / F.col("median_gap_days")))
              .otherwise(m))
-    return subs.withColumn("average_monthly_cost", F.round(cost, 2))
+    return subs.withColumn("average_monthly_cost", round_cents(cost))
 
 
 def subscription_totals(subs: DataFrame, expenses: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -289,11 +290,11 @@ def subscription_totals(subs: DataFrame, expenses: DataFrame, threshold: float =
     monthly costs, yearly = 12 x monthly, expense rows analysed."""
     s = (monthly_cost(subs).filter(F.col("score") >= threshold).groupBy("account_id")
          .agg(F.count(F.lit(1)).alias("total_subscriptions"),
-              F.round(F.sum("average_monthly_cost"), 2).alias("total_monthly_cost")))
+              round_cents(F.sum("average_monthly_cost")).alias("total_monthly_cost")))
     n = expenses.groupBy("account_id").agg(F.count(F.lit(1)).alias("expense_transactions_analyzed"))
     return (n.join(s, "account_id", "left")
              .select("account_id", F.coalesce("total_subscriptions", F.lit(0)).alias("total_subscriptions"),
                      F.coalesce("total_monthly_cost", F.lit(0.0)).alias("total_monthly_cost"),
-                     F.round(F.coalesce("total_monthly_cost", F.lit(0.0)) * 12, 2)
+                     round_cents(F.coalesce("total_monthly_cost", F.lit(0.0)) * 12)
                       .alias("total_yearly_cost"),
                      "expense_transactions_analyzed"))

@@ -500,3 +500,168 @@ g AS (SELECT account_id, category, CAST(abs(sum(amount)) AS DOUBLE) AS current_s
 r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY current_spending DESC, category) AS rank FROM g)
 SELECT account_id, category, current_spending, rank, current_spending * 0.2 AS suggested_reduction,
        current_spending * 0.8 AS new_spending FROM r WHERE rank <= 3"""
+
+
+# ---------------------------------------------------------------------------
+# H: net worth (recursive CTE month loop)
+# ---------------------------------------------------------------------------
+
+def _households_with_defaults() -> str:
+    from ..operators.networth import RATE_DEFAULTS
+    rates = ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in RATE_DEFAULTS.items())
+    return f"SELECT *, {rates} FROM ({td.households_sql()}) hs"
+
+
+def _factor(rate: str) -> str:
+    return f"(1.0::DOUBLE + (pow(1.0::DOUBLE + {rate} / 100.0::DOUBLE, 1.0::DOUBLE / 12.0::DOUBLE) - 1.0::DOUBLE))"
+
+
+def _projection_ctes(src: str, months: int, keys: tuple[str, ...] = ("account_id",)) -> str:
+    """``sim`` = unrounded balances for t = 0..months of every row of ``src``."""
+    k = ", ".join(keys)
+    on = " AND ".join(f"s.{x} = h.{x}" for x in keys)
+    sk = ", ".join(f"s.{x}" for x in keys)
+    pay = {"mort": "pay_mortgage", "cc": "pay_cc", "pers": "pay_personal", "stud": "pay_student",
+           "carl": "pay_car", "od": "pay_other_debt"}
+
+    def debt(v):
+        acc = f"(x.{v} * x.f_{v})"
+        return f"CASE WHEN {acc} <= 0 OR x.{pay[v]} <= 0 THEN {acc} ELSE greatest(0.0::DOUBLE, {acc} - x.{pay[v]}) END"
+    return f"""
+hh AS (SELECT *, {_factor('real_estate_apr')} AS f_re, {_factor('hysa_apr')} AS f_hysa,
+              {_factor('retirement_apr')} AS f_inv, {_factor('cars_apr')} AS f_cars,
+              {_factor('other_assets_apr')} AS f_oa, {_factor('mortgage_apr')} AS f_mort,
+              {_factor('cc_apr')} AS f_cc, {_factor('personal_apr')} AS f_pers,
+              {_factor('student_apr')} AS f_stud, {_factor('car_apr')} AS f_carl,
+              {_factor('other_debt_apr')} AS f_od
+       FROM ({src}) src),
+sim({k}, t, re, chk, hysa, inv, cars, oa, mort, cc, pers, stud, carl, od) AS (
+  SELECT {k}, 0, real_estate, checking, savings_hysa, retirement_invest, cars_value, other_assets,
+         real_estate_loans, credit_card_debt, personal_loans, student_loans, car_loans, other_debt FROM hh
+  UNION ALL
+  SELECT {k}, x.t + 1, x.re * x.f_re, x.chk1 - x.mv, (x.hysa + x.contrib_hysa) * x.f_hysa,
+         ((x.inv + x.contrib_retirement) + x.mv) * x.f_inv, greatest(0.0::DOUBLE, x.cars * x.f_cars),
+         x.oa * x.f_oa, {debt('mort')}, {debt('cc')}, {debt('pers')}, {debt('stud')}, {debt('carl')},
+         {debt('od')}
+  FROM (SELECT s.*, h.* EXCLUDE ({k}), s.chk + h.contrib_checking AS chk1,
+               least(h.move_checking_to_invest, greatest(0.0::DOUBLE, s.chk + h.contrib_checking)) AS mv
+        FROM sim s JOIN hh h ON {on} WHERE s.t < {months}) x)"""
+
+
+def _rounded_projection(keys: tuple[str, ...] = ("account_id",), start: str = "2025-01") -> str:
+    k = ", ".join(keys)
+    return f"""
+SELECT {k}, t, strftime(DATE '{start}-01' + to_months(t), '%Y-%m') AS month,
+       round(re + chk + hysa + inv + cars + oa, 2) AS assets_total,
+       round(mort + cc + pers + stud + carl + od, 2) AS liabilities_total,
+       round((re + chk + hysa + inv + cars + oa) - (mort + cc + pers + stud + carl + od), 2) AS net_worth,
+       round(re, 2) AS real_estate, round(chk, 2) AS checking, round(hysa, 2) AS savings_hysa,
+       round(inv, 2) AS retirement_invest, round(cars, 2) AS cars_value, round(oa, 2) AS other_assets,
+       round(mort, 2) AS real_estate_loans, round(cc, 2) AS credit_card_debt, round(pers, 2) AS personal_loans,
+       round(stud, 2) AS student_loans, round(carl, 2) AS car_loans, round(od, 2) AS other_debt
+FROM sim"""
+
+
+def net_worth() -> str:
+    return f"""
+SELECT account_id, real_estate + checking + savings_hysa + retirement_invest + cars_value + other_assets AS assets_total,
+       real_estate_loans + credit_card_debt + personal_loans + student_loans + car_loans + other_debt
+         AS liabilities_total,
+       (real_estate + checking + savings_hysa + retirement_invest + cars_value + other_assets)
+       - (real_estate_loans + credit_card_debt + personal_loans + student_loans + car_loans + other_debt)
+         AS net_worth
+FROM ({td.households_sql()}) h"""
+
+
+def flow_summary() -> str:
+    return f"""
+SELECT account_id, contrib_checking + contrib_hysa + contrib_retirement AS total_contributions_monthly,
+       pay_mortgage + pay_cc + pay_personal + pay_student + pay_car + pay_other_debt AS total_debt_payments_monthly,
+       (contrib_checking + contrib_hysa + contrib_retirement)
+       - (pay_mortgage + pay_cc + pay_personal + pay_student + pay_car + pay_other_debt) AS net_monthly_cash_flow,
+       (contrib_checking + contrib_hysa + contrib_retirement) + move_checking_to_invest
+         AS display_contributions_monthly
+FROM ({td.households_sql()}) h"""
+
+
+def projection(months: int, emit: str | None = None) -> str:
+    where = f" WHERE {emit}" if emit else ""
+    return (f"WITH RECURSIVE {_projection_ctes(_households_with_defaults(), months)}\n"
+            f"SELECT * FROM ({_rounded_projection()}) p{where}")
+
+
+HORIZON_SQL = ("CASE t WHEN 3 THEN '3m' WHEN 12 THEN '1y' WHEN 24 THEN '2y' WHEN 60 THEN '5y' "
+               "WHEN 120 THEN '10y' WHEN 240 THEN '20y' WHEN 600 THEN '50y' END")
+
+
+def horizons() -> str:
+    return f"""
+WITH RECURSIVE {_projection_ctes(_households_with_defaults(), 600)},
+p AS ({_rounded_projection()}),
+cur AS ({net_worth()})
+SELECT p.account_id, {HORIZON_SQL} AS horizon, CAST(t AS BIGINT) AS months, p.net_worth,
+       cur.net_worth AS current_net_worth, p.net_worth - cur.net_worth AS net_worth_change,
+       CASE WHEN cur.net_worth <> 0 THEN (p.net_worth - cur.net_worth) / abs(cur.net_worth) * 100 ELSE 0.0 END
+         AS net_worth_change_pct,
+       p.assets_total, p.liabilities_total, p.real_estate, p.checking, p.savings_hysa, p.retirement_invest,
+       p.cars_value, p.other_assets, p.real_estate_loans, p.credit_card_debt, p.personal_loans,
+       p.student_loans, p.car_loans, p.other_debt
+FROM p JOIN cur USING (account_id) WHERE t IN (3, 12, 24, 60, 120, 240, 600)"""
+
+
+def _lever_savings_sql() -> str:
+    return f"""
+lv AS (WITH {ledger_cte('customer')}, {last_days(29)},
+       g AS (SELECT account_id, category, CAST(abs(sum(amount)) AS DOUBLE) AS cs FROM w
+             WHERE {SPEND} AND NOT coalesce(contains(lower(category), 'rent'), false) GROUP BY ALL),
+       r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY cs DESC, category) AS rank FROM g)
+       SELECT account_id, list_reduce(list(cs * 0.2 ORDER BY rank), lambda a, b: a + b) AS monthly_savings
+       FROM r WHERE rank <= 3 GROUP BY account_id),
+both_ AS (SELECT h.*, 'original' AS scenario, coalesce(lv.monthly_savings, 0.0) AS monthly_savings
+          FROM ({_households_with_defaults()}) h LEFT JOIN lv USING (account_id)
+          UNION ALL
+          SELECT h.* REPLACE (h.contrib_retirement + coalesce(lv.monthly_savings, 0.0) AS contrib_retirement),
+                 'optimized', coalesce(lv.monthly_savings, 0.0)
+          FROM ({_households_with_defaults()}) h LEFT JOIN lv USING (account_id))"""
+
+
+def optimized_projection() -> str:
+    keys = ("account_id", "scenario")
+    return f"""
+WITH RECURSIVE {_lever_savings_sql()},
+{_projection_ctes('SELECT * FROM both_', 600, keys)},
+p AS ({_rounded_projection(keys)}),
+wide AS (SELECT account_id, t, max(CASE WHEN scenario = 'original' THEN net_worth END) AS o,
+                max(CASE WHEN scenario = 'optimized' THEN net_worth END) AS z
+         FROM p WHERE t IN (3, 12, 24, 60, 120, 240, 600) GROUP BY account_id, t),
+cur AS ({net_worth()}),
+sav AS (SELECT account_id, monthly_savings FROM both_ WHERE scenario = 'optimized')
+SELECT account_id, {HORIZON_SQL} AS horizon, CAST(t AS BIGINT) AS months, sav.monthly_savings,
+       o AS original_net_worth, z AS optimized_net_worth, o - cur.net_worth AS original_change,
+       z - cur.net_worth AS optimized_change, z - o AS improvement,
+       CASE WHEN o <> 0 THEN (z - o) / abs(o) * 100 ELSE 0.0 END AS improvement_pct
+FROM wide JOIN cur USING (account_id) JOIN sav USING (account_id)"""
+
+
+def growth_stats(months: int) -> str:
+    keys = ("account_id", "scenario")
+    return f"""
+WITH RECURSIVE {_lever_savings_sql()},
+{_projection_ctes('SELECT * FROM both_', months, keys)},
+p AS ({_rounded_projection(keys)}),
+g AS (SELECT account_id,
+        max(CASE WHEN scenario = 'original' AND t = 0 THEN net_worth END) AS c0,
+        max(CASE WHEN scenario = 'original' AND t = {months} THEN net_worth END) AS c1,
+        max(CASE WHEN scenario = 'optimized' AND t = 0 THEN net_worth END) AS z0,
+        max(CASE WHEN scenario = 'optimized' AND t = {months} THEN net_worth END) AS z1
+      FROM p GROUP BY account_id)
+SELECT account_id, CAST({months} AS BIGINT) AS months, c0 AS current_net_worth, c1 AS projected_net_worth,
+       c1 - c0 AS total_growth, CASE WHEN c0 <> 0 THEN (c1 - c0) / c0 * 100 ELSE 0.0 END AS growth_pct,
+       z1 - z0 AS optimized_growth, z1 - c1 AS savings_improvement
+FROM g"""
+
+
+def downsample(months: int, step: int) -> str:
+    return (f"WITH RECURSIVE {_projection_ctes(_households_with_defaults(), months)}\n"
+            f"SELECT *, strftime(CAST(month || '-01' AS DATE), '%b %Y') AS label "
+            f"FROM ({_rounded_projection()}) p WHERE t % {step} = 0")

@@ -250,3 +250,65 @@ def savings_cuts(spark, sf_dir):
 @register("top_levers", Q.top_levers())
 def top_levers(spark, sf_dir):
     return G.top_levers(_ledger(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# H: net worth (households from customer; optimised scenario uses levers of
+# the per-customer ledger)
+# ---------------------------------------------------------------------------
+
+from ..operators import networth as H  # noqa: E402
+
+START_MONTH = "2025-01"
+
+
+def _households(spark, sf_dir):
+    return td.households(spark, sf_dir)
+
+
+def _lever_savings(spark, sf_dir):
+    return G.lever_savings(G.top_levers(_ledger(spark, sf_dir, "customer")))
+
+
+@register("net_worth", Q.net_worth())
+def net_worth(spark, sf_dir):
+    """H1/H2: current assets, liabilities, net worth per household."""
+    return H.net_worth(H.with_defaults(_households(spark, sf_dir))).select(
+        "account_id", "assets_total", "liabilities_total", "net_worth")
+
+
+@register("flow_summary", Q.flow_summary())
+def flow_summary(spark, sf_dir):
+    return H.flow_summary(_households(spark, sf_dir))
+
+
+@register("projection_10y", Q.projection(120))
+def projection_10y(spark, sf_dir):
+    """H3-H5: month-by-month balances for 10 years (121 rows per household)."""
+    return H.project_net_worth(_households(spark, sf_dir), 120, start_month=START_MONTH)
+
+
+@register("horizons", Q.horizons())
+def horizons(spark, sf_dir):
+    """H6: 3m..50y from one 600-month projection."""
+    return H.horizons(_households(spark, sf_dir), START_MONTH)
+
+
+@register("optimized_projection", Q.optimized_projection())
+def optimized_projection(spark, sf_dir):
+    """G7 + H8: lever savings added to retirement contributions, both scenarios."""
+    return H.optimized_projection(_households(spark, sf_dir), _lever_savings(spark, sf_dir), START_MONTH)
+
+
+@register("growth_stats_5y", Q.growth_stats(60))
+def growth_stats_5y(spark, sf_dir):
+    """H9 over the 5-year frame."""
+    return H.growth_stats(_households(spark, sf_dir), _lever_savings(spark, sf_dir), 60, START_MONTH)
+
+
+@register("downsample_20y", Q.downsample(240, H.downsample_step(240)))
+def downsample_20y(spark, sf_dir):
+    """Every 4th month of the 20-year series, 'Mon yyyy' labels."""
+    step = H.downsample_step(240)
+    proj = H.project_net_worth(_households(spark, sf_dir), 240, range(0, 241, step), START_MONTH)
+    return H.downsample(proj, 240)
