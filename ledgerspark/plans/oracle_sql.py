@@ -665,3 +665,58 @@ def downsample(months: int, step: int) -> str:
     return (f"WITH RECURSIVE {_projection_ctes(_households_with_defaults(), months)}\n"
             f"SELECT *, strftime(CAST(month || '-01' AS DATE), '%b %Y') AS label "
             f"FROM ({_rounded_projection()}) p WHERE t % {step} = 0")
+
+
+# ---------------------------------------------------------------------------
+# I: money-priority plan (households = customers; ledger per customer)
+# ---------------------------------------------------------------------------
+
+def _plan_ctes() -> str:
+    return f"""{ledger_cte('customer')}, {last_days(90).replace('w AS', 'w90 AS')},
+avg3 AS (SELECT account_id,
+           CAST(coalesce(sum(CASE WHEN amount > 0 THEN amount END), 0) AS DOUBLE) / 3 AS mi,
+           CAST(abs(coalesce(sum(CASE WHEN amount < 0 THEN amount END), 0)) AS DOUBLE) / 3 AS me
+         FROM w90 GROUP BY account_id),
+j AS (SELECT a.*, coalesce(v.mi - v.me, 0.0) AS d, coalesce(v.me, 0.0) AS me, coalesce(v.me * 6, 0.0) AS six
+      FROM ({td.priority_answers_sql()}) a LEFT JOIN avg3 v USING (account_id)),
+c AS (SELECT j.*, least(d * 0.8, total_debt) AS extra, minimum_payments + least(d * 0.8, total_debt) AS pay,
+             greatest(0.0, six - current_emergency_fund) AS needed,
+             least(d * 0.6, greatest(0.0, six - current_emergency_fund) / 12) AS ealloc_raw,
+             least(match_limit, employer_match_percentage) AS req, salary / 12 AS sm FROM j),
+c2 AS (SELECT c.*, CASE WHEN pay > total_debt THEN 1.0 WHEN pay <> 0 THEN total_debt / pay
+                        WHEN total_debt = 0 THEN 0.0 END AS dmonths,
+              CASE WHEN needed <= 0 THEN 0.0 ELSE ealloc_raw END AS ealloc,
+              CASE WHEN needed <= 0 THEN 0.0 WHEN ealloc_raw > 0 THEN needed / ealloc_raw END AS emonths,
+              current_contribution >= req AS rdone,
+              CASE WHEN current_contribution >= req THEN 0.0 ELSE sm * ((req - current_contribution) / 100) END
+                AS ralloc FROM c),
+c3 AS (SELECT c2.*, ((d - pay) - ealloc) - ralloc AS rem FROM c2)"""
+
+
+def priority_rows() -> str:
+    return f"""
+WITH {_plan_ctes()}
+SELECT account_id, 1 AS priority, 'Credit Card Debt Payoff' AS name, total_debt AS current_amount,
+       0.0::DOUBLE AS target_amount, pay AS monthly_allocation, dmonths AS months_to_complete,
+       CASE WHEN total_debt > 0 THEN 'in_progress' ELSE 'completed' END AS status,
+       4 + CASE WHEN dmonths > 12 THEN 1 ELSE 0 END AS n_recommendations FROM c3
+UNION ALL
+SELECT account_id, 2, 'Emergency Fund', current_emergency_fund, six, ealloc, emonths,
+       CASE WHEN needed <= 0 THEN 'completed' ELSE 'in_progress' END,
+       CASE WHEN needed <= 0 THEN 1 ELSE 4 END FROM c3
+UNION ALL
+SELECT account_id, 3, 'Retirement Match', current_contribution, req, ralloc, CASE WHEN rdone THEN 0.0 ELSE 1.0 END,
+       CASE WHEN rdone THEN 'completed' ELSE 'in_progress' END, CASE WHEN rdone THEN 1 ELSE 4 END FROM c3
+UNION ALL
+SELECT account_id, 4, 'Investing Allocation', 0.0, rem, rem, NULL, 'in_progress',
+       5 + CASE WHEN risk_tolerance >= 4 AND investment_experience >= 3 THEN 1 ELSE 0 END FROM c3"""
+
+
+def priority_plan() -> str:
+    return f"""
+WITH {_plan_ctes()}
+SELECT account_id, d AS discretionary_income, six AS six_month_expenses, me AS monthly_expenses,
+       ((pay + ealloc) + ralloc) + rem AS total_allocated, d - (((pay + ealloc) + ralloc) + rem) AS remaining_discretionary,
+       dmonths AS debt_payoff_months, emonths AS emergency_fund_months,
+       CASE WHEN rdone THEN false ELSE true END AS retirement_match_immediate
+FROM c3"""

@@ -312,3 +312,30 @@ def downsample_20y(spark, sf_dir):
     step = H.downsample_step(240)
     proj = H.project_net_worth(_households(spark, sf_dir), 240, range(0, 241, step), START_MONTH)
     return H.downsample(proj, 240)
+
+
+# ---------------------------------------------------------------------------
+# I: money-priority plan
+# ---------------------------------------------------------------------------
+
+from ..operators import priorities as I  # noqa: E402
+
+
+def _plan(spark, sf_dir):
+    disc = I.discretionary(_ledger(spark, sf_dir, "customer"))
+    return I.priority_plan(td.priority_answers(spark, sf_dir), disc)
+
+
+@register("priority_rows", Q.priority_rows())
+def priority_rows(spark, sf_dir):
+    """Four priority rows per household (texts counted)."""
+    return (I.priority_rows(_plan(spark, sf_dir))
+            .select("account_id", "priority", "name", "current_amount", "target_amount",
+                    "monthly_allocation", "months_to_complete", "status",
+                    F.size("recommendations").alias("n_recommendations")))
+
+
+@register("priority_plan", Q.priority_plan())
+def priority_plan(spark, sf_dir):
+    """Plan totals per household."""
+    return _plan(spark, sf_dir).drop("priorities")
