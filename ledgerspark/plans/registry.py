@@ -339,3 +339,38 @@ def priority_rows(spark, sf_dir):
 def priority_plan(spark, sf_dir):
     """Plan totals per household."""
     return _plan(spark, sf_dir).drop("priorities")
+
+
+# ---------------------------------------------------------------------------
+# C: categorisation (index trained on part names labelled by part type)
+# ---------------------------------------------------------------------------
+
+from ..operators import categorize as C  # noqa: E402
+
+
+def _index(spark, sf_dir):
+    return C.fit_tfidf(C.training_table(td.category_training(spark, sf_dir)))
+
+
+@register("category_vocabulary", Q.category_vocabulary())
+def category_vocabulary(spark, sf_dir):
+    """Vocabulary (top 30 000 uni/bi-grams) with smooth idf."""
+    vocab, _ = _index(spark, sf_dir)
+    return vocab
+
+
+@register("knn_predictions", Q.knn_predictions(7, 0.25))
+def knn_predictions(spark, sf_dir):
+    """C6-C8 + C10: label and confidence of every distinct ledger description."""
+    return C.predict_category(_ledger(spark, sf_dir).select("description"), _index(spark, sf_dir))
+
+
+@register("categorized_summary", Q.categorized_summary(5, 0.35))
+def categorized_summary(spark, sf_dir):
+    """Categorise the whole ledger, then rows/amount/confidence per category."""
+    led = _ledger(spark, sf_dir).drop("category", "confidence")
+    cat = C.categorize(led, _index(spark, sf_dir))
+    return cat.groupBy("account_id", "category").agg(
+        F.count(F.lit(1)).alias("transactions"),
+        F.sum("amount").cast("double").alias("total_amount"),
+        F.round(F.avg("confidence"), 6).alias("mean_confidence"))
