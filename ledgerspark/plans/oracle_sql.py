@@ -818,3 +818,74 @@ c AS (SELECT l.account_id, l.amount,
 SELECT account_id, category, count(*) AS transactions, CAST(sum(amount) AS DOUBLE) AS total_amount,
        round(avg(confidence), 6) AS mean_confidence
 FROM c GROUP BY account_id, category"""
+
+
+# ---------------------------------------------------------------------------
+# Insight facts and card validation
+# ---------------------------------------------------------------------------
+
+def _facts_ctes() -> str:
+    return f"""
+cash AS ({current_vs_prior()}),
+deltas AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY abs(delta_amount) DESC, category) AS rank
+           FROM ({category_deltas()}) d),
+merch AS ({top_merchants(5)})"""
+
+
+def insight_fact_rows() -> str:
+    return f"""
+WITH {_facts_ctes()}
+SELECT account_id, 'cashflow' AS section, CAST(0 AS BIGINT) AS rank, CAST(NULL AS VARCHAR) AS name,
+       current_income AS value_1, current_expenses AS value_2, prior_net AS value_3 FROM cash
+UNION ALL
+SELECT account_id, 'category_delta', rank, category, current_amount, prior_amount, delta_amount
+FROM deltas WHERE rank <= 6
+UNION ALL
+SELECT account_id, 'merchant', rank, merchant, CAST(count AS DOUBLE), total_amount, NULL FROM merch"""
+
+
+def validate_cards() -> str:
+    kinds = ", ".join(f"'{k}'" for k in ["cashflow", "category_trend", "subscription", "anomaly",
+                                          "merchant", "runway", "action"])
+    num = "('BIGINT', 'UBIGINT', 'DOUBLE')"
+
+    def t(path):
+        return f"json_type(c, '{path}')"
+    card_ok = (f"json_type(c) = 'OBJECT' AND {t('$.kind')} = 'VARCHAR' "
+               f"AND json_extract_string(c, '$.kind') IN ({kinds}) "
+               f"AND {t('$.title')} = 'VARCHAR' AND length(json_extract_string(c, '$.title')) <= 120 "
+               f"AND {t('$.summary')} = 'VARCHAR' AND length(json_extract_string(c, '$.summary')) <= 280 "
+               f"AND {t('$.period')} = 'VARCHAR' AND length(json_extract_string(c, '$.period')) <= 40 "
+               f"AND {t('$.metrics')} = 'OBJECT' "
+               f"AND ({t('$.impact')} IS NULL OR {t('$.impact')} IN {num} OR {t('$.impact')} = 'NULL') "
+               f"AND ({t('$.cta')} IS NULL OR {t('$.cta')} IN ('OBJECT', 'NULL'))")
+    return f"""
+WITH {_facts_ctes()},
+dl AS (SELECT account_id, list(json_object('kind', 'category_trend', 'title', category || ' spending',
+               'summary', 'x', 'impact', delta_amount, 'period', 'Last 30d',
+               'metrics', json_object('current_amount', current_amount, 'prior_amount', prior_amount))
+               ORDER BY rank) AS cards FROM deltas WHERE rank <= 6 GROUP BY account_id),
+ml AS (SELECT account_id, list(json_object('kind', 'merchant', 'title', merchant, 'summary', 'x',
+               'impact', total_amount, 'period', 'Last 30d', 'metrics', json_object('count', count))
+               ORDER BY rank) AS cards FROM merch GROUP BY account_id),
+facts AS (SELECT 'facts' AS source, cash.account_id AS source_id,
+            CAST(json_object('cards', list_concat(
+              [json_object('kind', 'cashflow', 'title', 'Cash flow', 'summary', 'x', 'impact', current_net,
+                           'period', 'Last 30d', 'metrics', json_object('income', current_income))],
+              coalesce(dl.cards, []), coalesce(ml.cards, []))) AS VARCHAR) AS payload
+          FROM cash LEFT JOIN dl USING (account_id) LEFT JOIN ml USING (account_id)),
+conv AS (SELECT 'conversation' AS source, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS source_id,
+                text AS payload FROM conversations WHERE role = 'assistant'),
+p AS (SELECT * FROM facts UNION ALL SELECT * FROM conv),
+v AS (SELECT source, source_id, payload,
+        CASE WHEN NOT coalesce(json_valid(payload), false) THEN false
+             WHEN json_type(payload) <> 'OBJECT' THEN false
+             ELSE coalesce(list_sort(list_distinct(json_keys(payload))) = ['cards']
+                           AND json_type(payload, '$.cards') = 'ARRAY', false) END AS top_ok
+      FROM p),
+v2 AS (SELECT source, source_id, top_ok,
+         CASE WHEN top_ok THEN coalesce(list_bool_and(list_transform(json_extract(payload, '$.cards[*]'),
+                   lambda c: coalesce({card_ok}, false))), true) ELSE false END AS valid,
+         CASE WHEN top_ok THEN json_array_length(payload, '$.cards') ELSE 0 END AS n
+       FROM v)
+SELECT source, source_id, valid, CASE WHEN valid THEN CAST(n AS INTEGER) ELSE 0 END AS n_cards FROM v2"""

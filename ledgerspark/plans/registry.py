@@ -374,3 +374,25 @@ def categorized_summary(spark, sf_dir):
         F.count(F.lit(1)).alias("transactions"),
         F.sum("amount").cast("double").alias("total_amount"),
         F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+
+
+# ---------------------------------------------------------------------------
+# Insight facts and card validation
+# ---------------------------------------------------------------------------
+
+from ..operators import insights as N  # noqa: E402
+
+
+@register("insight_facts", Q.insight_fact_rows())
+def insight_facts(spark, sf_dir):
+    """Cash flow, six largest category deltas, five top merchants."""
+    return N.insight_fact_rows(N.insight_facts(_ledger(spark, sf_dir)))
+
+
+@register("validate_cards", Q.validate_cards())
+def validate_cards(spark, sf_dir):
+    """Schema check of card payloads (templated from the facts, plus raw
+    assistant turns); an invalid payload yields no cards."""
+    facts = N.insight_facts(_ledger(spark, sf_dir))
+    v = N.validate_cards(td.card_payloads(spark, sf_dir, facts))
+    return v.select("source", "source_id", "valid", F.size("cards").alias("n_cards"))

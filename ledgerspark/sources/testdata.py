@@ -240,3 +240,41 @@ def category_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def category_training_sql() -> str:
     return "SELECT p_name AS description, p_type AS category FROM part"
+
+
+# ---------------------------------------------------------------------------
+# Card payloads for the validator: the reference gets them from a remote text
+# generator (not built). Stand-ins: (a) one templated payload per account
+# rendered from its insight facts, (b) every assistant turn of
+# ``conversations`` taken as a raw generator reply.
+# ---------------------------------------------------------------------------
+
+def card_payloads(spark: SparkSession, sf_dir: str, facts: DataFrame) -> DataFrame:
+    period = F.col("time_range")
+    cash = F.struct(F.lit("cashflow").alias("kind"), F.lit("Cash flow").alias("title"),
+                    F.concat(F.lit("Income "), F.format_number("income", 2), F.lit(", expenses "),
+                             F.format_number("expenses", 2)).alias("summary"),
+                    F.col("net").alias("impact"), period.alias("period"),
+                    F.create_map(*[x for c in ("income", "expenses", "net", "prior_net")
+                                   for x in (F.lit(c), F.col(c))]).alias("metrics"))
+    deltas = F.transform("category_deltas", lambda d: F.struct(
+        F.lit("category_trend").alias("kind"),
+        F.concat(d["category"], F.lit(" spending")).alias("title"),
+        F.concat(F.lit("Change of "), F.format_number(d["delta_amount"], 2)).alias("summary"),
+        d["delta_amount"].alias("impact"), period.alias("period"),
+        F.create_map(F.lit("current_amount"), d["current_amount"],
+                     F.lit("prior_amount"), d["prior_amount"]).alias("metrics")))
+    merchants = F.transform("top_merchants", lambda m: F.struct(
+        F.lit("merchant").alias("kind"), m["merchant"].alias("title"),
+        F.concat(m["count"].cast("string"), F.lit(" purchases")).alias("summary"),
+        m["total_amount"].alias("impact"), period.alias("period"),
+        F.create_map(F.lit("count"), m["count"].cast("double")).alias("metrics")))
+    cards = F.concat(F.array(cash), F.coalesce(deltas, F.array()), F.coalesce(merchants, F.array()))
+    templated = facts.select(F.lit("facts").alias("source"), F.col("account_id").alias("source_id"),
+                             F.to_json(F.struct(cards.alias("cards"))).alias("payload"))
+    conv = (table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+            .select(F.lit("conversation").alias("source"),
+                    F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+                     .alias("source_id"),
+                    F.col("text").alias("payload")))
+    return templated.unionByName(conv)
