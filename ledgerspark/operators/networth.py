@@ -140,7 +140,7 @@ def _simulate(pdf: pd.DataFrame, months: int, emit: np.ndarray, keys: list[str])
 
 def project_net_worth(h: DataFrame, months: int = 600, emit: Sequence[int] | None = None,
                       start_month: str | None = None, keys: Sequence[str] = ("account_id",),
-                      batch_households: int = 500) -> DataFrame:
+                      max_rows_per_frame: int = 1_000_000) -> DataFrame:
     """H4/H5: balances for months ``emit`` (default all of 0..months) of every
     household, rounded to cents, with totals and a ``yyyy-MM`` label counted
     from ``start_month`` (default: the current month)."""
@@ -152,11 +152,22 @@ def project_net_worth(h: DataFrame, months: int = 600, emit: Sequence[int] | Non
     schema = ", ".join([f"{k} {key_types[k]}" for k in keys] + ["t int"]
                        + [f"{c} double" for c in BALANCES])
 
+    # households per numpy step: as many as fit ~max_rows_per_frame emitted
+    # rows, so short outputs (7 horizons) use whole Arrow batches and full
+    # monthly series stay within a bounded frame size
+    chunk = max(64, max_rows_per_frame // max(1, int(flags.sum())))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), batch_households):
-                yield _simulate(pdf.iloc[i:i + batch_households], months, flags, keys)
-
+            for i in range(0, len(pdf), chunk):
+                yield _simulate(pdf.iloc[i:i + chunk], months, flags, keys)
+
+    # Households are independent and narrow; when the input arrives in fewer
+    # partitions than the cluster has cores (one small file), spread it first
+    # so every core simulates a share. Large inputs keep their scan split.
+    par = h.sparkSession.sparkContext.defaultParallelism
+    if h.rdd.getNumPartitions() < par:
+        h = h.repartition(par)
     raw = h.mapInPandas(run, schema)
     start = (F.to_date(F.lit(start_month + "-01")) if start_month
              else F.trunc(F.current_date(), "MM"))

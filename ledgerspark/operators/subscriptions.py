@@ -68,7 +68,9 @@ def merchant_features(exp: DataFrame, decimals: int = 6) -> DataFrame:
     ud = F.unix_date("txn_date")
     w = Window.partitionBy(*KEYS).orderBy(ud)
     whole = Window.partitionBy(*KEYS)
-    d = (days.withColumn("gap", F.datediff("txn_date", F.lag("txn_date").over(w)))
+    prev = F.lag("txn_date").over(w)
+    d = (days.withColumn("gap", F.datediff("txn_date", prev))
+             .withColumn("new_month", prev.isNull() | (F.trunc(prev, "MM") != F.trunc("txn_date", "MM")))
              .withColumn("hit30", F.count(F.lit(1)).over(w.rangeBetween(LAG_DAYS, LAG_DAYS)))
              .withColumn("first", F.min("txn_date").over(whole))
              .withColumn("last", F.max("txn_date").over(whole)))
@@ -82,7 +84,9 @@ def merchant_features(exp: DataFrame, decimals: int = 6) -> DataFrame:
         F.min("first").alias("first"),
         F.max("last").alias("last"),
         F.sum(F.col("gap").cast("long") * F.col("gap")).alias("sum_g2"),
-        F.count_distinct(F.trunc("txn_date", "MM")).alias("coverage_months"),
+        # days are ordered: distinct months = days opening a new month (no
+        # distinct aggregate, so no Expand of the day rows)
+        F.count(F.when(F.col("new_month"), 1)).alias("coverage_months"),
         F.array_sort(F.collect_list("gap")).alias("_pos_gaps"),
         F.array(*[F.sum(F.when(dom == i, F.col("n_day")).otherwise(0)) for i in range(1, 32)])
          .alias("_dom_rows"),

@@ -84,20 +84,21 @@ def period_sums(txn: DataFrame) -> DataFrame:
     """(account_id, grain, kind, period, amount) for the periods that occur.
 
     Income and spending are separate series (a period appears in a series only
-    if the series has rows there). Weekly needs > 7 usable rows, monthly > 30."""
+    if the series has rows there). Weekly needs > 7 usable rows, monthly > 30.
+    One scan: every row carries its three period labels, one aggregation
+    sums them, and the row-count gate is read off the aggregated daily rows."""
     t = drop_incomplete(txn)
-    counts = t.groupBy("account_id").agg(F.count(F.lit(1)).alias("_rows"))
-    t = t.join(counts, "account_id")
-    parts = []
-    for grain, min_rows in GRAIN_MIN_ROWS.items():
-        parts.append(
-            t.filter(F.col("_rows") > min_rows)
-             .select("account_id", F.lit(grain).alias("grain"),
-                     F.when(is_income(), F.lit("income")).otherwise(F.lit("spending")).alias("kind"),
-                     _period_label(grain).alias("period"), "amount"))
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return (u.groupBy("account_id", "grain", "kind", "period")
-             .agg(money(F.sum("amount")).alias("amount")))
+    labels = F.array(*[F.struct(F.lit(g).alias("grain"), _period_label(g).alias("period"))
+                       for g in GRAIN_MIN_ROWS])
+    kind = F.when(is_income(), F.lit("income")).otherwise(F.lit("spending"))
+    g = (t.select("account_id", kind.alias("kind"), "amount", F.explode(labels).alias("p"))
+          .groupBy("account_id", F.col("p.grain").alias("grain"), "kind", F.col("p.period").alias("period"))
+          .agg(F.sum("amount").alias("_sum"), F.count(F.lit(1)).alias("_n")))
+    rows = F.sum(F.when(F.col("grain") == "daily", F.col("_n"))).over(Window.partitionBy("account_id"))
+    gate = F.col("grain").isin("daily") | ((F.col("grain") == "weekly") & (F.col("_rows") > GRAIN_MIN_ROWS["weekly"])) \
+        | ((F.col("grain") == "monthly") & (F.col("_rows") > GRAIN_MIN_ROWS["monthly"]))
+    return (g.withColumn("_rows", rows).filter(gate)
+             .select("account_id", "grain", "kind", "period", money("_sum").alias("amount")))
 
 
 def trend(sums: DataFrame) -> DataFrame:
@@ -105,8 +106,11 @@ def trend(sums: DataFrame) -> DataFrame:
     (gaps collapse), on the coarsest grain the account has; < 2 points -> 0.
     Slopes are rounded to 4 decimals; direction follows the rounded slope."""
     rank = F.when(F.col("grain") == "monthly", 3).when(F.col("grain") == "weekly", 2).otherwise(1)
-    best = sums.groupBy("account_id").agg(F.max(rank).alias("_g"))
-    s = sums.join(best, "account_id").filter(rank == F.col("_g"))
+    # coarsest grain per account: a window over the aggregated period rows
+    # (bounded per account) instead of an aggregate joined back, so the sums
+    # are computed once
+    s = (sums.withColumn("_g", F.max(rank).over(Window.partitionBy("account_id")))
+             .filter(rank == F.col("_g")))
     w = Window.partitionBy("account_id", "kind").orderBy("period")
     s = s.withColumn("_x", (F.row_number().over(w) - 1).cast("double"))
     slopes = s.groupBy("account_id", "grain").agg(

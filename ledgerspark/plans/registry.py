@@ -28,7 +28,8 @@ def register(name: str, sql: str | None):
 
 
 def _ledger(spark, sf_dir, account="nation"):
-    return td.ledger_orders(spark, sf_dir, account)
+    """Canonical ledger stand-in, stored once per data folder (see testdata.stored)."""
+    return td.ledger_orders_table(spark, sf_dir, account)
 
 
 def _long(df: DataFrame, *cols: str) -> DataFrame:

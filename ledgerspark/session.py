@@ -40,7 +40,9 @@ def get_spark(master: str | None = None, app: str = "ledgerspark",
                .config("spark.driver.memory", "16g")
                .config("spark.sql.shuffle.partitions",
                        str(shuffle_partitions or int(cpus)))
-               .config("spark.sql.files.maxPartitionBytes", str(128 << 20)))
+               .config("spark.sql.files.maxPartitionBytes", str(128 << 20))
+               # small inputs: do not pack many small files into a few splits
+               .config("spark.sql.files.openCostInBytes", str(1 << 20)))
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
