@@ -290,7 +290,7 @@ def data_quality() -> str:
     return f"""
 WITH {ledger_cte()},
 nn AS (SELECT account_id, {nulls}, {alln} AS columns_with_all_nulls FROM ledger GROUP BY account_id),
-d AS (SELECT account_id, sum(k - 1) AS duplicate_rows FROM
+d AS (SELECT account_id, CAST(sum(k - 1) AS BIGINT) AS duplicate_rows FROM
         (SELECT account_id, count(*) AS k FROM ledger GROUP BY account_id, {', '.join(cols)}) x
       GROUP BY account_id)
 SELECT * FROM nn JOIN d USING (account_id)"""
