@@ -214,3 +214,19 @@ def predict_category(texts: DataFrame, index: tuple[DataFrame, DataFrame],
     with the single-prediction defaults (k=7, threshold 0.25)."""
     vocab, postings = index
     return score_texts(texts.select(F.col("description").cast("string")), vocab, postings, k, threshold)
+
+
+# ---------------------------------------------------------------------------
+# A9 persistence of the index
+# ---------------------------------------------------------------------------
+
+def save_index(index: tuple[DataFrame, DataFrame], path: str) -> None:
+    """Write (vocabulary, postings) as parquet under ``path``."""
+    vocab, postings = index
+    vocab.write.mode("overwrite").parquet(f"{path.rstrip('/')}/vocabulary")
+    postings.write.mode("overwrite").parquet(f"{path.rstrip('/')}/postings")
+
+
+def load_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return (spark.read.parquet(f"{path.rstrip('/')}/vocabulary"),
+            spark.read.parquet(f"{path.rstrip('/')}/postings"))

@@ -127,3 +127,12 @@ def test_knn_matches_brute_force(spark):
     for q in queries:
         assert got[q][0] == exp[q][0], q
         assert got[q][1] == pytest.approx(exp[q][1], abs=1e-6), q
+
+
+def test_index_roundtrip(spark, index, tmp_path):
+    C.save_index(index, str(tmp_path / "idx"))
+    again = C.load_index(spark, str(tmp_path / "idx"))
+    df = spark.createDataFrame([("STARBUCKS COFFEE",), ("UBER TRIP 123",)], "description string")
+    a = sorted(map(tuple, C.predict_category(df, index).collect()))
+    b = sorted(map(tuple, C.predict_category(df, again).collect()))
+    assert a == b
