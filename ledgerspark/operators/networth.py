@@ -187,20 +187,23 @@ def project_net_worth(h: DataFrame, months: int = 600, emit: Sequence[int] | Non
 def horizons(h: DataFrame, start_month: str | None = None,
              keys: Sequence[str] = ("account_id",)) -> DataFrame:
     """H6: one projection to 600 months, filtered to the 7 horizons; change
-    and change % against the unrounded current net worth (0 % if it is 0)."""
+    and change % against the unrounded current net worth (0 % if it is 0).
+    The current net worth rides along the projection as a carried column, so
+    the households are read once."""
     keys = list(keys)
-    cur = net_worth(with_defaults(h)).select(*keys, F.col("net_worth").alias("current_net_worth"))
+    hh = net_worth(with_defaults(h)).withColumnRenamed("net_worth", "current_net_worth") \
+        .drop("assets_total", "liabilities_total")
     hz = F.create_map(*[x for k, m in HORIZONS.items() for x in (F.lit(m), F.lit(k))])
-    p = project_net_worth(h, max(HORIZONS.values()), list(HORIZONS.values()), start_month, keys)
-    return (p.join(cur, keys)
-             .select(*keys, hz[F.col("t")].alias("horizon"), F.col("t").cast("long").alias("months"),
-                     "net_worth", "current_net_worth",
-                     (F.col("net_worth") - F.col("current_net_worth")).alias("net_worth_change"),
-                     F.when(F.col("current_net_worth") != 0,
-                            (F.col("net_worth") - F.col("current_net_worth"))
-                            / F.abs(F.col("current_net_worth")) * 100).otherwise(0.0)
-                      .alias("net_worth_change_pct"),
-                     "assets_total", "liabilities_total", *BALANCES))
+    p = project_net_worth(hh, max(HORIZONS.values()), list(HORIZONS.values()), start_month,
+                          keys + ["current_net_worth"])
+    return p.select(*keys, hz[F.col("t")].alias("horizon"), F.col("t").cast("long").alias("months"),
+                    "net_worth", "current_net_worth",
+                    (F.col("net_worth") - F.col("current_net_worth")).alias("net_worth_change"),
+                    F.when(F.col("current_net_worth") != 0,
+                           (F.col("net_worth") - F.col("current_net_worth"))
+                           / F.abs(F.col("current_net_worth")) * 100).otherwise(0.0)
+                     .alias("net_worth_change_pct"),
+                    "assets_total", "liabilities_total", *BALANCES)
 
 
 def flow_summary(h: DataFrame) -> DataFrame:
@@ -233,26 +236,26 @@ def optimized_scenarios(h: DataFrame, savings: DataFrame) -> DataFrame:
 
 def optimized_projection(h: DataFrame, savings: DataFrame, start_month: str | None = None) -> DataFrame:
     """H8: horizons of both scenarios side by side; improvement and % of
-    |original| (0 if the original is 0)."""
-    both = optimized_scenarios(h, savings)
+    |original| (0 if the original is 0). Savings and current net worth are
+    carried through the projection, so the scenario table is built once."""
+    both = net_worth(optimized_scenarios(h, savings)).withColumnRenamed("net_worth", "current_net_worth")
     p = project_net_worth(both, max(HORIZONS.values()), list(HORIZONS.values()), start_month,
-                          keys=("account_id", "scenario"))
+                          keys=("account_id", "scenario", "monthly_savings", "current_net_worth"))
     wide = (p.groupBy("account_id", "t").agg(
         F.max(F.when(F.col("scenario") == "original", F.col("net_worth"))).alias("original_net_worth"),
-        F.max(F.when(F.col("scenario") == "optimized", F.col("net_worth"))).alias("optimized_net_worth")))
-    cur = net_worth(with_defaults(h)).select("account_id", F.col("net_worth").alias("current_net_worth"))
-    sav = both.filter(F.col("scenario") == "optimized").select("account_id", "monthly_savings")
+        F.max(F.when(F.col("scenario") == "optimized", F.col("net_worth"))).alias("optimized_net_worth"),
+        F.max("monthly_savings").alias("monthly_savings"),
+        F.max("current_net_worth").alias("current_net_worth")))
     hz = F.create_map(*[x for k, m in HORIZONS.items() for x in (F.lit(m), F.lit(k))])
     imp = F.col("optimized_net_worth") - F.col("original_net_worth")
-    return (wide.join(cur, "account_id").join(sav, "account_id")
-            .select("account_id", hz[F.col("t")].alias("horizon"), F.col("t").cast("long").alias("months"),
-                    "monthly_savings", "original_net_worth", "optimized_net_worth",
-                    (F.col("original_net_worth") - F.col("current_net_worth")).alias("original_change"),
-                    (F.col("optimized_net_worth") - F.col("current_net_worth")).alias("optimized_change"),
-                    imp.alias("improvement"),
-                    F.when(F.col("original_net_worth") != 0,
-                           imp / F.abs(F.col("original_net_worth")) * 100).otherwise(0.0)
-                     .alias("improvement_pct")))
+    return wide.select("account_id", hz[F.col("t")].alias("horizon"), F.col("t").cast("long").alias("months"),
+                       "monthly_savings", "original_net_worth", "optimized_net_worth",
+                       (F.col("original_net_worth") - F.col("current_net_worth")).alias("original_change"),
+                       (F.col("optimized_net_worth") - F.col("current_net_worth")).alias("optimized_change"),
+                       imp.alias("improvement"),
+                       F.when(F.col("original_net_worth") != 0,
+                              imp / F.abs(F.col("original_net_worth")) * 100).otherwise(0.0)
+                        .alias("improvement_pct"))
 
 
 def growth_stats(h: DataFrame, savings: DataFrame, months: int, start_month: str | None = None) -> DataFrame:
