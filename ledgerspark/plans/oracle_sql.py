@@ -10,9 +10,13 @@ from __future__ import annotations
 from ..sources import testdata as td
 
 
-def ledger_cte(account: str = "nation") -> str:
+def ledger_sql(kind: str = "nation") -> str:
+    return td.ledger_events_sql() if kind == "events" else td.ledger_orders_sql(kind)
+
+
+def ledger_cte(kind: str = "nation") -> str:
     """ledger = canonical rows; t = rows with date and amount; b = latest date."""
-    return (f"ledger AS ({td.ledger_orders_sql(account)}),\n"
+    return (f"ledger AS ({ledger_sql(kind)}),\n"
             "t AS (SELECT * FROM ledger WHERE txn_date IS NOT NULL AND amount IS NOT NULL),\n"
             "b AS (SELECT account_id, max(txn_date) AS period_end FROM t GROUP BY account_id)")
 
@@ -45,9 +49,9 @@ FROM c"""
     return sql
 
 
-def daily_series(days: int) -> str:
+def daily_series(days: int, kind: str = "nation") -> str:
     return f"""
-WITH {ledger_cte()}, {last_days(days)},
+WITH {ledger_cte(kind)}, {last_days(days)},
 d AS (SELECT account_id, txn_date, sum(CASE WHEN {INC} THEN amount END) AS inc,
              sum(CASE WHEN {SPEND} THEN amount END) AS spd FROM w GROUP BY 1, 2),
 cal AS (SELECT account_id, CAST(unnest(generate_series(period_end - {days}, period_end,
@@ -77,14 +81,14 @@ def series_summary(days: int) -> str:
             + f", CAST({days + 1} AS BIGINT) AS data_points FROM w GROUP BY account_id")
 
 
-def category_summary(days: int) -> str:
-    return (f"WITH {ledger_cte()}, {last_days(days)}\n" + _period_totals(days)
+def category_summary(days: int, kind: str = "nation") -> str:
+    return (f"WITH {ledger_cte(kind)}, {last_days(days)}\n" + _period_totals(days)
             + f", CAST({days + 1} AS BIGINT) AS days_covered, "
               f"count(DISTINCT CASE WHEN {SPEND} THEN category END) AS unique_categories "
               "FROM w GROUP BY account_id")
 
 
-def current_vs_prior() -> str:
+def current_vs_prior(kind: str = "nation") -> str:
     cur = "txn_date >= period_end - 29"
     pri = "txn_date < period_end - 29"
 
@@ -93,7 +97,7 @@ def current_vs_prior() -> str:
     ci, ce = s(cur, INC), f"abs({s(cur, SPEND)})"
     pi, pe = s(pri, INC), f"abs({s(pri, SPEND)})"
     return f"""
-WITH {ledger_cte()}, {last_days(58)}
+WITH {ledger_cte(kind)}, {last_days(58)}
 SELECT account_id, CAST({ci} AS DOUBLE) AS current_income, CAST({ce} AS DOUBLE) AS current_expenses,
        CAST({ci} - {ce} AS DOUBLE) AS current_net, CAST({pi} AS DOUBLE) AS prior_income,
        CAST({pe} AS DOUBLE) AS prior_expenses, CAST({pi} - {pe} AS DOUBLE) AS prior_net,
@@ -113,9 +117,9 @@ SELECT account_id, category, CAST(cur AS DOUBLE) AS current_amount, CAST(pri AS
        CAST(cur - pri AS DOUBLE) AS delta_amount FROM g WHERE n > 0"""
 
 
-def top_merchants(n: int = 5) -> str:
+def top_merchants(n: int = 5, kind: str = "nation") -> str:
     return f"""
-WITH {ledger_cte()}, {last_days(29)},
+WITH {ledger_cte(kind)}, {last_days(29)},
 g AS (SELECT account_id, description, count(CASE WHEN {SPEND} THEN 1 END) AS cnt,
              CAST(abs(sum(amount)) AS DOUBLE) AS total_amount
       FROM w WHERE description IS NOT NULL GROUP BY account_id, description),
@@ -153,9 +157,9 @@ SELECT *, CASE WHEN sum(CAST(total_amount AS DECIMAL(28,2))) OVER (PARTITION BY
 # D: account summary
 # ---------------------------------------------------------------------------
 
-def account_totals() -> str:
+def account_totals(kind: str = "nation") -> str:
     return f"""
-WITH {ledger_cte()}
+WITH {ledger_cte(kind)}
 SELECT account_id, count(*) AS total_transactions,
        CAST(coalesce(sum(amount), 0) AS DOUBLE) AS total_amount,
        CAST(coalesce(sum(CASE WHEN amount > 0 THEN amount END), 0) AS DOUBLE) AS total_income,
@@ -314,8 +318,8 @@ MERCHANT = ("trim(regexp_replace(regexp_replace(upper(description), '[^A-Z0-9&+
             "'\\s+', ' ', 'g'))")
 
 
-def _features_ctes(account: str = "nation") -> str:
-    return f"""{ledger_cte(account)},
+def _features_ctes(kind: str = "nation") -> str:
+    return f"""{ledger_cte(kind)},
 x AS (SELECT account_id, txn_date, amount, {MERCHANT} AS merchant FROM ledger
       WHERE amount <= 0 AND txn_date IS NOT NULL AND description IS NOT NULL),
 gp AS (SELECT *, txn_date - lag(txn_date) OVER (PARTITION BY account_id, merchant ORDER BY txn_date) AS gap
@@ -356,8 +360,8 @@ SELECT b.account_id, b.merchant, b.n AS n_occurrences, b.months AS coverage_mont
 FROM base b JOIN md USING (account_id, merchant) LEFT JOIN acr USING (account_id, merchant))"""
 
 
-def merchant_features() -> str:
-    return f"WITH {_features_ctes()} SELECT * FROM feats"
+def merchant_features(kind: str = "nation") -> str:
+    return f"WITH {_features_ctes(kind)} SELECT * FROM feats"
 
 
 def _website_ctes(source: str) -> str:

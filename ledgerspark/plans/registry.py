@@ -28,7 +28,11 @@ def register(name: str, sql: str | None):
 
 
 def _ledger(spark, sf_dir, account="nation"):
-    """Canonical ledger stand-in, stored once per data folder (see testdata.stored)."""
+    """Canonical ledger stand-in, stored once per data folder (see testdata.stored):
+    ``nation`` / ``customer`` accounts over orders, or ``events`` (one account
+    per user, 30 days of events)."""
+    if account == "events":
+        return td.ledger_events_table(spark, sf_dir)
     return td.ledger_orders_table(spark, sf_dir, account)
 
 
@@ -397,3 +401,38 @@ def validate_cards(spark, sf_dir):
     facts = N.insight_facts(_ledger(spark, sf_dir))
     v = N.validate_cards(td.card_payloads(spark, sf_dir, facts))
     return v.select("source", "source_id", "valid", F.size("cards").alias("n_cards"))
+
+
+# ---------------------------------------------------------------------------
+# The same operators over the events ledger (one account per user)
+# ---------------------------------------------------------------------------
+
+@register("events_account_totals", Q.account_totals("events"))
+def events_account_totals(spark, sf_dir):
+    return D.account_totals(_ledger(spark, sf_dir, "events"))
+
+
+@register("events_daily_series_14d", Q.daily_series(14, "events"))
+def events_daily_series_14d(spark, sf_dir):
+    return E.daily_series(_ledger(spark, sf_dir, "events"), "14d")
+
+
+@register("events_category_summary_14d", Q.category_summary(13, "events"))
+def events_category_summary_14d(spark, sf_dir):
+    return E.category_summary(_ledger(spark, sf_dir, "events"), "14d")
+
+
+@register("events_current_vs_prior", Q.current_vs_prior("events"))
+def events_current_vs_prior(spark, sf_dir):
+    return E.current_vs_prior(_ledger(spark, sf_dir, "events"))
+
+
+@register("events_top_merchants", Q.top_merchants(5, "events"))
+def events_top_merchants(spark, sf_dir):
+    return _long(E.top_merchants(_ledger(spark, sf_dir, "events"), 5), "rank")
+
+
+@register("events_merchant_features", Q.merchant_features("events"))
+def events_merchant_features(spark, sf_dir):
+    """F1-F9 per (user, event type)."""
+    return S.merchant_features(S.expense_projection(_ledger(spark, sf_dir, "events")))

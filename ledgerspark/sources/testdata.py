@@ -324,3 +324,8 @@ def ledger_orders_table(spark: SparkSession, sf_dir: str, account: str = "nation
     return stored(spark, sf_dir, f"ledger_orders_{account}",
                   lambda: ledger_orders(spark, sf_dir, account),
                   ("lineitem", "orders", "customer", "part"))
+
+
+def ledger_events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ledger_events`` written once per data folder, then read."""
+    return stored(spark, sf_dir, "ledger_events", lambda: ledger_events(spark, sf_dir), ("events",))
