@@ -436,3 +436,18 @@ def events_top_merchants(spark, sf_dir):
 def events_merchant_features(spark, sf_dir):
     """F1-F9 per (user, event type)."""
     return S.merchant_features(S.expense_projection(_ledger(spark, sf_dir, "events")))
+
+
+# ---------------------------------------------------------------------------
+# A1 + A6: CSV export and re-read through the ledger reader
+# ---------------------------------------------------------------------------
+
+from ..sources import ingest as A  # noqa: E402
+
+
+@register("csv_roundtrip_totals", Q.account_totals())
+def csv_roundtrip_totals(spark, sf_dir):
+    """A6 export -> A1 read (header probe, B1 roles, B2/B3 parsing) -> D1:
+    the totals must equal those of the ledger itself."""
+    folder = td.ledger_csv_export(spark, sf_dir)
+    return D.account_totals(A.read_ledgers(spark, folder, account_from="partition"))

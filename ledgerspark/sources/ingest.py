@@ -83,7 +83,14 @@ def file_headers(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFra
         _first_line, "path string, header string")
 
 
-def _canonical(df: DataFrame, date_format: str, pick: str, strip_symbols: bool = True) -> DataFrame:
+def _account_of(path_col, account_from: str) -> F.Column:
+    if account_from == "partition":                    # .../account_id=<id>/part-*.csv
+        return F.regexp_extract(path_col, r"account_id=([^/]+)/", 1)
+    return account_id_of(path_col)
+
+
+def _canonical(df: DataFrame, date_format: str, pick: str, strip_symbols: bool = True,
+               account_from: str = "file") -> DataFrame:
     roles = {
         "amount": detect_role(df.columns, AMOUNT_KEYWORDS, pick),
         "date": detect_role(df.columns, DATE_KEYWORDS, pick),
@@ -94,20 +101,24 @@ def _canonical(df: DataFrame, date_format: str, pick: str, strip_symbols: bool =
     dt = parse_date(F.col(f"`{roles['date']}`"), date_format) if roles["date"] else F.lit(None).cast("date")
     desc = F.col(f"`{roles['description']}`").cast("string") if roles["description"] \
         else F.lit(None).cast("string")
-    return df.select(account_id_of(F.col("_metadata.file_path")).alias("account_id"),
+    return df.select(_account_of(F.col("_metadata.file_path"), account_from).alias("account_id"),
                      dt.alias("txn_date"), desc.alias("description"), amt.alias("amount"))
 
 
 def read_ledgers(spark: SparkSession, path: str, date_format: str = "yyyy-MM-dd",
-                 pick: str = "first") -> DataFrame:
+                 pick: str = "first", account_from: str = "file") -> DataFrame:
     """A1: every ``*.csv`` under ``path`` in the canonical schema
     (account_id, txn_date, description, amount). All columns are read as
-    strings (no inference); roles come from each layout's header."""
+    strings (no inference); roles come from each layout's header. The account
+    id is the file name (``account_from='file'``, one upload per account) or
+    the ``account_id=`` folder written by :func:`export_csv`
+    (``account_from='partition'``)."""
     heads = file_headers(spark, path).groupBy("header").agg(F.collect_list("path").alias("paths"))
     layouts = heads.collect()                       # one row per distinct header
     parts = [
         _canonical(spark.read.option("header", True).option("mode", "PERMISSIVE")
-                   .option("enforceSchema", False).csv(r["paths"]), date_format, pick)
+                   .option("enforceSchema", False).csv(r["paths"]), date_format, pick,
+                   account_from=account_from)
         for r in layouts
     ]
     if not parts:
@@ -188,6 +199,8 @@ def remove_account(files: DataFrame, txn: DataFrame, account_id: str) -> tuple[D
 
 
 def export_csv(txn: DataFrame, path: str) -> None:
-    """Write the transactions back as CSV, one folder per account."""
+    """Write the transactions back as CSV, one folder per account. No
+    shuffle: every task writes its own rows of each account (a hot account
+    becomes many files, not one big task)."""
     (txn.withColumn("amount", F.col("amount").cast("string"))
         .write.mode("overwrite").partitionBy("account_id").option("header", True).csv(path))

@@ -293,7 +293,8 @@ def _fs_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build, inputs: tuple[str, ...]) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, name: str, build, inputs: tuple[str, ...],
+           writer=None) -> DataFrame | str:
     import hashlib
     import os
 
@@ -310,13 +311,16 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, inputs: tuple[str
         tmp = f"{path}.tmp-{os.getpid()}"
         # round-robin into 2 x cores files: skew-free, and readers get even splits
         n = 2 * spark.sparkContext.defaultParallelism
-        build().repartition(n).write.mode("overwrite").parquet(tmp)
+        if writer is None:
+            build().repartition(n).write.mode("overwrite").parquet(tmp)
+        else:
+            writer(build(), tmp)
         fs2, src = _fs_path(spark, tmp)
         _, dst = _fs_path(spark, path)
         if not fs2.exists(p):
             fs2.delete(dst, True)
             fs2.rename(src, dst)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path) if writer is None else path
 
 
 def ledger_orders_table(spark: SparkSession, sf_dir: str, account: str = "nation") -> DataFrame:
@@ -329,3 +333,11 @@ def ledger_orders_table(spark: SparkSession, sf_dir: str, account: str = "nation
 def ledger_events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ledger_events`` written once per data folder, then read."""
     return stored(spark, sf_dir, "ledger_events", lambda: ledger_events(spark, sf_dir), ("events",))
+
+
+def ledger_csv_export(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of per-account CSV files of ``ledger_orders`` (nation accounts),
+    written once per data folder with the library's own exporter (A6)."""
+    from .ingest import export_csv
+    return stored(spark, sf_dir, "ledger_orders_csv", lambda: ledger_orders_table(spark, sf_dir),
+                  ("lineitem", "orders", "customer", "part"), writer=export_csv)
