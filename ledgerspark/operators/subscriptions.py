@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import normalize_merchant
-from ..functions.numeric import round_cents
+from ..functions.numeric import round_cents, round_to
 
 # Feature column order of the saved model, seed merchants that
 # label a group as a known subscription, autocorrelation lag.
@@ -153,7 +153,7 @@ def merchant_features(exp: DataFrame, decimals: int = 6) -> DataFrame:
                 .otherwise(r)
 
     def rd(c):
-        return F.round(c, decimals)
+        return round_to(c, decimals)
 
     return f.select(
         *KEYS,

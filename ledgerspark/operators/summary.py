@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import UNCATEGORIZED, drop_incomplete, is_income
+from ..functions.numeric import round_to
 from .periods import money, safe_div
 
 CANONICAL_COLUMNS = ["txn_date", "description", "amount", "category", "confidence"]
@@ -114,10 +115,10 @@ def trend(sums: DataFrame) -> DataFrame:
     w = Window.partitionBy("account_id", "kind").orderBy("period")
     s = s.withColumn("_x", (F.row_number().over(w) - 1).cast("double"))
     slopes = s.groupBy("account_id", "grain").agg(
-        F.round(F.coalesce(F.regr_slope(F.when(F.col("kind") == "income", F.col("amount")),
-                                        F.col("_x")), F.lit(0.0)), 4).alias("income_trend"),
-        F.round(F.coalesce(F.regr_slope(F.when(F.col("kind") == "spending", F.col("amount")),
-                                        F.col("_x")), F.lit(0.0)), 4).alias("spending_trend"))
+        round_to(F.coalesce(F.regr_slope(F.when(F.col("kind") == "income", F.col("amount")),
+                                         F.col("_x")), F.lit(0.0)), 4).alias("income_trend"),
+        round_to(F.coalesce(F.regr_slope(F.when(F.col("kind") == "spending", F.col("amount")),
+                                         F.col("_x")), F.lit(0.0)), 4).alias("spending_trend"))
 
     def direction(c):
         return (F.when(F.col(c) > 0, "increasing").when(F.col(c) < 0, "decreasing")
@@ -156,7 +157,7 @@ def category_distribution(txn: DataFrame) -> DataFrame:
     acct = Window.partitionBy("account_id")
     return g.select(
         "account_id", "category", "transactions",
-        F.round(F.col("transactions") / F.sum("transactions").over(acct) * 100, 2).alias("percentage"),
+        round_to(F.col("transactions") / F.sum("transactions").over(acct) * 100, 2).alias("percentage"),
         F.count(F.lit(1)).over(acct).alias("unique_categories"))
 
 
@@ -167,7 +168,7 @@ def confidence_stats(txn: DataFrame) -> DataFrame:
     n = F.count(conf)
 
     def z(c):
-        return F.round(F.when(n == 0, F.lit(0.0)).otherwise(c), 6)
+        return round_to(F.when(n == 0, F.lit(0.0)).otherwise(c), 6)
     return txn.groupBy("account_id").agg(
         z(F.avg(conf)).alias("mean_confidence"),
         z(F.percentile(conf, 0.5)).alias("median_confidence"),

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_to
 from ..operators import periods as E
 from ..sources import testdata as td
 from . import oracle_sql as Q
@@ -378,7 +379,7 @@ def categorized_summary(spark, sf_dir):
     return cat.groupBy("account_id", "category").agg(
         F.count(F.lit(1)).alias("transactions"),
         F.sum("amount").cast("double").alias("total_amount"),
-        F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+        round_to(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
 # ---------------------------------------------------------------------------
