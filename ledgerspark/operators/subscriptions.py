@@ -8,8 +8,9 @@ collects the raw rows of a group:
 * order-dependent features (day gaps, day-of-month mode, the 30-day
   autocorrelation) run on the *day table* -- one row per (group, date) --
   whose size per group is bounded by the calendar span, not by row count;
-* quantiles run on a (group, amount) -> count table via ``percentile`` with
-  a frequency column.
+* quantiles run on a (group, amount) -> count table: cumulative counts in
+  amount order (a spillable window) give the values at the interpolation
+  ranks, so no group has to fit one in-memory value map.
 
 Model training uses ``pyspark.ml`` (logistic regression); scoring is a
 ``PipelineModel.transform``.
@@ -58,8 +59,9 @@ def merchant_features(exp: DataFrame, decimals: int = 6) -> DataFrame:
       day) and one aggregate give rows, months, span, gap moments, the median
       gap, the day-of-month mode and the 30-day autocorrelation. Its size per
       group is the number of distinct days, bounded by the calendar span.
-    * amount table (group, amount) -> rows. One aggregate gives the mean,
-      exact decimal variance, share of negative rows and weighted quartiles.
+    * amount table (group, amount) -> rows. Cumulative counts in amount order
+      and one aggregate give the mean, exact decimal variance, share of
+      negative rows and the quartiles (linear interpolation).
 
     Ratio features are rounded to ``decimals``. ``gap_cv`` is NULL when there
     are exactly two rows (one gap: undefined sample deviation);
@@ -94,16 +96,33 @@ def merchant_features(exp: DataFrame, decimals: int = 6) -> DataFrame:
         F.count(F.when(y_part, 1)).alias("_sy"),
         F.count(F.when(x_part & (F.col("hit30") > 0), 1)).alias("_sxy"))
 
+    # amount table: (group, amount) -> rows. Moments are partial sums; the
+    # quartiles are read off cumulative counts in amount order (a window whose
+    # buffer spills to disk, so a group with millions of distinct amounts does
+    # not have to fit one in-memory map)
     amt = F.col("amount")
-    amounts = (exp.groupBy(*KEYS, "amount").agg(F.count(F.lit(1)).alias("k"))
-                  .groupBy(*KEYS).agg(
-                      F.sum(F.when(amt.isNotNull(), F.col("k"))).alias("_na"),
-                      F.sum(amt * F.col("k")).alias("_sa"),
-                      F.sum(amt * amt * F.col("k")).alias("_s2"),
-                      F.sum(F.when(amt < 0, F.col("k"))).alias("_neg"),
-                      F.percentile(amt.cast("double"), F.array(F.lit(0.25), F.lit(0.75)),
-                                   F.col("k")).alias("_q")))
-    f = g.join(amounts, KEYS).withColumn("span_days", F.datediff("last", "first"))
+    av = exp.filter(amt.isNotNull()).groupBy(*KEYS, "amount").agg(F.count(F.lit(1)).alias("k"))
+    by_amount = Window.partitionBy(*KEYS).orderBy("amount")
+    av = (av.withColumn("cum", F.sum("k").over(by_amount.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("tot", F.sum("k").over(Window.partitionBy(*KEYS)))
+            .withColumn("prev", F.col("cum") - F.col("k")))
+
+    def at_rank(i):                       # value of 0-based position i in sorted order
+        return F.max(F.when((F.col("prev") <= i) & (i < F.col("cum")), amt.cast("double")))
+    pos = {q: (F.col("tot") - 1) * q for q in (0.25, 0.75)}
+    amounts = av.groupBy(*KEYS).agg(
+        F.sum("k").alias("_na"),
+        F.sum(amt * F.col("k")).alias("_sa"),
+        F.sum(amt * amt * F.col("k")).alias("_s2"),
+        F.sum(F.when(amt < 0, F.col("k"))).alias("_neg"),
+        *[at_rank(F.floor(pos[q])).alias(f"_lo{int(q * 100)}") for q in pos],
+        *[at_rank(F.ceil(pos[q])).alias(f"_hi{int(q * 100)}") for q in pos],
+        *[F.max(pos[q] - F.floor(pos[q])).alias(f"_fr{int(q * 100)}") for q in pos])
+
+    def quartile(q):                      # linear interpolation between neighbours
+        lo, hi, fr = F.col(f"_lo{q}"), F.col(f"_hi{q}"), F.col(f"_fr{q}")
+        return lo + (hi - lo) * fr
+    f = g.join(amounts, KEYS, "left").withColumn("span_days", F.datediff("last", "first"))
 
     n = F.col("n")
     ng = n - 1                                              # number of gaps
@@ -139,8 +158,7 @@ def merchant_features(exp: DataFrame, decimals: int = 6) -> DataFrame:
     a_var = ((na.cast("decimal(20,0)") * F.col("_s2") - F.col("_sa") * F.col("_sa")).cast("double")
              / (na * (na - 1)).cast("double"))
     amount_cv = F.when((na > 1) & big, F.sqrt(a_var) / F.abs(amean)).otherwise(0.0)
-    iqr = F.when((na >= 4) & big,
-                 (F.col("_q")[1] - F.col("_q")[0]) / F.abs(amean)).otherwise(0.0)
+    iqr = F.when((na >= 4) & big, (quartile(75) - quartile(25)) / F.abs(amean)).otherwise(0.0)
 
     # Pearson r of x[:-30] and x[30:] of the dense 0/1 daily series:
     # r = (N*Sxy - Sx*Sy) / sqrt((N*Sx - Sx^2)(N*Sy - Sy^2)), N = L - 30
