@@ -72,9 +72,14 @@ def _first_line(paths: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 filesystem, inner = pafs.LocalFileSystem(), "/" + p[len("file:"):].lstrip("/")
             else:
                 filesystem, inner = pafs.FileSystem.from_uri(p)
+            buf = b""
             with filesystem.open_input_stream(inner) as f:
-                chunk = f.read(1 << 16)
-            heads.append(chunk.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", "replace"))
+                while b"\n" not in buf:                   # read on until the header line ends
+                    chunk = f.read(1 << 16)
+                    if not chunk:
+                        break
+                    buf += chunk
+            heads.append(buf.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", "replace"))
         yield pd.DataFrame({"path": pdf["path"], "header": heads})
 
 
