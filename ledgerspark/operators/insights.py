@@ -45,13 +45,15 @@ def _top(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 def insight_facts(txn: DataFrame, subscriptions: DataFrame | None = None) -> DataFrame:
     """One row per account with the generator inputs as nested columns."""
-    cash = E.current_vs_prior(txn).select(
+    # one 58-day window (latest date per account computed once) feeds all three
+    windowed = E._current_prior(txn)
+    cash = E.current_vs_prior(txn, windowed).select(
         "account_id", F.col("current_income").alias("income"),
         F.col("current_expenses").alias("expenses"), F.col("current_net").alias("net"),
         "prior_net", "net_change")
-    deltas = _top(E.category_deltas(txn), TOP_DELTAS,
+    deltas = _top(E.category_deltas(txn, windowed), TOP_DELTAS,
                   F.desc(F.abs("delta_amount")), F.asc("category"))
-    merchants = E.top_merchants(txn, TOP_MERCHANTS)
+    merchants = E.top_merchants(txn, TOP_MERCHANTS, windowed)
 
     def nest(df, name, fields):
         return (df.groupBy("account_id")

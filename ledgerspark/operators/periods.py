@@ -168,8 +168,9 @@ def _current_prior(txn: DataFrame) -> DataFrame:
              .withColumn("_pri", F.col("txn_date") < cur_start))
 
 
-def current_vs_prior(txn: DataFrame) -> DataFrame:
-    t = _current_prior(txn)
+def current_vs_prior(txn: DataFrame, windowed: DataFrame | None = None) -> DataFrame:
+    """E7 (``windowed``: a precomputed :func:`_current_prior` to share)."""
+    t = windowed if windowed is not None else _current_prior(txn)
     inc = is_income()
 
     def s(flag, income):
@@ -186,9 +187,9 @@ def current_vs_prior(txn: DataFrame) -> DataFrame:
         money((ci - ce) - (pi - pe)).alias("net_change"))
 
 
-def category_deltas(txn: DataFrame) -> DataFrame:
-    """Spending categories present in the current period; prior missing -> 0."""
-    t = _current_prior(txn).filter(~is_income())
+def category_deltas(txn: DataFrame, windowed: DataFrame | None = None) -> DataFrame:
+    """Spending categories present in the current period; prior missing -> 0."""
+    t = (windowed if windowed is not None else _current_prior(txn)).filter(~is_income())
     cur = F.abs(F.coalesce(F.sum(F.when(F.col("_cur"), F.col("amount"))), F.lit(0)))
     pri = F.abs(F.coalesce(F.sum(F.when(F.col("_pri"), F.col("amount"))), F.lit(0)))
     return (t.groupBy("account_id", "category")
@@ -198,10 +199,11 @@ def category_deltas(txn: DataFrame) -> DataFrame:
              .filter(F.col("_n") > 0).drop("_n"))
 
 
-def top_merchants(txn: DataFrame, n: int = 5) -> DataFrame:
-    """Most frequent spending descriptions of the current period. The amount
-    sums every current row with that description, income rows included."""
-    t = window_last(txn, CURRENT_DAYS).filter(F.col("description").isNotNull())
+def top_merchants(txn: DataFrame, n: int = 5, windowed: DataFrame | None = None) -> DataFrame:
+    """Most frequent spending descriptions of the current period. The
+    amount sums every current row with that description, income rows included."""
+    t = (window_last(txn, CURRENT_DAYS) if windowed is None
+         else windowed.filter(F.col("_cur"))).filter(F.col("description").isNotNull())
     g = t.groupBy("account_id", "description").agg(
         F.count(F.when(~is_income(), 1)).alias("count"),
         money(F.abs(F.sum("amount"))).alias("total_amount"))
