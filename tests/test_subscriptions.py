@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerspark.operators import insights as N
 from ledgerspark.operators import subscriptions as S
 from ledgerspark.operators import websites as W
 
@@ -142,6 +143,16 @@ def test_train_score_costs_totals(spark, ledger, tmp_path):
     tot = S.subscription_totals(scored, exp, threshold=0.5).filter(F.col("account_id") == "acct0").first()
     assert tot.total_subscriptions >= 4
     assert tot.total_yearly_cost == pytest.approx(round(tot.total_monthly_cost * 12, 2))
+    # The same model on each account's last 30 days, fed to the facts
+    recent = N.recent_subscriptions(t, model, threshold=0.0)
+    assert set(recent.columns) == {"account_id", "merchant", "score", "amount_mean", "n_occurrences"}
+    monthly = recent.filter(F.col("merchant").isin("NETFLIX", "SPOTIFY", "ICLOUD", "CITY GYM"))
+    assert monthly.count() > 0
+    assert monthly.filter(F.col("n_occurrences") > 2).count() == 0   # <= 2 monthly charges in 30 days
+    facts = N.insight_facts(t, recent).filter(F.col("account_id") == "acct0").first()
+    assert 0 < len(facts.subs_summary) <= 6
+    scores = [x.score for x in facts.subs_summary]
+    assert scores == sorted(scores, reverse=True)
 
 
 def test_single_class_raises(spark, ledger):
