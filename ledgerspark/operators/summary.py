@@ -202,8 +202,10 @@ def data_quality(txn: DataFrame, columns: list[str] | None = None) -> DataFrame:
     dups = (txn.groupBy("account_id", *cols).agg(F.count(F.lit(1)).alias("_k"))
                .groupBy("account_id").agg(F.sum(F.col("_k") - 1).alias("duplicate_rows")))
     all_null = sum((F.col(f"null_{c}") == F.col("_n")).cast("long") for c in cols)
+    types = ",".join(f"{c}:{t}" for c, t in txn.dtypes if c in cols)
     return (nulls.join(dups, "account_id")
-            .withColumn("columns_with_all_nulls", all_null).drop("_n"))
+            .withColumn("columns_with_all_nulls", all_null)
+            .withColumn("column_types", F.lit(types)).drop("_n"))
 
 
 def file_profile(txn: DataFrame, n_sample: int = 5) -> DataFrame:
@@ -220,4 +222,5 @@ def file_profile(txn: DataFrame, n_sample: int = 5) -> DataFrame:
     return (sample.join(sizes, "account_id")
             .select("account_id", F.col("sample_rank").cast("long").alias("sample_rank"),
                     "txn_date", "description", money("amount").alias("amount"), "category",
-                    "n_rows", F.lit(len(txn.columns)).cast("long").alias("n_columns")))
+                    "n_rows", F.lit(len(txn.columns)).cast("long").alias("n_columns"),
+                    F.lit(",".join(txn.columns)).alias("column_names")))

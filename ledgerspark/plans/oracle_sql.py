@@ -293,7 +293,9 @@ def data_quality() -> str:
     alln = " + ".join(f"CAST(count({c}) = 0 AS BIGINT)" for c in cols)
     return f"""
 WITH {ledger_cte()},
-nn AS (SELECT account_id, {nulls}, {alln} AS columns_with_all_nulls FROM ledger GROUP BY account_id),
+nn AS (SELECT account_id, {nulls}, {alln} AS columns_with_all_nulls,
+              'txn_date:date,description:string,amount:decimal(18,2),category:string,confidence:double'
+                AS column_types FROM ledger GROUP BY account_id),
 d AS (SELECT account_id, CAST(sum(k - 1) AS BIGINT) AS duplicate_rows FROM
         (SELECT account_id, count(*) AS k FROM ledger GROUP BY account_id, {', '.join(cols)}) x
       GROUP BY account_id)
@@ -307,7 +309,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY txn_date NUL
         description NULLS LAST, amount NULLS LAST, category NULLS LAST, confidence NULLS LAST) AS sample_rank,
         count(*) OVER (PARTITION BY account_id) AS n_rows FROM ledger)
 SELECT account_id, sample_rank, txn_date, description, CAST(amount AS DOUBLE) AS amount, category, n_rows,
-       CAST(6 AS BIGINT) AS n_columns FROM r WHERE sample_rank <= {n}"""
+       CAST(6 AS BIGINT) AS n_columns,
+       'account_id,txn_date,description,amount,category,confidence' AS column_names
+FROM r WHERE sample_rank <= {n}"""
 
 
 # ---------------------------------------------------------------------------
