@@ -293,6 +293,11 @@ def _fs_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+# Bump whenever a stored builder's definition changes: the folder name carries
+# it, so tables written by an older definition are never read again.
+BUILDER_VERSION = 3
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build, inputs: tuple[str, ...],
            writer=None) -> DataFrame | str:
     import hashlib
@@ -305,7 +310,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, inputs: tuple[str
         st = os.stat(f) if os.path.exists(f) else None
         stamp.append(f"{f}:{st.st_size if st else 0}:{int(st.st_mtime) if st else 0}")
     key = hashlib.sha1("|".join(stamp).encode()).hexdigest()[:16]
-    path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerspark-tables/{name}-{key}-v2"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerspark-tables/{name}-{key}-v{BUILDER_VERSION}"
     fs, p = _fs_path(spark, path + "/_SUCCESS")
     if not fs.exists(p):
         tmp = f"{path}.tmp-{os.getpid()}"
