@@ -75,9 +75,12 @@ def merchant_features(exp: DataFrame, decimals: int = 6) -> DataFrame:
              .withColumn("new_month", prev.isNull() | (F.trunc(prev, "MM") != F.trunc("txn_date", "MM")))
              .withColumn("hit30", F.count(F.lit(1)).over(w.rangeBetween(LAG_DAYS, LAG_DAYS)))
              .withColumn("first", F.min("txn_date").over(whole))
-             .withColumn("last", F.max("txn_date").over(whole)))
+             .withColumn("last", F.max("txn_date").over(whole))
+             # rows on the same day of month; (group, dom) is a finer clustering
+             # than the group's, so this window needs no new exchange
+             .withColumn("dom", F.dayofmonth("txn_date"))
+             .withColumn("dom_rows", F.sum("n_day").over(Window.partitionBy(*KEYS, "dom"))))
 
-    dom = F.dayofmonth("txn_date")
     x_part = F.col("txn_date") <= F.date_sub("last", LAG_DAYS)     # offsets 0..L-31
     y_part = F.col("txn_date") >= F.date_add("first", LAG_DAYS)    # offsets 30..L-1
     g = d.groupBy(*KEYS).agg(
@@ -90,8 +93,7 @@ def merchant_features(exp: DataFrame, decimals: int = 6) -> DataFrame:
         # distinct aggregate, so no Expand of the day rows)
         F.count(F.when(F.col("new_month"), 1)).alias("coverage_months"),
         F.array_sort(F.collect_list("gap")).alias("_pos_gaps"),
-        F.array(*[F.sum(F.when(dom == i, F.col("n_day")).otherwise(0)) for i in range(1, 32)])
-         .alias("_dom_rows"),
+        F.max(F.struct("dom_rows", (-F.col("dom")).alias("neg_dom"))).alias("_mode"),
         F.count(F.when(x_part, 1)).alias("_sx"),
         F.count(F.when(y_part, 1)).alias("_sy"),
         F.count(F.when(x_part & (F.col("hit30") > 0), 1)).alias("_sxy"))
@@ -148,8 +150,8 @@ def merchant_features(exp: DataFrame, decimals: int = 6) -> DataFrame:
                .when(ng < 2, F.lit(None).cast("double"))
                .otherwise(std_gap / mean_gap))
 
-    mode_rows = F.array_max("_dom_rows")
-    mode_day = F.array_position("_dom_rows", mode_rows)          # smallest day on ties
+    mode_rows = F.col("_mode.dom_rows")
+    mode_day = -F.col("_mode.neg_dom")                            # smallest day on ties
 
     na = F.coalesce(F.col("_na"), F.lit(0))
     amean = F.when(na > 0, F.col("_sa").cast("double") / na).otherwise(0.0)
