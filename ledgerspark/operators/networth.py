@@ -5,7 +5,7 @@ scenario (H1-H10). Input is a table of households (one row each: 12 balances,
 The projection is a per-household recurrence with floors (checking can run
 dry, debts stop at zero, cars never go negative). Its floating-point result
 must match the month loop to the cent, which a closed form does not, so the
-loop runs in ``mapInPandas``: numpy arrays over a batch of households, one
+loop runs in ``mapInArrow``: numpy arrays over a batch of households, one
 vectorised step per month. No shuffle is needed -- households are independent
 and stay in the partition they were read in -- and only the requested months
 are emitted (e.g. 7 horizon rows instead of 601). Rounding, calendar labels
@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,19 +92,22 @@ def monthly_rate(apr):
 # H4 / H5 projection
 # ---------------------------------------------------------------------------
 
-def _simulate(pdf: pd.DataFrame, months: int, emit: np.ndarray, keys: list[str]) -> pd.DataFrame:
-    """Month loop over all households of ``pdf`` at once (one numpy step per
-    month). Same operations, in the same order, as the monthly model."""
-    n = len(pdf)
-    b = {c: pdf[c].to_numpy(dtype=float).copy() for c in BALANCES}
-    fl = {c: pdf[c].to_numpy(dtype=float) for c in FLOWS}
-    factor = {c: 1.0 + monthly_rate(pdf[r].to_numpy(dtype=float))
-              for c, r in {**_ASSET_RATE, **_DEBT_RATE}.items()}
-    rows_t, rows_b = [], []
+def _simulate(cols: dict, months: int, emit: np.ndarray) -> tuple[np.ndarray, dict]:
+    """Month loop over all households of a batch at once (one numpy step per
+    month). Same operations, in the same order, as the monthly model.
+    ``cols``: name -> float64 array. Returns (household index per output row,
+    balance name -> float64 array), rows ordered by month then household."""
+    n = len(cols["checking"])
+    b = {c: cols[c].copy() for c in BALANCES}
+    fl = {c: cols[c] for c in FLOWS}
+    factor = {c: 1.0 + monthly_rate(cols[r]) for c, r in {**_ASSET_RATE, **_DEBT_RATE}.items()}
+    out = {c: [] for c in BALANCES}
+    steps = []
 
     def record(t):
-        rows_t.append(np.full(n, t, dtype=np.int32))
-        rows_b.append(np.stack([b[c] for c in BALANCES], axis=1).copy())
+        steps.append(t)
+        for c in BALANCES:
+            out[c].append(b[c].copy())
 
     if emit[0]:
         record(0)
@@ -129,21 +131,22 @@ def _simulate(pdf: pd.DataFrame, months: int, emit: np.ndarray, keys: list[str])
             b[c] = np.where((acc <= 0.0) | (p <= 0.0), acc, np.maximum(0.0, acc - p))
         if emit[t]:
             record(t)
-    k = len(rows_t)
-    out = pd.DataFrame(np.concatenate(rows_b, axis=0) if k else np.empty((0, len(BALANCES))),
-                       columns=BALANCES)
-    out.insert(0, "t", np.concatenate(rows_t) if k else np.empty(0, dtype=np.int32))
-    for key in reversed(keys):
-        out.insert(0, key, np.tile(pdf[key].to_numpy(), k))
-    return out
+    t_col = np.repeat(np.asarray(steps, dtype=np.int32), n)
+    idx = np.tile(np.arange(n), len(steps))
+    return t_col, idx, {c: (np.concatenate(out[c]) if steps else np.empty(0)) for c in BALANCES}
 
 
 def project_net_worth(h: DataFrame, months: int = 600, emit: Sequence[int] | None = None,
                       start_month: str | None = None, keys: Sequence[str] = ("account_id",),
-                      max_rows_per_frame: int = 1_000_000) -> DataFrame:
+                      max_rows_per_batch: int = 1_000_000) -> DataFrame:
     """H4/H5: balances for months ``emit`` (default all of 0..months) of every
     household, rounded to cents, with totals and a ``yyyy-MM`` label counted
-    from ``start_month`` (default: the current month)."""
+    from ``start_month`` (default: the current month).
+
+    Runs as ``mapInArrow``: Arrow columns in, numpy month loop, Arrow record
+    batches out (key columns carried with ``take``), no pandas in between."""
+    import pyarrow as pa
+
     keys = list(keys)
     h = with_defaults(h).select(*keys, *BALANCES, *FLOWS, *RATE_DEFAULTS)
     flags = np.zeros(months + 1, dtype=bool)
@@ -151,16 +154,23 @@ def project_net_worth(h: DataFrame, months: int = 600, emit: Sequence[int] | Non
     key_types = dict(h.dtypes)
     schema = ", ".join([f"{k} {key_types[k]}" for k in keys] + ["t int"]
                        + [f"{c} double" for c in BALANCES])
-
-    # households per numpy step: as many as fit ~max_rows_per_frame emitted
+    # households per numpy step: as many as fit ~max_rows_per_batch emitted
     # rows, so short outputs (7 horizons) use whole Arrow batches and full
-    # monthly series stay within a bounded frame size
-    chunk = max(64, max_rows_per_frame // max(1, int(flags.sum())))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), chunk):
-                yield _simulate(pdf.iloc[i:i + chunk], months, flags, keys)
+    # monthly series stay within a bounded batch size
+    chunk = max(64, max_rows_per_batch // max(1, int(flags.sum())))
+    numeric = BALANCES + FLOWS + list(RATE_DEFAULTS)
+
+    def run(batches):
+        for rb in batches:
+            for i in range(0, rb.num_rows, chunk):
+                part = rb.slice(i, chunk)
+                cols = {c: part.column(c).to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+                        for c in numeric}
+                t_col, idx, bal = _simulate(cols, months, flags)
+                take = pa.array(idx)
+                arrays = ([part.column(k).take(take) for k in keys] + [pa.array(t_col)]
+                          + [pa.array(bal[c]) for c in BALANCES])
+                yield pa.RecordBatch.from_arrays(arrays, names=keys + ["t"] + BALANCES)
 
     # Households are independent and narrow; when the input arrives in fewer
     # partitions than the cluster has cores (one small file), spread it first
@@ -168,7 +178,7 @@ def project_net_worth(h: DataFrame, months: int = 600, emit: Sequence[int] | Non
     par = h.sparkSession.sparkContext.defaultParallelism
     if h.rdd.getNumPartitions() < par:
         h = h.repartition(par)
-    raw = h.mapInPandas(run, schema)
+    raw = h.mapInArrow(run, schema)
     start = (F.to_date(F.lit(start_month + "-01")) if start_month
              else F.trunc(F.current_date(), "MM"))
     return raw.select(
