@@ -295,7 +295,7 @@ def _fs_path(spark: SparkSession, path: str):
 
 # Bump whenever a stored builder's definition changes: the folder name carries
 # it, so tables written by an older definition are never read again.
-BUILDER_VERSION = 3
+BUILDER_VERSION = 4
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build, inputs: tuple[str, ...],
@@ -314,12 +314,18 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, inputs: tuple[str
     fs, p = _fs_path(spark, path + "/_SUCCESS")
     if not fs.exists(p):
         tmp = f"{path}.tmp-{os.getpid()}"
-        # round-robin into 2 x cores files: skew-free, and readers get even splits
-        n = 2 * spark.sparkContext.defaultParallelism
+        df = build()
         if writer is None:
-            build().repartition(n).write.mode("overwrite").parquet(tmp)
+            # a build that lands in fewer partitions than the cluster has cores
+            # (single-row-group inputs) is spread round-robin so readers get
+            # even splits; a large build keeps its own partitioning (no
+            # extra full shuffle at scale)
+            par = spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < par:
+                df = df.repartition(2 * par)
+            df.write.mode("overwrite").parquet(tmp)
         else:
-            writer(build(), tmp)
+            writer(df, tmp)
         fs2, src = _fs_path(spark, tmp)
         _, dst = _fs_path(spark, path)
         if not fs2.exists(p):
