@@ -293,9 +293,18 @@ def _fs_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _bytes(v: str) -> int:
+    """'134217728', '128MB', '128m', '1g' -> bytes."""
+    import re
+    m = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)i?b?\s*", str(v).lower())
+    if not m:
+        return 128 << 20
+    return int(m.group(1)) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m.group(2)]
+
+
 # Bump whenever a stored builder's definition changes: the folder name carries
 # it, so tables written by an older definition are never read again.
-BUILDER_VERSION = 4
+BUILDER_VERSION = 5
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build, inputs: tuple[str, ...],
@@ -304,10 +313,11 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, inputs: tuple[str
     import os
 
     from ..session import checkpoint_dir
-    stamp = []
+    stamp, in_bytes = [], 0
     for t in inputs:
         f = f"{sf_dir.rstrip('/')}/{t}.parquet"
         st = os.stat(f) if os.path.exists(f) else None
+        in_bytes += st.st_size if st else 0
         stamp.append(f"{f}:{st.st_size if st else 0}:{int(st.st_mtime) if st else 0}")
     key = hashlib.sha1("|".join(stamp).encode()).hexdigest()[:16]
     path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerspark-tables/{name}-{key}-v{BUILDER_VERSION}"
@@ -316,12 +326,14 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, inputs: tuple[str
         tmp = f"{path}.tmp-{os.getpid()}"
         df = build()
         if writer is None:
-            # a build that lands in fewer partitions than the cluster has cores
-            # (single-row-group inputs) is spread round-robin so readers get
-            # even splits; a large build keeps its own partitioning (no
-            # extra full shuffle at scale)
+            # inputs smaller than one split per core (a few single-row-group
+            # files) give a build of one or two tasks -- and AQE may shrink the
+            # static partition count further -- so such a build is spread
+            # round-robin for even reader splits. Large inputs keep their own
+            # partitioning: no extra full shuffle at scale.
             par = spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < par:
+            split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
+            if in_bytes and in_bytes < par * split:
                 df = df.repartition(2 * par)
             df.write.mode("overwrite").parquet(tmp)
         else:
