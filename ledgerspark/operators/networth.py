@@ -172,12 +172,12 @@ def project_net_worth(h: DataFrame, months: int = 600, emit: Sequence[int] | Non
                           + [pa.array(bal[c]) for c in BALANCES])
                 yield pa.RecordBatch.from_arrays(arrays, names=keys + ["t"] + BALANCES)
 
-    # Households are independent and narrow; when the input arrives in fewer
-    # partitions than the cluster has cores (one small file), spread it first
-    # so every core simulates a share. Large inputs keep their scan split.
+    # The simulation multiplies work by the horizon while AQE sizes partitions
+    # by input bytes, and households are narrow rows: spread them by account
+    # over the cluster's cores (an explicit count, which AQE keeps) so every
+    # core simulates a share. The shuffle moves the narrow input only.
     par = h.sparkSession.sparkContext.defaultParallelism
-    if h.rdd.getNumPartitions() < par:
-        h = h.repartition(par)
+    h = h.repartition(par, keys[0])
     raw = h.mapInArrow(run, schema)
     start = (F.to_date(F.lit(start_month + "-01")) if start_month
              else F.trunc(F.current_date(), "MM"))
