@@ -98,7 +98,8 @@ def fit_tfidf(train: DataFrame, max_features: int = MAX_FEATURES) -> tuple[DataF
                                    F.sum("n").alias("df"))
     vocab = stats.orderBy(F.desc("freq"), F.asc("term")).limit(max_features)
     n_docs = train.agg(F.sum("n")).first()[0] or 0            # one scalar
-    vocab = vocab.select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    vocab = vocab.select("term", (F.log(F.lit(float(1 + n_docs)) / (F.col("df") + 1).cast("double"))
+                                  + 1.0).alias("idf"))
     w = (tc.join(F.broadcast(vocab), "term")                      # <= max_features rows
            .withColumn("raw", F.col("tf") * F.col("idf")))
     norm2 = Window.partitionBy("norm", "label")

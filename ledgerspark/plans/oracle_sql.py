@@ -774,7 +774,7 @@ ttok AS (SELECT norm, label, n, {toks_sql('norm')} AS toks FROM train),
 tc AS (SELECT norm, label, n, term, count(*) AS tf FROM
          (SELECT norm, label, n, unnest({terms_sql('norm')}) AS term FROM ttok) x GROUP BY ALL),
 stats AS (SELECT term, sum(tf * n) AS freq, sum(n) AS df FROM tc GROUP BY term),
-vocab AS (SELECT term, ln((1.0 + (SELECT sum(n) FROM train)) / (1.0 + df)) + 1.0 AS idf
+vocab AS (SELECT term, ln(CAST(1 + (SELECT sum(n) FROM train) AS DOUBLE) / CAST(1 + df AS DOUBLE)) + 1.0 AS idf
           FROM (SELECT * FROM stats ORDER BY freq DESC, term LIMIT {max_features}) v),
 post AS (SELECT norm, label, n, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY norm, label)) AS w
          FROM (SELECT tc.*, tf * idf AS raw FROM tc JOIN vocab USING (term)) x),
@@ -805,7 +805,7 @@ scored AS (SELECT qd.description,
 
 def category_vocabulary(max_features: int = 30000) -> str:
     return (f"WITH {_knn_ctes('SELECT NULL AS description', 5, 0.35, max_features)} "
-            "SELECT term, idf FROM vocab")
+            "SELECT term, round(idf, 12) AS idf FROM vocab")
 
 
 def knn_predictions(k: int = 7, threshold: float = 0.25) -> str:

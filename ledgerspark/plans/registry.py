@@ -360,9 +360,10 @@ def _index(spark, sf_dir):
 
 @register("category_vocabulary", Q.category_vocabulary())
 def category_vocabulary(spark, sf_dir):
-    """Vocabulary (top 30 000 uni/bi-grams) with smooth idf."""
+    """Vocabulary (top 30 000 uni/bi-grams) with smooth idf, reported to
+    12 decimals (the two engines' ``ln`` may differ in the last bit)."""
     vocab, _ = _index(spark, sf_dir)
-    return vocab
+    return vocab.select("term", round_to(F.col("idf"), 12).alias("idf"))
 
 
 @register("knn_predictions", Q.knn_predictions(7, 0.25))
