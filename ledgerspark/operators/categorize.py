@@ -18,11 +18,6 @@ The stop-word list is Spark's built-in English list
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,18 +34,26 @@ SIM_DECIMALS = 12          # similarities are compared after rounding (ties)
 TOKEN_PATTERN = r"\b\w\w+\b"
 
 
-@lru_cache(maxsize=1)
+# Spark's built-in English stop words
+# (``StopWordsRemover.loadDefaultStopWords("english")``), as a literal so that
+# importing needs neither a JVM nor Spark's jars.
+ENGLISH_STOP_WORDS = tuple("""
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her
+hers herself it its itself they them their theirs themselves what which who whom this that these
+those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after
+above below to from up down in out on off over under again further then once here there when where
+why how all any both each few more most other some such no nor not only own same so than too very s
+t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd
+they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't
+weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't
+couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+would
+""".split())
+
+
 def english_stop_words() -> tuple[str, ...]:
-    """Spark's built-in English stop words, read from the installed MLlib jar
-    (the same list ``StopWordsRemover.loadDefaultStopWords`` returns), so it
-    is available without a running JVM."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if jars:
-        with zipfile.ZipFile(jars[0]) as z:
-            return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split())
-    from pyspark.ml.feature import StopWordsRemover
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+    return ENGLISH_STOP_WORDS
 
 
 def terms(norm: Column | str) -> Column:

@@ -18,10 +18,11 @@ from ..sources import testdata as td
 from . import oracle_sql as Q
 
 Builder = Callable[[SparkSession, str], DataFrame]
-REGISTRY: dict[str, tuple[Builder, str | None]] = {}
+# name -> (builder, maker of its oracle SQL or None); SQL texts are built only on demand
+REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {}
 
 
-def register(name: str, sql: str | None):
+def register(name: str, sql: Callable[[], str] | None):
     def deco(fn: Builder) -> Builder:
         REGISTRY[name] = (fn, sql)
         return fn
@@ -47,68 +48,68 @@ def _long(df: DataFrame, *cols: str) -> DataFrame:
 # E: period reports (flagship first)
 # ---------------------------------------------------------------------------
 
-@register("top_categories_90d", Q.categories_by_period(89, top=10))
+@register("top_categories_90d", lambda: Q.categories_by_period(89, top=10))
 def top_categories_90d(spark, sf_dir):
     """Top-10 spending categories per account over the last 90 days (E1+E4+E5)."""
     return _long(E.top_categories(E.categories_by_period(_ledger(spark, sf_dir), "90d"), 10), "rank")
 
 
-@register("categories_by_period_30d", Q.categories_by_period(29))
+@register("categories_by_period_30d", lambda: Q.categories_by_period(29))
 def categories_by_period_30d(spark, sf_dir):
     return E.categories_by_period(_ledger(spark, sf_dir), "30d")
 
 
-@register("categories_by_period_1y", Q.categories_by_period(364))
+@register("categories_by_period_1y", lambda: Q.categories_by_period(364))
 def categories_by_period_1y(spark, sf_dir):
     return E.categories_by_period(_ledger(spark, sf_dir), "1y")
 
 
-@register("category_summary_14d", Q.category_summary(13))
+@register("category_summary_14d", lambda: Q.category_summary(13))
 def category_summary_14d(spark, sf_dir):
     return E.category_summary(_ledger(spark, sf_dir), "14d")
 
 
-@register("daily_series_30d", Q.daily_series(30))
+@register("daily_series_30d", lambda: Q.daily_series(30))
 def daily_series_30d(spark, sf_dir):
     return E.daily_series(_ledger(spark, sf_dir), "30d")
 
 
-@register("daily_series_1y", Q.daily_series(365))
+@register("daily_series_1y", lambda: Q.daily_series(365))
 def daily_series_1y(spark, sf_dir):
     return E.daily_series(_ledger(spark, sf_dir), "1y")
 
 
-@register("series_summary_90d", Q.series_summary(90))
+@register("series_summary_90d", lambda: Q.series_summary(90))
 def series_summary_90d(spark, sf_dir):
     return E.series_summary(_ledger(spark, sf_dir), "90d")
 
 
-@register("current_vs_prior", Q.current_vs_prior())
+@register("current_vs_prior", lambda: Q.current_vs_prior())
 def current_vs_prior(spark, sf_dir):
     return E.current_vs_prior(_ledger(spark, sf_dir))
 
 
-@register("category_deltas", Q.category_deltas())
+@register("category_deltas", lambda: Q.category_deltas())
 def category_deltas(spark, sf_dir):
     return E.category_deltas(_ledger(spark, sf_dir))
 
 
-@register("top_merchants", Q.top_merchants(5))
+@register("top_merchants", lambda: Q.top_merchants(5))
 def top_merchants(spark, sf_dir):
     return _long(E.top_merchants(_ledger(spark, sf_dir), 5), "rank")
 
 
-@register("largest_spending_day_90d", Q.largest_spending_day(90))
+@register("largest_spending_day_90d", lambda: Q.largest_spending_day(90))
 def largest_spending_day_90d(spark, sf_dir):
     return E.largest_spending_day(E.daily_series(_ledger(spark, sf_dir), "90d"))
 
 
-@register("category_spend_lookup", Q.category_spend_lookup("STANDARD", 29))
+@register("category_spend_lookup", lambda: Q.category_spend_lookup("STANDARD", 29))
 def category_spend_lookup(spark, sf_dir):
     return E.category_spend_lookup(_ledger(spark, sf_dir), "STANDARD", "30d")
 
 
-@register("share_of_total_90d", Q.share_of_total(89))
+@register("share_of_total_90d", lambda: Q.share_of_total(89))
 def share_of_total_90d(spark, sf_dir):
     top = E.top_categories(E.categories_by_period(_ledger(spark, sf_dir), "90d"), 10)
     return _long(E.share_of_total(top), "rank")
@@ -121,72 +122,72 @@ def share_of_total_90d(spark, sf_dir):
 from ..operators import summary as D  # noqa: E402
 
 
-@register("account_totals", Q.account_totals())
+@register("account_totals", lambda: Q.account_totals())
 def account_totals(spark, sf_dir):
     return D.account_totals(_ledger(spark, sf_dir))
 
 
-@register("category_breakdown", Q.category_breakdown())
+@register("category_breakdown", lambda: Q.category_breakdown())
 def category_breakdown(spark, sf_dir):
     return D.category_breakdown(_ledger(spark, sf_dir))
 
 
-@register("date_range", Q.date_range())
+@register("date_range", lambda: Q.date_range())
 def date_range(spark, sf_dir):
     return D.date_range(_ledger(spark, sf_dir))
 
 
-@register("count_by_month", Q.count_by("month"))
+@register("count_by_month", lambda: Q.count_by("month"))
 def count_by_month(spark, sf_dir):
     return D.count_by_month(_ledger(spark, sf_dir))
 
 
-@register("count_by_weekday", Q.count_by("weekday"))
+@register("count_by_weekday", lambda: Q.count_by("weekday"))
 def count_by_weekday(spark, sf_dir):
     return D.count_by_weekday(_ledger(spark, sf_dir))
 
 
-@register("period_sums", Q.period_sums())
+@register("period_sums", lambda: Q.period_sums())
 def period_sums(spark, sf_dir):
     return D.period_sums(_ledger(spark, sf_dir))
 
 
-@register("trend", Q.trend())
+@register("trend", lambda: Q.trend())
 def trend(spark, sf_dir):
     return D.trend(D.period_sums(_ledger(spark, sf_dir)))
 
 
-@register("income_vs_spending", Q.income_vs_spending())
+@register("income_vs_spending", lambda: Q.income_vs_spending())
 def income_vs_spending(spark, sf_dir):
     return D.income_vs_spending(_ledger(spark, sf_dir))
 
 
-@register("top_categories_by_count", Q.top_categories_by_count(10))
+@register("top_categories_by_count", lambda: Q.top_categories_by_count(10))
 def top_categories_by_count(spark, sf_dir):
     return D.top_categories_by_count(_ledger(spark, sf_dir), 10)
 
 
-@register("category_distribution", Q.category_distribution())
+@register("category_distribution", lambda: Q.category_distribution())
 def category_distribution(spark, sf_dir):
     return D.category_distribution(_ledger(spark, sf_dir))
 
 
-@register("confidence_stats", Q.confidence_stats())
+@register("confidence_stats", lambda: Q.confidence_stats())
 def confidence_stats(spark, sf_dir):
     return D.confidence_stats(_ledger(spark, sf_dir))
 
 
-@register("uncategorized_rate", Q.uncategorized_rate())
+@register("uncategorized_rate", lambda: Q.uncategorized_rate())
 def uncategorized_rate(spark, sf_dir):
     return D.uncategorized_rate(_ledger(spark, sf_dir))
 
 
-@register("data_quality", Q.data_quality())
+@register("data_quality", lambda: Q.data_quality())
 def data_quality(spark, sf_dir):
     return D.data_quality(_ledger(spark, sf_dir))
 
 
-@register("file_profile", Q.file_profile(5))
+@register("file_profile", lambda: Q.file_profile(5))
 def file_profile(spark, sf_dir):
     return D.file_profile(_ledger(spark, sf_dir), 5)
 
@@ -199,13 +200,13 @@ from ..operators import subscriptions as S  # noqa: E402
 from ..operators import websites as W  # noqa: E402
 
 
-@register("merchant_features", Q.merchant_features())
+@register("merchant_features", lambda: Q.merchant_features())
 def merchant_features(spark, sf_dir):
     """The 12 recurring-charge features per (account, merchant)."""
     return S.merchant_features(S.expense_projection(_ledger(spark, sf_dir)))
 
 
-@register("subscription_costs", Q.subscription_costs())
+@register("subscription_costs", lambda: Q.subscription_costs())
 def subscription_costs(spark, sf_dir):
     """F15 + C11 over every (account, merchant) candidate."""
     f = S.merchant_features(S.expense_projection(_ledger(spark, sf_dir)))
@@ -221,12 +222,12 @@ def subscription_costs(spark, sf_dir):
 from ..operators import savings as G  # noqa: E402
 
 
-@register("monthly_averages", Q.monthly_averages())
+@register("monthly_averages", lambda: Q.monthly_averages())
 def monthly_averages(spark, sf_dir):
     return G.monthly_averages(_ledger(spark, sf_dir))
 
 
-@register("category_monthly_spend", Q.category_monthly_spend())
+@register("category_monthly_spend", lambda: Q.category_monthly_spend())
 def category_monthly_spend(spark, sf_dir):
     """G1 per category + G2 cut priority."""
     return G.category_monthly_spend(_ledger(spark, sf_dir))
@@ -236,7 +237,7 @@ def _goal_analysis(spark, sf_dir):
     return G.analyze_goals(_ledger(spark, sf_dir), td.goals(spark, sf_dir))
 
 
-@register("savings_plan", Q.savings_plan())
+@register("savings_plan", lambda: Q.savings_plan())
 def savings_plan(spark, sf_dir):
     """G3-G6 per goal (cuts counted; strategies counted)."""
     a = _goal_analysis(spark, sf_dir)
@@ -247,13 +248,13 @@ def savings_plan(spark, sf_dir):
                     "total_categories_analyzed", "high_priority_cuts", "achievable_with_cuts")
 
 
-@register("savings_cuts", Q.savings_cuts())
+@register("savings_cuts", lambda: Q.savings_cuts())
 def savings_cuts(spark, sf_dir):
     """G3 cut table: one row per suggested cut in plan order."""
     return G.explode_cuts(_goal_analysis(spark, sf_dir))
 
 
-@register("top_levers", Q.top_levers())
+@register("top_levers", lambda: Q.top_levers())
 def top_levers(spark, sf_dir):
     return G.top_levers(_ledger(spark, sf_dir))
 
@@ -276,43 +277,43 @@ def _lever_savings(spark, sf_dir):
     return G.lever_savings(G.top_levers(_ledger(spark, sf_dir, "customer")))
 
 
-@register("net_worth", Q.net_worth())
+@register("net_worth", lambda: Q.net_worth())
 def net_worth(spark, sf_dir):
     """H1/H2: current assets, liabilities, net worth per household."""
     return H.net_worth(H.with_defaults(_households(spark, sf_dir))).select(
         "account_id", "assets_total", "liabilities_total", "net_worth")
 
 
-@register("flow_summary", Q.flow_summary())
+@register("flow_summary", lambda: Q.flow_summary())
 def flow_summary(spark, sf_dir):
     return H.flow_summary(_households(spark, sf_dir))
 
 
-@register("projection_10y", Q.projection(120))
+@register("projection_10y", lambda: Q.projection(120))
 def projection_10y(spark, sf_dir):
     """H3-H5: month-by-month balances for 10 years (121 rows per household)."""
     return H.project_net_worth(_households(spark, sf_dir), 120, start_month=START_MONTH)
 
 
-@register("horizons", Q.horizons())
+@register("horizons", lambda: Q.horizons())
 def horizons(spark, sf_dir):
     """H6: 3m..50y from one 600-month projection."""
     return H.horizons(_households(spark, sf_dir), START_MONTH)
 
 
-@register("optimized_projection", Q.optimized_projection())
+@register("optimized_projection", lambda: Q.optimized_projection())
 def optimized_projection(spark, sf_dir):
     """G7 + H8: lever savings added to retirement contributions, both scenarios."""
     return H.optimized_projection(_households(spark, sf_dir), _lever_savings(spark, sf_dir), START_MONTH)
 
 
-@register("growth_stats_5y", Q.growth_stats(60))
+@register("growth_stats_5y", lambda: Q.growth_stats(60))
 def growth_stats_5y(spark, sf_dir):
     """H9 over the 5-year frame."""
     return H.growth_stats(_households(spark, sf_dir), _lever_savings(spark, sf_dir), 60, START_MONTH)
 
 
-@register("downsample_20y", Q.downsample(240, H.downsample_step(240)))
+@register("downsample_20y", lambda: Q.downsample(240, H.downsample_step(240)))
 def downsample_20y(spark, sf_dir):
     """Every 4th month of the 20-year series, 'Mon yyyy' labels."""
     step = H.downsample_step(240)
@@ -332,7 +333,7 @@ def _plan(spark, sf_dir):
     return I.priority_plan(td.priority_answers(spark, sf_dir), disc)
 
 
-@register("priority_rows", Q.priority_rows())
+@register("priority_rows", lambda: Q.priority_rows())
 def priority_rows(spark, sf_dir):
     """Four priority rows per household (texts counted)."""
     return (I.priority_rows(_plan(spark, sf_dir))
@@ -341,7 +342,7 @@ def priority_rows(spark, sf_dir):
                     F.size("recommendations").alias("n_recommendations")))
 
 
-@register("priority_plan", Q.priority_plan())
+@register("priority_plan", lambda: Q.priority_plan())
 def priority_plan(spark, sf_dir):
     """Plan totals per household."""
     return _plan(spark, sf_dir).drop("priorities")
@@ -358,7 +359,7 @@ def _index(spark, sf_dir):
     return C.fit_tfidf(C.training_table(td.category_training(spark, sf_dir)))
 
 
-@register("category_vocabulary", Q.category_vocabulary())
+@register("category_vocabulary", lambda: Q.category_vocabulary())
 def category_vocabulary(spark, sf_dir):
     """Vocabulary (top 30 000 uni/bi-grams) with smooth idf, reported to
     12 decimals (the two engines' ``ln`` may differ in the last bit)."""
@@ -366,13 +367,13 @@ def category_vocabulary(spark, sf_dir):
     return vocab.select("term", round_to(F.col("idf"), 12).alias("idf"))
 
 
-@register("knn_predictions", Q.knn_predictions(7, 0.25))
+@register("knn_predictions", lambda: Q.knn_predictions(7, 0.25))
 def knn_predictions(spark, sf_dir):
     """C6-C8 + C10: label and confidence of every distinct ledger description."""
     return C.predict_category(_ledger(spark, sf_dir).select("description"), _index(spark, sf_dir))
 
 
-@register("categorized_summary", Q.categorized_summary(5, 0.35))
+@register("categorized_summary", lambda: Q.categorized_summary(5, 0.35))
 def categorized_summary(spark, sf_dir):
     """Categorise the whole ledger, then rows/amount/confidence per category."""
     led = _ledger(spark, sf_dir).drop("category", "confidence")
@@ -390,13 +391,13 @@ def categorized_summary(spark, sf_dir):
 from ..operators import insights as N  # noqa: E402
 
 
-@register("insight_facts", Q.insight_fact_rows())
+@register("insight_facts", lambda: Q.insight_fact_rows())
 def insight_facts(spark, sf_dir):
     """Cash flow, six largest category deltas, five top merchants."""
     return N.insight_fact_rows(N.insight_facts(_ledger(spark, sf_dir)))
 
 
-@register("validate_cards", Q.validate_cards())
+@register("validate_cards", lambda: Q.validate_cards())
 def validate_cards(spark, sf_dir):
     """Schema check of card payloads (templated from the facts, plus raw
     assistant turns); an invalid payload yields no cards."""
@@ -409,32 +410,32 @@ def validate_cards(spark, sf_dir):
 # The same operators over the events ledger (one account per user)
 # ---------------------------------------------------------------------------
 
-@register("events_account_totals", Q.account_totals("events"))
+@register("events_account_totals", lambda: Q.account_totals("events"))
 def events_account_totals(spark, sf_dir):
     return D.account_totals(_ledger(spark, sf_dir, "events"))
 
 
-@register("events_daily_series_14d", Q.daily_series(14, "events"))
+@register("events_daily_series_14d", lambda: Q.daily_series(14, "events"))
 def events_daily_series_14d(spark, sf_dir):
     return E.daily_series(_ledger(spark, sf_dir, "events"), "14d")
 
 
-@register("events_category_summary_14d", Q.category_summary(13, "events"))
+@register("events_category_summary_14d", lambda: Q.category_summary(13, "events"))
 def events_category_summary_14d(spark, sf_dir):
     return E.category_summary(_ledger(spark, sf_dir, "events"), "14d")
 
 
-@register("events_current_vs_prior", Q.current_vs_prior("events"))
+@register("events_current_vs_prior", lambda: Q.current_vs_prior("events"))
 def events_current_vs_prior(spark, sf_dir):
     return E.current_vs_prior(_ledger(spark, sf_dir, "events"))
 
 
-@register("events_top_merchants", Q.top_merchants(5, "events"))
+@register("events_top_merchants", lambda: Q.top_merchants(5, "events"))
 def events_top_merchants(spark, sf_dir):
     return _long(E.top_merchants(_ledger(spark, sf_dir, "events"), 5), "rank")
 
 
-@register("events_merchant_features", Q.merchant_features("events"))
+@register("events_merchant_features", lambda: Q.merchant_features("events"))
 def events_merchant_features(spark, sf_dir):
     """F1-F9 per (user, event type)."""
     return S.merchant_features(S.expense_projection(_ledger(spark, sf_dir, "events")))
@@ -447,7 +448,7 @@ def events_merchant_features(spark, sf_dir):
 from ..sources import ingest as A  # noqa: E402
 
 
-@register("csv_roundtrip_totals", Q.account_totals())
+@register("csv_roundtrip_totals", lambda: Q.account_totals())
 def csv_roundtrip_totals(spark, sf_dir):
     """A6 export -> A1 read (header probe, B1 roles, B2/B3 parsing) -> D1:
     the totals must equal those of the ledger itself."""
