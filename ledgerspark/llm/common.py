@@ -85,3 +85,41 @@ def span_list(spans: Column) -> Column:
     """kind:start:end, comma-joined in the order given."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def per_document(docs: DataFrame, fn, fields: str, inputs: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """Rows that ``fn(*lists of the input columns)`` makes (a list of tuples, as
+    ``fields`` names them), a few hundred documents at a time. No shuffle."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(fields)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = fn(*[part.column(i).to_pylist() for i in range(part.num_columns)])
+                cols = list(zip(*rows)) if rows else [()] * len(arrow)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return docs.select(*inputs).mapInArrow(run, schema)
+
+
+def id_type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``bound`` labelled documents outside the held-out
+    fifth, chosen by a hash of the id. A document with several labels has the largest;
+    null labels don't count. The sample is small by its bound, so it is broadcast."""
+    lab = (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
+           .groupBy("doc_id").agg(F.max(label).alias("label"))
+           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+           .withColumnRenamed("doc_id", "_id"))
+    return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+            .join(F.broadcast(lab), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label"))

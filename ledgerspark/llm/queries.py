@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pii, rules, secrets
+from . import decontaminate, language, pii, quality, rules, secrets, toxicity
 from .common import table
 
 QUERIES = {}
@@ -23,6 +23,21 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.contamination(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op2_quality(spark, sf_dir):
+    return quality.score_quality(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_language(spark, sf_dir):
+    return language.identify(_docs(spark, sf_dir))
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_secrets(spark, sf_dir):
     return secrets.secret_digest(_docs(spark, sf_dir))
