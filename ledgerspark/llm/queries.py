@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, pii, quality, rules, secrets, toxicity
+from . import decontaminate, jaccard, language, pii, quality, rules, secrets, toxicity
 from .common import table
 
 QUERIES = {}
@@ -33,6 +33,11 @@ def op3_language(spark, sf_dir):
     return language.identify(_docs(spark, sf_dir))
 
 
+@query
+def op4_jaccard(spark, sf_dir):
+    return jaccard.near_duplicates(_docs(spark, sf_dir))
+
+
 @query
 def op6_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
