@@ -1,4 +1,52 @@
-STAGES = []
+"""Corpus preparation: quality, near duplicates, decontamination, PII, mixture.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next stage's docs. The first four return the columns of
+``documents``; the last adds the mixture's domain, rate and copies.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerspark.llm import decontaminate, jaccard, mixing, pii, quality
+from ledgerspark.llm.common import staged, table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near duplicates."""
+    return jaccard.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a telling share of benchmark passages."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by <KIND>."""
+    return pii.redact_documents(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their rate and copies in the target mixture."""
+    return mixing.draw(docs, table(spark, sf_dir, "labels"))
+
+
+STAGES = [("quality", keep_good), ("near_duplicates", keep_one_of_each), ("decontaminate", drop_contaminated),
+          ("pii", redact), ("mixing", mix)]
+
+#: The classifier, the components and the mixture have no SQL form.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

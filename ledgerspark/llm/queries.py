@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, pii, quality, rules, secrets, toxicity
+from . import decontaminate, jaccard, language, licenses, mixing, pii, quality, rules, secrets, toxicity
 from .common import table
 
 QUERIES = {}
@@ -38,6 +38,11 @@ def op4_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(_docs(spark, sf_dir))
 
 
+@query
+def op5_licenses(spark, sf_dir):
+    return licenses.find_licenses(_docs(spark, sf_dir))
+
+
 @query
 def op6_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
@@ -53,6 +58,11 @@ def op8_pii(spark, sf_dir):
     return pii.pii_digest(_docs(spark, sf_dir))
 
 
+@query
+def op9_mixing(spark, sf_dir):
+    return mixing.mixed(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 @query
 def op10_rules(spark, sf_dir):
     return rules.judge(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
