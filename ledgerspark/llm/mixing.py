@@ -32,7 +32,7 @@ WORDS = 200                        # words at most that mark a domain
 MOST = 4.0                         # largest rate
 STAY = 1e-4                        # pull towards rate 1
 GRID = 500                         # cells per unit of probability
-STEPS, TOLERANCE = 80, 1e-5        # of the total tokens
+STEPS, TOLERANCE = 60, 1e-4        # of the total tokens
 # Domains of the labels table and their default weights.
 DOMAINS = {"clean": 0.96, "junk": 0.015, "toxic": 0.025}
 
