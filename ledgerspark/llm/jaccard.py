@@ -22,8 +22,9 @@ selective buckets are all worked off.
 Buckets hold documents with a signature in common. Each document is first compared with
 the smallest of its bucket only, so a large group of near copies costs one comparison
 each, not one per pair. Where a bucket's documents end up in different components, the
-pairs across components are compared too (level 1: unless the bucket is hot). All pairs
-are verified on the whole sets. Exact copies are joined by a hash of their words first
+pairs across components are counted too (level 1: unless the bucket is hot), and those
+that share as many signatures as the guarantee asks for, less the hot ones that they may
+share, are compared. All pairs are verified on the whole sets. Exact copies are joined by a hash of their words first
 and emit signatures once per task.
 
 Costs: about half a signature per shingle is shuffled; the rest follows the number of
@@ -42,7 +43,7 @@ from .components import connected
 
 WORDS, PERCENT = 5, 75
 SPARE = 0.2                     # X as a share of the largest H of a scheme
-HOT_PAIRS = 2_000               # pairs across components that make a bucket hot
+HOT_PAIRS = 200                 # pairs across components that make a bucket hot
 BROADCAST_ROWS = 300_000        # of small rows (ids); beyond it joins shuffle
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -194,8 +195,8 @@ def _emit(docs: DataFrame, level: int) -> DataFrame:
 
 
 def _buckets(keys: DataFrame) -> DataFrame:
-    """(key, node, n, tag, center, cn): rows that share a key with another, beside the
-    smallest node of the key and its size; rows that can spare nothing stay alone with a
+    """(key, node, n, tag, center, cn, ctag): rows that share a key with another, beside
+    the smallest node of the key, its size and tag; rows that can spare nothing stay alone with a
     null center. Each partition is read in order of the key, a batch at a time, so a
     key may have any number of rows."""
     import pyarrow as pa
@@ -203,14 +204,14 @@ def _buckets(keys: DataFrame) -> DataFrame:
     from pyspark.sql.types import StructType
 
     kind = keys.schema["node"].dataType.simpleString()
-    schema = StructType.fromDDL(f"key long, node {kind}, n int, tag int, center {kind}, cn int")
+    schema = StructType.fromDDL(f"key long, node {kind}, n int, tag int, center {kind}, cn int, ctag int")
     arrow = to_arrow_schema(schema)
 
     def rows(table, emit, first, shared):
         pick = pa.array(np.flatnonzero(emit))
         center = pa.array(np.where(shared, first, 0)[emit], mask=~shared[emit])
         return pa.RecordBatch.from_arrays(
-            [c.take(pick) for c in table.columns] + [table.column(1).take(center), table.column(2).take(center)], schema=arrow)
+            [c.take(pick) for c in table.columns] + [c.take(center) for c in table.columns[1:]], schema=arrow)
 
     def run(batches):
         head, told = None, False          # first row of the last key, and whether it was given out
@@ -292,14 +293,24 @@ def _with_comp(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataF
             .withColumn(name, F.coalesce("_comp", node)).drop("_node", "_comp"))
 
 
+def _band(tag: str):
+    return F.col(tag) % 64
+
+
+def _spare(tag: str):
+    return F.floor(F.col(tag) / 64) - 1
+
+
 def _work_off(docs: DataFrame, buckets: DataFrame, edges: DataFrame, hot: bool) -> tuple[DataFrame, DataFrame | None]:
     """Links among the documents of the buckets, and the rows of hot buckets (``hot``:
     leave these out). ``edges`` are the links so far."""
-    stars = staged(buckets.filter("center is not null and node <> center")
-                   .select("node", "n", "center", "cn").distinct(), "stars")
-    links = verify(docs, stars.filter(_may_link("n", "cn")).select(F.col("center").alias("a"), F.col("node").alias("b")))
+    # a count that shows a likely link; stars that don't reach it stay open
+    stars = staged(buckets.filter("center is not null and node <> center").groupBy("node", "n", "center", "cn", _band("tag").alias("band"))
+                   .agg(F.count(F.lit(1)).alias("k"), F.max(F.least(_spare("tag"), _spare("ctag"))).alias("spare")), "stars")
+    links = verify(docs, stars.filter(_may_link("n", "cn") & (2 * F.col("k") > F.col("spare")))
+                   .select(F.col("center").alias("a"), F.col("node").alias("b")))
     comps = staged(connected(edges.unionByName(links)), "comps")
-    apart = _with_comp(_with_comp(stars, comps, "node", "x"), comps, "center", "y").filter("x <> y").select("node", "center")
+    apart = _with_comp(_with_comp(stars.select("node", "center").distinct(), comps, "node", "x"), comps, "center", "y").filter("x <> y").select("node", "center")
     apart = staged(apart, "apart")
     if apart.isEmpty():
         return links, None
@@ -311,20 +322,26 @@ def _work_off(docs: DataFrame, buckets: DataFrame, edges: DataFrame, hot: bool)
                .groupBy("key").agg(F.sum("n_comp").alias("n_all"), F.sum(F.col("n_comp") * F.col("n_comp")).alias("n_own")))
     too_many = F.lit(hot) & ((F.col("n_all") * F.col("n_all") - F.col("n_own")) / 2 > HOT_PAIRS)
     per_key = staged(per_key.select("key", too_many.alias("is_hot")), "open-keys")
+    hot_rows = rows.join(per_key.filter("is_hot"), "key", "left_semi")
     cold = rows.join(per_key.filter("not is_hot"), "key", "left_semi")
     p, q = cold.alias("p"), cold.alias("q")
-    across = (p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.comp") != F.col("q.comp")))
-              .filter(_may_link("p.n", "q.n")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct())
-    across = across.join(stars.select(F.col("center").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti")
-    links = links.unionByName(verify(docs, across))
-    return links, rows.join(per_key.filter("is_hot"), "key", "left_semi")
+    shared = (p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.comp") != F.col("q.comp")))
+              .filter(_may_link("p.n", "q.n"))
+              .groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b"), _band("p.tag").alias("band"))
+              .agg(F.count(F.lit(1)).alias("k"), F.max(F.least(_spare("p.tag"), _spare("q.tag"))).alias("spare")))
+    if hot:
+        n_hot = staged(hot_rows.groupBy("node", _band("tag").alias("band")).agg(F.count(F.lit(1)).alias("k_hot")), "hot")
+        for end in ("a", "b"):
+            shared = shared.join(_small(n_hot.select(F.col("node").alias(end), "band", F.col("k_hot").alias(f"hot_{end}"))), [end, "band"], "left")
+        shared = shared.filter(F.col("k") > F.col("spare") - F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))))
+    return links.unionByName(verify(docs, shared.select("a", "b"))), hot_rows if hot else None
 
 
 def links(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """Verified links (a, b) that join what is linked, beside the edges ``copies``."""
     buckets = _buckets(_emit(docs, 1))
     found, hot = _work_off(docs, buckets, copies, hot=True)
-    band, spare = F.col("tag") % 64, F.floor(F.col("tag") / 64) - 1
+    band, spare = _band("tag"), _spare("tag")
     needy = buckets.filter(spare < 0).select("node", band.alias("band"))
     if hot is not None:
         needy = needy.unionByName(hot.groupBy("node", band.alias("band")).agg(F.count(F.lit(1)).alias("k"), F.max(spare).alias("spare"))
