@@ -14,22 +14,30 @@ many documents share) gets allocation 0, and the guarantee holds for every docum
 at most X hot signatures. So a link can be lost only between two documents that both have
 more hot signatures than they can spare ("needy").
 
-Level 2 (one-deletion neighbourhoods). Needy documents alone are cut into half as many,
-larger segments, each worth two differences: subsets that differ by one shingle meet
-because every subset is indexed whole and with each one shingle deleted. Its few and
-selective buckets are all worked off.
-
-Buckets hold documents with a signature in common. Each document is first compared with
-the smallest of its bucket only, so a large group of near copies costs one comparison
-each, not one per pair. Where a bucket's documents end up in different components, the
-pairs across components are counted too (level 1: unless the bucket is hot), and those
-that share as many signatures as the guarantee asks for, less the hot ones that they may
-share, are compared. All pairs are verified on the whole sets. Exact copies are joined by a hash of their words first
-and emit signatures once per task.
+Level 2. Needy documents alone are cut into many more segments, most of one shingle, and
+emit all their subsets: documents are still needy only if most of their shingles are hot.
+
+Level 3 (one-deletion neighbourhoods). What is still needy is cut into few, larger
+segments, each worth two differences: subsets that differ by one shingle meet because
+every subset is indexed whole and with each one shingle deleted.
+
+The rest, documents that even so share hot signatures only (dense groups of copies that
+are nearly, but not quite, linked), are compared in blocks: their sets are dealt into
+tiles of bounded size, and a task counts the intersections of a tile by an inverted index
+and returns no more links than join its components.
+
+Buckets hold documents with a signature in common. Each document is compared with one
+center of its bucket only, first the smallest id, then the document with most signatures
+in buckets, so a large group of near copies costs a comparison or two each, not one per
+pair. Where a bucket's documents still are in different components, the pairs across
+components are counted (unless the bucket is hot), and those that share as many
+signatures as the guarantee asks for, less the hot ones that they may share, are
+compared. All pairs are verified on the whole sets. Exact copies are joined by a hash of
+their words first and emit signatures once per task.
 
 Costs: about half a signature per shingle is shuffled; the rest follows the number of
-documents that share signatures. The worst case is many needy documents that share most,
-but less than three quarters, of their text: their level 2 pairs are all compared.
+documents that share signatures. The blocks read a dense group of n documents n / (size
+of a block) times, which only matters for very large groups.
 """
 
 from __future__ import annotations
@@ -43,7 +51,8 @@ from .components import connected
 
 WORDS, PERCENT = 5, 75
 SPARE = 0.2                     # X as a share of the largest H of a scheme
-HOT_PAIRS = 200                 # pairs across components that make a bucket hot
+HOT_PAIRS = 50                  # pairs across components that make a bucket hot
+BLOCK = 250_000                 # shingles of a block of the rest, about
 BROADCAST_ROWS = 300_000        # of small rows (ids); beyond it joins shuffle
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -107,9 +116,9 @@ def subset_keys(h: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
     """Level 1: (signatures, spare, band) per scheme. spare -1: too few segments."""
     out = []
     for band, apart in schemes(len(h)):
-        m, salt = 4 * (1 << band) // 10 + 6, 2 * band + 1
+        salt = 4 * band + 1
         spare = int(SPARE * most_apart(1 << band, 1 << band)) + 2
-        _, seg, content = _segments(h, m, salt)
+        _, seg, content = _segments(h, 4 * (1 << band) // 10 + 6, salt)
         keys = _key(content, seg, salt)
         take = min(len(keys), apart + 1 + spare)
         if take < len(keys):
@@ -118,26 +127,38 @@ def subset_keys(h: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
     return out
 
 
-def neighbourhood_keys(h: np.ndarray, bands: list[int]) -> np.ndarray:
-    """Level 2: signatures of all segment subsets whole and with one shingle deleted.
-    A subset of one shingle is worth one difference, a larger one two; where these
-    don't exceed H, empty subsets are indexed as well."""
+def fine_keys(h: np.ndarray, bands: list[int]) -> list[tuple[np.ndarray, int, int]]:
+    """Level 2: signatures of all subsets of a fine partition."""
+    out = []
+    for band, apart in schemes(len(h)):
+        if band in bands:
+            salt = 4 * band + 2
+            _, seg, content = _segments(h, 4 * (1 << band) + 6, salt)
+            out.append((_key(content, seg, salt), max(-1, len(seg) - apart - 1), band))
+    return out
+
+
+def neighbourhood_keys(h: np.ndarray, bands: list[int]) -> list[tuple[np.ndarray, int, int]]:
+    """Level 3: signatures of all segment subsets whole and with one shingle deleted.
+    A subset of one shingle is worth one difference, a larger one two; subsets worth
+    more than H in all leave that much shared, else empty subsets are indexed as well."""
     out = []
     for band, apart in schemes(len(h)):
         if band not in bands:
             continue
-        m, salt = 56 * (most_apart(1 << band, 1 << band) + 1) // 100 + 2, 2 * band
+        m, salt = 3 * (most_apart(1 << band, 1 << band) + 1) // 4 + 2, 4 * band + 3
         first, seg, content = _segments(h, m, salt)
         sizes = np.diff(np.append(first, len(h)))
-        out.append(_key(content, seg, salt))
         member = np.repeat(np.arange(len(seg)), sizes)
         some = sizes[member] > 1
-        out.append(_key((content[member] - _mix(h ^ np.uint64(salt)))[some], seg[member][some], salt))
-        if np.minimum(sizes, 2).sum() < apart + 1:
+        keys = [_key(content, seg, salt), _key((content[member] - _mix(h ^ np.uint64(salt)))[some], seg[member][some], salt)]
+        worth = int(np.minimum(sizes, 2).sum())
+        if worth <= apart:
             none = np.arange(m, dtype=np.uint64)
             none = none[~np.isin(none, seg[sizes > 1])]           # empty, or empty after a deletion
-            out.append(_key(np.zeros(len(none), np.uint64), none, salt))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+            keys.append(_key(np.zeros(len(none), np.uint64), none, salt))
+        out.append((np.unique(np.concatenate(keys)), max(0, -(-(worth - apart) // 2) - 1), band))
+    return out
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -155,14 +176,15 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def _emit(docs: DataFrame, level: int) -> DataFrame:
-    """(key, node, n, tag): the signatures of each document; of copies, one in a
-    task. tag: (spare + 1) * 64 + band. Level 2 reads the column ``bands``."""
+    """(key, node, info): the signatures of each document; of copies, one in a task.
+    Levels 2 and 3 read the column ``bands``."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = StructType.fromDDL(f"key long, node {id_type(docs)}, n int, tag int")
+    schema = StructType.fromDDL(f"key long, node {id_type(docs)}, info long")
     arrow = to_arrow_schema(schema)
+    signatures = {1: lambda h, _: subset_keys(h), 2: fine_keys, 3: neighbourhood_keys}[level]
 
     def run(batches):
         import xxhash
@@ -170,33 +192,45 @@ def _emit(docs: DataFrame, level: int) -> DataFrame:
         seen = set()            # hashes of this task's texts
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            bands = batch.column(2).to_pylist() if level == 2 else None
+            bands = batch.column(2).to_pylist() if level > 1 else [None] * len(ids)
             for at in range(0, len(ids), 256):
-                keys, rows, sizes, tags = [], [], [], []
+                keys, rows, infos = [], [], []
                 for r, t in enumerate(texts.slice(at, 256).to_pylist(), at):
                     ws = split(t)
-                    mark = (xxhash.xxh3_128_digest(b" ".join(ws)), tuple(bands[r]) if bands else None)
+                    mark = (xxhash.xxh3_128_digest(b" ".join(ws)), tuple(bands[r] or ()))
                     if not ws or mark in seen:
                         continue
                     seen.add(mark)
                     h = shingles(ws)
-                    for k, spare, band in subset_keys(h) if level == 1 else [(neighbourhood_keys(h, bands[r]), 0, 0)]:
+                    for k, spare, band in signatures(h, bands[r]):
                         keys.append(k)
                         rows.append(np.full(len(k), r))
-                        sizes.append(np.full(len(k), len(h), np.int32))
-                        tags.append(np.full(len(k), (spare + 1) * 64 + band, np.int32))
+                        infos.append(np.full(len(k), (len(h) << 32) + ((spare + 1) << 6) + band))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate(keys).view(np.int64)), ids.take(pa.array(np.concatenate(rows))),
-                        pa.array(np.concatenate(sizes)), pa.array(np.concatenate(tags))], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)),
+                                                      ids.take(pa.array(np.concatenate(rows))),
+                                                      pa.array(np.concatenate(infos))], schema=arrow)
 
-    cols = ["doc_id", "text"] + ["bands"] * (level == 2)
+    cols = ["doc_id", "text"] + ["bands"] * (level > 1)
     return docs.filter("doc_id is not null").select(*cols).mapInArrow(run, schema)
 
 
+def _size(info: str):
+    """info: size of the set, spare + 1 and band in one number."""
+    return F.shiftright(info, 32)
+
+
+def _spare(info: str):
+    return F.shiftright(F.col(info).bitwiseAND(0xFFFFFFFF), 6) - 1
+
+
+def _band(info: str):
+    return F.col(info).bitwiseAND(63)
+
+
 def _buckets(keys: DataFrame) -> DataFrame:
-    """(key, node, n, tag, center, cn, ctag): rows that share a key with another, beside
-    the smallest node of the key, its size and tag; rows that can spare nothing stay alone with a
+    """(key, node, info, center, cinfo): rows that share a key with another, beside the
+    smallest node of the key and its info; rows that can spare nothing stay alone with a
     null center. Each partition is read in order of the key, a batch at a time, so a
     key may have any number of rows."""
     import pyarrow as pa
@@ -204,7 +238,7 @@ def _buckets(keys: DataFrame) -> DataFrame:
     from pyspark.sql.types import StructType
 
     kind = keys.schema["node"].dataType.simpleString()
-    schema = StructType.fromDDL(f"key long, node {kind}, n int, tag int, center {kind}, cn int, ctag int")
+    schema = StructType.fromDDL(f"key long, node {kind}, info long, center {kind}, cinfo long")
     arrow = to_arrow_schema(schema)
 
     def rows(table, emit, first, shared):
@@ -220,7 +254,7 @@ def _buckets(keys: DataFrame) -> DataFrame:
                 continue
             table = pa.Table.from_batches([x for x in (head, batch) if x is not None]).combine_chunks().to_batches()[0]
             k = table.column(0).to_numpy()
-            alone = table.column(3).to_numpy() < 64                     # spare of -1
+            alone = (table.column(2).to_numpy() & 0xFFFFFFFF) < 64      # spare of -1
             start = np.append(True, k[1:] != k[:-1])
             first = np.maximum.accumulate(np.where(start, np.arange(len(k)), 0))
             shared = ~start | np.append(k[1:] == k[:-1], False)
@@ -235,7 +269,7 @@ def _buckets(keys: DataFrame) -> DataFrame:
             if emit.any():
                 yield rows(table, emit, first, shared)
             head, told = table.slice(last, 1), told_now
-        if head is not None and not told and head.column(3)[0].as_py() < 64:
+        if head is not None and not told and (head.column(2)[0].as_py() & 0xFFFFFFFF) < 64:
             one = np.array([True])
             yield rows(head, one, np.array([0]), ~one)
 
@@ -249,7 +283,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _may_link(a: str, b: str):
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    return 100 * F.least(_size(a), _size(b)) >= PERCENT * F.greatest(_size(a), _size(b))
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -293,65 +327,147 @@ def _with_comp(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataF
             .withColumn(name, F.coalesce("_comp", node)).drop("_node", "_comp"))
 
 
-def _band(tag: str):
-    return F.col(tag) % 64
+def _starred(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links of documents to the centers of their buckets. A pair is compared if its
+    count shows a likely link; what is not stays open."""
+    pairs = (rows.filter(_may_link("info", "cinfo")).groupBy("center", "node", _band("info").alias("band"))
+             .agg(F.count(F.lit(1)).alias("k"), F.max(F.least(_spare("info"), _spare("cinfo"))).alias("spare"))
+             .filter(2 * F.col("k") > F.col("spare")))
+    return verify(docs, pairs.select(F.col("center").alias("a"), F.col("node").alias("b")))
 
 
-def _spare(tag: str):
-    return F.floor(F.col(tag) / 64) - 1
+def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, node, info, comp): the rows of keys whose nodes lie in several components."""
+    rows = staged(_with_comp(rows, comps, "node", "comp"), "rows")
+    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    return staged(rows.join(_small(staged(keys, "open")), "key", "left_semi"), "open-rows")
 
 
-def _work_off(docs: DataFrame, buckets: DataFrame, edges: DataFrame, hot: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Links among the documents of the buckets, and the rows of hot buckets (``hot``:
-    leave these out). ``edges`` are the links so far."""
-    # a count that shows a likely link; stars that don't reach it stay open
-    stars = staged(buckets.filter("center is not null and node <> center").groupBy("node", "n", "center", "cn", _band("tag").alias("band"))
-                   .agg(F.count(F.lit(1)).alias("k"), F.max(F.least(_spare("tag"), _spare("ctag"))).alias("spare")), "stars")
-    links = verify(docs, stars.filter(_may_link("n", "cn") & (2 * F.col("k") > F.col("spare")))
-                   .select(F.col("center").alias("a"), F.col("node").alias("b")))
-    comps = staged(connected(edges.unionByName(links)), "comps")
-    apart = _with_comp(_with_comp(stars.select("node", "center").distinct(), comps, "node", "x"), comps, "center", "y").filter("x <> y").select("node", "center")
+def _work_off(docs: DataFrame, buckets: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(edges with the links among the documents of the buckets, rows of the hot buckets,
+    which were left out)."""
+    shared = buckets.filter("center is not null")
+    edges = edges.unionByName(_starred(docs, shared.filter("node <> center")))
+    comps = staged(connected(edges), "comps")
+    apart = _with_comp(_with_comp(shared.filter("node <> center").select("node", "center").distinct(), comps, "node", "x"),
+                       comps, "center", "y").filter("x <> y").select("node", "center")
     apart = staged(apart, "apart")
     if apart.isEmpty():
-        return links, None
-    open_ = buckets.filter("center is not null").join(_small(apart), ["node", "center"], "left_semi").select("key").distinct()
-    open_ = staged(open_, "open")
-    rows = staged(_with_comp(buckets.filter("center is not null").join(_small(open_), "key", "left_semi")
-                             .select("key", "node", "n", "tag"), comps, "node", "comp"), "open-rows")
+        return edges, None
+    keys = staged(shared.join(_small(apart), ["node", "center"], "left_semi").select("key").distinct(), "open")
+    rows = staged(shared.join(_small(keys), "key", "left_semi").select("key", "node", "info"), "shared-rows")
+
+    # second center: the node with the largest part of its signatures in buckets
+    part = buckets.groupBy("node").agg((F.count(F.lit(1)) / F.max(_size("info"))).alias("part"))
+    part = part.select(F.col("node").alias("_node"), "part")
+    ranked = rows.join(_small(staged(part, "parts")), F.col("node") == F.col("_node"))
+    best = ranked.groupBy("key").agg(F.max(F.struct("part", "node", "info")).alias("best"))
+    second = rows.join(best, "key").select("key", "node", "info", F.col("best.node").alias("center"), F.col("best.info").alias("cinfo"))
+    second = _with_comp(_with_comp(second.filter("node <> center"), comps, "node", "x"), comps, "center", "y").filter("x <> y")
+    edges = edges.unionByName(_starred(docs, second))
+    comps = staged(connected(edges), "comps")
+    rows = _open(rows, comps)
+
     per_key = (rows.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("n_comp"))
                .groupBy("key").agg(F.sum("n_comp").alias("n_all"), F.sum(F.col("n_comp") * F.col("n_comp")).alias("n_own")))
-    too_many = F.lit(hot) & ((F.col("n_all") * F.col("n_all") - F.col("n_own")) / 2 > HOT_PAIRS)
-    per_key = staged(per_key.select("key", too_many.alias("is_hot")), "open-keys")
-    hot_rows = rows.join(per_key.filter("is_hot"), "key", "left_semi")
-    cold = rows.join(per_key.filter("not is_hot"), "key", "left_semi")
+    hot = (F.col("n_all") * F.col("n_all") - F.col("n_own")) / 2 > HOT_PAIRS
+    per_key = staged(per_key.select("key", hot.alias("hot")), "open-keys")
+    hot_rows = staged(rows.join(per_key.filter("hot"), "key", "left_semi"), "hot-rows")
+    cold = rows.join(per_key.filter("not hot"), "key", "left_semi")
     p, q = cold.alias("p"), cold.alias("q")
-    shared = (p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.comp") != F.col("q.comp")))
-              .filter(_may_link("p.n", "q.n"))
-              .groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b"), _band("p.tag").alias("band"))
-              .agg(F.count(F.lit(1)).alias("k"), F.max(F.least(_spare("p.tag"), _spare("q.tag"))).alias("spare")))
-    if hot:
-        n_hot = staged(hot_rows.groupBy("node", _band("tag").alias("band")).agg(F.count(F.lit(1)).alias("k_hot")), "hot")
-        for end in ("a", "b"):
-            shared = shared.join(_small(n_hot.select(F.col("node").alias(end), "band", F.col("k_hot").alias(f"hot_{end}"))), [end, "band"], "left")
-        shared = shared.filter(F.col("k") > F.col("spare") - F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))))
-    return links.unionByName(verify(docs, shared.select("a", "b"))), hot_rows if hot else None
+    pairs = (p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.comp") != F.col("q.comp"))
+                    & _may_link("p.info", "q.info"))
+             .groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b"), _band("p.info").alias("band"))
+             .agg(F.count(F.lit(1)).alias("k"), F.max(F.least(_spare("p.info"), _spare("q.info"))).alias("spare")))
+    n_hot = staged(hot_rows.groupBy("node", _band("info").alias("band")).agg(F.count(F.lit(1)).alias("k_hot")), "hot")
+    for end in ("a", "b"):
+        pairs = pairs.join(_small(n_hot.select(F.col("node").alias(end), "band", F.col("k_hot").alias(f"hot_{end}"))), [end, "band"], "left")
+    pairs = pairs.filter(F.col("k") > F.col("spare") - F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))))
+    return edges.unionByName(verify(docs, pairs.select("a", "b"))), hot_rows
+
+
+def _needy(buckets: DataFrame, hot_rows: DataFrame | None) -> DataFrame:
+    """(node, bands): documents whose guarantee the hot signatures use up, and those that
+    have none (at level 3 all have)."""
+    needy = buckets.filter(_spare("info") < 0).select("node", _band("info").alias("band"))
+    if hot_rows is not None:
+        needy = needy.unionByName(hot_rows.groupBy("node", _band("info").alias("band"))
+                                  .agg(F.count(F.lit(1)).alias("k"), F.max(_spare("info")).alias("spare"))
+                                  .filter("k > spare").select("node", "band"))
+    return staged(needy.distinct().groupBy("node").agg(F.sort_array(F.collect_list("band")).alias("bands")), "needy")
+
+
+def _tile_links(rows):
+    """Links of one tile, as a pandas frame (i, j, block, node, comp, set): the pairs of a
+    block i document and a block j document (of all, where the blocks are one)."""
+    import pandas as pd
+
+    up: dict = {}
+
+    def find(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    same = rows["i"].iloc[0] == rows["j"].iloc[0]
+    left = rows[rows["block"] == rows["i"]]
+    right = rows[rows["block"] == rows["j"]]
+    sets = [np.frombuffer(b, np.uint64) for b in right["set"]]
+    sizes = np.array([len(x) for x in sets])
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": left["node"][:0], "b": left["node"][:0]})
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    nodes, comps = right["node"].tolist(), right["comp"].tolist()
+    a, b = [], []
+    for at, (node, comp, blob) in enumerate(zip(left["node"], left["comp"], left["set"])):
+        x = np.frombuffer(blob, np.uint64)
+        lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+        n = hi - lo
+        hits = owner[np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+        k = np.bincount(hits, minlength=len(sets))
+        for r in np.flatnonzero(100 * k >= PERCENT * (len(x) + sizes - k)):
+            if (not same or r > at) and find(comp) != find(comps[r]):
+                up[find(comp)] = find(comps[r])
+                a.append(node)
+                b.append(nodes[r])
+    return pd.DataFrame({"a": a, "b": b}, dtype=rows["node"].dtype)
+
+
+def _rest(docs: DataFrame, hot_rows: DataFrame, needy: DataFrame, edges: DataFrame) -> DataFrame:
+    """Links among the needy documents, by groups of those that are joined by hot
+    signatures, in tiles of two blocks."""
+    kind = id_type(docs)
+    hot_rows = hot_rows.join(_small(needy.select("node")), "node", "left_semi").select("key", "node")
+    center = hot_rows.groupBy("key").agg(F.min("node").alias("center"))
+    group = connected(hot_rows.join(center, "key").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct())
+    group = staged(group.select("node", F.col("comp").alias("group")), "groups")
+    sets = per_document(docs.select("doc_id", "text").join(_small(group), F.col("doc_id") == F.col("node")),
+                        lambda ids, texts, groups: [(g, i, len(h), h.tobytes()) for i, t, g in zip(ids, texts, groups) if len(h := shingles(split(t)))],
+                        f"group {kind}, node {kind}, n long, set binary", ("doc_id", "text", "group"))
+    sets = staged(sets, "rest")
+    blocks = sets.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("group", "_group")
+    sets = _with_comp(sets, staged(connected(edges), "comps"), "node", "comp")
+    dealt = (sets.join(_small(staged(blocks, "blocks")), F.col("group") == F.col("_group"))
+             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "set"))
+    return staged(dealt.groupBy("group", "i", "j").applyInPandas(_tile_links, f"a {kind}, b {kind}"), "rest-links")
 
 
 def links(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """Verified links (a, b) that join what is linked, beside the edges ``copies``."""
-    buckets = _buckets(_emit(docs, 1))
-    found, hot = _work_off(docs, buckets, copies, hot=True)
-    band, spare = _band("tag"), _spare("tag")
-    needy = buckets.filter(spare < 0).select("node", band.alias("band"))
-    if hot is not None:
-        needy = needy.unionByName(hot.groupBy("node", band.alias("band")).agg(F.count(F.lit(1)).alias("k"), F.max(spare).alias("spare"))
-                                  .filter("k > spare").select("node", "band"))
-    needy = staged(needy.distinct().groupBy("node").agg(F.sort_array(F.collect_list("band")).alias("bands")), "needy")
-    if needy.isEmpty():
-        return found
-    again = docs.select("doc_id", "text").join(_small(needy), F.col("doc_id") == F.col("node"))
-    more, _ = _work_off(docs, _buckets(_emit(again, 2)), copies.unionByName(found), hot=False)
-    return found.unionByName(more)
+    """The edges ``copies`` and verified links (a, b) that join all that is linked."""
+    edges, now = copies, docs
+    for level in (1, 2, 3):
+        buckets = _buckets(_emit(now, level))
+        edges, hot_rows = _work_off(docs, buckets, edges)
+        needy = _needy(buckets, hot_rows)
+        if needy.isEmpty():
+            return edges
+        now = docs.select("doc_id", "text").join(_small(needy), F.col("doc_id") == F.col("node"))
+    return edges.unionByName(_rest(docs, hot_rows, needy, edges))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -364,7 +480,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = m.filter("n > 0 and doc_id is not null")
     reps = full.groupBy("words_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     copies = staged(full.join(reps, "words_id").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies")
-    comps = connected(copies.unionByName(links(docs, copies)))
+    comps = connected(links(docs, copies))
     return m.join(comps, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
