@@ -14,10 +14,7 @@ many documents share) gets allocation 0, and the guarantee holds for every docum
 at most X hot signatures. So a link can be lost only between two documents that both have
 more hot signatures than they can spare ("needy").
 
-Level 2. Needy documents alone are cut into many more segments, most of one shingle, and
-emit all their subsets: documents are still needy only if most of their shingles are hot.
-
-Level 3 (one-deletion neighbourhoods). What is still needy is cut into few, larger
+Level 2 (one-deletion neighbourhoods). Needy documents alone are cut into fewer, larger
 segments, each worth two differences: subsets that differ by one shingle meet because
 every subset is indexed whole and with each one shingle deleted.
 
@@ -26,13 +23,11 @@ are nearly, but not quite, linked), are compared in blocks: their sets are dealt
 tiles of bounded size, and a task counts the intersections of a tile by an inverted index
 and returns no more links than join its components.
 
-Buckets hold documents with a signature in common. Each document is compared with one
-center of its bucket only, first the smallest id, then the document with most signatures
-in buckets, so a large group of near copies costs a comparison or two each, not one per
-pair. Where a bucket's documents still are in different components, the pairs across
-components are counted (unless the bucket is hot), and those that share as many
-signatures as the guarantee asks for, less the hot ones that they may share, are
-compared. All pairs are verified on the whole sets. Exact copies are joined by a hash of
+Buckets hold documents with a signature in common. Each document is first compared with
+the smallest of its bucket only, so a large group of near copies costs one comparison
+each, not one per pair. Where a bucket's documents still are in different components, the
+pairs across components are counted (unless the bucket is hot), and those that share as
+many signatures as the guarantee asks for are compared. All pairs are verified on the whole sets. Exact copies are joined by a hash of
 their words first and emit signatures once per task.
 
 Costs: about half a signature per shingle is shuffled; the rest follows the number of
@@ -127,26 +122,15 @@ def subset_keys(h: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
     return out
 
 
-def fine_keys(h: np.ndarray, bands: list[int]) -> list[tuple[np.ndarray, int, int]]:
-    """Level 2: signatures of all subsets of a fine partition."""
-    out = []
-    for band, apart in schemes(len(h)):
-        if band in bands:
-            salt = 4 * band + 2
-            _, seg, content = _segments(h, 4 * (1 << band) + 6, salt)
-            out.append((_key(content, seg, salt), max(-1, len(seg) - apart - 1), band))
-    return out
-
-
 def neighbourhood_keys(h: np.ndarray, bands: list[int]) -> list[tuple[np.ndarray, int, int]]:
-    """Level 3: signatures of all segment subsets whole and with one shingle deleted.
+    """Level 2: signatures of all segment subsets whole and with one shingle deleted.
     A subset of one shingle is worth one difference, a larger one two; subsets worth
     more than H in all leave that much shared, else empty subsets are indexed as well."""
     out = []
     for band, apart in schemes(len(h)):
         if band not in bands:
             continue
-        m, salt = 3 * (most_apart(1 << band, 1 << band) + 1) // 4 + 2, 4 * band + 3
+        m, salt = 3 * (most_apart(1 << band, 1 << band) + 1) // 4 + 2, 4 * band + 2
         first, seg, content = _segments(h, m, salt)
         sizes = np.diff(np.append(first, len(h)))
         member = np.repeat(np.arange(len(seg)), sizes)
@@ -177,14 +161,14 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def _emit(docs: DataFrame, level: int) -> DataFrame:
     """(key, node, info): the signatures of each document; of copies, one in a task.
-    Levels 2 and 3 read the column ``bands``."""
+    Level 2 reads the column ``bands``."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = StructType.fromDDL(f"key long, node {id_type(docs)}, info long")
     arrow = to_arrow_schema(schema)
-    signatures = {1: lambda h, _: subset_keys(h), 2: fine_keys, 3: neighbourhood_keys}[level]
+    signatures = {1: lambda h, _: subset_keys(h), 2: neighbourhood_keys}[level]
 
     def run(batches):
         import xxhash
@@ -327,68 +311,44 @@ def _with_comp(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataF
             .withColumn(name, F.coalesce("_comp", node)).drop("_node", "_comp"))
 
 
-def _starred(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links of documents to the centers of their buckets. A pair is compared if its
-    count shows a likely link; what is not stays open."""
-    pairs = (rows.filter(_may_link("info", "cinfo")).groupBy("center", "node", _band("info").alias("band"))
-             .agg(F.count(F.lit(1)).alias("k"), F.max(F.least(_spare("info"), _spare("cinfo"))).alias("spare"))
-             .filter(2 * F.col("k") > F.col("spare")))
-    return verify(docs, pairs.select(F.col("center").alias("a"), F.col("node").alias("b")))
-
-
-def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, node, info, comp): the rows of keys whose nodes lie in several components."""
-    rows = staged(_with_comp(rows, comps, "node", "comp"), "rows")
-    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    return staged(rows.join(_small(staged(keys, "open")), "key", "left_semi"), "open-rows")
-
-
 def _work_off(docs: DataFrame, buckets: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(edges with the links among the documents of the buckets, rows of the hot buckets,
     which were left out)."""
     shared = buckets.filter("center is not null")
-    edges = edges.unionByName(_starred(docs, shared.filter("node <> center")))
+    stars = staged(shared.filter("node <> center").groupBy("node", "info", "center", "cinfo").agg(F.count(F.lit(1)).alias("k")), "stars")
+    # a count that shows a likely link; stars that don't reach it stay open
+    likely = stars.filter(_may_link("info", "cinfo") & (2 * F.col("k") > F.least(_spare("info"), _spare("cinfo"))))
+    edges = edges.unionByName(verify(docs, likely.select(F.col("center").alias("a"), F.col("node").alias("b"))))
     comps = staged(connected(edges), "comps")
-    apart = _with_comp(_with_comp(shared.filter("node <> center").select("node", "center").distinct(), comps, "node", "x"),
-                       comps, "center", "y").filter("x <> y").select("node", "center")
-    apart = staged(apart, "apart")
+    apart = _with_comp(_with_comp(stars.select("node", "center").distinct(), comps, "node", "x"), comps, "center", "y")
+    apart = staged(apart.filter("x <> y").select("node", "center"), "apart")
     if apart.isEmpty():
         return edges, None
     keys = staged(shared.join(_small(apart), ["node", "center"], "left_semi").select("key").distinct(), "open")
-    rows = staged(shared.join(_small(keys), "key", "left_semi").select("key", "node", "info"), "shared-rows")
-
-    # second center: the node with the largest part of its signatures in buckets
-    part = buckets.groupBy("node").agg((F.count(F.lit(1)) / F.max(_size("info"))).alias("part"))
-    part = part.select(F.col("node").alias("_node"), "part")
-    ranked = rows.join(_small(staged(part, "parts")), F.col("node") == F.col("_node"))
-    best = ranked.groupBy("key").agg(F.max(F.struct("part", "node", "info")).alias("best"))
-    second = rows.join(best, "key").select("key", "node", "info", F.col("best.node").alias("center"), F.col("best.info").alias("cinfo"))
-    second = _with_comp(_with_comp(second.filter("node <> center"), comps, "node", "x"), comps, "center", "y").filter("x <> y")
-    edges = edges.unionByName(_starred(docs, second))
-    comps = staged(connected(edges), "comps")
-    rows = _open(rows, comps)
-
+    rows = staged(_with_comp(shared.join(_small(keys), "key", "left_semi").select("key", "node", "info"), comps, "node", "comp"), "open-rows")
     per_key = (rows.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("n_comp"))
                .groupBy("key").agg(F.sum("n_comp").alias("n_all"), F.sum(F.col("n_comp") * F.col("n_comp")).alias("n_own")))
     hot = (F.col("n_all") * F.col("n_all") - F.col("n_own")) / 2 > HOT_PAIRS
-    per_key = staged(per_key.select("key", hot.alias("hot")), "open-keys")
-    hot_rows = staged(rows.join(per_key.filter("hot"), "key", "left_semi"), "hot-rows")
-    cold = rows.join(per_key.filter("not hot"), "key", "left_semi")
+    hot_keys = _small(staged(per_key.filter(hot).select("key"), "hot-keys"))
+    hot_rows = staged(rows.join(hot_keys, "key", "left_semi").select("key", "node", "info"), "hot-rows")
+    cold = rows.join(hot_keys, "key", "left_anti")
     p, q = cold.alias("p"), cold.alias("q")
     pairs = (p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.comp") != F.col("q.comp"))
                     & _may_link("p.info", "q.info"))
              .groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b"), _band("p.info").alias("band"))
              .agg(F.count(F.lit(1)).alias("k"), F.max(F.least(_spare("p.info"), _spare("q.info"))).alias("spare")))
-    n_hot = staged(hot_rows.groupBy("node", _band("info").alias("band")).agg(F.count(F.lit(1)).alias("k_hot")), "hot")
+    # the hot signatures that the two share count as well; each document's own are few
+    own_hot = staged(hot_rows.groupBy("node", _band("info").alias("band")).agg(F.collect_set("key").alias("keys")), "hot")
     for end in ("a", "b"):
-        pairs = pairs.join(_small(n_hot.select(F.col("node").alias(end), "band", F.col("k_hot").alias(f"hot_{end}"))), [end, "band"], "left")
-    pairs = pairs.filter(F.col("k") > F.col("spare") - F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))))
+        pairs = pairs.join(own_hot.select(F.col("node").alias(end), "band", F.col("keys").alias(f"hot_{end}")), [end, "band"], "left")
+    k_hot = F.coalesce(F.size(F.array_intersect("hot_a", "hot_b")), F.lit(0))
+    pairs = pairs.filter(F.col("k") + F.greatest(F.lit(0), k_hot) > F.col("spare"))
     return edges.unionByName(verify(docs, pairs.select("a", "b"))), hot_rows
 
 
 def _needy(buckets: DataFrame, hot_rows: DataFrame | None) -> DataFrame:
     """(node, bands): documents whose guarantee the hot signatures use up, and those that
-    have none (at level 3 all have)."""
+    have none (at level 2 all have)."""
     needy = buckets.filter(_spare("info") < 0).select("node", _band("info").alias("band"))
     if hot_rows is not None:
         needy = needy.unionByName(hot_rows.groupBy("node", _band("info").alias("band"))
@@ -460,7 +420,7 @@ def _rest(docs: DataFrame, hot_rows: DataFrame, needy: DataFrame, edges: DataFra
 def links(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """The edges ``copies`` and verified links (a, b) that join all that is linked."""
     edges, now = copies, docs
-    for level in (1, 2, 3):
+    for level in (1, 2):
         buckets = _buckets(_emit(now, level))
         edges, hot_rows = _work_off(docs, buckets, edges)
         needy = _needy(buckets, hot_rows)
