@@ -76,8 +76,8 @@ def shingles(ws: list[bytes]) -> np.ndarray:
     n = min(WORDS, len(ws))
     v = np.full(len(ws) - n + 1, np.uint64(n))
     for k in range(n):
-        v = _mix((v + _PRIME) ^ h[k:len(h) - n + 1 + k])
-    return np.unique(v)
+        v = v * _PRIME + h[k:len(h) - n + 1 + k]
+    return np.unique(_mix(v))
 
 
 def most_apart(s: int, most: int) -> int:
@@ -95,12 +95,11 @@ def schemes(s: int) -> list[tuple[int, int]]:
     return out
 
 
-def _segments(h: np.ndarray, m: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first row, segment, signature) of the non-empty segment subsets of a sorted set."""
+def _segments(h: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first row, segment, sum of hashes) of the non-empty segment subsets of a sorted set."""
     seg = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
-    content = np.add.reduceat(_mix(h ^ np.uint64(salt)), first)
-    return first, seg[first], content
+    return first, seg[first], np.add.reduceat(h, first)
 
 
 def _key(content: np.ndarray, seg: np.ndarray, salt: int) -> np.ndarray:
@@ -113,7 +112,7 @@ def subset_keys(h: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
     for band, apart in schemes(len(h)):
         salt = 4 * band + 1
         spare = int(SPARE * most_apart(1 << band, 1 << band)) + 2
-        _, seg, content = _segments(h, 4 * (1 << band) // 10 + 6, salt)
+        _, seg, content = _segments(h, 4 * (1 << band) // 10 + 6)
         keys = _key(content, seg, salt)
         take = min(len(keys), apart + 1 + spare)
         if take < len(keys):
@@ -131,11 +130,11 @@ def neighbourhood_keys(h: np.ndarray, bands: list[int]) -> list[tuple[np.ndarray
         if band not in bands:
             continue
         m, salt = 3 * (most_apart(1 << band, 1 << band) + 1) // 4 + 2, 4 * band + 2
-        first, seg, content = _segments(h, m, salt)
+        first, seg, content = _segments(h, m)
         sizes = np.diff(np.append(first, len(h)))
         member = np.repeat(np.arange(len(seg)), sizes)
         some = sizes[member] > 1
-        keys = [_key(content, seg, salt), _key((content[member] - _mix(h ^ np.uint64(salt)))[some], seg[member][some], salt)]
+        keys = [_key(content, seg, salt), _key((content[member] - h)[some], seg[member][some], salt)]
         worth = int(np.minimum(sizes, 2).sum())
         if worth <= apart:
             none = np.arange(m, dtype=np.uint64)
@@ -270,9 +269,20 @@ def _may_link(a: str, b: str):
     return 100 * F.least(_size(a), _size(b)) >= PERCENT * F.greatest(_size(a), _size(b))
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, doubtful: bool = False) -> DataFrame:
     """Those pairs (a, b) of doc_ids whose whole sets link. The set of b travels to a,
-    once for each pair; a may be the same in any number of pairs."""
+    once for each pair; a may be the same in any number of pairs. Of ``doubtful`` pairs the
+    upper halves of the hashes are compared first: these can only agree more often."""
+    if doubtful:
+        return _compare(docs, _compare(docs, pairs, np.uint32), np.uint64)
+    return _compare(docs, pairs, np.uint64)
+
+
+def _compare(docs: DataFrame, pairs: DataFrame, kept: type) -> DataFrame:
+    def blob(text):
+        h = shingles(split(text))
+        return (h if kept is np.uint64 else (h >> np.uint64(32)).astype(kept)).tobytes()
+
     pairs = staged(pairs.select("a", "b").distinct(), "pairs")
     d = docs.select("doc_id", "text")
     own = _small(pairs.groupBy("b").agg(F.collect_list("a").alias("with_a")))   # centers of b's own signatures
@@ -281,19 +291,19 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     def sets(ids, texts, others):
         out = []
         for i, t, o in zip(ids, texts, others):
-            blob = shingles(split(t)).tobytes()
-            out += [(a, i, blob) for a in o]
+            own_set = blob(t)
+            out += [(a, i, own_set) for a in o]
         return out
     side_b = per_document(d.join(own, F.col("doc_id") == F.col("b")), sets, f"a {kind}, b {kind}, set_b binary", ("doc_id", "text", "with_a"))
     centers = _small(pairs.select(F.col("a").alias("c")).distinct())
     side_a = per_document(d.join(centers, F.col("doc_id") == F.col("c"), "left_semi"),
-                          lambda ids, texts: [(i, shingles(split(t)).tobytes()) for i, t in zip(ids, texts)],
+                          lambda ids, texts: [(i, blob(t)) for i, t in zip(ids, texts)],
                           f"c {kind}, set_a binary")
 
     def linked(a, b, set_a, set_b):
         out = []
         for i, j, x, y in zip(a, b, set_a, set_b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = np.frombuffer(x, kept), np.frombuffer(y, kept)
             if not len(x) or not len(y):
                 continue
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -343,7 +353,7 @@ def _work_off(docs: DataFrame, buckets: DataFrame, edges: DataFrame) -> tuple[Da
         pairs = pairs.join(own_hot.select(F.col("node").alias(end), "band", F.col("keys").alias(f"hot_{end}")), [end, "band"], "left")
     k_hot = F.coalesce(F.size(F.array_intersect("hot_a", "hot_b")), F.lit(0))
     pairs = pairs.filter(F.col("k") + F.greatest(F.lit(0), k_hot) > F.col("spare"))
-    return edges.unionByName(verify(docs, pairs.select("a", "b"))), hot_rows
+    return edges.unionByName(verify(docs, pairs.select("a", "b"), doubtful=True)), hot_rows
 
 
 def _needy(buckets: DataFrame, hot_rows: DataFrame | None) -> DataFrame:
