@@ -87,9 +87,15 @@ def span_list(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts are long: 8 MB go to Python at a time, not Spark's 64 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def per_document(docs: DataFrame, fn, fields: str, inputs: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """Rows that ``fn(*lists of the input columns)`` makes (a list of tuples, as
     ``fields`` names them), a few hundred documents at a time. No shuffle."""
+    bound_batches(docs.sparkSession)
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -73,7 +73,7 @@ def index_benchmark(items: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
     post = full.select("item", "n_item", F.explode("at").alias("x")).select("x.fp", "item", "x.q", "n_item")
     for n in short:
         post = post.unionByName(it.filter(F.col("n_item") == n).select(
-            let(_hashed(F.col("iw")), lambda h, n=n: F.get(_grams(h, n), F.lit(0))).alias("fp"),
+            let(_hashed(F.col("iw")), lambda h: F.get(_grams(h, n), F.lit(0))).alias("fp"),  # noqa: B023 (used at once)
             "item", F.lit(0).alias("q"), "n_item"))
     return it, staged(post, "postings"), short
 

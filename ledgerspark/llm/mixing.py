@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BREAK, labelled_sample, per_document, split_words, staged
+from .common import id_type, labelled_sample, per_document, staged
 from .features import contrast_words, statistics, words
 
 SAMPLE = 20_000                    # labelled rows at most
@@ -32,7 +32,7 @@ WORDS = 200                        # words at most that mark a domain
 MOST = 4.0                         # largest rate
 STAY = 1e-4                        # pull towards rate 1
 GRID = 500                         # cells per unit of probability
-STEPS, TOLERANCE = 60, 1e-4        # of the total tokens
+STEPS, TOLERANCE = 40, 2e-4        # of the total tokens
 # Domains of the labels table and their default weights.
 DOMAINS = {"clean": 0.96, "junk": 0.015, "toxic": 0.025}
 
@@ -90,17 +90,10 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, k: int, sample: int = SAMP
     marks = [frozenset(r.word.encode() for r in contrast_words(rows, d, WORDS).collect()) for d in range(k)]
     got = per_document(rows, lambda texts, y: [(_inputs(t, marks), int(c)) for t, c in zip(texts, y)],
                        "x array<double>, y int", ("text", "label")).collect()       # at most ``sample`` rows
-    model = Softmax(np.array([r.x for r in got]).reshape(len(got), -1), np.array([r.y for r in got], int), k)
+    model = Softmax(np.array([r.x for r in got]), np.array([r.y for r in got], int), k)
     return lambda texts: model.predict(np.array([_inputs(t or "", marks) for t in texts])) if len(texts) else np.zeros((0, k))
 
 
-def domain_column(predict, text: Column) -> Column:
-    @F.pandas_udf("array<double>")
-    def probabilities(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(predict(texts)))
-    return probabilities(text)
-
-
 def _cell(p: np.ndarray) -> np.ndarray:
     return np.round(p * GRID) / GRID
 
@@ -144,50 +137,61 @@ def fit_rates(table: DataFrame, weights: list[float]) -> list[np.ndarray]:
     steps: list[np.ndarray] = []
     while len(steps) < STEPS:
         miss = (_sums(cells, k, steps) - goal) / total
-        if np.abs(miss).max() <= TOLERANCE or (steps and np.abs(miss - steps[-1]).max() <= 0.01 * TOLERANCE):
+        if np.abs(miss).max() <= TOLERANCE or (steps and np.abs(miss - steps[-1]).max() <= 0.02 * TOLERANCE):
             break
         steps.append(miss)
     return steps
 
 
-def rate_column(p: Column, steps: list[np.ndarray]) -> Column:
-    @F.pandas_udf("double")
-    def rate(ps: pd.Series) -> pd.Series:
-        return pd.Series(rates(np.array(ps.tolist(), float).reshape(len(ps), -1), steps))
-    return rate(p)
-
-
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> tuple[DataFrame, dict[str, Column]]:
-    """(docs with columns ``_tokens``, ``_p`` and ``_rate``, columns to
-    select from it): n_tokens, domain, one probability p_<domain> for each, rate, copies.
-    ``copies`` is the rate rounded up or down by a hash of the id, so that its mean is
-    the rate. Null and empty texts have 0 tokens and count for nothing."""
-    names = list(weights)
-    predict = fit_domains(docs, labelled, len(names))
-    text = F.coalesce("text", F.lit(""))
-    measured = docs.withColumn("_tokens", F.size(split_words(text, SPACE_BREAK)).cast("double")) \
-                   .withColumn("_p", domain_column(predict, text))
-    table = staged(measured.select(F.col("_tokens").alias("tokens"), F.col("_p").alias("p")), "domains")
-    measured = measured.withColumn("_rate", rate_column(F.col("_p"), fit_rates(table, list(weights.values()))))
-    rate = F.col("_rate")
-    toss = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    best = F.get(F.array(*map(F.lit, names)), (F.array_position("_p", F.array_max("_p")) - 1).cast("int"))
-    return measured, {"n_tokens": F.col("_tokens").cast("long"), "domain": best,
-                      **{f"p_{n}": F.get("_p", F.lit(i)) for i, n in enumerate(names)}, "rate": rate,
-                      "copies": (F.floor(rate) + F.when(toss < rate - F.floor(rate), 1).otherwise(0)).cast("long")}
+def _columns(names: list[str], tokens: Column, p: Column, rate: Column, doc_id: Column) -> dict[str, Column]:
+    toss = F.pmod(F.xxhash64(doc_id.cast("string"), F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    shares = F.slice(p, 1, len(names))
+    best = F.get(F.array(*map(F.lit, names)), (F.array_position(shares, F.array_max(shares)) - 1).cast("int"))
+    return {"n_tokens": tokens.cast("long"), "domain": best, **{f"p_{n}": F.get(p, F.lit(i)) for i, n in enumerate(names)}, "rate": rate,
+            "copies": (F.floor(rate) + F.when(toss < rate - F.floor(rate), 1).otherwise(0)).cast("long")}
+
+
+def _fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]):
+    """(classifier, (doc_id, tokens, p) of every document, step vectors)."""
+    predict = fit_domains(docs, labelled, len(weights))
+
+    def run(ids, texts):
+        return [(i, float(len((t or "").encode("utf-8", "replace").split())), p.tolist()) for i, t, p in zip(ids, texts, predict(texts))]
+    table = staged(per_document(docs, run, f"doc_id {id_type(docs)}, tokens double, p array<double>"), "domains")
+    return predict, table, fit_rates(table, list(weights.values()))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, domain, the probabilities, rate and
-    copies. Further columns are ignored."""
-    out, cols = mix(docs.select("doc_id", "text"), label_domains(labels), weights or DOMAINS)
+    """One row per row of ``docs``: doc_id, n_tokens, domain, one probability p_<domain>
+    for each, rate, copies. ``copies`` is the rate rounded up or down by a hash of the id,
+    so that its mean is the rate. Null and empty texts have 0 tokens and count for
+    nothing. Further columns are ignored."""
+    weights = weights or DOMAINS
+    _, table, steps = _fit(docs, label_domains(labels), weights)
+    k = len(weights)
+
+    def run(ids, tokens, p):
+        return list(zip(ids, tokens, p, rates(np.array(p).reshape(-1, k), steps).tolist()))
+    out = per_document(table, run, f"doc_id {id_type(docs)}, tokens double, p array<double>, rate double", ("doc_id", "tokens", "p"))
+    cols = _columns(list(weights), F.col("tokens"), F.col("p"), F.col("rate"), F.col("doc_id"))
     return out.select("doc_id", *[c.alias(n) for n, c in cols.items()])
 
 
 def draw(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The rows of ``docs`` with at least one copy in the mixture, all columns, beside
-    ``rate`` and ``copies`` (named mix_rate, mix_copies where these names are taken)."""
-    out, cols = mix(docs, label_domains(labels), weights or DOMAINS)
+    ``domain``, ``rate`` and ``copies`` (mix_... where such a name is taken)."""
+    weights = weights or DOMAINS
+    predict, _, steps = _fit(docs, label_domains(labels), weights)
+
+    @F.pandas_udf("array<double>")
+    def shares_and_rate(texts: pd.Series) -> pd.Series:
+        p = predict(texts)
+        return pd.Series(list(np.column_stack([p, rates(p, steps)])))
+    name = "_mix"
+    while name in docs.columns:
+        name += "_"
+    out = docs.withColumn(name, shares_and_rate(F.col("text")))
+    cols = _columns(list(weights), F.lit(0), F.col(name), F.get(name, F.lit(len(weights))), F.col("doc_id"))
     names = {n: f"mix_{n}" if n in docs.columns else n for n in ("domain", "rate", "copies")}
     out = out.select(*docs.columns, *[cols[n].alias(names[n]) for n in names])
     return out.filter(F.col(names["copies"]) > 0)

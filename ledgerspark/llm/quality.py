@@ -73,7 +73,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Discriminan
     rows = per_document(labelled_sample(docs, labels, "quality", sample),
                         lambda texts, y: [(statistics(t), int(c)) for t, c in zip(texts, y)],
                         "x array<double>, y int", ("text", "label")).collect()       # at most ``sample`` rows
-    return Discriminant(np.array([r.x for r in rows]).reshape(len(rows), -1), np.array([r.y for r in rows], int))
+    return Discriminant(np.array([r.x for r in rows]), np.array([r.y for r in rows], int))
 
 
 def score_column(model: Discriminant, text: Column) -> Column:
