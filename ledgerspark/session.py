@@ -51,16 +51,16 @@ def get_spark(master: str | None = None, app: str = "ledgerspark",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
+    """Shared folder for lineage cuts: what ``spark.checkpoint.dir`` names.
 
-    Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared
-    folder there). Only when it is unset -- local tests -- a scratch folder is
-    created and registered.
+    Only when it is unset -- local tests -- a scratch folder is created and kept in
+    the session, so every call returns the same one. On a cluster, where executors
+    could not see such a folder, that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         d = tempfile.mkdtemp(prefix="ledgerspark-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
+        spark.conf.set("spark.checkpoint.dir", d)
     return d

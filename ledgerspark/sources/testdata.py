@@ -293,56 +293,43 @@ def _fs_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _bytes(v: str) -> int:
-    """'134217728', '128MB', '128m', '1g' -> bytes."""
-    import re
-    m = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)i?b?\s*", str(v).lower())
-    if not m:
-        return 128 << 20
-    return int(m.group(1)) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m.group(2)]
-
-
 # Bump whenever a stored builder's definition changes: the folder name carries
 # it, so tables written by an older definition are never read again.
 BUILDER_VERSION = 5
 
 
+def _stamp(spark: SparkSession, table: str) -> str:
+    """Size and latest change of a table's files, asked of its own file system."""
+    fs, p = _fs_path(spark, table)
+    if not fs.exists(p):
+        return "none"
+    files = [f for f in fs.listStatus(p)]
+    return f"{sum(f.getLen() for f in files)}:{max((f.getModificationTime() for f in files), default=0)}:{len(files)}"
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build, inputs: tuple[str, ...],
            writer=None) -> DataFrame | str:
     import hashlib
-    import os
+    import uuid
 
     from ..session import checkpoint_dir
-    stamp, in_bytes = [], 0
-    for t in inputs:
-        f = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        st = os.stat(f) if os.path.exists(f) else None
-        in_bytes += st.st_size if st else 0
-        stamp.append(f"{f}:{st.st_size if st else 0}:{int(st.st_mtime) if st else 0}")
-    key = hashlib.sha1("|".join(stamp).encode()).hexdigest()[:16]
+    stamp = [f"{t}:{_stamp(spark, f'{sf_dir.rstrip('/')}/{t}.parquet')}" for t in inputs]
+    key = hashlib.sha1("|".join([sf_dir, *stamp]).encode()).hexdigest()[:16]
     path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerspark-tables/{name}-{key}-v{BUILDER_VERSION}"
-    fs, p = _fs_path(spark, path + "/_SUCCESS")
-    if not fs.exists(p):
-        tmp = f"{path}.tmp-{os.getpid()}"
+    fs, done = _fs_path(spark, path + "/_SUCCESS")
+    if not fs.exists(done):
+        # each job writes a folder of its own; the first to finish gives it the final
+        # name, which later ones find taken and leave alone
+        tmp = f"{path}.tmp-{uuid.uuid4().hex}"
         df = build()
         if writer is None:
-            # inputs smaller than one split per core (a few single-row-group
-            # files) give a build of one or two tasks -- and AQE may shrink the
-            # static partition count further -- so such a build is spread
-            # round-robin for even reader splits. Large inputs keep their own
-            # partitioning: no extra full shuffle at scale.
-            par = spark.sparkContext.defaultParallelism
-            split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
-            if in_bytes and in_bytes < par * split:
-                df = df.repartition(2 * par)
-            df.write.mode("overwrite").parquet(tmp)
+            df.write.parquet(tmp)
         else:
             writer(df, tmp)
-        fs2, src = _fs_path(spark, tmp)
+        _, src = _fs_path(spark, tmp)
         _, dst = _fs_path(spark, path)
-        if not fs2.exists(p):
-            fs2.delete(dst, True)
-            fs2.rename(src, dst)
+        if fs.exists(dst) or not fs.rename(src, dst):
+            path = path if fs.exists(done) else tmp
     return spark.read.parquet(path) if writer is None else path
 
 
