@@ -86,15 +86,17 @@ def period_sums(txn: DataFrame) -> DataFrame:
 
     Income and spending are separate series (a period appears in a series only
     if the series has rows there). Weekly needs > 7 usable rows, monthly > 30.
-    One scan: every row carries its three period labels, one aggregation
-    sums them, and the row-count gate is read off the aggregated daily rows."""
+    One scan: rows are summed up by day, only the day rows get three period labels, and
+    the row-count gate is read off the aggregated daily rows."""
     t = drop_incomplete(txn)
     labels = F.array(*[F.struct(F.lit(g).alias("grain"), _period_label(g).alias("period"))
                        for g in GRAIN_MIN_ROWS])
     kind = F.when(is_income(), F.lit("income")).otherwise(F.lit("spending"))
-    g = (t.select("account_id", kind.alias("kind"), "amount", F.explode(labels).alias("p"))
-          .groupBy("account_id", F.col("p.grain").alias("grain"), "kind", F.col("p.period").alias("period"))
-          .agg(F.sum("amount").alias("_sum"), F.count(F.lit(1)).alias("_n")))
+    days = (t.groupBy("account_id", kind.alias("kind"), "txn_date")
+             .agg(F.sum("amount").alias("_day"), F.count(F.lit(1)).alias("_rows_day")))
+    g = (days.select("account_id", "kind", "_day", "_rows_day", F.explode(labels).alias("p"))
+             .groupBy("account_id", F.col("p.grain").alias("grain"), "kind", F.col("p.period").alias("period"))
+             .agg(F.sum("_day").alias("_sum"), F.sum("_rows_day").alias("_n")))
     rows = F.sum(F.when(F.col("grain") == "daily", F.col("_n"))).over(Window.partitionBy("account_id"))
     gate = F.col("grain").isin("daily") | ((F.col("grain") == "weekly") & (F.col("_rows") > GRAIN_MIN_ROWS["weekly"])) \
         | ((F.col("grain") == "monthly") & (F.col("_rows") > GRAIN_MIN_ROWS["monthly"]))
