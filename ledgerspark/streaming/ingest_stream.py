@@ -35,24 +35,25 @@ def _role_index(cols, keywords):
 
 def parse_files(files: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
     """Canonical rows (account_id, txn_date, description, amount) from file
-    contents; each file's header decides which position holds which role."""
+    contents; each file's header, its first line that is not blank, decides which
+    position holds which role. Files are told apart by path: two may name one account."""
     text = F.regexp_replace(F.col("content").cast("string"), "\r", "")
-    lines = files.select("account_id", F.posexplode(F.split(text, "\n")).alias("pos", "line")) \
-                 .filter(F.trim("line") != "")
+    full = F.filter(F.split(text, "\n"), lambda line: F.trim(line) != "")
+    lines = files.select("path", "account_id", F.posexplode(full).alias("pos", "line"))
     headers = (lines.filter(F.col("pos") == 0)
-               .select("account_id", F.transform(F.split("line", ","),
-                                                 lambda c: F.trim(F.regexp_replace(c, '"', "")))
+               .select("path", F.transform(F.split("line", ","),
+                                           lambda c: F.trim(F.regexp_replace(c, '"', "")))
                        .alias("cols")))
     width = headers.agg(F.max(F.size("cols"))).first()[0] or 0     # one number per batch
     if width == 0:
         return files.sparkSession.createDataFrame(
             [], "account_id string, txn_date date, description string, amount decimal(18,2)")
     schema = ", ".join(f"c{i} string" for i in range(width))
-    roles = headers.select("account_id",
+    roles = headers.select("path",
                            _role_index("cols", DATE_KEYWORDS).alias("i_date"),
                            _role_index("cols", DESCRIPTION_KEYWORDS).alias("i_desc"),
                            _role_index("cols", AMOUNT_KEYWORDS).alias("i_amt"))
-    body = (lines.filter(F.col("pos") > 0).join(roles, "account_id")
+    body = (lines.filter(F.col("pos") > 0).join(roles, "path")
             .withColumn("v", F.from_csv("line", schema))
             .withColumn("vals", F.array(*[F.col(f"v.c{i}") for i in range(width)])))
 
@@ -63,10 +64,11 @@ def parse_files(files: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
+    """The table, or an empty one if nothing has been written yet; read errors are raised."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 -- nothing written yet
-        return spark.createDataFrame([], schema + ", batch_id long")
+    return spark.createDataFrame([], schema + ", batch_id long")
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, ledger_path: str, registry_path: str,
