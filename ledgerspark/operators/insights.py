@@ -45,7 +45,7 @@ def _top(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 def insight_facts(txn: DataFrame, subscriptions: DataFrame | None = None) -> DataFrame:
     """One row per account with the generator inputs as nested columns."""
-    # one 58-day window (latest date per account computed once) feeds all three
+    # one 58-day window of day rows feeds cash flow and deltas
     windowed = E._current_prior(txn)
     cash = E.current_vs_prior(txn, windowed).select(
         "account_id", F.col("current_income").alias("income"),
@@ -53,7 +53,7 @@ def insight_facts(txn: DataFrame, subscriptions: DataFrame | None = None) -> Dat
         "prior_net", "net_change")
     deltas = _top(E.category_deltas(txn, windowed), TOP_DELTAS,
                   F.desc(F.abs("delta_amount")), F.asc("category"))
-    merchants = E.top_merchants(txn, TOP_MERCHANTS, windowed)
+    merchants = E.top_merchants(txn, TOP_MERCHANTS)
 
     def nest(df, name, fields):
         return (df.groupBy("account_id")

@@ -1,11 +1,11 @@
 """Period reports, dense daily series and period-over-period deltas.
 
 Every "whole file" quantity of the reference (latest date, totals, top-N) is
-per ``account_id`` here. The latest date per account comes from a partial
-aggregate joined back, never from a window over all rows of an account: one
-account may hold a third of all rows, and an account-wide window would sort
-all of them in one task. Windows below only run over pre-aggregated rows
-whose count per account is bounded (calendar days, categories).
+per ``account_id`` here. One account may hold a third of all rows, so the ledger
+is first summed to days (map-side combined, dealt by account, day and category);
+the latest date, the look-back filter and every total come from these day rows,
+of which an account has at most calendar days x categories. Raw rows are never
+joined or windowed.
 """
 
 from __future__ import annotations
@@ -52,14 +52,38 @@ def period_bounds(txn: DataFrame, days: int) -> DataFrame:
                .withColumn("period_start", F.date_sub("period_end", days)))
 
 
-def window_last(txn: DataFrame, days: int, complete: bool = True) -> DataFrame:
-    """Rows from (account's latest date - days) on, with period_start/end.
+def window_last(txn: DataFrame, days: int) -> DataFrame:
+    """Raw rows from (account's latest date - days) on, with period_start/end, for
+    operators that work on single transactions. Rows without date or amount are
+    dropped first, as every period report of the reference does."""
+    t = drop_incomplete(txn)
+    return t.join(period_bounds(t, days), "account_id").filter(F.col("txn_date") >= F.col("period_start"))
 
-    ``complete`` first drops rows without date or amount, as every period
-    report of the reference does before taking the latest date."""
-    t = drop_incomplete(txn) if complete else txn.dropna(subset=["txn_date"])
-    b = period_bounds(t, days)
-    return t.join(b, "account_id").filter(F.col("txn_date") >= F.col("period_start"))
+
+def day_rows(txn: DataFrame, *keys: str) -> DataFrame:
+    """(account_id, txn_date, income, *keys) with sums, counts and extremes of the
+    complete rows: ``amount``, ``inflow`` (positive part), ``outflow`` (negative
+    part), ``n``, ``low``, ``high``."""
+    a = F.col("amount")
+    return (drop_incomplete(txn)
+            .groupBy("account_id", "txn_date", is_income().alias("income"), *keys)
+            .agg(F.sum(a).alias("amount"), F.sum(F.when(a > 0, a)).alias("inflow"),
+                 F.sum(F.when(a < 0, a)).alias("outflow"), F.count(F.lit(1)).alias("n"),
+                 F.min(a).alias("low"), F.max(a).alias("high")))
+
+
+def window_days(txn: DataFrame, days: int, *keys: str) -> DataFrame:
+    """:func:`day_rows` from (account's latest date - days) on, with period_start/end.
+    The window holds one account's day rows, so ``keys`` must have few values per
+    account (categories); see :func:`_recent_descriptions` for others."""
+    end = F.max("txn_date").over(Window.partitionBy("account_id"))
+    return (day_rows(txn, *keys).withColumn("period_end", end)
+            .withColumn("period_start", F.date_sub("period_end", days))
+            .filter(F.col("txn_date") >= F.col("period_start")))
+
+
+def _sum_where(flag: Column, value: str = "amount") -> Column:
+    return F.coalesce(F.sum(F.when(flag, F.col(value))), F.lit(0))
 
 
 # ---------------------------------------------------------------------------
@@ -68,12 +92,12 @@ def window_last(txn: DataFrame, days: int, complete: bool = True) -> DataFrame:
 
 def daily_series(txn: DataFrame, period: str | int = "30d") -> DataFrame:
     days = _resolve(period, SERIES_DAYS)
-    t = window_last(txn, days)
-    inc = is_income()
+    t = window_days(txn, days)
+    inc = F.col("income")
     daily = t.groupBy("account_id", "txn_date").agg(
         F.sum(F.when(inc, F.col("amount"))).alias("_inc"),
         F.sum(F.when(~inc, F.col("amount"))).alias("_spd"))
-    cal = (period_bounds(drop_incomplete(txn), days)
+    cal = (t.select("account_id", "period_start", "period_end").distinct()
            .select("account_id",
                    F.explode(F.sequence("period_start", "period_end")).alias("txn_date")))
     w = (Window.partitionBy("account_id").orderBy("txn_date")
@@ -91,16 +115,15 @@ def daily_series(txn: DataFrame, period: str | int = "30d") -> DataFrame:
 
 def series_summary(txn: DataFrame, period: str | int = "30d") -> DataFrame:
     days = _resolve(period, SERIES_DAYS)
-    t = window_last(txn, days)
-    inc = is_income()
-    ti = F.coalesce(F.sum(F.when(inc, F.col("amount"))), F.lit(0))
-    ts = F.abs(F.coalesce(F.sum(F.when(~inc, F.col("amount"))), F.lit(0)))
+    t = window_days(txn, days)
+    inc = F.col("income")
+    ti, ts = _sum_where(inc), F.abs(_sum_where(~inc))
     return t.groupBy("account_id", "period_start", "period_end").agg(
         money(ti).alias("total_income"),
         money(ts).alias("total_spending"),
         money(ti - ts).alias("net_amount"),
-        F.count(F.when(inc, 1)).alias("income_transactions"),
-        F.count(F.when(~inc, 1)).alias("spending_transactions"),
+        _sum_where(inc, "n").alias("income_transactions"),
+        _sum_where(~inc, "n").alias("spending_transactions"),
     ).select("account_id", F.col("period_start").alias("start_date"),
              F.col("period_end").alias("end_date"),
              F.lit(days + 1).cast("long").alias("data_points"),
@@ -116,10 +139,10 @@ def categories_by_period(txn: DataFrame, period: str | int = "30d") -> DataFrame
     """Per spending category over the period. Amounts are negative, so
     ``min_amount`` is |most negative| -- the larger absolute value."""
     days = _resolve(period, CATEGORY_DAYS)
-    t = window_last(txn, days).filter(~is_income())
+    t = window_days(txn, days, "category").filter(~F.col("income"))
     g = t.groupBy("account_id", "category").agg(
-        F.sum("amount").alias("_sum"), F.count(F.lit(1)).alias("transaction_count"),
-        F.min("amount").alias("_min"), F.max("amount").alias("_max"))
+        F.sum("amount").alias("_sum"), F.sum("n").alias("transaction_count"),
+        F.min("low").alias("_min"), F.max("high").alias("_max"))
     total = F.sum("_sum").over(Window.partitionBy("account_id"))
     return g.select(
         "account_id", "category",
@@ -139,15 +162,14 @@ def top_categories(cat: DataFrame, n: int = 10) -> DataFrame:
 
 def category_summary(txn: DataFrame, period: str | int = "30d") -> DataFrame:
     days = _resolve(period, CATEGORY_DAYS)
-    t = window_last(txn, days)
-    inc = is_income()
-    ti = F.coalesce(F.sum(F.when(inc, F.col("amount"))), F.lit(0))
-    ts = F.abs(F.coalesce(F.sum(F.when(~inc, F.col("amount"))), F.lit(0)))
+    t = window_days(txn, days, "category")
+    inc = F.col("income")
+    ti, ts = _sum_where(inc), F.abs(_sum_where(~inc))
     return t.groupBy("account_id", "period_start", "period_end").agg(
         money(ti).alias("total_income"), money(ts).alias("total_spending"),
         money(ti - ts).alias("net_amount"),
-        F.count(F.when(inc, 1)).alias("income_transactions"),
-        F.count(F.when(~inc, 1)).alias("spending_transactions"),
+        _sum_where(inc, "n").alias("income_transactions"),
+        _sum_where(~inc, "n").alias("spending_transactions"),
         F.count_distinct(F.when(~inc, F.col("category"))).alias("unique_categories"),
     ).select("account_id", F.col("period_start").alias("start_date"),
              F.col("period_end").alias("end_date"),
@@ -161,8 +183,8 @@ def category_summary(txn: DataFrame, period: str | int = "30d") -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _current_prior(txn: DataFrame) -> DataFrame:
-    """Rows of [max-58, max] with flags ``_cur`` (>= max-29) and ``_pri``."""
-    t = window_last(txn, CURRENT_DAYS + PRIOR_DAYS)
+    """Day rows by category of [max-58, max] with flags ``_cur`` (>= max-29) and ``_pri``."""
+    t = window_days(txn, CURRENT_DAYS + PRIOR_DAYS, "category")
     cur_start = F.date_sub("period_end", CURRENT_DAYS)
     return (t.withColumn("_cur", F.col("txn_date") >= cur_start)
              .withColumn("_pri", F.col("txn_date") < cur_start))
@@ -171,11 +193,10 @@ def _current_prior(txn: DataFrame) -> DataFrame:
 def current_vs_prior(txn: DataFrame, windowed: DataFrame | None = None) -> DataFrame:
     """E7 (``windowed``: a precomputed :func:`_current_prior` to share)."""
     t = windowed if windowed is not None else _current_prior(txn)
-    inc = is_income()
+    inc = F.col("income")
 
     def s(flag, income):
-        cond = F.col(flag) & (inc if income else ~inc)
-        return F.coalesce(F.sum(F.when(cond, F.col("amount"))), F.lit(0))
+        return _sum_where(F.col(flag) & (inc if income else ~inc))
 
     ci, ce = s("_cur", True), F.abs(s("_cur", False))
     pi, pe = s("_pri", True), F.abs(s("_pri", False))
@@ -189,9 +210,8 @@ def current_vs_prior(txn: DataFrame, windowed: DataFrame | None = None) -> DataF
 
 def category_deltas(txn: DataFrame, windowed: DataFrame | None = None) -> DataFrame:
     """Spending categories present in the current period; prior missing -> 0."""
-    t = (windowed if windowed is not None else _current_prior(txn)).filter(~is_income())
-    cur = F.abs(F.coalesce(F.sum(F.when(F.col("_cur"), F.col("amount"))), F.lit(0)))
-    pri = F.abs(F.coalesce(F.sum(F.when(F.col("_pri"), F.col("amount"))), F.lit(0)))
+    t = (windowed if windowed is not None else _current_prior(txn)).filter(~F.col("income"))
+    cur, pri = F.abs(_sum_where(F.col("_cur"))), F.abs(_sum_where(F.col("_pri")))
     return (t.groupBy("account_id", "category")
              .agg(money(cur).alias("current_amount"), money(pri).alias("prior_amount"),
                   money(cur - pri).alias("delta_amount"),
@@ -199,13 +219,20 @@ def category_deltas(txn: DataFrame, windowed: DataFrame | None = None) -> DataFr
              .filter(F.col("_n") > 0).drop("_n"))
 
 
-def top_merchants(txn: DataFrame, n: int = 5, windowed: DataFrame | None = None) -> DataFrame:
+def _recent_descriptions(txn: DataFrame, days: int) -> DataFrame:
+    """Day rows by description from (account's latest date - days) on. An account may
+    have any number of descriptions, so the latest date is an aggregate of the day rows
+    that is joined back, not a window over them."""
+    d = day_rows(txn, "description")
+    return (d.join(period_bounds(d, days), "account_id")
+             .filter((F.col("txn_date") >= F.col("period_start")) & F.col("description").isNotNull()))
+
+
+def top_merchants(txn: DataFrame, n: int = 5) -> DataFrame:
     """Most frequent spending descriptions of the current period. The
     amount sums every current row with that description, income rows included."""
-    t = (window_last(txn, CURRENT_DAYS) if windowed is None
-         else windowed.filter(F.col("_cur"))).filter(F.col("description").isNotNull())
-    g = t.groupBy("account_id", "description").agg(
-        F.count(F.when(~is_income(), 1)).alias("count"),
+    g = _recent_descriptions(txn, CURRENT_DAYS).groupBy("account_id", "description").agg(
+        _sum_where(~F.col("income"), "n").alias("count"),
         money(F.abs(F.sum("amount"))).alias("total_amount"))
     w = Window.partitionBy("account_id").orderBy(F.desc("count"), F.asc("description"))
     return (g.filter(F.col("count") > 0)

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clean import INCOME, drop_incomplete, exclude_category, is_income
-from .periods import CURRENT_DAYS, SAVINGS_DAYS, money, period_bounds
+from ..functions.clean import INCOME, exclude_category
+from .periods import CURRENT_DAYS, SAVINGS_DAYS, money, window_days
 
 # ---------------------------------------------------------------------------
 # Cut-priority keywords (matched as substrings of the lower-cased
@@ -42,22 +42,15 @@ LEVER_COUNT = 3
 LEVER_PCT = 0.2
 
 
-def _last_days_rows(txn: DataFrame, days: int) -> DataFrame:
-    t = drop_incomplete(txn)
-    return (t.join(period_bounds(t, days), "account_id")
-             .filter(F.col("txn_date") >= F.col("period_start")))
-
-
 # ---------------------------------------------------------------------------
 # G1 / G2
 # ---------------------------------------------------------------------------
 
 def monthly_averages(txn: DataFrame) -> DataFrame:
     """G1 totals: last 90 days / 3 -> income, |expenses|, net per account."""
-    t = _last_days_rows(txn, SAVINGS_DAYS)
-    a = F.col("amount")
-    inc = F.coalesce(F.sum(F.when(a > 0, a)), F.lit(0)).cast("double") / AVERAGE_MONTHS
-    exp = F.abs(F.coalesce(F.sum(F.when(a < 0, a)), F.lit(0))).cast("double") / AVERAGE_MONTHS
+    t = window_days(txn, SAVINGS_DAYS)
+    inc = F.coalesce(F.sum("inflow"), F.lit(0)).cast("double") / AVERAGE_MONTHS
+    exp = F.abs(F.coalesce(F.sum("outflow"), F.lit(0))).cast("double") / AVERAGE_MONTHS
     return t.groupBy("account_id").agg(
         inc.alias("monthly_income"), exp.alias("monthly_expenses"),
         (inc - exp).alias("monthly_net"))
@@ -80,9 +73,9 @@ def cut_priority(category: Column | str, amount: Column | str) -> Column:
 
 def category_monthly_spend(txn: DataFrame) -> DataFrame:
     """G1 per category: |sum of negative amounts| / 3, with its cut priority."""
-    t = _last_days_rows(txn, SAVINGS_DAYS).filter(F.col("amount") < 0)
+    t = window_days(txn, SAVINGS_DAYS, "category")
     g = t.groupBy("account_id", "category").agg(
-        (F.abs(F.sum("amount")).cast("double") / AVERAGE_MONTHS).alias("monthly_amount"))
+        (F.abs(F.sum("outflow")).cast("double") / AVERAGE_MONTHS).alias("monthly_amount"))
     return (g.filter(F.col("monthly_amount") > 0)
              .withColumn("priority", cut_priority("category", "monthly_amount")))
 
@@ -206,8 +199,8 @@ def explode_cuts(analysis: DataFrame) -> DataFrame:
 def top_levers(txn: DataFrame, n: int = LEVER_COUNT, pct: float = LEVER_PCT) -> DataFrame:
     """Top ``n`` spending categories of the last 30 days (no Income, nothing
     whose category contains 'rent') with a ``pct`` reduction each."""
-    t = _last_days_rows(txn, CURRENT_DAYS)
-    t = exclude_category(t.filter(~is_income()), "rent", "contains")
+    t = window_days(txn, CURRENT_DAYS, "category")
+    t = exclude_category(t.filter(~F.col("income")), "rent", "contains")
     g = t.groupBy("account_id", "category").agg(
         money(F.abs(F.sum("amount"))).alias("current_spending"))
     w = Window.partitionBy("account_id").orderBy(F.desc("current_spending"), F.asc("category"))

@@ -75,3 +75,17 @@ def test_features_partition_invariant(spark, ledger, parts):
     a = sorted(map(tuple, S.merchant_features(S.expense_projection(t)).collect()))
     b = sorted(map(tuple, S.merchant_features(S.expense_projection(t.repartition(parts))).collect()))
     assert a == b
+
+
+@pytest.mark.parametrize("report", [
+    lambda t: E.categories_by_period(t, "90d"), lambda t: E.series_summary(t, "30d"),
+    lambda t: E.category_summary(t, "30d"), E.current_vs_prior, E.category_deltas,
+    G.monthly_averages, G.category_monthly_spend, G.top_levers])
+def test_reports_sum_to_days_before_anything_else(spark, ledger, tmp_path, report):
+    """One scan, no join, and the first exchange is dealt by day, not by account alone."""
+    ledger(skewed_rows(500)).write.parquet(str(tmp_path / "l"))
+    plan = report(spark.read.parquet(str(tmp_path / "l")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    assert "Join" not in plan
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert "txn_date" in exchanges[-1]
