@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for the same results.
@@ -149,18 +150,26 @@ def normalize_category(c: Column | str) -> Column:
 # A7 JSON-safe output
 # ---------------------------------------------------------------------------
 
+def _json_value(c: Column, t: T.DataType) -> Column:
+    if isinstance(t, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c) & ~c.isin(float("inf"), float("-inf")), c)
+    if isinstance(t, T.DecimalType):
+        return c.cast("double")
+    if isinstance(t, T.DateType):
+        return F.date_format(c, "yyyy-MM-dd")
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _json_value(x, t.elementType))
+    if isinstance(t, T.MapType):
+        return F.transform_values(c, lambda _k, v: _json_value(v, t.valueType))
+    if isinstance(t, T.StructType):
+        fields = [_json_value(c.getField(f.name), f.dataType).alias(f.name) for f in t.fields]
+        return F.when(c.isNotNull(), F.struct(*fields)) if fields else c
+    return c
+
+
 def json_safe(df: DataFrame) -> DataFrame:
-    """NaN/+-Inf -> NULL for floating columns, dates/timestamps -> ISO strings."""
-    out = []
-    for name, dtype in df.dtypes:
-        c = F.col(name)
-        if dtype in ("double", "float"):
-            c = F.when(F.isnan(c) | c.isin(float("inf"), float("-inf")), F.lit(None)).otherwise(c)
-        elif dtype == "date":
-            c = F.date_format(c, "yyyy-MM-dd")
-        elif dtype.startswith("timestamp"):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-        elif dtype.startswith("decimal"):
-            c = c.cast("double")
-        out.append(c.alias(name))
-    return df.select(*out)
+    """NaN/+-Inf -> NULL, dates/timestamps -> ISO strings, decimals -> doubles, also
+    inside arrays, structs and map values."""
+    return df.select(*[_json_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])

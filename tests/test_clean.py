@@ -83,6 +83,15 @@ def test_json_safe_and_round_cents(spark):
     assert [r[0] for r in df.select(F.round("x", 2)).collect()][0] == 275.66
 
 
+def test_json_safe_nested(spark):
+    df = spark.sql("""SELECT array(double('NaN'), 1.5D) AS a, named_struct('x', double('Infinity'), 'd', date'2024-01-02') AS s,
+                      map('k', array(named_struct('v', double('-Infinity')))) AS m, cast(null AS struct<x: double>) AS n,
+                      cast(array() AS array<double>) AS e, 3 AS `odd.name`""")
+    r = C.json_safe(df).first()
+    assert r.a == [None, 1.5] and r.s.x is None and r.s.d == "2024-01-02"
+    assert r.m["k"][0].v is None and r.n is None and r.e == [] and r["odd.name"] == 3
+
+
 def test_validate_goals(spark):
     goals = spark.createDataFrame(
         [("a", 1000.0, 6), ("a", -1000.0, 6), ("a", 1000.0, -6), ("a", 0.0, 6), ("zz", 1000.0, 6),
