@@ -100,10 +100,10 @@ def fit_tfidf(train: DataFrame, max_features: int = MAX_FEATURES) -> tuple[DataF
     stats = tc.groupBy("term").agg(F.sum(F.col("tf") * F.col("n")).alias("freq"),
                                    F.sum("n").alias("df"))
     vocab = stats.orderBy(F.desc("freq"), F.asc("term")).limit(max_features)
-    n_docs = train.agg(F.sum("n")).first()[0] or 0            # one scalar
-    vocab = vocab.select("term", (F.log(F.lit(float(1 + n_docs)) / (F.col("df") + 1).cast("double"))
+    n_docs = F.coalesce(train.agg(F.sum("n")).scalar(), F.lit(0))      # subquery of the one plan
+    vocab = vocab.select("term", (F.log((n_docs + 1).cast("double") / (F.col("df") + 1).cast("double"))
                                   + 1.0).alias("idf"))
-    w = (tc.join(F.broadcast(vocab), "term")                      # <= max_features rows
+    w = (tc.join(vocab, "term")              # no hint: AQE broadcasts it by its measured size
            .withColumn("raw", F.col("tf") * F.col("idf")))
     norm2 = Window.partitionBy("norm", "label")
     postings = w.select("norm", "label", "n", "term",
@@ -118,7 +118,7 @@ def fit_tfidf(train: DataFrame, max_features: int = MAX_FEATURES) -> tuple[DataF
 def query_vectors(queries: DataFrame, vocab: DataFrame) -> DataFrame:
     """L2-normalised tf-idf of distinct normalised query texts (column ``norm``)."""
     tc = _term_counts(queries.select("norm").distinct(), ["norm"])
-    w = tc.join(F.broadcast(vocab), "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    w = tc.join(vocab, "term").withColumn("raw", F.col("tf") * F.col("idf"))
     per_q = Window.partitionBy("norm")
     return w.select(F.col("norm").alias("qnorm"), "term",
                     (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(per_q))).alias("wq"))
