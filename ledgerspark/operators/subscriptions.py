@@ -37,6 +37,7 @@ FEATURE_COLS = ["n_occurrences", "coverage_months", "median_gap_days", "gap_cv",
 SEED_MERCHANTS = ["NETFLIX", "SPOTIFY", "ICLOUD", "CITY GYM"]
 LAG_DAYS = 30
 KEYS = ["account_id", "merchant"]
+SPLIT_BITS = 16            # the hold-out split counts rows in 2^16 hash ranges per label
 
 
 def expense_projection(txn: DataFrame) -> DataFrame:
@@ -214,11 +215,22 @@ def label_known(features: DataFrame, seeds=SEED_MERCHANTS) -> DataFrame:
 
 
 def _split_flag(df: DataFrame, seed: int, holdout: float) -> DataFrame:
-    """Deterministic per-row hash split; drawn independently inside each label
-    so both classes keep ~``holdout`` of their rows in the hold-out set."""
-    u = (F.xxhash64(*KEYS, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)).cast("double")
-         / float(1 << 53))
-    return df.withColumn("_holdout", u < holdout)
+    """``_holdout`` for an exact share of each label (rounded; at least one row on each
+    side where a label has two), by the order of a row hash. The rows are counted by
+    ranges of the hash; only the one range per label that holds the cut is ranked."""
+    u = F.xxhash64(*KEYS, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1))
+    rows = df.withColumn("_u", u).withColumn("_bin", F.shiftright("_u", 53 - SPLIT_BITS).cast("int"))
+    to_here = Window.partitionBy("label").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum("_n").over(Window.partitionBy("label"))
+    want = F.when(total < 2, 0).otherwise(F.greatest(F.lit(1), F.least(total - 1, F.round(total * holdout).cast("long"))))
+    bins = (rows.groupBy("label", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+            .select("label", "_bin", (want - F.sum("_n").over(to_here) + F.col("_n")).alias("_room"), "_n"))
+    rows = rows.join(bins, ["label", "_bin"])
+    cut = (F.col("_room") > 0) & (F.col("_room") < F.col("_n"))
+    inside = Window.partitionBy("label", "_bin").orderBy("_u", *KEYS)
+    ranked = rows.filter(cut).withColumn("_holdout", F.row_number().over(inside) <= F.col("_room"))
+    return (rows.filter(~cut).withColumn("_holdout", F.col("_room") >= F.col("_n"))
+            .unionByName(ranked).drop("_u", "_bin", "_room", "_n"))
 
 
 def train_subscription_model(features: DataFrame, holdout: float = 0.3, seed: int = 42,
@@ -237,9 +249,11 @@ def train_subscription_model(features: DataFrame, holdout: float = 0.3, seed: in
 
     # balanced class weights n / (2 * n_c) over the training rows
     counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        raise ValueError("Training data has only one class; need positive and negative merchants.")
     total = sum(counts.values())
     weights = {k: total / (2.0 * v) for k, v in counts.items()}
-    wexpr = F.when(F.col("label") == 1.0, weights.get(1.0, 0.0)).otherwise(weights.get(0.0, 0.0))
+    wexpr = F.when(F.col("label") == 1.0, weights[1.0]).otherwise(weights[0.0])
     train = train.withColumn("weight", wexpr)
 
     # scaling parameters: one aggregate row (2 x 12 numbers)
@@ -283,7 +297,7 @@ def score_subscriptions(features: DataFrame, model: PipelineModel) -> DataFrame:
     out = model.transform(x).withColumn("score", vector_to_array("probability")[1])
     keep = ["account_id", "merchant", "score", "n_occurrences", "coverage_months",
             "median_gap_days", "dom_consistency", "amount_mean", "autocorr_30d"]
-    return out.select(*keep)
+    return out.select(*keep).orderBy(F.desc("score"), *KEYS)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

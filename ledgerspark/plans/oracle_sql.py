@@ -347,8 +347,14 @@ dense AS (SELECT cal.account_id, cal.merchant, cal.d, CASE WHEN h.txn_date IS NU
                                    AND h.txn_date = cal.d),
 pairs AS (SELECT a.account_id, a.merchant, a.v AS x0, c.v AS x1 FROM dense a JOIN dense c
           ON a.account_id = c.account_id AND a.merchant = c.merchant AND c.d = a.d + 30),
-acr AS (SELECT account_id, merchant, corr(x0, x1) AS r, var_pop(x0) AS v0, var_pop(x1) AS v1
-        FROM pairs GROUP BY ALL),
+-- corr() adds floats in the order rows arrive, which moves ties of the 6th decimal; integer sums don't
+moments AS (SELECT account_id, merchant, count(*) AS n, sum(CAST(x0 AS BIGINT)) AS sx, sum(CAST(x1 AS BIGINT)) AS sy,
+              sum(CAST(x0 * x1 AS BIGINT)) AS sxy FROM pairs GROUP BY ALL),
+acr AS (SELECT account_id, merchant, n * sx - sx * sx AS v0, n * sy - sy * sy AS v1,
+          CASE WHEN n * sx > sx * sx AND n * sy > sy * sy
+               THEN CAST(n * sxy - sx * sy AS DOUBLE) / sqrt(CAST(n * sx - sx * sx AS DOUBLE) * CAST(n * sy - sy * sy AS DOUBLE))
+          END AS r
+        FROM moments),
 feats AS (
 SELECT b.account_id, b.merchant, b.n AS n_occurrences, b.months AS coverage_months,
   CASE WHEN b.n < 2 THEN 0.0 ELSE b.med END AS median_gap_days,
@@ -392,6 +398,45 @@ web AS (SELECT mm.merchant,
         FROM mm LEFT JOIN sites ex ON ex.k = mm.name LEFT JOIN fz USING (merchant) LEFT JOIN al USING (merchant))"""
 
 
+def subscription_labels(words) -> str:
+    hit = " OR ".join(f"contains(merchant, '{w}')" for w in words)
+    return (f"WITH {_features_ctes()} SELECT account_id, merchant, coalesce(median_gap_days, 0.0) AS median_gap_days, "
+            "coalesce(amount_mean, 0.0) AS amount_mean, coalesce(autocorr_30d, 0.0) AS autocorr_30d, "
+            f"CASE WHEN {hit} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label FROM feats")
+
+
+def subscription_totals(threshold: float) -> str:
+    return f"""
+WITH {_features_ctes()},
+s AS (SELECT account_id, count(*) AS k, round(sum(cost), 2) AS m FROM
+        (SELECT account_id,
+           round(CASE WHEN coverage_months > 0 THEN abs(amount_mean) * (n_occurrences / coverage_months)
+                      WHEN median_gap_days > 0 THEN abs(amount_mean) * (30.0 / median_gap_days)
+                      ELSE abs(amount_mean) END, 2) AS cost
+         FROM feats WHERE dom_consistency >= {threshold}) c
+      GROUP BY account_id),
+e AS (SELECT account_id, count(*) AS expense_transactions_analyzed FROM x GROUP BY account_id)
+SELECT account_id, coalesce(s.k, 0) AS total_subscriptions, coalesce(s.m, 0.0::DOUBLE) AS total_monthly_cost,
+       round(coalesce(s.m, 0.0::DOUBLE) * 12, 2) AS total_yearly_cost, expense_transactions_analyzed
+FROM e LEFT JOIN s USING (account_id)"""
+
+
+def confident_subscriptions(threshold: float) -> str:
+    return (f"WITH {_features_ctes()} SELECT account_id, merchant, dom_consistency AS score FROM feats "
+            f"WHERE dom_consistency >= {threshold}")
+
+
+def validate_goals() -> str:
+    return f"""
+WITH {ledger_cte("customer")}, g AS ({td.requested_goals_sql()})
+SELECT account_id, target_amount, months,
+       CASE WHEN account_id IS NULL THEN 'account_id is required'
+            WHEN target_amount IS NULL OR target_amount <= 0 THEN 'target_amount must be positive'
+            WHEN months IS NULL OR months <= 0 THEN 'months must be positive'
+            WHEN account_id NOT IN (SELECT account_id FROM ledger) THEN 'account not found' END AS error
+FROM g"""
+
+
 def subscription_costs() -> str:
     return f"""
 WITH {_features_ctes()}, {_website_ctes('feats')}

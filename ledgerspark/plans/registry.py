@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import clean
 from ..functions.numeric import round_to
 from ..operators import periods as E
 from ..sources import testdata as td
@@ -215,10 +216,45 @@ def subscription_costs(spark, sf_dir):
                     "median_gap_days", "amount_mean", "average_monthly_cost", "website"))
 
 
+#: stand-ins for the seed merchants: words of the driver's part names
+SEED_WORDS = ("STEEL", "BRASS", "ALMOND", "RED")
+
+
+@register("subscription_labels", lambda: Q.subscription_labels(SEED_WORDS))
+def subscription_labels(spark, sf_dir):
+    """F10 + F11: features without missing values, labelled by seed words."""
+    f = S.merchant_features(S.expense_projection(_ledger(spark, sf_dir)))
+    return S.label_known(S.finite_or_zero(f), SEED_WORDS).select(
+        "account_id", "merchant", "median_gap_days", "amount_mean", "autocorr_30d", "label")
+
+
+@register("subscription_totals", lambda: Q.subscription_totals(0.5))
+def subscription_totals(spark, sf_dir):
+    """F15 + F16 per account; the day-of-month consistency stands in for the score."""
+    exp = S.expense_projection(_ledger(spark, sf_dir))
+    subs = S.merchant_features(exp).withColumn("score", F.col("dom_consistency"))
+    return S.subscription_totals(subs, exp, 0.5)
+
+
+@register("confident_subscriptions", lambda: Q.confident_subscriptions(0.75))
+def confident_subscriptions(spark, sf_dir):
+    """Candidates at or over a score, the day-of-month consistency as the score."""
+    f = S.merchant_features(S.expense_projection(_ledger(spark, sf_dir)))
+    return (clean.confidence_filter(f.withColumn("score", F.col("dom_consistency")), 0.75)
+            .select("account_id", "merchant", "score"))
+
+
 # ---------------------------------------------------------------------------
 # G: savings goals
 # ---------------------------------------------------------------------------
 
+
+@register("validate_goals", lambda: Q.validate_goals())
+def validate_goals(spark, sf_dir):
+    """One requested goal per customer; only customers with orders have accounts."""
+    accounts = _ledger(spark, sf_dir, "customer")
+    return clean.validate_goals(td.requested_goals(spark, sf_dir), accounts)
+
 from ..operators import savings as G  # noqa: E402
 
 

@@ -183,6 +183,20 @@ def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("n_regionkey") + 1) * 6).cast("int").alias("months"))
 
 
+def requested_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One goal per customer as typed in: the target is the balance (which may be
+    negative), the months run from 0 to 12."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").cast("string").alias("account_id"),
+                    F.col("c_acctbal").cast("double").alias("target_amount"),
+                    (F.col("c_custkey") % 13).cast("long").alias("months"))
+
+
+def requested_goals_sql() -> str:
+    return ("SELECT CAST(c_custkey AS VARCHAR) AS account_id, CAST(c_acctbal AS DOUBLE) AS target_amount, "
+            "CAST(c_custkey % 13 AS BIGINT) AS months FROM customer")
+
+
 def goals_sql() -> str:
     return """
     SELECT 'G' || CAST(n_nationkey AS STRING) AS goal_id, CAST(n_nationkey AS STRING) AS account_id,

@@ -155,6 +155,16 @@ def test_train_score_costs_totals(spark, ledger, tmp_path):
     assert scores == sorted(scores, reverse=True)
 
 
+@pytest.mark.parametrize("n_pos,n_neg,holdout", [(1, 1, 0.3), (2, 9, 0.3), (50, 951, 0.3), (7, 400, 0.0)])
+def test_holdout_is_an_exact_share_of_each_label(spark, n_pos, n_neg, holdout):
+    df = spark.range(n_pos + n_neg).selectExpr("string(id % 3) AS account_id", "string(id) AS merchant",
+                                               f"double(id < {n_pos}) AS label")
+    got = {(r.label, r._holdout): r["count"] for r in S._split_flag(df, 42, holdout).groupBy("label", "_holdout").count().collect()}
+    for label, n in ((1.0, n_pos), (0.0, n_neg)):
+        want = 0 if n < 2 else max(1, min(n - 1, int(n * holdout + 0.5)))
+        assert got.get((label, True), 0) == want and got.get((label, False), 0) == n - want
+
+
 def test_single_class_raises(spark, ledger):
     rows = [("a", f"2024-0{i}-01", "SHOP", -5.0, "Misc") for i in range(1, 6)]
     feats = S.label_known(S.merchant_features(S.expense_projection(ledger(rows))))
