@@ -87,14 +87,18 @@ def span_list(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+OUT_BYTES = 8 << 20             # of texts and binaries that a Python task holds for Spark
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Texts are long: 8 MB go to Python at a time, not Spark's 64 MB."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def per_document(docs: DataFrame, fn, fields: str, inputs: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """Rows that ``fn(*lists of the input columns)`` makes (a list of tuples, as
-    ``fields`` names them), a few hundred documents at a time. No shuffle."""
+    """Rows that ``fn(*lists of the input columns)`` makes (tuples, as ``fields`` names
+    them, in a list or one by one), a few hundred documents at a time. They go back to
+    Spark whenever their texts and binaries pass ``OUT_BYTES``. No shuffle."""
     bound_batches(docs.sparkSession)
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -103,14 +107,23 @@ def per_document(docs: DataFrame, fn, fields: str, inputs: tuple[str, ...] = ("d
     schema = StructType.fromDDL(fields)
     arrow = to_arrow_schema(schema)
 
+    def record(rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow, strict=True)], schema=arrow)
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = fn(*[part.column(i).to_pylist() for i in range(part.num_columns)])
-                cols = list(zip(*rows)) if rows else [()] * len(arrow)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+                rows, size = [], 0
+                for row in fn(*[part.column(i).to_pylist() for i in range(part.num_columns)]):
+                    rows.append(row)
+                    size += sum(len(v) for v in row if isinstance(v, (bytes, str)))
+                    if size > OUT_BYTES:
+                        yield record(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield record(rows)
 
     return docs.select(*inputs).mapInArrow(run, schema)
 

@@ -288,16 +288,15 @@ def _compare(docs: DataFrame, pairs: DataFrame, kept: type) -> DataFrame:
     own = _small(pairs.groupBy("b").agg(F.collect_list("a").alias("with_a")))   # centers of b's own signatures
     kind = id_type(docs)
 
-    def sets(ids, texts, others):
-        out = []
+    def sets(ids, texts, others):           # a document's set once for each partner, never all at once
         for i, t, o in zip(ids, texts, others):
             own_set = blob(t)
-            out += [(a, i, own_set) for a in o]
-        return out
+            for a in o:
+                yield a, i, own_set
     side_b = per_document(d.join(own, F.col("doc_id") == F.col("b")), sets, f"a {kind}, b {kind}, set_b binary", ("doc_id", "text", "with_a"))
     centers = _small(pairs.select(F.col("a").alias("c")).distinct())
     side_a = per_document(d.join(centers, F.col("doc_id") == F.col("c"), "left_semi"),
-                          lambda ids, texts: [(i, blob(t)) for i, t in zip(ids, texts)],
+                          lambda ids, texts: ((i, blob(t)) for i, t in zip(ids, texts)),
                           f"c {kind}, set_a binary")
 
     def linked(a, b, set_a, set_b):
@@ -415,7 +414,7 @@ def _rest(docs: DataFrame, hot_rows: DataFrame, needy: DataFrame, edges: DataFra
     group = connected(hot_rows.join(center, "key").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct())
     group = staged(group.select("node", F.col("comp").alias("group")), "groups")
     sets = per_document(docs.select("doc_id", "text").join(_small(group), F.col("doc_id") == F.col("node")),
-                        lambda ids, texts, groups: [(g, i, len(h), h.tobytes()) for i, t, g in zip(ids, texts, groups) if len(h := shingles(split(t)))],
+                        lambda ids, texts, groups: ((g, i, len(h), h.tobytes()) for i, t, g in zip(ids, texts, groups) if len(h := shingles(split(t)))),
                         f"group {kind}, node {kind}, n long, set binary", ("doc_id", "text", "group"))
     sets = staged(sets, "rest")
     blocks = sets.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("group", "_group")
