@@ -1,8 +1,9 @@
 """License detection by ordered signature rules.
 
-A rule is a hand-written pattern with a label, a priority and keywords. A rule runs on
-a text only if all its keywords stand in the lower-cased text (and none does unless one of
-the few ``GATES`` stands in it). Detections are intervals; one that lies inside an
+A rule is a hand-written pattern with a label, a priority and a gate derived from that
+pattern: lists of keywords, of each of which all its matches hold one. A rule runs on a
+text only if its gate is open on the lower-cased text with blanks for all white space, so
+gates save time and lose nothing. Detections are intervals; one that lies inside an
 interval of higher priority, or of the same priority and greater length, is suppressed, so
 "GNU General Public License, version 3" inside a longer, more specific notice does not
 count on its own. The labels of the remaining detections and of the base phrases are the
@@ -14,6 +15,7 @@ Every document is read once, whole, without a shuffle.
 from __future__ import annotations
 
 import re
+from re import _constants, _parser
 
 from pyspark.sql import DataFrame
 
@@ -24,10 +26,6 @@ from .features import words
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 BASE_PRIORITY = 80
 
-#: Words without which no rule can match.
-GATES = ("licen", "copyright", "spdx", "public domain", "creative commons", "cc0", "cc by", "cc-by", "all rights reserved",
-         "warranty", "redistribut", "permission", "gnu")
-
 # label | names (alternatives) | SPDX identifier pattern | web address pattern | a sentence of the text
 LICENSES = [
     ("mit", r"mit|expat|x11", r"mit(?:-0)?", r"opensource\.org/licenses?/mit",
@@ -106,49 +104,107 @@ LICENSES = [
     ("proprietary", r"proprietary", r"licenseref-proprietary", r"example\.invalid/eula",
      r"no part of this (?:work|document|publication|software) may be (?:reproduced|copied|distributed)"),
 ]
-#: kind -> (priority, pattern around the names of a license, a keyword all its matches have)
+#: kind -> (priority, pattern around the names of a license)
 FORMS = {
-    "tag": (100, r"spdx-license-identifier:\s{{0,4}}(?:{spdx})(?![\w.-])", "spdx"),
-    "text": (90, r"{text}", ""),
-    "address": (85, r"(?:https?://)?(?:www\.)?{address}", ""),
-    "grant": (75, r"(?:licen[cs]ed|released|distributed|available|published|provided|covered)\s(?:\w+\s){{0,3}}?(?:under|by)\s(?:the\s|a\s)?(?:terms\sof\s)?(?:the\s|a\s)?(?:{name})(?!\w)", ""),
-    "name": (60, r"(?<!\w)(?:{name})[\s-]licen[cs]e(?:,?\s(?:version\s|v)?\d(?:\.\d)*)?(?!\w)", "licen"),
-    "mention": (40, r"(?<!\w)(?:{long})(?!\w)", ""),
+    "tag": (100, r"spdx-license-identifier:\s{{0,4}}(?:{spdx})(?![\w.-])"),
+    "text": (90, r"{text}"),
+    "address": (85, r"(?:https?://)?(?:www\.)?{address}"),
+    "grant": (75, r"(?:licen[cs]ed|released|distributed|available|published|provided|covered)\s(?:\w+\s){{0,3}}?(?:under|by)\s(?:the\s|a\s)?(?:terms\sof\s)?(?:the\s|a\s)?(?:{name})(?!\w)"),
+    "name": (60, r"(?<!\w)(?:{name})[\s-]licen[cs]e(?:,?\s(?:version\s|v)?\d(?:\.\d)*)?(?!\w)"),
+    "mention": (40, r"(?<!\w)(?:{long})(?!\w)"),
 }
-GENERIC = [("public-domain", 50, r"(?:released|dedicated|placed|is) (?:in|in ?to|to) the public domain", "public domain"),
-           ("all-rights-reserved", 30, r"all rights reserved", "all rights reserved"),
-           ("copyright", 20, r"copyright (?:\(c\)|©)? ?(?:19|20)\d\d", "copyright")]
+GENERIC = [("public-domain", 50, r"(?:released|dedicated|placed|is) (?:in|in ?to|to) the public domain"),
+           ("all-rights-reserved", 30, r"all rights reserved"),
+           ("copyright", 20, r"copyright (?:\(c\)|©)? ?(?:19|20)\d\d")]
 #: Names too short or too common to stand alone.
 NEEDS_CONTEXT = {"mit", "isc", "zlib", "postgresql", "openssl", "proprietary", "unlicense"}
 
 
-def _keywords(pattern: str) -> tuple[str, ...]:
-    """A plain run of letters that all matches of a pattern without alternatives
-    must have: the longest one."""
-    if "|" in pattern:
-        return ()
-    plain = re.sub(r"\(\?:[^()]*\)[?*]?|\[[^]]*\][?*]?|\\.[?*]?|\{[^}]*\}|.\?|\.\{[^}]*\}", " ", pattern)
-    best = max(re.findall(r"[a-z]{4,}", plain), key=len, default="")
-    return (best,) if best else ()
+#: Keywords a gate's list has at most, and the least length of each.
+MOST_WORDS, LEAST_LETTERS = 12, 2
+
+
+def _exact(item) -> set[str] | None:
+    """All strings that a piece of a parsed pattern matches, or None if they are many."""
+    op, arg = item
+    if op is _constants.LITERAL:
+        return {chr(arg)}
+    if op is _constants.IN:
+        if arg == [(_constants.CATEGORY, _constants.CATEGORY_SPACE)]:
+            return {" "}
+        out = set()
+        for kind, value in arg:
+            if kind is _constants.LITERAL:
+                out.add(chr(value))
+            elif (kind, value) == (_constants.CATEGORY, _constants.CATEGORY_SPACE):
+                out.add(" ")
+            else:
+                return None
+        return out
+    if op is _constants.SUBPATTERN:
+        return _exact_all(arg[3])
+    if op is _constants.BRANCH:
+        parts = [_exact_all(p) for p in arg[1]]
+        return None if None in parts else set().union(*parts)
+    return None
+
+
+def _exact_all(items) -> set[str] | None:
+    out = {""}
+    for item in items:
+        more = _exact(item)
+        if more is None or len(out) * len(more) > MOST_WORDS:
+            return None
+        out = {a + b for a in out for b in more}
+    return out
+
+
+def _lists(items) -> set[frozenset[str]]:
+    """Lists of keywords, of each of which every match of the parsed pattern holds one.
+    White space counts as a blank; what may be absent adds nothing."""
+    found, run = [], {""}
+    for item in items:
+        exact = _exact(item)
+        if exact is not None and len(run) * len(exact) <= MOST_WORDS:
+            run = {a + b for a in run for b in exact}
+            continue
+        found.append(run)
+        run = {""} if exact is None else exact
+        op, arg = item
+        if exact is None and op is _constants.SUBPATTERN:
+            found += _lists(arg[3])
+        elif exact is None and op is _constants.BRANCH:
+            best = [max(_lists(p), key=lambda ws: (min(map(len, ws)), -len(ws), sorted(ws)), default=None) for p in arg[1]]
+            if None not in best:
+                found.append(set().union(*best))
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT, _constants.POSSESSIVE_REPEAT) and arg[0] > 0:
+            found += _lists(arg[2])
+    found.append(run)
+    return {frozenset(w for w in ws if not any(v != w and v in w for v in ws))
+            for ws in found if min(map(len, ws)) >= LEAST_LETTERS}
+
+
+def gate_of(pattern: str) -> tuple[frozenset[str], ...]:
+    """The gate of a pattern, the longest keywords first; () if it has none."""
+    return tuple(sorted(_lists(list(_parser.parse(pattern))), key=lambda ws: (-min(map(len, ws)), len(ws), sorted(ws))))
 
 
 _compiled: list = []
 
 
-def rules() -> list[tuple[str, int, re.Pattern, tuple[str, ...]]]:
-    """(label, priority, pattern, keywords), highest priority first."""
+def rules() -> list[tuple[str, int, re.Pattern, tuple[frozenset[str], ...]]]:
+    """(label, priority, pattern, gate), highest priority first."""
     if _compiled:
         return _compiled
     out = []
     for label, name, spdx, address, text in LICENSES:
-        for kind, (priority, form, keyword) in FORMS.items():
+        for kind, (priority, form) in FORMS.items():
             if kind == "mention" and label in NEEDS_CONTEXT:
                 continue
-            pattern = form.format(spdx=spdx, text=text, address=address, name=name, long=name).replace(" ", r"\s")
-            gate = (keyword,) if keyword else _keywords({"text": text, "address": address}.get(kind, name))
-            out.append((label, priority, re.compile(pattern), gate))
-    out += [(label, p, re.compile(pattern.replace(" ", r"\s")), (keyword,)) for label, p, pattern, keyword in GENERIC]
-    _compiled.extend(sorted(out, key=lambda r: -r[1]))
+            out.append((label, priority, form.format(spdx=spdx, text=text, address=address, name=name, long=name)))
+    out += [(label, p, pattern) for label, p, pattern in GENERIC]
+    out = [(label, p, pattern.replace(" ", r"\s")) for label, p, pattern in out]
+    _compiled.extend(sorted(((label, p, re.compile(pattern), gate_of(pattern)) for label, p, pattern in out), key=lambda r: -r[1]))
     return _compiled
 
 
@@ -168,10 +224,14 @@ def detect(text: str) -> list[tuple[int, int, int, str]]:
     low = text.lower()
     if len(low) != len(text):           # some capitals have longer lower-case forms
         low = text.translate(_LOWER)
-    if not any(g in low for g in GATES):
-        return []
+    flat, seen = re.sub(r"\s", " ", low), {}
+
+    def has(words_: frozenset[str]) -> bool:
+        if words_ not in seen:
+            seen[words_] = any(w in flat for w in words_)
+        return seen[words_]
     return suppress([(priority, m.start(), m.end(), label) for label, priority, pattern, gate in rules()
-                     if all(g in low for g in gate) for m in pattern.finditer(low)])
+                     if all(map(has, gate)) for m in pattern.finditer(low)])
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
