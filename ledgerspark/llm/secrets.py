@@ -3,13 +3,15 @@
 Base patterns find assignments, access keys and long hexadecimal runs. The method
 adds other tokens (kind ``random``) that look like key material:
 
-* the token's encoding is inferred from its characters (decimal is no secret);
+* the token's encoding is inferred from its characters (a token without a letter is no
+  secret);
 * a battery tests uniform randomness over that alphabet: chi-squared of the symbol
   counts (Wilson-Hilferty), runs above and below the middle of the alphabet, and
   lag-1 serial correlation. The three two-sided p-values are combined by Fisher's
   method; a token that the battery rejects at ``BATTERY_P`` is no random string;
 * the evidence against running text is the likelihood ratio of the uniform alphabet
-  to a fixed text model. Its reciprocal bounds a p-value (Markov), so short tokens
+  to a fixed text model, which reads words of capitals alone as if they were small.
+  Its reciprocal bounds a p-value (Markov), so short tokens
   need more surprising characters than long ones. Benjamini-Hochberg over the
   document's tokens then controls false discoveries at ``FDR``.
 
@@ -30,7 +32,8 @@ BASE = {
     "access": (r"AKIA", r"AKIA[A-Z0-9]{16,}+"),
     "hex": (r"[0-9a-f]{24}", r"(?<![0-9a-f])[0-9a-f]{24,}+"),
 }
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+"
+#: Padding belongs to a token only at its end, so that '=' after a name starts a new one.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}+(?![A-Za-z0-9+/_=-]))?+"
 TOKEN_TEST = r"[A-Za-z0-9+/_-]{20}"
 LEAST_ASSIGNED = 6
 BATTERY_P = 1e-3
@@ -134,7 +137,10 @@ def text_p(token: Column) -> Column:
             n = F.length(body) - F.length(F.regexp_replace(body, chars, ""))
             log_ratio = log_ratio + n * (-size - F.log(F.lit(share)))
         return F.exp(-F.greatest(F.lit(0.0), log_ratio))
-    return let(F.regexp_replace(token, "=+$", ""), bound)
+    def cased(body):
+        # capitals without small letters and digits: a heading or a constant's name in text
+        return F.when(body.rlike("[a-z0-9]"), body).otherwise(F.lower(body))
+    return let(F.regexp_replace(token, "=+$", ""), lambda body: let(cased(body), bound))
 
 
 def _base(text: Column, kind: str) -> Column:
@@ -151,7 +157,7 @@ def _base(text: Column, kind: str) -> Column:
 def _random(text: Column, base: Column) -> Column:
     """Tokens outside the base spans that pass the battery and, within their
     document, the false-discovery control."""
-    free = F.filter(match_spans(text, TOKEN), lambda s: s["hit"].rlike("[0-9]") & s["hit"].rlike("[A-Za-z]") & ~F.exists(
+    free = F.filter(match_spans(text, TOKEN), lambda s: s["hit"].rlike("[A-Za-z]") & ~F.exists(
         base, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
     tested = F.transform(free, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), text_p(s["hit"]).alias("p"), battery_p(s["hit"]).alias("battery")))
