@@ -7,12 +7,14 @@ r * t * p, match the target weights of the same total, staying near 1 otherwise:
 
     minimise |sums of r t p - T|^2 / (2 total) + STAY / 2 * sum of t (r - 1)^2
 
-by accelerated projected gradient descent; in the metric that weighs documents by their
-tokens the gradient at a document is p . (S - T) / total + STAY * (r - 1), S being the
-present domain totals, and no step is longer than 1 / (1 + STAY) allows. A rate thus
+The optimum has r = 1 - p . (S - T) / (total STAY) within 0 and MOST, S being the domain
+totals under these rates: all rates follow from one number per domain, the pull
+(S - T) / total. It is found by Newton's method on these few equations, whose slope is made
+of domain shares, so that a rare domain takes no more steps than a frequent one. A rate
 depends on a document's p alone, so p is rounded to a grid of 1 / GRID and documents are
-summed up by grid cell (tokens, and exact domain totals) before the descent: each step is
-one distributed sum over the cells, and rates are recomputed from the few step vectors.
+summed up by grid cell (tokens, and exact domain totals) before: each step is one
+distributed sum over the cells, for several step lengths at once. It ends when every
+domain's equation holds within TOLERANCE of the domain's own target.
 A target that no rates can reach (a domain that hardly occurs) is missed by as much as
 that costs least; the others are still met.
 """
@@ -32,7 +34,9 @@ WORDS = 200                        # words at most that mark a domain
 MOST = 4.0                         # largest rate
 STAY = 1e-4                        # pull towards rate 1
 GRID = 500                         # cells per unit of probability
-STEPS, TOLERANCE = 40, 2e-4        # of the total tokens
+TOLERANCE = 1e-6                   # of a domain's own target
+LENGTHS = 4.0 ** -np.arange(10)    # of a step, tried at once
+STALL = 30                         # steps without progress: rounding is all that is left
 # Domains of the labels table and their default weights.
 DOMAINS = {"clean": 0.96, "junk": 0.015, "toxic": 0.025}
 
@@ -98,49 +102,55 @@ def _cell(p: np.ndarray) -> np.ndarray:
     return np.round(p * GRID) / GRID
 
 
-def rates(p: np.ndarray, steps: list[np.ndarray], ahead: bool = False) -> np.ndarray:
-    """Rates of documents with probabilities p after the given steps, each of them the
-    domains' misses by total; ``ahead``: the point at which the next one is taken."""
-    cell = _cell(p)
-    r = last = np.ones(len(p))
-    at = r
-    for n, miss in enumerate(steps):
-        slope = cell @ miss + STAY * (at - 1.0)
-        last, r = r, np.clip(at - slope / (1.0 + STAY), 0.0, MOST)
-        at = r + (n + 1.0) / (n + 4.0) * (r - last)
-    return at if ahead else r
+def rates(p: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """Rates of documents with probabilities p under the domains' pulls."""
+    return np.clip(1.0 - _cell(p) @ pull / STAY, 0.0, MOST)
 
 
-def _sums(table: DataFrame, k: int, steps: list[np.ndarray]) -> np.ndarray:
-    """Domain totals at the point of the next step: one row from each task, added up."""
+def _sums(table: DataFrame, k: int, pulls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the pulls the domain totals (pull, domain) and their falling with
+    each pull, times STAY (pull, domain, domain): one row from each task, added up."""
     def run(p, sums):
-        r = rates(np.array(p).reshape(-1, k), steps, ahead=True)
-        return [((r @ np.array(sums).reshape(-1, k)).tolist(),)]
+        cell, sums = np.array(p).reshape(-1, k), np.array(sums).reshape(-1, k)
+        out = []
+        for pull in pulls:
+            r = rates(cell, pull)
+            out += [r @ sums, (sums.T @ (cell * ((r > 0) & (r < MOST))[:, None])).ravel()]
+        return [(np.concatenate(out).tolist(),)]
     parts = per_document(table, run, "s array<double>", ("cell", "sums"))
-    row = parts.agg(*[F.sum(F.get("s", F.lit(i))) for i in range(k)]).first()
-    return np.array([x or 0.0 for x in row])
+    row = parts.agg(*[F.sum(F.get("s", F.lit(i))) for i in range(len(pulls) * (k + k * k))]).first()
+    got = np.array([x or 0.0 for x in row]).reshape(len(pulls), k + k * k)
+    return got[:, :k], got[:, k:].reshape(-1, k, k)
 
 
-def fit_rates(table: DataFrame, weights: list[float]) -> list[np.ndarray]:
-    """Step vectors from (tokens, p). Weights of domains without tokens go to the others
-    in proportion. Stops when no domain misses its target by more than ``TOLERANCE`` of
-    the tokens, when the steps no longer change, or after ``STEPS``."""
+def fit_rates(table: DataFrame, weights: list[float]) -> np.ndarray:
+    """The domains' pulls from (tokens, p). Weights of domains without tokens go to the
+    others in proportion."""
     k = len(weights)
     cells = staged(table.groupBy(F.transform("p", lambda x: F.round(x * GRID) / GRID).alias("cell")).agg(
         F.array(*[F.sum(F.col("tokens") * F.get("p", F.lit(i))) for i in range(k)]).alias("sums")), "cells")
-    now = _sums(cells, k, [])
+    pull = np.zeros(k)
+    sums, falls = _sums(cells, k, pull[None])
+    now, fall = sums[0], falls[0]
     total = now.sum()
     if not total:
-        return []
+        return pull
     goal = np.where(now > 0, weights, 0.0)
     goal = goal / goal.sum() * total if goal.sum() else now
-    steps: list[np.ndarray] = []
-    while len(steps) < STEPS:
-        miss = (_sums(cells, k, steps) - goal) / total
-        if np.abs(miss).max() <= TOLERANCE or (steps and np.abs(miss - steps[-1]).max() <= 0.02 * TOLERANCE):
-            break
-        steps.append(miss)
-    return steps
+    scale = np.where(goal > 0, goal, np.where(now > 0, now, total)) / total
+    off = pull - (now - goal) / total
+    best, idle = np.inf, 0
+    while (worst := np.abs(off / scale).max()) > TOLERANCE and idle < STALL:
+        best, idle = (worst, 0) if worst < best else (best, idle + 1)
+        step = -np.linalg.solve(np.eye(k) + fall / (STAY * total), off)
+        tried = pull + LENGTHS[:, None] * step
+        sums, falls = _sums(cells, k, tried)
+        offs = tried - (sums - goal) / total
+        # what is minimised still falls (or hardly rises) at the end of the longest good step
+        good = np.flatnonzero(offs @ step <= 0.01 * abs(off @ step))
+        at = good[0] if len(good) else len(LENGTHS) - 1
+        pull, off, fall = tried[at], offs[at], falls[at]
+    return pull
 
 
 def _columns(names: list[str], tokens: Column, p: Column, rate: Column, doc_id: Column) -> dict[str, Column]:
@@ -152,7 +162,7 @@ def _columns(names: list[str], tokens: Column, p: Column, rate: Column, doc_id:
 
 
 def _fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]):
-    """(classifier, (doc_id, tokens, p) of every document, step vectors)."""
+    """(classifier, (doc_id, tokens, p) of every document, pulls)."""
     predict = fit_domains(docs, labelled, len(weights))
 
     def run(ids, texts):
@@ -167,11 +177,11 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
     so that its mean is the rate. Null and empty texts have 0 tokens and count for
     nothing. Further columns are ignored."""
     weights = weights or DOMAINS
-    _, table, steps = _fit(docs, label_domains(labels), weights)
+    _, table, pull = _fit(docs, label_domains(labels), weights)
     k = len(weights)
 
     def run(ids, tokens, p):
-        return list(zip(ids, tokens, p, rates(np.array(p).reshape(-1, k), steps).tolist()))
+        return list(zip(ids, tokens, p, rates(np.array(p).reshape(-1, k), pull).tolist()))
     out = per_document(table, run, f"doc_id {id_type(docs)}, tokens double, p array<double>, rate double", ("doc_id", "tokens", "p"))
     cols = _columns(list(weights), F.col("tokens"), F.col("p"), F.col("rate"), F.col("doc_id"))
     return out.select("doc_id", *[c.alias(n) for n, c in cols.items()])
@@ -181,12 +191,12 @@ def draw(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
     """The rows of ``docs`` with at least one copy in the mixture, all columns, beside
     ``domain``, ``rate`` and ``copies`` (mix_... where such a name is taken)."""
     weights = weights or DOMAINS
-    predict, _, steps = _fit(docs, label_domains(labels), weights)
+    predict, _, pull = _fit(docs, label_domains(labels), weights)
 
     @F.pandas_udf("array<double>")
     def shares_and_rate(texts: pd.Series) -> pd.Series:
         p = predict(texts)
-        return pd.Series(list(np.column_stack([p, rates(p, steps)])))
+        return pd.Series(list(np.column_stack([p, rates(p, pull)])))
     name = "_mix"
     while name in docs.columns:
         name += "_"
