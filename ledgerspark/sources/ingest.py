@@ -31,6 +31,11 @@ def account_id_of(path_col) -> F.Column:
     return F.regexp_extract(name, ACCOUNT_FROM_NAME, 1)
 
 
+def _plain_path(path_col) -> F.Column:
+    """``_metadata.file_path`` is percent-encoded; the plain path, as listed."""
+    return F.url_decode(F.replace(path_col, F.lit("+"), F.lit("%2B")))
+
+
 # ---------------------------------------------------------------------------
 # A3 catalog (no content read)
 # ---------------------------------------------------------------------------
@@ -47,7 +52,7 @@ def file_catalog(spark: SparkSession, path: str) -> DataFrame:
     """A3: one row per stored ledger: account id, file name, time, size, rows."""
     files = list_files(spark, path, "*.csv")
     rows = (spark.read.option("header", True).csv(path)
-            .select(F.col("_metadata.file_path").alias("path"))
+            .select(_plain_path(F.col("_metadata.file_path")).alias("path"))
             .groupBy("path").agg(F.count(F.lit(1)).alias("rows")))
     return (files.join(rows, "path", "left")
             .select(account_id_of("path").alias("account_id"),
@@ -106,7 +111,7 @@ def _canonical(df: DataFrame, date_format: str, pick: str, strip_symbols: bool =
     dt = parse_date(F.col(f"`{roles['date']}`"), date_format) if roles["date"] else F.lit(None).cast("date")
     desc = F.col(f"`{roles['description']}`").cast("string") if roles["description"] \
         else F.lit(None).cast("string")
-    return df.select(_account_of(F.col("_metadata.file_path"), account_from).alias("account_id"),
+    return df.select(_account_of(_plain_path(F.col("_metadata.file_path")), account_from).alias("account_id"),
                      dt.alias("txn_date"), desc.alias("description"), amt.alias("amount"))
 
 
