@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 # Fixed values of the contracts: word and line patterns.
 ALNUM_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"    # between lower-cased words
 SPACE_BREAK = r"[\x20\x09-\x0D]+"                  # between space-separated words
@@ -18,20 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: what ``spark.checkpoint.dir`` names;
-    a scratch folder only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="ledgerspark-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder once and read it back.
-    The copy survives lost executors; each call writes a folder of its own."""
-    path = f"{shared_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
+    The copy survives lost executors; each call writes a folder of its own. The folder is
+    what ``spark.checkpoint.dir`` names; where that is unset, a local master gets a
+    scratch folder and a cluster an error."""
+    path = f"{checkpoint_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -87,6 +80,20 @@ def span_list(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def bases(totals: DataFrame, part: str, amount: str, block: int = 1024) -> DataFrame:
+    """(part, base): the sum of ``amount`` over all smaller parts. ``totals`` has one row
+    per part, parts being partition numbers from 0. Blocks of parts are summed first, so
+    no task holds more than a block or the list of blocks."""
+    t = totals.select(F.col(part).cast("long").alias("part"), F.col(amount).cast("long").alias("amount"),
+                      F.floor(F.col(part) / block).alias("block"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (t.groupBy("block").agg(F.sum("amount").alias("amount"))
+              .select("block", F.sum("amount").over(before(Window.orderBy("block"))).alias("under")))
+    inner = F.sum("amount").over(before(Window.partitionBy("block").orderBy("part")))
+    return t.select("part", "block", inner.alias("inner")).join(blocks, "block").select(
+        F.col("part").alias(part), (F.coalesce("inner", F.lit(0)) + F.coalesce("under", F.lit(0))).alias("base"))
+
+
 OUT_BYTES = 8 << 20             # of texts and binaries that a Python task holds for Spark
 
 
@@ -95,10 +102,13 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
-def per_document(docs: DataFrame, fn, fields: str, inputs: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+def per_document(docs: DataFrame, fn, fields: str, inputs: tuple[str, ...] = ("doc_id", "text"),
+                 each_task: bool = False) -> DataFrame:
     """Rows that ``fn(*lists of the input columns)`` makes (tuples, as ``fields`` names
     them, in a list or one by one), a few hundred documents at a time. They go back to
-    Spark whenever their texts and binaries pass ``OUT_BYTES``. No shuffle."""
+    Spark whenever their texts and binaries pass ``OUT_BYTES``. No shuffle. With
+    ``each_task``, ``fn()`` is called at the start of each task and returns that function,
+    which may keep state from one call to the next."""
     bound_batches(docs.sparkSession)
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -112,11 +122,12 @@ def per_document(docs: DataFrame, fn, fields: str, inputs: tuple[str, ...] = ("d
             [pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow, strict=True)], schema=arrow)
 
     def run(batches):
+        make = fn() if each_task else fn
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows, size = [], 0
-                for row in fn(*[part.column(i).to_pylist() for i in range(part.num_columns)]):
+                for row in make(*[part.column(i).to_pylist() for i in range(part.num_columns)]):
                     rows.append(row)
                     size += sum(len(v) for v in row if isinstance(v, (bytes, str)))
                     if size > OUT_BYTES:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, licenses, mixing, pii, quality, rules, secrets, toxicity
+from . import (decontaminate, jaccard, language, licenses, mixing, packing, pii, quality, rules,
+               secrets, toxicity)
 from .common import table
 
 QUERIES = {}
@@ -68,6 +69,11 @@ def op10_rules(spark, sf_dir):
     return rules.judge(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_packing(spark, sf_dir):
+    return packing.packed(_docs(spark, sf_dir))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
