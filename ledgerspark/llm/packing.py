@@ -12,13 +12,18 @@ together the same way (:func:`sequences`): a task joins the pieces that follow o
 and only the boundary records, the cut-off ends of its run, are grouped by sequence.
 
 Tokenising: this vocabulary drops white space and never joins over it, so a blank ends
-every merge. Texts are cut at blanks and each task remembers the ids of the pieces between
-them; a test holds the ids against those of whole texts.
+every merge. Texts are cut at blanks, each task remembers the ids of the pieces between
+them, and plain words of letters go to the vocabulary's model without the patterns that
+split signs from letters; a test holds the ids against those of whole texts.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import gc
+import re
+import unicodedata
+from array import array
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +31,8 @@ from .common import bases, bound_batches, id_type, per_document, staged
 
 LENGTH = 2048                   # ids of a sequence
 END = 1                         # the id that ends a document
-REMEMBERED = 200_000            # pieces between blanks that a task remembers at a time
+BEYOND = 0x530                  # first code point of words that take the tokenizer's whole way
+REMEMBERED = 700_000            # pieces between blanks that a task remembers at a time (150 MB)
 
 
 def default_tokenizer() -> str:
@@ -42,23 +48,63 @@ def encoder(path: str, end: int = END):
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")    # Spark gives a task its core
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-    last = np.array([end], "<u4").tobytes()
+    model = tokenizer.model
+    # the model reads bytes as letters; ASCII letters stand for themselves
+    byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    letters = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, BEYOND)}
+    last = array("I", [end]).tobytes()
     known: dict[str, bytes] = {}
 
+    def word_ids(word):
+        return array("I", [t.id for t in model.tokenize(word if word.isascii() else word.translate(letters))]).tobytes()
+
     def encode(texts):
+        gc.disable()            # nothing here refers to itself, and the collector would walk all of ``known``
+        try:
+            return ids_of(texts)
+        finally:
+            gc.enable()
+
+    def ids_of(texts):
         cut = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({w for ws in cut for w in ws if w not in known})
-        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+        new = set().union(*cut).difference(known)
+        plain = {w: n for w in new if w.isalpha() and (n := normal(w))}
+        signed = [(w, n, m[1], m[3]) for w in new - plain.keys() if (m := SIGNED.fullmatch(w)) and (n := normal(m[2]))]
+        rest = new.difference(plain, (p[0] for p in signed)).union((p[2] for p in signed), (p[3] for p in signed))
+        rest = list(rest.difference(known))
+        for w, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[w] = array("I", e.ids).tobytes()
+        for n in set(plain.values()).union(p[1] for p in signed).difference(known):
+            known[n] = word_ids(n)
+        for w, n in plain.items():
+            known[w] = known[n]
+        for w, n, head, tail in signed:
+            known[w] = known[head] + known[n] + known[tail]
         return [b"".join(map(known.__getitem__, ws)) + last for ws in cut]
     return encode
 
 
+#: A word of letters with ASCII signs before or after it; an apostrophe may start a token
+#: of letters, "<" a special token.
+SIGNED = re.compile(r"([!-&(-/:;=-@\[-`{-~]*)([^\W\d_]+)([!-&(-/:;=-@\[-`{-~]*)")
+
+
+def normal(word: str) -> str | None:
+    """A word of letters as the tokenizer normalises it; None where that may leave
+    something else than letters, or is not Latin, Greek or Cyrillic."""
+    if word.isascii():
+        return word.lower()
+    if max(word) >= chr(BEYOND) or "Σ" in word:         # whose lower case depends on its place
+        return None
+    word = unicodedata.normalize("NFC", word).lower()
+    return word if word.isalpha() else None
+
+
 def tokenise(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, part, before, n, ids): the ids of each row of ``docs`` and how many its
     partition ``part`` has before them."""

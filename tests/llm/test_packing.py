@@ -87,7 +87,7 @@ def test_bases_over_many_blocks(spark):
 
 #: Marks that join or split words, several kinds of white space, and what has a rule of its own.
 PARTS = list("aAbZ09 \n\t.,'’#éÉßΣςσ漢😀") + ["\u0301", "\u0308", "\xa0", "\u2003", "\u200d", "\x1c", "\x85", "\u1100", "\u1161",
-                                             "'s", "'ll", "<|"]
+                                             "'s", "'ll", "<|", "<|endoftext|>", "İ", "\u212a", "\u0958", "word", "Été,", "(Ωμέγα)", "жук!"]
 
 
 @given(st.lists(st.lists(st.sampled_from(PARTS), max_size=60).map("".join), min_size=1, max_size=6))
