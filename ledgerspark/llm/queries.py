@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (decontaminate, jaccard, language, licenses, mixing, packing, pii, quality, rules,
-               secrets, toxicity)
+from . import (decontaminate, importance, jaccard, language, licenses, mixing, packing, pii, quality, rules,
+               secrets, toxicity, whitening)
 from .common import table
 
 QUERIES = {}
@@ -74,6 +74,17 @@ def op11_packing(spark, sf_dir):
     return packing.packed(_docs(spark, sf_dir))
 
 
+@query
+def op12_importance(spark, sf_dir):
+    """The whole benchmark is the target."""
+    return importance.resample(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -96,7 +107,45 @@ FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN ids ON ids.doc_id = d.do
 """
 
 
+# crc32 is computed bit by bit for a table of 256 entries, then byte by byte for each word.
+OP12_SQL = r"""
+WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS i))),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^ -/:-`{-]+') AS w FROM documents),
+b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^ -/:-`{-]+')) AS f FROM benchmark),
+f AS (SELECT doc_id, unnest(w) AS f FROM d),
+words AS (
+  SELECT f, xor(list_reduce(
+      list_prepend(4294967295, list_transform(range(strlen(f)), lambda i: CAST('0x' || substr(hex(f), 2 * i + 1, 2) AS BIGINT))),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT f FROM f UNION SELECT f FROM b), crc),
+src AS (SELECT bucket, count(*) AS n FROM f JOIN words USING (f) GROUP BY bucket),
+tgt AS (SELECT bucket, count(*) AS n FROM b JOIN words USING (f) GROUP BY bucket),
+tot AS (SELECT (SELECT coalesce(sum(n), 0) FROM src) AS S, (SELECT coalesce(sum(n), 0) FROM tgt) AS T),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(((coalesce(tgt.n, 0) + 1)::DOUBLE * (S + 10000)::DOUBLE)
+                                      / ((src.n + 1)::DOUBLE * (T + 10000)::DOUBLE))) AS BIGINT) AS g
+  FROM src LEFT JOIN tgt USING (bucket), tot),
+mean AS (SELECT doc_id, CAST(floor(sum(g)::DOUBLE / count(*)) AS BIGINT) AS weight
+         FROM f JOIN words USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+                                                        / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN mean USING (doc_id)),
+top AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank
+FROM scored LEFT JOIN top USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other operators add spans, labels, scores or components that SQL cannot
     express; their tests compare them with plain versions or held-out labels."""
-    return {"op1_decontaminate": OP1_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op12_importance": OP12_SQL}
