@@ -114,10 +114,10 @@ WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (
   FROM (SELECT unnest(range(256)) AS i))),
 d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^ -/:-`{-]+') AS w FROM documents),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (
   SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                   '[^ -/:-`{-]+')) AS f FROM benchmark),
+                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
 f AS (SELECT doc_id, unnest(w) AS f FROM d),
 words AS (
   SELECT f, xor(list_reduce(
