@@ -942,3 +942,48 @@ v2 AS (SELECT source, source_id, top_ok,
          CASE WHEN top_ok THEN json_array_length(payload, '$.cards') ELSE 0 END AS n
        FROM v)
 SELECT source, source_id, valid, CASE WHEN valid THEN CAST(n AS INTEGER) ELSE 0 END AS n_cards FROM v2"""
+
+
+# ---------------------------------------------------------------------------
+# files
+# ---------------------------------------------------------------------------
+
+def _uploads_cte() -> str:
+    """u(account_id, form, txn_date, description, amount): the ledger and its uploads' forms."""
+    return f"{ledger_cte()}, u AS (SELECT *, CAST(account_id AS INTEGER) % 6 AS form FROM ledger)"
+
+
+def upload_status() -> str:
+    return f"""
+WITH {_uploads_cte()},
+n AS (SELECT account_id, form, count(*) + (form = 2)::INT AS rows FROM u GROUP BY account_id, form),
+x AS (SELECT CAST(account_id AS VARCHAR) AS upload, form, rows FROM n
+      UNION ALL SELECT 'copy-' || account_id, form, rows FROM n WHERE form = 0)
+SELECT upload, CASE WHEN form IN (3, 4) THEN 'unparsable CSV' WHEN form = 5 THEN 'not a CSV file' ELSE 'accepted' END AS status,
+       CASE WHEN form < 3 THEN CAST(rows AS BIGINT) END AS rows, CASE WHEN form < 3 THEN CAST(3 AS BIGINT) END AS columns
+FROM x"""
+
+
+def upload_catalog() -> str:
+    return f"""
+WITH {_uploads_cte()},
+n AS (SELECT account_id, form, count(*) + (form IN (2, 3, 4))::INT AS rows FROM u WHERE form < 5 GROUP BY account_id, form)
+SELECT 'csv' AS kind, CAST(sum(1 + (form = 0)::INT) AS BIGINT) AS files, CAST(sum(rows * (1 + (form = 0)::INT)) AS BIGINT) AS rows FROM n"""
+
+
+def upload_duplicates() -> str:
+    return f"""
+WITH {_uploads_cte()}
+SELECT CAST(account_id AS VARCHAR) AS upload, CAST(1 + (form = 0)::INT AS BIGINT) AS files, CAST((form = 0)::INT AS BIGINT) AS duplicates
+FROM u GROUP BY account_id, form"""
+
+
+def ingested_totals() -> str:
+    return f"""
+WITH {_uploads_cte()},
+x AS (SELECT CAST(account_id AS VARCHAR) AS account_id, amount, txn_date,
+             CASE WHEN form = 1 THEN 2 * length(description) + 6 ELSE length(description) END AS letters
+      FROM u WHERE form < 3
+      UNION ALL SELECT DISTINCT CAST(account_id AS VARCHAR), NULL, DATE '2024-01-01', 5 FROM u WHERE form = 2)
+SELECT account_id, count(*) AS transactions, CAST(sum(amount) AS DOUBLE) AS total_amount,
+       CAST(sum(letters) AS BIGINT) AS letters, max(txn_date) AS last_date FROM x GROUP BY account_id"""

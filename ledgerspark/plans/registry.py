@@ -490,3 +490,48 @@ def csv_roundtrip_totals(spark, sf_dir):
     the totals must equal those of the ledger itself."""
     folder = td.ledger_csv_export(spark, sf_dir)
     return D.account_totals(A.read_ledgers(spark, folder, account_from="partition"))
+
+
+def _upload() -> F.Column:
+    return F.regexp_extract("path", r"account_id=([^/]+)/", 1)
+
+
+@register("upload_status", lambda: Q.upload_status())
+def upload_status(spark, sf_dir):
+    """A4 over a folder of good, copied, ragged, broken and foreign files."""
+    files = A.classify_files(spark, td.upload_files(spark, sf_dir))
+    return _long(files.filter("length > 0").select(_upload().alias("upload"), "status", "rows", "columns"), "rows", "columns")
+
+
+@register("upload_catalog", lambda: Q.upload_catalog())
+def upload_catalog(spark, sf_dir):
+    """A3: rows of every stored CSV file, broken ones too."""
+    files = A.file_catalog(spark, td.upload_files(spark, sf_dir))
+    return files.select(F.regexp_extract("filename", r"[.](\w+)$", 1).alias("kind"), "rows") \
+                .groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
+
+
+@register("upload_duplicates", lambda: Q.upload_duplicates())
+def upload_duplicates(spark, sf_dir):
+    """A2: equal files of each account and its copies."""
+    files = A.hash_files(spark, td.upload_files(spark, sf_dir))
+    seen = A.dedup_files(files, spark.createDataFrame([], A.REGISTRY_SCHEMA))
+    return seen.groupBy(F.regexp_replace(_upload(), "^copy-", "").alias("upload")).agg(
+        F.count(F.lit(1)).alias("files"), F.count_if("is_duplicate").alias("duplicates"))
+
+
+@register("ingested_totals", lambda: Q.ingested_totals())
+def ingested_totals(spark, sf_dir):
+    """A8 over the same folder, then the totals of what the stream accepted (copies under
+    either name, whichever came first)."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..streaming.ingest_stream import ingest_stream
+    base = f"{checkpoint_dir(spark).rstrip('/')}/ledgerspark-ingest-{uuid.uuid4().hex}"
+    run = ingest_stream(spark, td.upload_files(spark, sf_dir) + "/*", base + "/ledger", base + "/registry",
+                        base + "/stream", max_files=10, account_from="partition")
+    run.awaitTermination()
+    return spark.read.parquet(base + "/ledger").groupBy(F.regexp_replace("account_id", "^copy-", "").alias("account_id")).agg(
+        F.count(F.lit(1)).alias("transactions"), F.sum("amount").cast("double").alias("total_amount"),
+        F.sum(F.char_length("description")).alias("letters"), F.max("txn_date").alias("last_date"))

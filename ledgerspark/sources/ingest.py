@@ -49,11 +49,10 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def file_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A3: one row per stored ledger: account id, file name, time, size, rows."""
+    """A3: one row per stored ledger, in sub-folders too: account id, file name, time,
+    size, rows (records after the header; one with quoted line breaks is one)."""
     files = list_files(spark, path, "*.csv")
-    rows = (spark.read.option("header", True).csv(path)
-            .select(_plain_path(F.col("_metadata.file_path")).alias("path"))
-            .groupBy("path").agg(F.count(F.lit(1)).alias("rows")))
+    rows = csv_records(spark, path).groupBy("path").agg((F.count(F.lit(1)) - 1).alias("rows"))
     return (files.join(rows, "path", "left")
             .select(account_id_of("path").alias("account_id"),
                     F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"),
@@ -62,6 +61,44 @@ def file_catalog(spark: SparkSession, path: str) -> DataFrame:
                     F.coalesce("rows", F.lit(0)).alias("rows")))
 
 
+# ---------------------------------------------------------------------------
+# CSV records
+# ---------------------------------------------------------------------------
+
+# A field with the comma before it: quoted (text after the closing quote belongs to it),
+# opened by a quote that is never closed, or plain.
+CSV_FIELD = r',(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|"[\s\S]*+|[^,"][^,]*+|(?=,|$))'
+CSV_QUOTED = r'^,"([^"]*+(?:""[^"]*+)*+)"([\s\S]*)$'
+
+
+def csv_records(spark: SparkSession, paths: str | list[str], glob: str = "*.csv") -> DataFrame:
+    """(path, pos, fields, open): the records of CSV files of any layout, blank ones left
+    out. ``pos`` rises by one from record to record of a file, so its smallest is the
+    header's; ``fields`` are the texts, null where empty; ``open`` tells of a quote that
+    is never closed. Spark's reader finds the records, a file at a time and as a stream, so
+    line breaks in quotes and files of any size are well; each record that has not just one
+    field is, for a schema of one column, a corrupt one, whose text it hands out whole."""
+    read = (spark.read.schema("one string, raw string").option("columnNameOfCorruptRecord", "raw")
+            .option("mode", "PERMISSIVE").option("multiLine", True).option("header", False)
+            .option("escape", '"').option("maxColumns", 100_000)
+            .option("recursiveFileLookup", True).option("pathGlobFilter", glob))
+    raw = read.csv(paths).select(_plain_path(F.col("_metadata.file_path")).alias("path"), "one", "raw")
+    raw = (raw.filter(F.coalesce("raw", "one").rlike(r"[^ \t\r\n]"))
+           .withColumn("pos", F.monotonically_increasing_id()))
+    parts = F.regexp_extract_all(F.concat(F.lit(","), "raw"), F.lit(CSV_FIELD), F.lit(0))
+
+    def value(f):
+        quoted = F.concat(F.replace(F.regexp_extract(f, CSV_QUOTED, 1), F.lit('""'), F.lit('"')),
+                          F.regexp_extract(f, CSV_QUOTED, 2))
+        return F.nullif(F.when(f.startswith(',"'), quoted).otherwise(F.substr(f, F.lit(2))), F.lit(""))
+
+    unclosed = F.exists(parts, lambda f: f.startswith(',"') & ~f.rlike(CSV_QUOTED))
+    return raw.select(
+        "path", "pos",
+        F.when(F.col("raw").isNull(), F.array("one")).otherwise(F.transform(parts, value)).alias("fields"),
+        F.when(F.col("raw").isNull(), F.col("one").startswith('"')).otherwise(unclosed).alias("open"))
+
+
 # ---------------------------------------------------------------------------
 # A1 read
 # ---------------------------------------------------------------------------
@@ -156,22 +193,66 @@ def hash_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
                     "content", F.sha2("content", 256).alias("sha256"))
 
 
-def classify_files(files: DataFrame) -> DataFrame:
-    """A4: status ``accepted`` or the rejection reason (first failing check),
-    with rows (lines after the header) and columns of the header. Spark's file
-    listing skips zero-byte files altogether, so ``empty file`` is what a
-    listed file with no non-blank line gets."""
-    text = F.col("content").cast("string")
-    lines = F.filter(F.split(F.regexp_replace(text, "\r", ""), "\n"), lambda s: F.trim(s) != "")
-    header = F.element_at(lines, 1)
-    status = (F.when(~F.lower("filename").endswith(".csv"), F.lit("not a CSV file"))
-               .when(~F.is_valid_utf8(text), F.lit("not UTF-8 text"))
-               .when((F.col("length") == 0) | (F.size(lines) == 0), F.lit("empty file"))
+def judge_records(records: DataFrame) -> DataFrame:
+    """(path, columns, rows, broken) of each file's :func:`csv_records`. A file is broken
+    when a quote is never closed or a record is wider than the header and the first row
+    (a wider first row brings row names); shorter records are filled up."""
+    first = F.struct("pos", F.size("fields").alias("n"))
+    # the header and the first row follow one another, so one has an odd number
+    even, odd = (F.min(F.when(F.col("pos") % 2 == k, first)) for k in (0, 1))
+    return (records.groupBy("path").agg(even.alias("e"), odd.alias("o"), F.max(F.size("fields")).alias("widest"),
+                                        F.bool_or("open").alias("open"), F.count(F.lit(1)).alias("n"))
+            .select("path", F.least("e", "o")["n"].alias("columns"), (F.col("n") - 1).alias("rows"),
+                    (F.col("open") | (F.col("widest") > F.greatest("e.n", "o.n"))).alias("broken")))
+
+
+def classify_files(spark: SparkSession, path: str) -> DataFrame:
+    """A4: every file under ``path`` with status ``accepted`` or the first reason against it
+    (not a CSV file, not UTF-8 text, empty file, unparsable CSV), and the rows and columns
+    of accepted ones. Names decide case-sensitively, as uploads do. Nothing is held per
+    file: bytes are checked line by line, records as Spark's CSV reader streams them.
+    Spark's file listing skips zero-byte files, so ``empty file`` is what a listed file
+    without a record gets."""
+    files = list_files(spark, path)
+    utf8 = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+            .select(_plain_path(F.col("_metadata.file_path")).alias("path"), F.is_valid_utf8("value").alias("ok"))
+            .groupBy("path").agg(F.bool_and("ok").alias("utf8")))
+    found = files.join(utf8, "path", "left").join(judge_records(csv_records(spark, path)), "path", "left")
+    filename = F.regexp_extract("path", r"([^/]*)$", 1)
+    status = (F.when(~filename.endswith(".csv"), F.lit("not a CSV file"))
+               .when(~F.coalesce("utf8", F.lit(True)), F.lit("not UTF-8 text"))
+               .when(F.col("columns").isNull(), F.lit("empty file"))
+               .when(F.col("broken"), F.lit("unparsable CSV"))
                .otherwise(F.lit("accepted")))
-    return files.select(
-        "path", "filename", "account_id", "sha256", "modificationTime", status.alias("status"),
-        F.when(status == "accepted", F.size(lines) - 1).alias("rows"),
-        F.when(status == "accepted", F.size(F.split(header, ","))).alias("columns"))
+    return found.select(
+        "path", filename.alias("filename"), account_id_of("path").alias("account_id"),
+        "length", "modificationTime", status.alias("status"),
+        F.when(status == "accepted", F.col("rows")).alias("rows"),
+        F.when(status == "accepted", F.col("columns")).alias("columns"))
+
+
+def _role_index(header, keywords) -> F.Column:
+    """1-based position of the first header field that contains a keyword (0: none)."""
+    hits = F.transform(header, lambda c: F.exists(F.array(*[F.lit(k) for k in keywords]),
+                                                  lambda k: F.coalesce(F.instr(F.lower(c), k) > 0, F.lit(False))))
+    return F.array_position(hits, True)
+
+
+def parse_records(records: DataFrame, date_format: str = "yyyy-MM-dd", account_from: str = "file") -> DataFrame:
+    """(path, account_id, txn_date, description, amount) of the rows of :func:`csv_records`;
+    each file's header, its first record, decides which field holds which role (B1). The
+    account is named as in :func:`read_ledgers`."""
+    header = records.groupBy("path").agg(F.min(F.struct("pos", "fields")).alias("h"))
+    roles = header.select("path", F.col("h.pos").alias("_header"),
+                          *[_role_index(F.col("h.fields"), words).alias(f"_{role}") for role, words in
+                            (("date", DATE_KEYWORDS), ("description", DESCRIPTION_KEYWORDS), ("amount", AMOUNT_KEYWORDS))])
+    rows = records.join(roles, "path").filter(F.col("pos") > F.col("_header"))
+
+    def field(role):
+        return F.when(F.col(f"_{role}") > 0, F.get("fields", F.col(f"_{role}").cast("int") - 1))
+    return rows.select("path", _account_of(F.col("path"), account_from).alias("account_id"),
+                       parse_date(field("date"), date_format).alias("txn_date"),
+                       field("description").alias("description"), parse_money(field("amount")).alias("amount"))
 
 
 def dedup_files(files: DataFrame, registry: DataFrame) -> DataFrame:

@@ -365,3 +365,39 @@ def ledger_csv_export(spark: SparkSession, sf_dir: str) -> str:
     from .ingest import export_csv
     return stored(spark, sf_dir, "ledger_orders_csv", lambda: ledger_orders_table(spark, sf_dir),
                   ("lineitem", "orders", "customer", "part"), writer=export_csv)
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(account_id, form, line): the ledger of every nation account as the lines of an upload,
+    its form by the account's number. Of form 0 there is a copy under another name; 1 has
+    line breaks and commas in quotes; 2 ends in a short row, 3 in one too long, 4 in an open
+    quote; 5 is no CSV file."""
+    t = ledger_orders_table(spark, sf_dir)
+    form = F.pmod(F.col("account_id").cast("int"), F.lit(6))
+    rows = t.select("account_id", form.alias("form"), F.col("txn_date").cast("string").alias("d"),
+                    F.coalesce("description", F.lit("")).alias("s"), F.col("amount").cast("string").alias("m"))
+    text = F.when(F.col("form") == 1, F.array(F.concat("d", F.lit(',"'), "s"), F.concat("s", F.lit(', ""x""",'), "m"))) \
+            .otherwise(F.array(F.concat_ws(",", "d", "s", "m")))
+    last = {2: "2024-01-01,short", 3: "2024-01-01,long,1,2", 4: '2024-01-01,"open,1'}
+    lines = rows.select("account_id", "form", F.lit(1).alias("at"), F.concat_ws("|", "d", "s", "m").alias("key"),
+                        F.posexplode(text).alias("part", "line"))
+    some = t.select("account_id").distinct().withColumn("form", form)
+    for at, line in ((0, F.lit("Date,Description,Amount")),
+                     (2, F.coalesce(*[F.when(F.col("form") == k, v) for k, v in last.items()]))):
+        lines = lines.unionByName(some.select("account_id", "form", F.lit(at).alias("at"), F.lit("").alias("key"),
+                                              F.lit(0).alias("part"), line.alias("line")))
+    copy = lines.filter("form = 0").withColumn("account_id", F.concat(F.lit("copy-"), "account_id"))
+    return lines.unionByName(copy).filter("line is not null")
+
+
+def upload_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with a sub-folder ``account_id=`` and in it one file of each upload."""
+    def write(df, path):
+        # a file is one upload, so its lines are written by one task, in order
+        df = df.repartition("account_id").sortWithinPartitions("account_id", "at", "key", "part")
+        raw = {"sep": "\u0001", "quote": "\u0000", "escapeQuotes": False, "ignoreLeadingWhiteSpace": False,
+               "ignoreTrailingWhiteSpace": False}
+        df.filter("form <> 5").select("account_id", "line").write.partitionBy("account_id").options(**raw).csv(path)
+        df.filter("form = 5").select("account_id", "line").write.mode("append").partitionBy("account_id").text(path)
+    return stored(spark, sf_dir, "uploads", lambda: uploads(spark, sf_dir),
+                  ("lineitem", "orders", "customer", "part"), writer=write)

@@ -1,100 +1,78 @@
 """Continuous ingest of uploaded ledger files (re-aim of the upload route).
 
-``readStream`` over a folder of arriving files (binaryFile source) ->
-``foreachBatch``: classify (A4), drop byte-identical files already known or
-repeated inside the batch (A2), parse the accepted files' CSV lines in Spark
-(``from_csv`` with per-file column positions found on each file's header,
-B1-B3) and append rows and registry entries. No event-time state is needed.
-
-Each micro-batch overwrites its own ``batch_id=<n>`` folder, so a batch that
-is retried after a lost executor rewrites the same output instead of adding
-a second copy; the registry read for dedup excludes the batch being written.
+``readStream`` over a folder of arriving files (binaryFile source) -> SHA-256 of the bytes
+-> streaming aggregation keyed by that hash: the state store holds, for each hash ever seen,
+when and under which path it came first, so a file is new exactly when its hash came first
+in this batch. Duplicates are found by the key's state alone; no batch reads the registry
+or the ledger, so its cost depends on its own files only. Of equal files of one batch the
+earliest (time, path) is kept.
+
+``foreachBatch`` gets the hashes touched by a batch. The new files, at most
+``max_files`` of them, are read by Spark's CSV reader (A4 classification and B1-B3 parsing
+on records, with quoted commas and line breaks) and those accepted are added to the ledger
+and the registry. Each batch overwrites its own ``batch_id=<n>`` folders, so a batch that
+is retried after a lost executor or driver writes the same rows again, not a second copy.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.clean import AMOUNT_KEYWORDS, DATE_KEYWORDS, DESCRIPTION_KEYWORDS, parse_date, parse_money
-from ..sources.ingest import REGISTRY_SCHEMA, account_id_of, classify_files, dedup_files, register
-
+from ..sources.ingest import REGISTRY_SCHEMA, _account_of, csv_records, judge_records, parse_records
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+LEDGER_SCHEMA = "account_id string, txn_date date, description string, amount decimal(18,2)"
+MAX_FILES = 1000                # of a micro-batch
 
 
-def _role_index(cols, keywords):
-    """1-based position of the first header column containing a keyword (0 = none)."""
-    hits = F.transform(cols, lambda c: F.exists(F.array(*[F.lit(k) for k in keywords]),
-                                                lambda k: F.instr(F.lower(c), k) > 0))
-    return F.array_position(hits, True)
-
-
-def parse_files(files: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """Canonical rows (account_id, txn_date, description, amount) from file
-    contents; each file's header, its first line that is not blank, decides which
-    position holds which role. Files are told apart by path: two may name one account."""
-    text = F.regexp_replace(F.col("content").cast("string"), "\r", "")
-    full = F.filter(F.split(text, "\n"), lambda line: F.trim(line) != "")
-    lines = files.select("path", "account_id", F.posexplode(full).alias("pos", "line"))
-    headers = (lines.filter(F.col("pos") == 0)
-               .select("path", F.transform(F.split("line", ","),
-                                           lambda c: F.trim(F.regexp_replace(c, '"', "")))
-                       .alias("cols")))
-    width = headers.agg(F.max(F.size("cols"))).first()[0] or 0     # one number per batch
-    if width == 0:
-        return files.sparkSession.createDataFrame(
-            [], "account_id string, txn_date date, description string, amount decimal(18,2)")
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    roles = headers.select("path",
-                           _role_index("cols", DATE_KEYWORDS).alias("i_date"),
-                           _role_index("cols", DESCRIPTION_KEYWORDS).alias("i_desc"),
-                           _role_index("cols", AMOUNT_KEYWORDS).alias("i_amt"))
-    body = (lines.filter(F.col("pos") > 0).join(roles, "path")
-            .withColumn("v", F.from_csv("line", schema))
-            .withColumn("vals", F.array(*[F.col(f"v.c{i}") for i in range(width)])))
-
-    def pick(idx):
-        return F.when(F.col(idx) > 0, F.element_at("vals", F.col(idx).cast("int")))
-    return body.select("account_id", parse_date(pick("i_date"), date_format).alias("txn_date"),
-                       pick("i_desc").alias("description"), parse_money(pick("i_amt")).alias("amount"))
-
-
-def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table, or an empty one if nothing has been written yet; read errors are raised."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.read.parquet(path)
-    return spark.createDataFrame([], schema + ", batch_id long")
+def first_seen(files: DataFrame) -> DataFrame:
+    """Per content hash (streaming, update mode): ``first`` (batch time, modification time,
+    path) of all times, ``last`` batch time and the number of files so far."""
+    # the time is one value for a whole batch, kept for its retries
+    seen = files.select(F.sha2("content", 256).alias("sha256"), F.current_timestamp().alias("batch_time"),
+                        "modificationTime", "path")
+    return seen.groupBy("sha256").agg(F.min(F.struct("batch_time", "modificationTime", "path")).alias("first"),
+                                      F.max("batch_time").alias("last"), F.count(F.lit(1)).alias("files"))
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, ledger_path: str, registry_path: str,
-                  checkpoint: str, date_format: str = "yyyy-MM-dd",
-                  available_now: bool = True) -> StreamingQuery:
-    """Start the ingest; ``available_now`` processes what is there and stops."""
+                  checkpoint: str, date_format: str = "yyyy-MM-dd", available_now: bool = True,
+                  max_files: int = MAX_FILES, max_age: str = "3650d",
+                  account_from: str = "file") -> StreamingQuery:
+    """Start the ingest; ``available_now`` processes what is there and stops. Files that are
+    not ``.csv``, not UTF-8, empty or unparsable leave no row and no registry entry. A file
+    may have been written up to ``max_age`` before the newest: the source passes over older
+    ones, and keeps the names of all others in mind."""
     stream = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-              .option("pathGlobFilter", "*").load(source_dir))
+              .option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", max_files)
+              .option("maxFileAge", max_age).load(source_dir)
+              .filter(F.is_valid_utf8(F.col("content").cast("string"))))
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         sp = df.sparkSession
-        files = df.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"),
-                          account_id_of("path").alias("account_id"), "length", "modificationTime",
-                          "content", F.sha2("content", 256).alias("sha256"))
-        status = classify_files(files).select("path", "status")
-        accepted = files.join(status.filter(F.col("status") == "accepted"), "path")
-        registry = _read_or_empty(sp, registry_path, REGISTRY_SCHEMA) \
-            .filter(F.col("batch_id") != epoch_id)
-        d = dedup_files(accepted.drop("status"), registry)
-        new = (accepted.join(d.filter(~F.col("is_duplicate")).select("path"), "path")
-               .drop("status"))
-        rows = parse_files(new, date_format)
-        rows.write.mode("overwrite").parquet(os.path.join(ledger_path, f"batch_id={epoch_id}"))
-        register(new).write.mode("overwrite").parquet(
-            os.path.join(registry_path, f"batch_id={epoch_id}"))
-
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        new = (df.filter(F.col("first.batch_time") == F.col("last"))
+               .select("sha256", "first.path", "first.modificationTime").collect())       # max_files at most
+        files = sp.createDataFrame(new, "sha256 string, path string, upload_time timestamp")
+        folder = f"batch_id={epoch_id}"
+        if new:
+            # read the files once; what is kept of them comes from this copy
+            copy = f"{checkpoint.rstrip('/')}/records/{folder}"
+            csv_records(sp, [r.path for r in new]).write.mode("overwrite").parquet(copy)
+            records = sp.read.parquet(copy)
+            accepted = judge_records(records).filter(~F.col("broken")).select("path")
+            rows = parse_records(records.join(accepted, "path", "left_semi"), date_format, account_from).drop("path")
+            files = files.join(accepted, "path", "left_semi")
+        else:
+            rows = sp.createDataFrame([], LEDGER_SCHEMA)
+        rows.write.mode("overwrite").parquet(f"{ledger_path.rstrip('/')}/{folder}")
+        (files.select("sha256", _account_of(F.col("path"), account_from).alias("account_id"),
+                      F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"), "upload_time")
+         .to(sp.createDataFrame([], REGISTRY_SCHEMA).schema)
+         .write.mode("overwrite").parquet(f"{registry_path.rstrip('/')}/{folder}"))
+
+    writer = (first_seen(stream).writeStream.outputMode("update").foreachBatch(batch)
+              .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()

@@ -38,7 +38,7 @@ def test_read_classify_dedup_export(spark, tmp_path):
     acc2 = {(d, s, m) for a, d, s, m in rows if a == "acc2"}
     assert ("None", "TEA", None) in acc2                     # second date format, "(5)" -> NULL
     files = A.hash_files(spark, up)
-    status = {r.filename: r.status for r in A.classify_files(files).collect()}
+    status = {r.filename: r.status for r in A.classify_files(spark, up).collect()}
     assert status["acc1.csv"] == "accepted" and status["notes.txt"] == "not a CSV file"
     assert status["blank.csv"] == "empty file" and status["latin.csv"] == "not UTF-8 text"
     reg = spark.createDataFrame([], A.REGISTRY_SCHEMA)
@@ -119,14 +119,3 @@ def test_insight_facts(spark, ledger):
     assert f.top_merchants[0].merchant == "CAFE" and f.subs_summary == []
     flat = N.insight_fact_rows(N.insight_facts(ledger(rows)))
     assert flat.filter(F.col("section") == "category_delta").count() == 2
-
-
-def test_parse_files_by_path_and_first_full_line(spark):
-    """Two files of one account keep their own headers; a leading blank line is no header."""
-    from ledgerspark.streaming.ingest_stream import parse_files
-    files = spark.createDataFrame([
-        ("/in/dup.csv", "dup", bytearray(b"\nDate,Description,Amount\n2024-01-01,A,-1.00\n")),
-        ("/in/dup.CSV", "dup", bytearray(b"Amount,Date,Description\n-2.00,2024-01-02,B\n\n-3.00,2024-01-03,C\n")),
-    ], "path string, account_id string, content binary")
-    got = sorted((str(r.txn_date), r.description, float(r.amount)) for r in parse_files(files).collect())
-    assert got == [("2024-01-01", "A", -1.0), ("2024-01-02", "B", -2.0), ("2024-01-03", "C", -3.0)]
