@@ -2,11 +2,17 @@
 
 The index is a *posting table* ``(norm, label, n, term, w)``: training rows
 grouped by (normalised text, label) -- ``n`` duplicates share one vector --
-with L2-normalised tf-idf weights. Scoring is an inverted-index join on
-``term`` (only pairs with a shared term, i.e. non-zero similarity, are ever
-formed), a partial sum per (query, document), a top-k window per query and
-a vote. Every query text is scored once: descriptions are de-duplicated
-before scoring and the result is joined back to the transactions.
+with L2-normalised tf-idf weights; a text without any term has one row with a
+null term. Scoring is an exact top-k over this inverted index: the rarest terms
+of a query give a first set of documents and with it a bound on the k-th
+similarity; terms are then read from the rarest on until those left over, at
+their largest weights, cannot reach the bound any more, so the long lists of
+common terms are read only for queries that have nothing better. Lists longer
+than ``LIST_PART`` are cut into parts, dealt to several tasks. Candidates are
+verified on whole vectors; where fewer than k share a term, documents of
+similarity 0 fill up the vote. Every query text is scored once: descriptions
+are de-duplicated before scoring and the result is joined back to the
+transactions.
 
 Tokenisation follows the usual text-vectoriser defaults: lower case, tokens
 of two or more word characters, English stop words removed, unigrams and
@@ -31,6 +37,8 @@ CATEGORIZE_K, CATEGORIZE_THRESHOLD = 5, 0.35
 PREDICT_K, PREDICT_THRESHOLD = 7, 0.25
 MAX_FEATURES = 30000
 SIM_DECIMALS = 12          # similarities are compared after rounding (ties)
+SLACK = 1e-9               # on bounds, far above the rounding of a sum
+LIST_PART = 20_000         # postings of a term that one task takes at a time
 TOKEN_PATTERN = r"\b\w\w+\b"
 
 
@@ -108,7 +116,10 @@ def fit_tfidf(train: DataFrame, max_features: int = MAX_FEATURES) -> tuple[DataF
     norm2 = Window.partitionBy("norm", "label")
     postings = w.select("norm", "label", "n", "term",
                         (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(norm2))).alias("w"))
-    return vocab, postings
+    # texts without a term of the vocabulary can be neighbours too, of similarity 0
+    bare = train.join(postings.select("norm", "label").distinct(), ["norm", "label"], "left_anti")
+    return vocab, postings.unionByName(bare.select("norm", "label", "n", F.lit(None).cast("string").alias("term"),
+                                                   F.lit(None).cast("double").alias("w")))
 
 
 # ---------------------------------------------------------------------------
@@ -124,16 +135,68 @@ def query_vectors(queries: DataFrame, vocab: DataFrame) -> DataFrame:
                     (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(per_q))).alias("wq"))
 
 
+def _parts(postings: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings with the part of their list, (term, parts) of the long lists). There are
+    at most |postings| / LIST_PART long lists."""
+    long_lists = stats.filter(F.col("docs") > LIST_PART).select("term", F.ceil(F.col("docs") / LIST_PART).cast("int").alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("norm", "label"), F.col("parts")), F.lit(0)).cast("int")
+    return postings.join(long_lists, "term", "left").withColumn("part", part).drop("parts"), long_lists
+
+
+def _matches(q: DataFrame, parted: DataFrame, long_lists: DataFrame) -> DataFrame:
+    """Query terms beside the postings of their lists; a query goes to all parts of one."""
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    return q.join(long_lists, "term", "left").select(*q.columns, each).join(parted, ["term", "part"])
+
+
+def _reach(q: DataFrame, k: int) -> DataFrame:
+    """Query terms from the rarest on, with ``first`` (the terms that give the first set:
+    lists of k neighbours together) and ``rest``, the most that this and all later terms
+    can add to a similarity."""
+    order = Window.partitionBy("qnorm").orderBy("docs", "term")
+    before = F.coalesce(F.sum("neighbours").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return q.select("qnorm", "term", "wq", (before < k).alias("first"),
+                    F.sum(F.col("wq") * F.col("most")).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("rest"))
+
+
 def knn_candidates(qvec: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """The k nearest training documents per query by cosine similarity.
-    Ties: label asc, then text asc. Returns (qnorm, norm, label, n, sim, pos)."""
-    pairs = (qvec.join(postings, "term")
-                 .groupBy("qnorm", "norm", "label", "n")
-                 .agg(round_to(F.sum(F.col("wq") * F.col("w")), SIM_DECIMALS).alias("sim"))
-                 .filter(F.col("sim") > 0))
+    """The k nearest training documents per query of ``qvec`` by cosine similarity, exact.
+    Ties: label asc, then text asc; documents of similarity 0 come last in that order.
+    Returns (qnorm, norm, label, n, sim, pos). A query without terms has no rows."""
+    doc = ["norm", "label", "n"]
+    listed = postings.filter("term is not null")
+    stats = listed.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("neighbours"), F.max("w").alias("most"))
+    parted, long_lists = _parts(listed, stats)
+    q = _reach(qvec.join(stats, "term"), k)
+    # what the rarest terms alone add up to is a lower bound of each similarity
+    some = (_matches(q.filter("first").select("qnorm", "term", "wq"), parted, long_lists)
+            .groupBy("qnorm", *doc).agg(F.sum(F.col("wq") * F.col("w")).alias("low")))
+    by_low = Window.partitionBy("qnorm").orderBy(F.desc("low"))
+    some = some.withColumn("r", F.row_number().over(by_low)).filter(F.col("r") <= k)
+    taken = F.sum("n").over(by_low.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bound = some.withColumn("taken", taken).filter(F.col("taken") >= k).groupBy("qnorm").agg(F.max("low").alias("bound"))
+    needed = (q.join(bound, "qnorm", "left").filter(F.col("rest") >= F.coalesce("bound", F.lit(0.0)) - SLACK)
+              .select("qnorm", "term"))
+    found = _matches(needed, parted, long_lists).select("qnorm", *doc).distinct()
+    # whole vectors; both are as long as a text has terms
+    vectors = listed.groupBy(*doc).agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("terms"))
+    weights = qvec.groupBy("qnorm").agg(F.map_from_entries(F.collect_list(F.struct("term", "wq"))).alias("wq"))
+    sim = F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["w"] * F.coalesce(F.element_at("wq", t["term"]), F.lit(0.0)))
+    near = (found.join(vectors, doc).join(weights, "qnorm")
+            .select("qnorm", *doc, round_to(sim, SIM_DECIMALS).alias("sim")).filter("sim > 0"))
     w = Window.partitionBy("qnorm").orderBy(F.desc("sim"), F.asc("label"), F.asc("norm"))
-    return (pairs.withColumn("pos", F.row_number().over(w))
-                 .filter(F.col("pos") <= k))          # each document holds >= 1 neighbour
+    best = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)      # a document is a neighbour or more
+    # the first 2k documents hold k that are not among the nearest
+    row = F.struct("label", "norm", "n")
+    others = (postings.select(*doc).distinct().orderBy("label", "norm").limit(2 * k)
+              .agg(F.array_sort(F.collect_list(row)))).scalar()
+    nearest = F.transform(F.array_sort(F.collect_list(F.struct("r", "label", "norm", "n", "sim"))),
+                          lambda x: F.struct(x["label"], x["norm"], x["n"], x["sim"]))
+    fill = F.transform(F.filter(F.col("others"), lambda o: ~F.exists("near", lambda x: (x["norm"] == o["norm"]) & (x["label"] == o["label"]))),
+                       lambda o: F.struct(o["label"], o["norm"], o["n"], F.lit(0.0).alias("sim")))
+    return (best.groupBy("qnorm").agg(nearest.alias("near")).withColumn("others", others)
+            .select("qnorm", F.posexplode(F.slice(F.concat("near", fill), 1, k)).alias("at", "x"))
+            .select("qnorm", "x.norm", "x.label", "x.n", "x.sim", (F.col("at") + 1).alias("pos")))
 
 
 def knn_vote(cand: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -142,7 +205,7 @@ def knn_vote(cand: DataFrame, k: int, threshold: float) -> DataFrame:
     of similarities, then by the nearest first appearance. Confidence = mean
     similarity of the winner's neighbours; below ``threshold`` the label is
     Uncategorized (the confidence is kept). Returns (qnorm, category,
-    confidence); queries without any neighbour get no row."""
+    confidence); queries without rows get none."""
     w = Window.partitionBy("qnorm").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     taken = F.coalesce(F.sum("n").over(w), F.lit(0))
     c = (cand.withColumn("weight", F.least(F.col("n"), F.lit(k) - taken))
@@ -163,7 +226,8 @@ def score_texts(texts: DataFrame, vocab: DataFrame, postings: DataFrame, k: int,
                 threshold: float) -> DataFrame:
     """C6-C8 for a column ``description`` of raw texts: (description,
     category, confidence) per distinct description. Exact overrides first;
-    texts without any neighbour are Uncategorized with 0.0."""
+    texts without a known term, all of whose neighbours have similarity 0, are
+    Uncategorized with 0.0."""
     d = texts.select("description").distinct().withColumn(
         "norm", normalize_description("description"))
     votes = knn_vote(knn_candidates(query_vectors(d, vocab), postings, k), k, threshold)

@@ -831,8 +831,10 @@ qv AS (SELECT norm AS qnorm, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY
        FROM (SELECT qtc.*, tf * idf AS raw FROM qtc JOIN vocab USING (term)) x),
 pairs AS (SELECT qnorm, norm, label, n, round(sum(wq * w), 12) AS sim FROM qv JOIN post USING (term)
           GROUP BY qnorm, norm, label, n),
+every AS (SELECT qnorm, train.norm, train.label, train.n, coalesce(sim, 0.0) AS sim
+          FROM (SELECT DISTINCT norm AS qnorm FROM qd) qs CROSS JOIN train LEFT JOIN pairs USING (qnorm, norm, label)),
 nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qnorm ORDER BY sim DESC, label, norm) AS pos
-                      FROM pairs WHERE sim > 0) x WHERE pos <= {k}),
+                      FROM every) x WHERE pos <= {k}),
 wt AS (SELECT *, least(n, {k} - coalesce(sum(n) OVER (PARTITION BY qnorm ORDER BY pos
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS weight FROM nb),
 vt AS (SELECT qnorm, label, sum(weight) AS votes, sum(weight * sim) AS s, min(pos) AS first

@@ -395,6 +395,13 @@ def _index(spark, sf_dir):
     return C.fit_tfidf(C.training_table(td.category_training(spark, sf_dir)))
 
 
+def _stored_index(spark, sf_dir):
+    """The index as reports use it: fitted once per data folder and loaded."""
+    folder = td.stored(spark, sf_dir, "category_index", lambda: _index(spark, sf_dir), td.TRAINING_INPUTS,
+                       writer=C.save_index, done="postings/_SUCCESS")
+    return C.load_index(spark, folder)
+
+
 @register("category_vocabulary", lambda: Q.category_vocabulary())
 def category_vocabulary(spark, sf_dir):
     """Vocabulary (top 30 000 uni/bi-grams) with smooth idf, reported to
@@ -406,14 +413,14 @@ def category_vocabulary(spark, sf_dir):
 @register("knn_predictions", lambda: Q.knn_predictions(7, 0.25))
 def knn_predictions(spark, sf_dir):
     """C6-C8 + C10: label and confidence of every distinct ledger description."""
-    return C.predict_category(_ledger(spark, sf_dir).select("description"), _index(spark, sf_dir))
+    return C.predict_category(_ledger(spark, sf_dir).select("description"), _stored_index(spark, sf_dir))
 
 
 @register("categorized_summary", lambda: Q.categorized_summary(5, 0.35))
 def categorized_summary(spark, sf_dir):
     """Categorise the whole ledger, then rows/amount/confidence per category."""
     led = _ledger(spark, sf_dir).drop("category", "confidence")
-    cat = C.categorize(led, _index(spark, sf_dir))
+    cat = C.categorize(led, _stored_index(spark, sf_dir))
     return cat.groupBy("account_id", "category").agg(
         F.count(F.lit(1)).alias("transactions"),
         F.sum("amount").cast("double").alias("total_amount"),

@@ -247,6 +247,9 @@ def priority_answers_sql() -> str:
 # Labelled descriptions for the category index: part names labelled by type.
 # ---------------------------------------------------------------------------
 
+TRAINING_INPUTS = ("part",)
+
+
 def category_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.col("p_name").alias("description"), F.col("p_type").alias("category"))
@@ -322,7 +325,8 @@ def _stamp(spark: SparkSession, table: str) -> str:
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build, inputs: tuple[str, ...],
-           writer=None) -> DataFrame | str:
+           writer=None, done: str = "_SUCCESS") -> DataFrame | str:
+    """``done``: the file that the writer writes last."""
     import hashlib
     import uuid
 
@@ -330,7 +334,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, inputs: tuple[str
     stamp = [f"{t}:{_stamp(spark, f'{sf_dir.rstrip('/')}/{t}.parquet')}" for t in inputs]
     key = hashlib.sha1("|".join([sf_dir, *stamp]).encode()).hexdigest()[:16]
     path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerspark-tables/{name}-{key}-v{BUILDER_VERSION}"
-    fs, done = _fs_path(spark, path + "/_SUCCESS")
+    fs, done = _fs_path(spark, f"{path}/{done}")
     if not fs.exists(done):
         # each job writes a folder of its own; the first to finish gives it the final
         # name, which later ones find taken and leave alone

@@ -23,7 +23,9 @@ TRAIN = [
 
 @pytest.fixture(scope="module")
 def index(spark):
-    train = spark.createDataFrame(TRAIN, "description string, category string")
+    # several equal rows of each text, as in real labelled data: k neighbours vote, and
+    # where fewer share a term, rows of similarity 0 fill up
+    train = spark.createDataFrame(TRAIN * 4, "description string, category string")
     return C.fit_tfidf(C.training_table(train))
 
 
@@ -96,8 +98,8 @@ def brute(train, queries, k, threshold, stop):
     for q in queries:
         qv = vec(terms(q))
         sims = [(round(sum(w * v.get(t, 0.0) for t, w in qv.items()), 12), lab, nm) for v, lab, nm in dv]
-        sims = sorted([s for s in sims if s[0] > 0], key=lambda s: (-s[0], s[1], s[2]))[:k]
-        if not sims:
+        sims = sorted(sims, key=lambda s: (-s[0], s[1], s[2]))[:k]
+        if not qv:
             out[q] = ("Uncategorized", 0.0)
             continue
         b = {}
