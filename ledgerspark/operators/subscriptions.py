@@ -8,9 +8,9 @@ collects the raw rows of a group:
 * order-dependent features (day gaps, day-of-month mode, the 30-day
   autocorrelation) run on the *day table* -- one row per (group, date) --
   whose size per group is bounded by the calendar span, not by row count;
-* quantiles run on a (group, amount) -> count table: cumulative counts in
-  amount order (a spillable window) give the values at the interpolation
-  ranks, so no group has to fit one in-memory value map.
+* quantiles run on a (group, amount) -> count table by exact selection
+  (``selection``): the ranges of amounts that hold the interpolation ranks are
+  found by cumulative counts, and only these are put in order.
 
 Model training uses ``pyspark.ml`` (logistic regression); scoring is a
 ``PipelineModel.transform``.
@@ -18,9 +18,10 @@ Model training uses ``pyspark.ml`` (logistic regression); scoring is a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import normalize_merchant
 from ..functions.numeric import round_cents, round_to
+from ..session import checkpoint_dir
+from .selection import at_ranks, money_range, value_counts
 
 # Feature column order of the saved model, seed merchants that
 # label a group as a known subscription, autocorrelation lag.
@@ -37,6 +40,7 @@ FEATURE_COLS = ["n_occurrences", "coverage_months", "median_gap_days", "gap_cv",
 SEED_MERCHANTS = ["NETFLIX", "SPOTIFY", "ICLOUD", "CITY GYM"]
 LAG_DAYS = 30
 KEYS = ["account_id", "merchant"]
+SCORE_RANGES = 4096        # of the interval from 0 to 1, in which scores are counted
 SPLIT_BITS = 16            # the hold-out split counts rows in 2^16 hash ranges per label
 
 
@@ -60,9 +64,9 @@ def merchant_features(exp: DataFrame, decimals: int = 6) -> DataFrame:
       day) and one aggregate give rows, months, span, gap moments, the median
       gap, the day-of-month mode and the 30-day autocorrelation. Its size per
       group is the number of distinct days, bounded by the calendar span.
-    * amount table (group, amount) -> rows. Cumulative counts in amount order
-      and one aggregate give the mean, exact decimal variance, share of
-      negative rows and the quartiles (linear interpolation).
+    * amount table (group, amount) -> rows. One aggregate gives the mean, exact
+      decimal variance and share of negative rows, a selection the quartiles
+      (linear interpolation).
 
     Ratio features are rounded to ``decimals``. ``gap_cv`` is NULL when there
     are exactly two rows (one gap: undefined sample deviation);
@@ -99,32 +103,23 @@ def merchant_features(exp: DataFrame, decimals: int = 6) -> DataFrame:
         F.count(F.when(y_part, 1)).alias("_sy"),
         F.count(F.when(x_part & (F.col("hit30") > 0), 1)).alias("_sxy"))
 
-    # amount table: (group, amount) -> rows. Moments are partial sums; the
-    # quartiles are read off cumulative counts in amount order (a window whose
-    # buffer spills to disk, so a group with millions of distinct amounts does
-    # not have to fit one in-memory map)
+    # amount table: (group, amount) -> rows; moments are partial sums, the quartiles exact
+    # selections by ranges of amounts
     amt = F.col("amount")
-    av = exp.filter(amt.isNotNull()).groupBy(*KEYS, "amount").agg(F.count(F.lit(1)).alias("k"))
-    by_amount = Window.partitionBy(*KEYS).orderBy("amount")
-    av = (av.withColumn("cum", F.sum("k").over(by_amount.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("tot", F.sum("k").over(Window.partitionBy(*KEYS)))
-            .withColumn("prev", F.col("cum") - F.col("k")))
-
-    def at_rank(i):                       # value of 0-based position i in sorted order
-        return F.max(F.when((F.col("prev") <= i) & (i < F.col("cum")), amt.cast("double")))
+    av = value_counts(exp, KEYS, "amount", money_range)
     pos = {q: (F.col("tot") - 1) * q for q in (0.25, 0.75)}
+    quartiles = at_ranks(av, KEYS, "amount", {f"_{end}{int(q * 100)}": cut(pos[q]) for q in pos
+                                              for end, cut in (("lo", F.floor), ("hi", F.ceil))})
     amounts = av.groupBy(*KEYS).agg(
         F.sum("k").alias("_na"),
         F.sum(amt * F.col("k")).alias("_sa"),
         F.sum(amt * amt * F.col("k")).alias("_s2"),
-        F.sum(F.when(amt < 0, F.col("k"))).alias("_neg"),
-        *[at_rank(F.floor(pos[q])).alias(f"_lo{int(q * 100)}") for q in pos],
-        *[at_rank(F.ceil(pos[q])).alias(f"_hi{int(q * 100)}") for q in pos],
-        *[F.max(pos[q] - F.floor(pos[q])).alias(f"_fr{int(q * 100)}") for q in pos])
+        F.sum(F.when(amt < 0, F.col("k"))).alias("_neg")).join(quartiles, KEYS)
 
     def quartile(q):                      # linear interpolation between neighbours
-        lo, hi, fr = F.col(f"_lo{q}"), F.col(f"_hi{q}"), F.col(f"_fr{q}")
-        return lo + (hi - lo) * fr
+        at = (F.col("_na") - 1) * (q / 100)
+        lo, hi = (F.col(f"_{end}{q}").cast("double") for end in ("lo", "hi"))
+        return lo + (hi - lo) * (at - F.floor(at))
     f = g.join(amounts, KEYS, "left").withColumn("span_days", F.datediff("last", "first"))
 
     n = F.col("n")
@@ -239,11 +234,14 @@ def train_subscription_model(features: DataFrame, holdout: float = 0.3, seed: in
     regression with C = 1. Returns (PipelineModel, metrics dict).
 
     Raises ``ValueError`` when the labels have a single class."""
-    data = finite_or_zero(features)
+    # written once: every pass of the fit reads the features, none computes them again
+    spark = features.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/ledgerspark-training-{uuid.uuid4().hex}"
+    _split_flag(finite_or_zero(features), seed, holdout).write.parquet(folder)
+    data = spark.read.parquet(folder)
     classes = data.groupBy("label").count().collect()            # <= 2 rows
     if len(classes) < 2:
         raise ValueError("Training data has only one class; need positive and negative merchants.")
-    data = _split_flag(data, seed, holdout)
     train = data.filter(~F.col("_holdout"))
     test = data.filter(F.col("_holdout"))
 
@@ -273,18 +271,39 @@ def train_subscription_model(features: DataFrame, holdout: float = 0.3, seed: in
     return model, metrics
 
 
+def evaluation(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """one row with the ROC AUC of ``score`` for ``label`` (0/1) and precision, recall
+    and F1 at ``threshold``. The AUC is the rank-sum statistic, equal scores counting half:
+    rows are counted by score, the scores by range, so a positive's place among the
+    negatives comes from two cumulative counts of integers, in any order of the rows. NULL
+    without both labels; rows without a score or label don't count."""
+    y = F.col("label") == 1
+    rows = pred.filter("score is not null and label is not null").withColumn("score", F.col("score").cast("double"))
+    counts = (rows.groupBy("score").agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+              .withColumn("range", F.floor(F.col("score") * SCORE_RANGES)))
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (counts.groupBy("range").agg(F.sum("neg").alias("n"))              # SCORE_RANGES rows or so
+              .select("range", F.coalesce(F.sum("n").over(ahead(Window.orderBy("range"))), F.lit(0)).alias("below")))
+    inside = F.coalesce(F.sum("neg").over(ahead(Window.partitionBy("range").orderBy("score"))), F.lit(0))
+    won = counts.withColumn("inside", inside).join(ranges, "range").withColumn(
+        "won", F.col("pos") * (2 * (F.col("below") + F.col("inside")) + F.col("neg")))
+    over = F.col("score") >= threshold
+    total = won.agg(
+        F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("won").cast("decimal(38,0)")).alias("won"),
+        F.sum(F.when(over, F.col("pos"))).alias("tp"), F.sum(F.when(over, F.col("neg"))).alias("fp"))
+    tp, fp = (F.coalesce(c, F.lit(0)) for c in ("tp", "fp"))
+
+    def share(a, b):
+        return F.when(b > 0, a / b).otherwise(0.0)
+    return total.select(
+        (F.col("won").cast("double") / 2 / F.nullif(F.col("p").cast("double") * F.col("n"), F.lit(0.0))).alias("auc"),
+        share(tp, tp + fp).alias("precision"), share(tp, F.coalesce("p", F.lit(0))).alias("recall"),
+        share(2 * tp, tp + fp + F.coalesce("p", F.lit(0))).alias("f1"))
+
+
 def evaluate(pred: DataFrame, threshold: float = 0.5) -> dict:
-    """ROC AUC and precision/recall/F1 at ``threshold``."""
-    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
-                                        metricName="areaUnderROC").evaluate(pred)
-    p = vector_to_array("probability")[1] >= threshold
-    y = F.col("label") == 1.0
-    r = pred.agg(F.count(F.when(p & y, 1)).alias("tp"), F.count(F.when(p & ~y, 1)).alias("fp"),
-                 F.count(F.when(~p & y, 1)).alias("fn")).first()
-    prec = r.tp / (r.tp + r.fp) if r.tp + r.fp else 0.0
-    rec = r.tp / (r.tp + r.fn) if r.tp + r.fn else 0.0
-    f1 = 2 * prec * rec / (prec + rec) if prec + rec else 0.0
-    return {"auc": auc, "precision": prec, "recall": rec, "f1": f1}
+    """:func:`evaluation` of a model's predictions."""
+    return evaluation(pred.select("label", vector_to_array("probability")[1].alias("score")), threshold).first().asDict()
 
 
 def score_subscriptions(features: DataFrame, model: PipelineModel) -> DataFrame:

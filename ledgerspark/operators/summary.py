@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.clean import UNCATEGORIZED, drop_incomplete, is_income
 from ..functions.numeric import round_to
 from .periods import money, safe_div
+from .selection import at_ranks, value_counts
 
+CONFIDENCE_RANGES = 1000   # of the interval from 0 to 1, in which the median is looked for
 CANONICAL_COLUMNS = ["txn_date", "description", "amount", "category", "confidence"]
 
 
@@ -165,18 +167,26 @@ def category_distribution(txn: DataFrame) -> DataFrame:
 
 def confidence_stats(txn: DataFrame) -> DataFrame:
     """Confidence over spending rows; no spending rows -> zeros,
-    one row -> NULL standard deviation. Rounded to 6 decimals."""
+    one row -> NULL standard deviation. Rounded to 6 decimals. The median is an exact
+    selection on the counted values."""
     conf = F.when(~is_income(), F.col("confidence"))
-    n = F.count(conf)
+    rows = txn.select("account_id", conf.alias("confidence"))
+    counts = value_counts(rows, ["account_id"], "confidence", lambda c: F.floor(c * CONFIDENCE_RANGES))
+    middle = (F.col("tot") - 1) / 2
+    mid = at_ranks(counts, ["account_id"], "confidence", {"lo": F.floor(middle), "hi": F.ceil(middle)})
+    n = F.col("n")
 
     def z(c):
         return round_to(F.when(n == 0, F.lit(0.0)).otherwise(c), 6)
-    return txn.groupBy("account_id").agg(
-        z(F.avg(conf)).alias("mean_confidence"),
-        z(F.percentile(conf, 0.5)).alias("median_confidence"),
-        z(F.min(conf)).alias("min_confidence"),
-        z(F.max(conf)).alias("max_confidence"),
-        z(F.stddev_samp(conf)).alias("std_confidence"))
+    stats = rows.groupBy("account_id").agg(
+        F.count("confidence").alias("n"), F.avg("confidence").alias("mean"), F.min("confidence").alias("min"),
+        F.max("confidence").alias("max"), F.stddev_samp("confidence").alias("std"))
+    mid = mid.withColumnRenamed("account_id", "_account")
+    return stats.join(mid, F.col("account_id").eqNullSafe(F.col("_account")), "left").select(
+        "account_id", z(F.col("mean")).alias("mean_confidence"),
+        z(F.col("lo") + (F.col("hi") - F.col("lo")) * 0.5).alias("median_confidence"),
+        z(F.col("min")).alias("min_confidence"), z(F.col("max")).alias("max_confidence"),
+        z(F.col("std")).alias("std_confidence"))
 
 
 def uncategorized_rate(txn: DataFrame) -> DataFrame:

@@ -322,10 +322,11 @@ MERCHANT = ("trim(regexp_replace(regexp_replace(upper(description), '[^A-Z0-9&+
             "'\\s+', ' ', 'g'))")
 
 
-def _features_ctes(kind: str = "nation") -> str:
+def _features_ctes(kind: str = "nation", days: int | None = None) -> str:
+    recent = f"JOIN b USING (account_id) WHERE txn_date >= period_end - {days} AND" if days else "WHERE"
     return f"""{ledger_cte(kind)},
-x AS (SELECT account_id, txn_date, amount, {MERCHANT} AS merchant FROM ledger
-      WHERE amount <= 0 AND txn_date IS NOT NULL AND description IS NOT NULL),
+x AS (SELECT account_id, txn_date, amount, {MERCHANT} AS merchant FROM ledger {recent}
+      amount <= 0 AND txn_date IS NOT NULL AND description IS NOT NULL),
 gp AS (SELECT *, txn_date - lag(txn_date) OVER (PARTITION BY account_id, merchant ORDER BY txn_date) AS gap
        FROM x),
 base AS (SELECT account_id, merchant, count(*) AS n, count(DISTINCT date_trunc('month', txn_date)) AS months,
@@ -374,6 +375,22 @@ def merchant_features(kind: str = "nation") -> str:
     return f"WITH {_features_ctes(kind)} SELECT * FROM feats"
 
 
+def recent_merchant_features(days: int) -> str:
+    return f"WITH {_features_ctes('nation', days)} SELECT * FROM feats"
+
+
+def subscription_evaluation(words, threshold: float) -> str:
+    hit = " OR ".join(f"contains(merchant, '{w}')" for w in words)
+    return f"""
+WITH {_features_ctes()}, p AS (SELECT dom_consistency AS score, {hit} AS y FROM feats),
+c AS (SELECT count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n,
+             count(*) FILTER (y AND score >= {threshold}) AS tp, count(*) FILTER (NOT y AND score >= {threshold}) AS fp FROM p),
+w AS (SELECT sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END) AS won
+      FROM p a JOIN p b ON a.y AND NOT b.y)
+SELECT round(won::DOUBLE / (p::DOUBLE * n), 9) AS auc, round(tp::DOUBLE / (tp + fp), 9) AS precision,
+       round(tp::DOUBLE / p, 9) AS recall, round(2.0::DOUBLE * tp / (tp + fp + p), 9) AS f1 FROM c, w"""
+
+
 def _website_ctes(source: str) -> str:
     from ..operators.websites import SUBSCRIPTION_WEBSITES, WEBSITE_ALIASES
     sites = ", ".join(f"({i}, '{k}', '{u}')" for i, (k, u) in enumerate(SUBSCRIPTION_WEBSITES))

@@ -236,14 +236,38 @@ def subscription_totals(spark, sf_dir):
     return S.subscription_totals(subs, exp, 0.5)
 
 
-@register("confident_subscriptions", lambda: Q.confident_subscriptions(0.75))
+@register("confident_subscriptions", lambda: Q.confident_subscriptions(0.08))
 def confident_subscriptions(spark, sf_dir):
     """Candidates at or over a score, the day-of-month consistency as the score."""
     f = S.merchant_features(S.expense_projection(_ledger(spark, sf_dir)))
-    return (clean.confidence_filter(f.withColumn("score", F.col("dom_consistency")), 0.75)
+    return (clean.confidence_filter(f.withColumn("score", F.col("dom_consistency")), 0.08)
             .select("account_id", "merchant", "score"))
 
 
+@register("subscription_evaluation", lambda: Q.subscription_evaluation(SEED_WORDS, 0.1))
+def subscription_evaluation(spark, sf_dir):
+    """how well the day-of-month consistency finds the seed merchants (many ties)."""
+    f = S.finite_or_zero(S.merchant_features(S.expense_projection(_ledger(spark, sf_dir))))
+    pred = S.label_known(f, SEED_WORDS).withColumn("score", F.col("dom_consistency"))
+    out = S.evaluation(pred, 0.1)
+    return out.select(*[round_to(F.col(c), 9).alias(c) for c in out.columns])
+
+
+@register("recent_merchant_features", lambda: Q.recent_merchant_features(E.CURRENT_DAYS))
+def recent_merchant_features(spark, sf_dir):
+    """The features of each account's last 30 days."""
+    recent = E.window_last(_ledger(spark, sf_dir), E.CURRENT_DAYS)
+    return S.merchant_features(S.expense_projection(recent))
+
+
+@register("subscription_scores", None)
+def subscription_scores(spark, sf_dir):
+    """F12 + F14: a model fitted on the seed merchants, and every merchant's score."""
+    f = S.merchant_features(S.expense_projection(_ledger(spark, sf_dir)))
+    model, _ = S.train_subscription_model(S.label_known(f, SEED_WORDS))
+    return S.score_subscriptions(f, model).select("account_id", "merchant", round_to(F.col("score"), 4).alias("score"))
+
+
 # ---------------------------------------------------------------------------
 # G: savings goals
 # ---------------------------------------------------------------------------
