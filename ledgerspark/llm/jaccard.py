@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, per_document, staged
+from .common import SPACE_BREAK, ascii_lower, id_type, per_document, split_words, staged
 from .components import connected
 
 WORDS, PERCENT = 5, 75
@@ -455,6 +455,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the smallest of their component."""
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """The rows of ``docs``, all columns, that are the smallest of their component, once
+    each: of rows that share that doc_id and the words, any one stays. Rows with a null
+    doc_id are compared with each other for equal words only; those without words all stay."""
+    gone = staged(near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    left = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    # only rows of repeated ids are compared
+    ids = staged(left.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")), "repeated")
+    same = left["doc_id"].eqNullSafe(ids["_id"])
+    words = F.array_join(split_words(ascii_lower(F.col("text")), SPACE_BREAK), " ")
+    again = left.join(ids, same, "left_semi").withColumn("__words", words)
+    compared = F.col("doc_id").isNotNull() | (F.col("__words") != "")
+    return (left.join(ids, same, "left_anti").unionByName(again.filter(~compared).drop("__words"))
+            .unionByName(again.filter(compared).dropDuplicates(["doc_id", "__words"]).drop("__words")))
