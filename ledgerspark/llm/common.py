@@ -145,11 +145,13 @@ def id_type(docs: DataFrame) -> str:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """(doc_id, text, label) of at most ``bound`` labelled documents outside the held-out
-    fifth, chosen by a hash of the id. A document with several labels has the largest;
-    null labels don't count. The sample is small by its bound, so it is broadcast."""
+    fifth, chosen by a hash of the id. A document with several labels has the largest, one
+    with several rows the smallest text; null labels don't count. The labels are small by
+    their bound, so they are broadcast; repeated rows are combined before the shuffle."""
     lab = (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
            .groupBy("doc_id").agg(F.max(label).alias("label"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
            .withColumnRenamed("doc_id", "_id"))
     return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-            .join(F.broadcast(lab), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label"))
+            .join(F.broadcast(lab), F.col("doc_id") == F.col("_id"))
+            .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))

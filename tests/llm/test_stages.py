@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 from test_llm import frame, prose
 
-from ledgerspark.llm import jaccard, quality
+from ledgerspark.llm import common, jaccard, quality
 
 
 def test_keep_one_of_repeated_rows(spark):
@@ -29,3 +29,12 @@ def test_keep_good_keeps_columns_and_stands_odd_rows(spark):
     assert out.columns == df.columns and out.count() <= len(docs)
     assert quality.keep_good(df.limit(0), labels).count() == 0
     assert quality.keep_good(df, labels.limit(0)).columns == df.columns
+
+
+def test_sample_bound_counts_rows(spark):
+    docs = spark.createDataFrame([(k % 50, f"text {k}") for k in range(500)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 50, k % 2) for k in range(200)] + [(None, 1), (7, None)], "doc_id long, quality int")
+    every = common.labelled_sample(docs, labels, "quality", 1000).collect()
+    assert len(every) == len({r.doc_id for r in every}) and all(r.text == min(f"text {k}" for k in range(r.doc_id, 500, 50)) for r in every)
+    few = common.labelled_sample(docs, labels, "quality", 3).collect()
+    assert len(few) == 3 and {tuple(r) for r in few} <= {tuple(r) for r in every}
