@@ -158,7 +158,9 @@ def _json_value(c: Column, t: T.DataType) -> Column:
     if isinstance(t, T.DateType):
         return F.date_format(c, "yyyy-MM-dd")
     if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        micros = F.date_format(c, "SSSSSS")
+        return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
     if isinstance(t, T.ArrayType):
         return F.transform(c, lambda x: _json_value(x, t.elementType))
     if isinstance(t, T.MapType):
@@ -170,6 +172,6 @@ def _json_value(c: Column, t: T.DataType) -> Column:
 
 
 def json_safe(df: DataFrame) -> DataFrame:
-    """NaN/+-Inf -> NULL, dates/timestamps -> ISO strings, decimals -> doubles, also
-    inside arrays, structs and map values."""
+    """NaN/+-Inf -> NULL, dates/timestamps -> ISO strings (microseconds where there are
+    any), decimals -> doubles, also inside arrays, structs and map values."""
     return df.select(*[_json_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])

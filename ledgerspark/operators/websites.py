@@ -1,9 +1,10 @@
 """C11: subscription merchant -> website.
 
-The dimension is a fixed list (58 sites, 57 alias lists) whose *order*
-matters, so it is embedded as a literal array and matched with higher-order
-functions per row: no join and no candidate pairs, and the expression stays
-JVM-side. Rules, in order:
+The dimension is a fixed list (58 sites, 57 alias lists) whose *order* matters.
+Each distinct merchant is looked up once: its name, its words and its substrings of
+the lengths that occur in the list are hash-joined to the list's patterns (a few
+thousand constant rows, broadcast), and the smallest (rule, place) wins. No pattern is
+tried against a merchant that does not hold it. Rules, in order:
 
 1. exact match of the upper-cased, stripped merchant;
 2. the first site (in list order) where any word of the site name is a
@@ -16,7 +17,7 @@ JVM-side. Rules, in order:
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -147,38 +148,51 @@ WEBSITE_ALIASES = [
 ]
 
 
-def _words(c: Column) -> Column:
-    """Whitespace-separated words, no empty strings (like ``str.split()``)."""
-    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+def patterns() -> list[tuple[str, str, int, int, str | None]]:
+    """(kind, pattern, rule, place, url): a merchant's name, a word of it or a part of it
+    that equals ``pattern`` is a hit of ``rule``; ``place`` is the entry's in its list."""
+    out = set()
+    url_of = dict(SUBSCRIPTION_WEBSITES)
+    for place, (known, url) in enumerate(SUBSCRIPTION_WEBSITES):
+        out.add(("name", known, 1, place, url))
+        for word in known.split():
+            out.add(("part", word, 2, place, url))
+            # a merchant's word may be any piece of the known name
+            out |= {("word", word[i:j], 2, place, url) for i in range(len(word)) for j in range(i + 1, len(word) + 1)}
+    for place, (known, aliases) in enumerate(WEBSITE_ALIASES):
+        out |= {("part", alias, 3, place, url_of.get(known)) for alias in aliases}
+    return sorted(out, key=str)
 
 
-def website_for(merchant: Column | str) -> Column:
-    """URL for a merchant column, or NULL."""
-    m = F.col(merchant) if isinstance(merchant, str) else merchant
-    name = F.upper(F.regexp_replace(m, r"^\s+|\s+$", ""))
-    url_of = dict(SUBSCRIPTION_WEBSITES)
+def _parts(name: Column, lengths: list[int]) -> Column:
+    """Every substring of these lengths."""
+    def of(n):
+        starts = F.sequence(F.lit(1), F.char_length(name) - (n - 1))
+        return F.when(F.char_length(name) >= n, F.transform(starts, lambda i: F.substr(name, i, F.lit(n)))) \
+                .otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.array(*map(of, lengths)))
+
+
+def websites(merchants: DataFrame, merchant_col: str = "merchant") -> DataFrame:
+    """(merchant, website) of the distinct merchants that a rule finds; the website is
+    NULL where an alias of no known site was first."""
+    known = patterns()
+    lengths = sorted({len(p) for kind, p, *_ in known if kind == "part"})
+    # constant rows; their number depends on the fixed lists only
+    dim = F.broadcast(merchants.sparkSession.createDataFrame(known, "kind string, pattern string, rule int, place int, url string"))
+    m = merchants.select(F.col(merchant_col).alias("merchant")).filter("merchant <> ''").distinct()
+    name = F.upper(F.regexp_replace("merchant", r"^\s+|\s+$", ""))
 
-    sites = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(u).alias("u"),
-                               F.array(*[F.lit(w) for w in k.split()]).alias("kw"))
-                      for k, u in SUBSCRIPTION_WEBSITES])
-    exact = F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k, _ in SUBSCRIPTION_WEBSITES]),
-                                           F.array(*[F.lit(u) for _, u in SUBSCRIPTION_WEBSITES])),
-                         name)
-    words = _words(name)
-    fuzzy = F.filter(sites, lambda s: F.exists(s["kw"], lambda kw: F.instr(name, kw) > 0)
-                     | F.exists(words, lambda w: F.instr(s["k"], w) > 0))
-    aliases = F.array(*[F.struct(F.lit(url_of.get(k)).cast("string").alias("u"),
-                                 F.array(*[F.lit(v) for v in vs]).alias("vs"))
-                        for k, vs in WEBSITE_ALIASES])
-    alias_hit = F.filter(aliases, lambda a: F.exists(a["vs"], lambda v: F.instr(name, v) > 0))
-    return (F.when(m.isNull() | (m == ""), F.lit(None).cast("string"))
-             .when(F.map_contains_key(
-                 F.map_from_arrays(F.array(*[F.lit(k) for k, _ in SUBSCRIPTION_WEBSITES]),
-                                   F.array(*[F.lit(u) for _, u in SUBSCRIPTION_WEBSITES])), name), exact)
-             .when(F.size(fuzzy) > 0, F.element_at(fuzzy, 1)["u"])
-             .when(F.size(alias_hit) > 0, F.element_at(alias_hit, 1)["u"])
-             .otherwise(F.lit(None).cast("string")))
+    def keys(kind, values):
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("pattern")))
+    held = F.concat(keys("name", F.array("_name")), keys("word", F.split("_name", r"\s+")),
+                    keys("part", F.array_distinct(_parts(F.col("_name"), lengths))))
+    return (m.withColumn("_name", name).select("merchant", F.explode(held).alias("k")).select("merchant", "k.*")
+            .join(dim, ["kind", "pattern"])
+            .groupBy("merchant").agg(F.min(F.struct("rule", "place", "url"))["url"].alias("website")))
 
 
-def attach_website(subs, merchant_col: str = "merchant"):
-    return subs.withColumn("website", website_for(merchant_col))
+def attach_website(subs: DataFrame, merchant_col: str = "merchant") -> DataFrame:
+    """C11: ``subs`` with its merchants' ``website``, NULL where no rule hits."""
+    found = websites(subs, merchant_col).withColumnRenamed("merchant", "_merchant")
+    return subs.join(found, F.col(merchant_col) == F.col("_merchant"), "left").drop("_merchant")

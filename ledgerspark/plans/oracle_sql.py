@@ -916,7 +916,7 @@ UNION ALL
 SELECT account_id, 'merchant', rank, merchant, CAST(count AS DOUBLE), total_amount, NULL FROM merch"""
 
 
-def validate_cards() -> str:
+def _card_ctes() -> str:
     kinds = ", ".join(f"'{k}'" for k in ["cashflow", "category_trend", "subscription", "anomaly",
                                           "merchant", "runway", "action"])
     num = "('BIGINT', 'UBIGINT', 'DOUBLE')"
@@ -931,36 +931,73 @@ def validate_cards() -> str:
                f"AND {t('$.metrics')} = 'OBJECT' "
                f"AND ({t('$.impact')} IS NULL OR {t('$.impact')} IN {num} OR {t('$.impact')} = 'NULL') "
                f"AND ({t('$.cta')} IS NULL OR {t('$.cta')} IN ('OBJECT', 'NULL'))")
-    return f"""
-WITH {_facts_ctes()},
+    return f"""{_facts_ctes()},
 dl AS (SELECT account_id, list(json_object('kind', 'category_trend', 'title', category || ' spending',
-               'summary', 'x', 'impact', delta_amount, 'period', 'Last 30d',
+               'summary', 'Change of ' || format('{{:,.2f}}', delta_amount), 'impact', delta_amount, 'period', 'Last 30d',
                'metrics', json_object('current_amount', current_amount, 'prior_amount', prior_amount))
                ORDER BY rank) AS cards FROM deltas WHERE rank <= 6 GROUP BY account_id),
-ml AS (SELECT account_id, list(json_object('kind', 'merchant', 'title', merchant, 'summary', 'x',
+ml AS (SELECT account_id, list(json_object('kind', 'merchant', 'title', merchant, 'summary', count || ' purchases',
                'impact', total_amount, 'period', 'Last 30d', 'metrics', json_object('count', count))
                ORDER BY rank) AS cards FROM merch GROUP BY account_id),
-facts AS (SELECT 'facts' AS source, cash.account_id AS source_id,
+facts AS (SELECT 'facts' AS source, 'generator' AS role, cash.account_id AS source_id,
             CAST(json_object('cards', list_concat(
-              [json_object('kind', 'cashflow', 'title', 'Cash flow', 'summary', 'x', 'impact', current_net,
+              [json_object('kind', 'cashflow', 'title', 'Cash flow', 'summary',
+                           'Income ' || format('{{:,.2f}}', current_income) || ', expenses ' || format('{{:,.2f}}', current_expenses),
+                           'impact', current_net,
                            'period', 'Last 30d', 'metrics', json_object('income', current_income))],
               coalesce(dl.cards, []), coalesce(ml.cards, []))) AS VARCHAR) AS payload
           FROM cash LEFT JOIN dl USING (account_id) LEFT JOIN ml USING (account_id)),
-conv AS (SELECT 'conversation' AS source, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS source_id,
-                text AS payload FROM conversations WHERE role = 'assistant'),
+conv AS (SELECT 'conversation' AS source, role, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS source_id,
+                text AS payload FROM conversations),
 p AS (SELECT * FROM facts UNION ALL SELECT * FROM conv),
-v AS (SELECT source, source_id, payload,
+v AS (SELECT source, role, source_id, payload,
         CASE WHEN NOT coalesce(json_valid(payload), false) THEN false
              WHEN json_type(payload) <> 'OBJECT' THEN false
              ELSE coalesce(list_sort(list_distinct(json_keys(payload))) = ['cards']
                            AND json_type(payload, '$.cards') = 'ARRAY', false) END AS top_ok
       FROM p),
-v2 AS (SELECT source, source_id, top_ok,
+v2 AS (SELECT source, role, source_id, payload, top_ok,
          CASE WHEN top_ok THEN coalesce(list_bool_and(list_transform(json_extract(payload, '$.cards[*]'),
                    lambda c: coalesce({card_ok}, false))), true) ELSE false END AS valid,
          CASE WHEN top_ok THEN json_array_length(payload, '$.cards') ELSE 0 END AS n
        FROM v)
-SELECT source, source_id, valid, CASE WHEN valid THEN CAST(n AS INTEGER) ELSE 0 END AS n_cards FROM v2"""
+"""
+
+
+def validate_cards() -> str:
+    return (f"WITH {_card_ctes()} SELECT source, role, source_id, valid, "
+            "CASE WHEN valid THEN CAST(n AS INTEGER) ELSE 0 END AS n_cards FROM v2")
+
+
+def card_rows() -> str:
+    return f"""WITH {_card_ctes()},
+c AS (SELECT source, role, source_id, unnest(json_extract(payload, '$.cards[*]')) AS c, unnest(range(CAST(n AS BIGINT))) AS place FROM v2 WHERE valid)
+SELECT source, role, source_id, CAST(place AS BIGINT) AS place, json_extract_string(c, '$.kind') AS kind,
+       json_extract_string(c, '$.title') AS title, json_extract_string(c, '$.summary') AS summary,
+       json_extract_string(c, '$.period') AS period, round(CAST(json_extract(c, '$.impact') AS DOUBLE), 2) AS impact FROM c"""
+
+
+def events_json() -> str:
+    return """
+WITH e AS (SELECT event_id, replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') AS ts, value,
+                  CASE WHEN event_id % 3 = 2 THEN value END AS ratio FROM events)
+SELECT event_id, ts, ratio, '[' || coalesce(CAST(value AS VARCHAR), 'null') || ',' || coalesce(CAST(ratio AS VARCHAR), 'null') || ']' AS both,
+       ts AS at_ts, ratio AS at_ratio FROM e"""
+
+
+def savings_strategies() -> str:
+    from ..operators import savings as G
+
+    def texts(xs):
+        return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+    return f"""
+WITH p AS ({savings_plan()}),
+s AS (SELECT goal_id, CASE WHEN remaining_shortfall > 0 THEN list_concat(
+        CASE WHEN remaining_shortfall / months > 1000 THEN {texts(G.STRATEGIES_OVER_1000)} ELSE [] END,
+        CASE WHEN remaining_shortfall / months > 500 THEN {texts(G.STRATEGIES_OVER_500)} ELSE [] END,
+        CASE WHEN remaining_shortfall / months > 200 THEN {texts(G.STRATEGIES_OVER_200)} ELSE [] END,
+        {texts(G.STRATEGIES_ALWAYS)}) ELSE [] END AS xs FROM p)
+SELECT goal_id, unnest(range(len(xs))) AS place, unnest(xs) AS strategy FROM s"""
 
 
 # ---------------------------------------------------------------------------

@@ -466,11 +466,44 @@ def insight_facts(spark, sf_dir):
 
 @register("validate_cards", lambda: Q.validate_cards())
 def validate_cards(spark, sf_dir):
-    """Schema check of card payloads (templated from the facts, plus raw
-    assistant turns); an invalid payload yields no cards."""
+    """Schema check of card payloads (templated from the facts, plus every turn of the
+    conversations); an invalid payload yields no cards."""
+    return _cards(spark, sf_dir).select("source", "role", "source_id", "valid", F.size("cards").alias("n_cards"))
+
+
+def _cards(spark, sf_dir):
     facts = N.insight_facts(_ledger(spark, sf_dir))
-    v = N.validate_cards(td.card_payloads(spark, sf_dir, facts))
-    return v.select("source", "source_id", "valid", F.size("cards").alias("n_cards"))
+    return N.validate_cards(td.card_payloads(spark, sf_dir, facts))
+
+
+@register("card_rows", lambda: Q.card_rows())
+def card_rows(spark, sf_dir):
+    """The accepted cards themselves, one row each."""
+    v = _cards(spark, sf_dir).select("source", "role", "source_id", F.posexplode("cards").alias("place", "c"))
+    return v.select("source", "role", "source_id", F.col("place").cast("long").alias("place"), "c.kind", "c.title",
+                    "c.summary", "c.period", round_to(F.col("c.impact"), 2).alias("impact"))
+
+
+@register("events_json", lambda: Q.events_json())
+def events_json(spark, sf_dir):
+    """Events with a ratio that may be infinite or NaN and times with fractions, as
+    plain JSON values, also inside an array and a struct."""
+    e = td.table(spark, sf_dir, "events")
+    with_ratio = e.select("event_id", "ts", "value",
+                          F.when(F.col("event_id") % 3 == 0, F.lit(float("inf"))).when(F.col("event_id") % 3 == 1, F.lit(float("nan")))
+                          .otherwise(F.col("value")).alias("ratio"))
+    nested = with_ratio.withColumn("both", F.array("value", "ratio")).withColumn("at", F.struct("ts", "ratio"))
+    out = clean.json_safe(nested)
+    return out.select("event_id", "ts", "ratio", F.to_json("both").alias("both"), F.col("at.ts").alias("at_ts"),
+                      F.col("at.ratio").alias("at_ratio"))
+
+
+@register("savings_strategies", lambda: Q.savings_strategies())
+def savings_strategies(spark, sf_dir):
+    """The strategy texts of every goal, in their order."""
+    return _goal_analysis(spark, sf_dir).select(
+        "goal_id", F.posexplode("alternative_strategies").alias("place", "strategy")) \
+        .withColumn("place", F.col("place").cast("long"))
 
 
 # ---------------------------------------------------------------------------

@@ -262,8 +262,8 @@ def category_training_sql() -> str:
 # ---------------------------------------------------------------------------
 # Card payloads for the validator: the reference gets them from a remote text
 # generator (not built). Stand-ins: (a) one templated payload per account
-# rendered from its insight facts, (b) every assistant turn of
-# ``conversations`` taken as a raw generator reply.
+# rendered from its insight facts, (b) every turn of ``conversations``,
+# whoever speaks, taken as a raw generator reply.
 # ---------------------------------------------------------------------------
 
 def card_payloads(spark: SparkSession, sf_dir: str, facts: DataFrame) -> DataFrame:
@@ -287,10 +287,11 @@ def card_payloads(spark: SparkSession, sf_dir: str, facts: DataFrame) -> DataFra
         m["total_amount"].alias("impact"), period.alias("period"),
         F.create_map(F.lit("count"), m["count"].cast("double")).alias("metrics")))
     cards = F.concat(F.array(cash), F.coalesce(deltas, F.array()), F.coalesce(merchants, F.array()))
-    templated = facts.select(F.lit("facts").alias("source"), F.col("account_id").alias("source_id"),
+    templated = facts.select(F.lit("facts").alias("source"), F.lit("generator").alias("role"),
+                             F.col("account_id").alias("source_id"),
                              F.to_json(F.struct(cards.alias("cards"))).alias("payload"))
-    conv = (table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-            .select(F.lit("conversation").alias("source"),
+    conv = (table(spark, sf_dir, "conversations")
+            .select(F.lit("conversation").alias("source"), "role",
                     F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
                      .alias("source_id"),
                     F.col("text").alias("payload")))

@@ -172,7 +172,7 @@ def test_single_class_raises(spark, ledger):
         S.train_subscription_model(feats)
 
 
-@pytest.mark.parametrize("merchant,url", [
+WEBSITES = [
     ("NETFLIX", "https://netflix.com"),
     ("NETFLIXCOM", "https://netflix.com"),
     ("AMAZON MKTPLACE", "https://amazon.com/prime"),     # site word AMAZON in the name
@@ -181,7 +181,37 @@ def test_single_class_raises(spark, ledger):
     ("A", "https://amazon.com/prime"),                   # merchant word inside a site name
     ("", None),
     ("ZZZZ", None),
-])
-def test_websites(spark, merchant, url):
-    df = spark.createDataFrame([(merchant,)], "merchant string")
-    assert W.attach_website(df).first().website == url
+    (None, None),
+    ("  hulu  ", "https://hulu.com"),
+]
+
+
+def plain_website(merchant):
+    """The three rules tried one after the other on one merchant."""
+    if not merchant:
+        return None
+    name, url_of = merchant.strip().upper(), dict(W.SUBSCRIPTION_WEBSITES)
+    if name in url_of:
+        return url_of[name]
+    for known, url in W.SUBSCRIPTION_WEBSITES:
+        if any(w in name for w in known.split()) or any(w in known for w in name.split()):
+            return url
+    return next((url_of.get(known) for known, aliases in W.WEBSITE_ALIASES if any(a in name for a in aliases)), None)
+
+
+def test_websites(spark):
+    rng = random.Random(8)
+    words = [w for k, _ in W.SUBSCRIPTION_WEBSITES for w in k.split()] + [a for _, v in W.WEBSITE_ALIASES for a in v]
+    some = []
+    for _ in range(300):
+        w = rng.choice(words)
+        cut = w[rng.randint(0, 2):rng.randint(2, len(w) + 1)]
+        some.append(rng.choice([w, cut, "X" + w + "Y", f"{cut} {rng.choice(words)[:3]}", "QZJ " + w.lower(), "QXZJ"]))
+    rows = [m for m, _ in WEBSITES] + some
+    df = spark.createDataFrame([(k, m, "clash") for k, m in enumerate(rows)], "id int, merchant string, url string")
+    out = W.attach_website(df)
+    got = {r.id: r.website for r in out.collect()}
+    assert out.columns == ["id", "merchant", "url", "website"] and len(got) == len(rows)
+    for k, m in enumerate(rows):
+        assert got[k] == plain_website(m), m
+    assert [got[k] for k in range(len(WEBSITES))] == [u for _, u in WEBSITES]
