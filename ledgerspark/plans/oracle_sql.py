@@ -782,6 +782,54 @@ SELECT account_id, 4, 'Investing Allocation', 0.0, rem, rem, NULL, 'in_progress'
        5 + CASE WHEN risk_tolerance >= 4 AND investment_experience >= 3 THEN 1 ELSE 0 END FROM c3"""
 
 
+def priority_advice() -> str:
+    def money(x):
+        return f"'$' || format('{{:,.2f}}', ({x})::DOUBLE)"
+
+    def num(x):
+        return f"CAST(({x})::DOUBLE AS VARCHAR)"
+    short = "sm * ((req - current_contribution) / 100)"
+    full = "sm * (req / 100)"
+    acct = "preferred_retirement_account"
+    return f"""
+WITH {_plan_ctes()},
+r AS (SELECT account_id, 1 AS priority, 'Pay off ' || {money("total_debt")} || ' in credit card debt' AS description,
+  list_concat(['Pay ' || {money("pay")} || ' monthly (' || {money("minimum_payments")} || ' minimum + ' || {money("extra")} || ' extra)',
+    'Focus on highest APR card first (' || {num("highest_apr")} || '%)',
+    'Consider balance transfer to lower APR if possible', 'Cut up cards and use cash/debit only during payoff'],
+    CASE WHEN dmonths > 12 THEN ['Consider debt consolidation loan if APR is lower'] ELSE [] END) AS xs FROM c3
+UNION ALL
+SELECT account_id, 2, CASE WHEN needed <= 0 THEN 'Emergency fund fully funded' ELSE 'Build emergency fund to ' || {money("six")} END,
+  CASE WHEN needed <= 0 THEN ['Emergency fund is fully funded! Great job!'] ELSE [
+    'Save ' || {money("ealloc_raw")} || ' monthly to emergency fund', 'Keep in high-yield savings account (HYSA) for easy access',
+    'Only use for true emergencies (job loss, medical, major repairs)', 'Consider 3-month target first, then build to 6 months'] END FROM c3
+UNION ALL
+SELECT account_id, 3, CASE WHEN rdone THEN 'Already getting full employer match' ELSE 'Get full employer match (' || {num("req")} || '%)' END,
+  CASE WHEN rdone THEN ['You''re already getting the full employer match! Great job!'] ELSE [
+    'Increase contribution by ' || format('{{:,.1f}}', (req - current_contribution)::DOUBLE) || '% to get full match',
+    'This requires ' || {money(short)} || ' additional monthly contribution',
+    'Employer will match ' || {money(full)} || ' monthly (free money!)',
+    'Total monthly retirement contribution: ' || {money(full)}] END FROM c3
+UNION ALL
+SELECT account_id, 4, '80% retirement/SPY, 20% HYSA', list_concat([
+    'Invest ' || {money("rem * 0.8::DOUBLE")} || ' monthly in retirement accounts',
+    'Save ' || {money("rem * 0.2::DOUBLE")} || ' monthly in HYSA (current rate: ' || {num("hysa_rate")} || '%)',
+    'Retirement split: 70% SPY/Total Market, 30% Bonds (age-appropriate)', 'HYSA for short-term goals or emergency fund overflow'],
+    CASE WHEN risk_tolerance >= 4 AND investment_experience >= 3
+         THEN ['Consider 10% allocation to high-risk securities (crypto, individual stocks)'] ELSE [] END,
+    [CASE WHEN {acct} = '401k' THEN 'Maximize 401k contributions first, then IRA'
+          WHEN {acct} = 'ira' THEN 'Focus on IRA contributions, consider Roth vs Traditional'
+          ELSE 'Balance between 401k and IRA based on tax situation' END]) FROM c3)
+SELECT account_id, priority, description, unnest(range(len(xs))) AS place, unnest(xs) AS advice FROM r"""
+
+
+def remaining_totals() -> str:
+    return f"""
+WITH {ledger_cte()}, gone AS (SELECT min(account_id) AS a FROM ledger)
+SELECT account_id, count(*) AS transactions, CAST(sum(amount) AS DOUBLE) AS total_amount
+FROM ledger, gone WHERE account_id <> a GROUP BY account_id"""
+
+
 def priority_plan() -> str:
     return f"""
 WITH {_plan_ctes()}

@@ -402,6 +402,14 @@ def priority_rows(spark, sf_dir):
                     F.size("recommendations").alias("n_recommendations")))
 
 
+@register("priority_advice", lambda: Q.priority_advice())
+def priority_advice(spark, sf_dir):
+    """Description and advice texts of every priority, in their order."""
+    return (I.priority_rows(_plan(spark, sf_dir))
+            .select("account_id", "priority", "description", F.posexplode("recommendations").alias("place", "advice"))
+            .withColumn("place", F.col("place").cast("long")))
+
+
 @register("priority_plan", lambda: Q.priority_plan())
 def priority_plan(spark, sf_dir):
     """Plan totals per household."""
@@ -560,6 +568,18 @@ def _upload() -> F.Column:
     return F.regexp_extract("path", r"account_id=([^/]+)/", 1)
 
 
+@register("remaining_totals", lambda: Q.remaining_totals())
+def remaining_totals(spark, sf_dir):
+    """A5: one account removed from the ledger and the registry; totals of the accounts
+    that both still hold."""
+    led = _ledger(spark, sf_dir)
+    files = led.select("account_id").distinct()
+    first = led.agg(F.min("account_id")).first()[0]          # one value
+    files, led = A.remove_account(files, led, first)
+    return led.join(files, "account_id", "left_semi").groupBy("account_id").agg(
+        F.count(F.lit(1)).alias("transactions"), F.sum("amount").cast("double").alias("total_amount"))
+
+
 @register("upload_status", lambda: Q.upload_status())
 def upload_status(spark, sf_dir):
     """A4 over a folder of good, copied, ragged, broken and foreign files."""
