@@ -21,6 +21,8 @@ that costs least; the others are still met.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -150,6 +152,8 @@ def fit_rates(table: DataFrame, weights: list[float]) -> np.ndarray:
         good = np.flatnonzero(offs @ step <= 0.01 * abs(off @ step))
         at = good[0] if len(good) else len(LENGTHS) - 1
         pull, off, fall = tried[at], offs[at], falls[at]
+    if worst > TOLERANCE:
+        warnings.warn(f"mixing: a domain's total is off its equation by {worst:.2g} of its target", stacklevel=2)
     return pull
 
 
