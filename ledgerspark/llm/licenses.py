@@ -211,10 +211,12 @@ def rules() -> list[tuple[str, int, re.Pattern, tuple[frozenset[str], ...]]]:
 def suppress(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """(priority, start, end, label) without those inside a stronger interval: higher
     priority, then greater length, then earlier label."""
-    kept: list[tuple[int, int, int, str]] = []
-    for d in sorted(set(found), key=lambda d: (-d[0], d[1] - d[2], d[3], d[1])):
-        if not any(k[1] <= d[1] and d[2] <= k[2] for k in kept):
+    kept, reach = [], {}            # reach: largest end so far of each priority
+    # of intervals that hold an interval, all come before it in this order
+    for d in sorted(set(found), key=lambda d: (d[1], -d[2], -d[0], d[3])):
+        if not any(p >= d[0] and end >= d[2] for p, end in reach.items()):
             kept.append(d)
+        reach[d[0]] = max(reach.get(d[0], 0), d[2])
     return sorted(kept, key=lambda d: (d[1], d[2], d[3]))
 
 
