@@ -51,6 +51,27 @@ def split_words(text: Column, breaks: str) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), breaks), "")
 
 
+SCAN = 64                       # values of a block of ``running``
+
+
+def running(values: Column, zero: Column, op) -> Column:
+    """For each value the combination (``op``, associative) of all before it, ``zero`` for
+    the first. Appending copies the list made so far, so it is done in blocks of ``SCAN``
+    values and then over the blocks: 32 copies a value, and n * n / 8192 for n values."""
+    none = F.slice(F.array(zero), 1, 0)
+
+    def append(a):
+        return F.aggregate(a, F.struct(zero.alias("at"), none.alias("out")), lambda acc, x: F.struct(
+            op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    # a short list is a single block
+    starts = lambda a: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a)), F.lit(SCAN))
+    parts = let(values, lambda a: F.transform(starts(a), lambda i: F.slice(a, i, SCAN)))
+    return let(parts, lambda p: F.flatten(F.zip_with(
+        p, append(F.transform(p, lambda q: F.aggregate(q, zero, op))),
+        lambda q, under: F.transform(append(q), lambda x: op(under, x)))))
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit>> of the leftmost non-overlapping matches in
     order; offsets are code points, ``end`` exclusive. The pieces between the
@@ -58,22 +79,61 @@ def match_spans(text: Column, pattern: str) -> Column:
     so their lengths give every offset. ``pattern`` must not match ''."""
     empty = F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)")
 
-    def step(acc, x):
-        start = acc["pos"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(
-            start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
+    def spans(pieces):
+        at = running(F.transform(pieces, lambda x: F.char_length(x["gap"]) + F.char_length(x["hit"])),
+                     F.lit(0), lambda a, b: a + b)
+
+        def span(x, before):
+            start = before + F.char_length(x["gap"])
+            return F.struct(start.alias("start"), (start + F.char_length(x["hit"])).alias("end"), x["hit"].alias("hit"))
+        return F.zip_with(pieces, at, span)
 
     def walk(hits):
-        pieces = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(hits)), hits,
-                            lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        return F.aggregate(pieces, F.struct(F.lit(0).alias("pos"), empty.alias("out")),
-                           step, lambda acc: acc["out"])
+        return let(F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(hits)), hits,
+                              lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), spans)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
                lambda hits: F.when(F.size(hits) > 0, walk(hits)).otherwise(empty))
 
 
+CHUNK = 4096                    # code points
+
+
+def chunked(text: Column) -> Column:
+    """The text in pieces of ``CHUNK`` code points, for ``piece``."""
+    return F.when(F.char_length(text) <= CHUNK, F.array(text)).otherwise(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+
+
+def piece(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end (exclusive) of a chunked text. ``substring`` of the whole
+    text would count its way from the beginning for each piece."""
+    first = F.floor(start / CHUNK).cast("int")
+    some = F.slice(chunks, first + 1, F.floor(end / CHUNK).cast("int") - first + 1)
+    return F.substring(F.array_join(some, ""), start - first * CHUNK + 1, end - start)
+
+
+def clear_of(spans: Column, others: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``others``, in their order. One sweep by
+    start: the largest end so far and the next start of the others decide."""
+    top = F.lit(2 ** 31 - 1)
+
+    def sweep(a):
+        other = lambda s, value, none: F.when(s["own"] == 0, value).otherwise(none)
+        reach = running(F.transform(a, lambda s: other(s, s["end"], F.lit(0))), F.lit(0), lambda a, b: F.greatest(a, b))
+        following = F.reverse(running(F.reverse(F.transform(a, lambda s: other(s, s["start"], top))), top, lambda a, b: F.least(a, b)))
+        limits = F.zip_with(reach, following, lambda r, f: F.struct(r.alias("reach"), f.alias("next")))
+        clear = F.zip_with(a, limits, lambda s, x: F.when(
+            (s["own"] == 1) & (x["reach"] <= s["start"]) & (x["next"] >= s["end"]), s["at"]))
+        return F.transform(F.array_sort(F.filter(clear, lambda i: i.isNotNull())), lambda i: F.get(spans, i))
+
+    def tagged(list_, own):
+        return F.transform(list_, lambda s, i: F.struct(
+            s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), i.alias("at")))
+    both = F.array_sort(F.concat(tagged(others, 0), tagged(spans, 1)))
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), let(both, sweep)).otherwise(spans)
+
+
 def span_list(spans: Column) -> Column:
     """kind:start:end, comma-joined in the order given."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, match_spans, span_list
+from .common import chunked, clear_of, let, match_spans, piece, running, span_list
 
 LOCAL = r"[A-Za-z0-9._%+-]"
 #: kind -> (cheap test, pattern, score, context words); order breaks ties of start.
@@ -82,23 +82,18 @@ def _scored(text: Column, kind: str) -> Column:
     test, pattern, score, context = KINDS[kind]
     order = F.lit(list(KINDS).index(kind))
 
-    def span(s):
-        first = F.greatest(F.lit(0), s["start"] - CONTEXT_CHARS)
-        near = F.lower(F.substring(text, first + 1, s["start"] - first)).rlike(context)
+    def span(s, chunks):
+        near = F.lower(piece(chunks, F.greatest(F.lit(0), s["start"] - CONTEXT_CHARS), s["start"])).rlike(context)
         return F.struct(s["start"].alias("start"), order.alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"),
                         F.least(F.lit(1.0), F.lit(score) + F.when(near, CONTEXT_GAIN).otherwise(0.0)).alias("score"))
 
-    ok = F.transform(F.filter(match_spans(text, pattern), lambda s: _valid(kind, s["hit"])), span)
+    valid = F.filter(match_spans(text, pattern), lambda s: _valid(kind, s["hit"]))
+    ok = let(chunked(text), lambda chunks: F.transform(valid, lambda s: span(s, chunks)))
     if kind not in BASE:
         ok = F.filter(ok, lambda s: s["score"] >= LEAST_SCORE)
     return F.when(text.rlike(test), ok).otherwise(F.expr(f"cast(array() as {SPANS})"))
 
 
-def _clear_of(spans: Column, others: Column) -> Column:
-    """Those of ``spans`` that overlap none of ``others``."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
-
-
 def pii_spans(text: Column) -> tuple[Column, Column]:
     """(validated base spans, the method's further spans); the latter overlap no
     base span."""
@@ -113,7 +108,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     base, more = pii_spans(F.col("text"))
     d = d.select("doc_id", "text", F.array_sort(base).alias("base"), more.alias("more"))
     return d.select("doc_id", "text", "base",
-                    F.array_sort(F.concat("base", _clear_of(F.col("more"), F.col("base")))).alias("spans"))
+                    F.array_sort(F.concat("base", clear_of(F.col("more"), F.col("base")))).alias("spans"))
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
@@ -129,16 +124,16 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 def redact(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by <KIND>; of overlapping spans the first
     names the replacement and all their characters go."""
-    def step(acc, s):
+    reach = running(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+
+    def rebuilt(chunks):
         # the tail of a span that overlaps an earlier one is dropped without a mark
-        mark = F.when(s["start"] >= acc["pos"], F.array(
-            F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]),
-            F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).otherwise(F.expr("cast(array() as array<string>)"))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], mark).alias("out"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<string>)").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.char_length(text))))
+        parts = F.zip_with(spans, reach, lambda s, at: F.when(s["start"] >= at, F.concat(
+            piece(chunks, at, s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(""))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), piece(chunks, last, F.char_length(text)))
+
+    return let(chunked(text), rebuilt)
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, let, match_spans, span_list
+from .common import LOWER, UPPER, clear_of, let, match_spans, span_list
 
 #: kind -> (cheap test, pattern). Equal to the contract's patterns with their length rules.
 BASE = {
@@ -157,8 +157,8 @@ def _base(text: Column, kind: str) -> Column:
 def _random(text: Column, base: Column) -> Column:
     """Tokens outside the base spans that pass the battery and, within their
     document, the false-discovery control."""
-    free = F.filter(match_spans(text, TOKEN), lambda s: s["hit"].rlike("[A-Za-z]") & ~F.exists(
-        base, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+    lettered = F.filter(match_spans(text, TOKEN), lambda s: s["hit"].rlike("[A-Za-z]"))
+    free = let(lettered, lambda spans: clear_of(spans, base))
     tested = F.transform(free, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), text_p(s["hit"]).alias("p"), battery_p(s["hit"]).alias("battery")))
 
