@@ -5,8 +5,8 @@ characters in the training documents (letters; everything else is one blank), ab
 discounting, and continuation counts below the top order. The models live in sorted
 arrays of packed runs with one column per language, looked up by binary search; a run
 unknown to all languages backs off. A text gets the language of the lowest cross-entropy
-per character; ``rejected`` marks texts whose cross-entropy lies beyond the calibrated
-range of their language. Counting covers all training documents: each task sums its
+per character; ``rejected`` marks texts whose cross-entropy lies beyond the range of
+their language, which all of its training documents fix. Counting covers all training documents: each task sums its
 own runs before the shuffle, and every counted run is kept. Where there are more than
 ``SLICE_RUNS``, the model is cut into slices by the last letter but one, which all orders
 but the lowest share with their contexts; the lowest, a row per letter, is in each slice.
@@ -19,12 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.selection import at_ranks, value_counts
 from .common import held_out, id_type, per_document, staged
 
 ORDER, DISCOUNT = 4, 0.75
 SLICE_RUNS = 2_000_000         # runs of all languages in a slice of the model, unless one letter has more
-CALIBRATION = 4_000            # training documents, at most, that fix the rejection range
-REJECT_SHARE = 0.001
+REJECT_SHARE = 0.001           # of a language's training documents, beyond its rejection range
 UNKNOWN = "und"
 MASK = [np.uint64((1 << (16 * k)) - 1) for k in range(ORDER)]
 
@@ -246,38 +246,61 @@ def _count_model(docs: DataFrame) -> LanguageModel:
     return SlicedModel(counts, _slices(counts), {k: (np.array(c, np.uint64), np.array(n)) for k, (c, n) in lowest.items()})
 
 
+def _scored(model: LanguageModel, docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, h, n) of every row of docs, written once: cross-entropies in the
+    order of the languages, and the length; nothing or null where no letter is."""
+    if isinstance(model, SlicedModel):
+        return staged(model.scored(docs, "doc_id", "lang"), "language-scores")
+
+    def score(ids, langs, texts):
+        for i, lang, text in zip(ids, langs, texts):
+            h, n = model.cross_entropy(text)
+            yield i, lang, h.tolist(), n
+    return staged(per_document(docs, score, f"doc_id {id_type(docs)}, lang string, h array<double>, n long",
+                               ("doc_id", "lang", "text")), "language-scores")
+
+
+def _limits(langs: list[str], scored: DataFrame) -> dict[str, tuple[float, float]]:
+    """For each language the mean cross-entropy of all its training documents, and the
+    exact quantile of their deviations from it, weighted as in ``decide``."""
+    if not langs:
+        return {}
+    own = F.get("h", F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1)
+    rows = scored.filter(F.col("lang").isin(langs) & ~held_out(F.col("doc_id")) & (F.col("n") > 0)).select("lang", own.alias("h"), "n")
+    # decimal sums are the same in any order of the rows
+    means = rows.groupBy("lang").agg(F.avg(F.col("h").cast("decimal(20,12)")).cast("double").alias("mean"), F.count(F.lit(1)).alias("rows"))
+    mean = {r.lang: (r.mean, r.rows) for r in means.collect()}                                       # a row per language
+    if not mean:
+        return {}
+    center = F.create_map(*[F.lit(x) for lang, (m, _) in mean.items() for x in (lang, m)])
+    apart = rows.select("lang", ((F.col("h") - center[F.col("lang")]) * F.sqrt(F.least("n", F.lit(400)))).alias("apart"))
+    counts = value_counts(apart, ["lang"], "apart", lambda v: F.floor(v * 64))
+    at = (F.col("tot") - 1) * (1 - REJECT_SHARE)
+    ends = at_ranks(counts, ["lang"], "apart", {"lo": F.floor(at), "hi": F.ceil(at)})
+    out = {}
+    for r in ends.collect():                                                                         # a row per language
+        m, n = mean[r.lang]
+        out[r.lang] = (m, r.lo + (r.hi - r.lo) * ((n - 1) * (1 - REJECT_SHARE) % 1))
+    return out
+
+
 def fit(docs: DataFrame) -> LanguageModel:
     model = _count_model(docs)
-    some = (docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).select(F.col("doc_id").alias("_id")))
-    own = docs.join(F.broadcast(some), F.col("doc_id") == F.col("_id"), "left_semi")
-
-    def seen(langs, texts):
-        got = [(lang, *model.cross_entropy(t)) for lang, t in zip(langs, texts)]
-        return [(lang, float(h[model.langs.index(lang)]), n) for lang, h, n in got if n and lang in model.langs]
-    if isinstance(model, SlicedModel):
-        at = F.array_position(F.array(*map(F.lit, model.langs)), F.col("lang")).cast("int") - 1
-        rows = model.scored(own, "lang").filter("n is not null").select("lang", F.get("h", at).alias("h"), "n").collect()
-    else:
-        rows = per_document(own, seen, "lang string, h double, n int", ("lang", "text")).collect()   # at most CALIBRATION rows
-    for lang in model.langs:
-        if mine := [(r.h, r.n) for r in rows if r.lang == lang]:
-            h, n = np.array(mine).T
-            model.limits[lang] = (float(h.mean()), float(np.quantile((h - h.mean()) * np.minimum(n, 400) ** 0.5, 1 - REJECT_SHARE)))
+    train = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    model.limits = _limits(model.langs, _scored(model, train))
     return model
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, cross_entropy,
     rejected. Null texts and texts without a letter are ``und`` with score 0, and so is
-    every text when no training document has a language."""
-    model = fit(docs)
+    every text when no training document has a language. Every text is scored once, for
+    the rejection ranges and the predictions."""
+    model = _count_model(docs)
+    scored = _scored(model, docs)
+    whole = LanguageModel(np.array([], object), np.array([], np.uint64), np.array([], int))          # langs and limits only
+    whole.langs, whole.limits = model.langs, _limits(model.langs, scored)
     fields = f"doc_id {id_type(docs)}, lang_pred string, score double, cross_entropy double, rejected boolean"
-    if isinstance(model, SlicedModel):
-        whole = LanguageModel(np.array([], object), np.array([], np.uint64), np.array([], int))      # langs and limits only
-        whole.langs, whole.limits = model.langs, model.limits
-        out = per_document(model.scored(docs, "doc_id"), lambda ids, hs, ns: [
-            (i, *whole.decide(np.array(h or []), n or 0)) for i, h, n in zip(ids, hs, ns)], fields, ("doc_id", "h", "n"))
-    else:
-        out = per_document(docs, lambda ids, texts: [(i, *model.predict(t)) for i, t in zip(ids, texts)], fields)
+    out = per_document(scored, lambda ids, hs, ns: [
+        (i, *whole.decide(np.array(h or []), n or 0)) for i, h, n in zip(ids, hs, ns)], fields, ("doc_id", "h", "n"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
