@@ -293,8 +293,12 @@ def _compare(docs: DataFrame, pairs: DataFrame, kept: type) -> DataFrame:
         return (h if kept is np.uint64 else (h >> np.uint64(32)).astype(kept)).tobytes()
 
     pairs = staged(pairs.select("a", "b").distinct(), "pairs")
+    n = pairs.count()
+    if not n:
+        return pairs
+    few = F.broadcast if n <= BROADCAST_ROWS else _small        # no more documents than pairs
     d = docs.select("doc_id", "text")
-    own = _small(pairs.groupBy("b").agg(F.collect_list("a").alias("with_a")))   # centers of b's own signatures
+    own = few(pairs.groupBy("b").agg(F.collect_list("a").alias("with_a")))   # centers of b's own signatures
     kind = id_type(docs)
 
     def sets(ids, texts, others):           # a document's set once for each partner, never all at once
@@ -303,7 +307,7 @@ def _compare(docs: DataFrame, pairs: DataFrame, kept: type) -> DataFrame:
             for a in o:
                 yield a, i, own_set
     side_b = per_document(d.join(own, F.col("doc_id") == F.col("b")), sets, f"a {kind}, b {kind}, set_b binary", ("doc_id", "text", "with_a"))
-    centers = _small(pairs.select(F.col("a").alias("c")).distinct())
+    centers = few(pairs.select(F.col("a").alias("c")).distinct())
     side_a = per_document(d.join(centers, F.col("doc_id") == F.col("c"), "left_semi"),
                           lambda ids, texts: ((i, blob(t)) for i, t in zip(ids, texts)),
                           f"c {kind}, set_a binary")
@@ -323,10 +327,26 @@ def _compare(docs: DataFrame, pairs: DataFrame, kept: type) -> DataFrame:
     return staged(per_document(both, linked, f"a {kind}, b {kind}", ("a", "b", "set_a", "set_b")).distinct(), "links")
 
 
-def _with_comp(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
-    c = comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
-    return (rows.join(_small(c), F.col(node) == F.col("_node"), "left")
-            .withColumn(name, F.coalesce("_comp", node)).drop("_node", "_comp"))
+def _with_comp(rows: DataFrame, comps: DataFrame, **names: str) -> DataFrame:
+    """``rows`` and, as each name, the component of the node in the column given for it."""
+    c = _small(comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp")))
+    for name, node in names.items():
+        rows = (rows.join(c, F.col(node) == F.col("_node"), "left")
+                .withColumn(name, F.coalesce("_comp", node)).drop("_node", "_comp"))
+    return rows
+
+
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, comp) after further links (a, b). Only components that these
+    join are searched, each as one node: what hangs together already is not gone through
+    again."""
+    ends = _with_comp(links, comps, x="a", y="b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    up = staged(connected(ends), "merged").select(F.col("node").alias("_old"), F.col("comp").alias("_new"))
+    if up.isEmpty():
+        return comps
+    moved = comps.join(_small(up), F.col("comp") == F.col("_old"), "left").select("node", F.coalesce("_new", "comp").alias("comp"))
+    fresh = up.join(comps, F.col("_old") == F.col("node"), "left_anti").select(F.col("_old").alias("node"), F.col("_new").alias("comp"))
+    return staged(moved.unionByName(fresh), "comps")
 
 
 def _live(rows: DataFrame, n) -> DataFrame:
@@ -336,25 +356,24 @@ def _live(rows: DataFrame, n) -> DataFrame:
     return staged(rows.groupBy("node", "info").agg(n.alias("n")).filter(F.col("n") > _spare("info")).select("node").distinct(), "live")
 
 
-def _work_off(docs: DataFrame, buckets: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(edges with the links among the documents of the buckets, rows of the hot buckets,
-    which were left out)."""
+def _work_off(docs: DataFrame, buckets: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(components after the links among the documents of the buckets, rows of the hot
+    buckets, which were left out)."""
     shared = buckets.filter("center is not null")
     stars = staged(shared.groupBy("node", "info", "center", "cinfo").agg(F.count(F.lit(1)).alias("k")), "stars")
     live = _live(stars, F.sum("k"))
     stars = stars.filter("node <> center")
     # a count that shows a likely link; stars that don't reach it stay open
     likely = stars.filter(_may_link("info", "cinfo") & (2 * F.col("k") > F.least(_spare("info"), _spare("cinfo"))))
-    edges = edges.unionByName(verify(docs, likely.select(F.col("center").alias("a"), F.col("node").alias("b"))))
-    comps = staged(connected(edges), "comps")
+    comps = _merged(comps, verify(docs, likely.select(F.col("center").alias("a"), F.col("node").alias("b"))))
     apart = stars.join(_small(live), "node", "left_semi").select("node", "center").distinct()
-    apart = _with_comp(_with_comp(apart, comps, "node", "x"), comps, "center", "y")
+    apart = _with_comp(apart, comps, x="node", y="center")
     apart = staged(apart.filter("x <> y").select("node", "center"), "apart")
     if apart.isEmpty():
-        return edges, None
+        return comps, None
     keys = staged(shared.join(_small(apart), ["node", "center"], "left_semi").select("key").distinct(), "open")
     rows = shared.join(_small(live), "node", "left_semi").select("key", "node", "info").join(_small(keys), "key", "left_semi")
-    rows = staged(_with_comp(rows, comps, "node", "comp"), "open-rows")
+    rows = staged(_with_comp(rows, comps, comp="node"), "open-rows")
     rows = rows.join(_small(_live(rows, F.count(F.lit(1)))), "node", "left_semi")
     per_key = (rows.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("n_comp"))
                .groupBy("key").agg(F.sum("n_comp").alias("n_all"), F.sum(F.col("n_comp") * F.col("n_comp")).alias("n_own")))
@@ -377,7 +396,7 @@ def _work_off(docs: DataFrame, buckets: DataFrame, edges: DataFrame) -> tuple[Da
                                           *[F.col("merged")] * (end == "a")), [end, "band"], "left")
     k_hot = F.coalesce(F.size(F.array_intersect("hot_a", "hot_b")) + F.col("merged"), F.lit(0))
     pairs = pairs.filter(F.col("k") + F.greatest(F.lit(0), k_hot) > F.col("spare"))
-    return edges.unionByName(verify(docs, pairs.select("a", "b"), doubtful=True)), hot_rows
+    return _merged(comps, verify(docs, pairs.select("a", "b"), doubtful=True)), hot_rows
 
 
 def _needy(buckets: DataFrame, hot_rows: DataFrame | None) -> DataFrame:
@@ -430,7 +449,7 @@ def _tile_links(rows):
     return pd.DataFrame({"a": a, "b": b}, dtype=rows["node"].dtype)
 
 
-def _rest(docs: DataFrame, hot_rows: DataFrame, needy: DataFrame, edges: DataFrame) -> DataFrame:
+def _rest(docs: DataFrame, hot_rows: DataFrame, needy: DataFrame, comps: DataFrame) -> DataFrame:
     """Links among the needy documents, by groups of those that are joined by hot
     signatures, in tiles of two blocks."""
     kind = id_type(docs)
@@ -443,7 +462,7 @@ def _rest(docs: DataFrame, hot_rows: DataFrame, needy: DataFrame, edges: DataFra
                         f"group {kind}, node {kind}, n long, set binary", ("doc_id", "text", "group"))
     sets = staged(sets, "rest")
     blocks = sets.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("group", "_group")
-    sets = _with_comp(sets, staged(connected(edges), "comps"), "node", "comp")
+    sets = _with_comp(sets, comps, comp="node")
     dealt = (sets.join(_small(staged(blocks, "blocks")), F.col("group") == F.col("_group"))
              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -451,20 +470,20 @@ def _rest(docs: DataFrame, hot_rows: DataFrame, needy: DataFrame, edges: DataFra
     return staged(dealt.groupBy("group", "i", "j").applyInPandas(_tile_links, f"a {kind}, b {kind}"), "rest-links")
 
 
-def links(docs: DataFrame, copies: DataFrame, joined: DataFrame | None = None) -> DataFrame:
-    """The edges ``copies`` and verified links (a, b) that join all that is linked. The ids
-    ``joined`` (a) hang on a copy of all their words, which stands for them."""
-    edges, now = copies, docs
+def classes(docs: DataFrame, copies: DataFrame, joined: DataFrame | None = None) -> DataFrame:
+    """(node, comp): the components by the edges ``copies`` (a, b) and all verified links.
+    The ids ``joined`` (a) hang on a copy of all their words, which stands for them."""
+    comps, now = staged(connected(copies), "comps"), docs
     if joined is not None and joined.count() <= COPY_IDS:
         now = docs.join(F.broadcast(joined), F.col("doc_id") == F.col("a"), "left_anti")
     for level in (1, 2):
         buckets = _buckets(_emit(now, level))
-        edges, hot_rows = _work_off(docs, buckets, edges)
+        comps, hot_rows = _work_off(docs, buckets, comps)
         needy = _needy(buckets, hot_rows)
         if needy.isEmpty():
-            return edges
+            return comps
         now = docs.select("doc_id", "text").join(_small(needy), F.col("doc_id") == F.col("node"))
-    return edges.unionByName(_rest(docs, hot_rows, needy, edges))
+    return _merged(comps, _rest(docs, hot_rows, needy, comps))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -480,7 +499,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # an id with another row may have other words there
     again = m.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("a"))
     joined = staged(copies.select("a").join(again, "a", "left_anti"), "joined")
-    comps = connected(links(docs, copies, joined))
+    comps = classes(docs, copies, joined)
     return m.join(comps, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
