@@ -201,6 +201,8 @@ def draw(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
     def shares_and_rate(texts: pd.Series) -> pd.Series:
         p = predict(texts)
         return pd.Series(list(np.column_stack([p, rates(p, pull)])))
+    # else Spark pushes the filter on copies below and scores every text twice, by two Python workers a task
+    shares_and_rate = shares_and_rate.asNondeterministic()
     name = "_mix"
     while name in docs.columns:
         name += "_"
